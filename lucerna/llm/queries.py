@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lucerna.llm.quality import op5_quality_rules
+from lucerna.llm.secrets import op4_secret_scans
 from lucerna.llm.tokens import op8_encode_decode, op10_token_counts
 
 QUERIES = {
+    "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op8_encode_decode": op8_encode_decode,
     "op10_token_counts": op10_token_counts,
