@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from lucerna.llm.quality import op5_quality_rules
 from lucerna.llm.secrets import op4_secret_scans
+from lucerna.llm.sharding import op1_sharding
+from lucerna.llm.token_files import op3_token_files
 from lucerna.llm.tokens import op8_encode_decode, op10_token_counts
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_token_files": op3_token_files,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op8_encode_decode": op8_encode_decode,
