@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lucerna.llm.near_dup import op6_near_duplicates
 from lucerna.llm.quality import op5_quality_rules
 from lucerna.llm.secrets import op4_secret_scans
 from lucerna.llm.sharding import op1_sharding
@@ -9,6 +10,7 @@ from lucerna.llm.token_files import op3_token_files
 from lucerna.llm.tokens import op8_encode_decode, op10_token_counts
 
 QUERIES = {
+    "op6_near_duplicates": op6_near_duplicates,
     "op1_sharding": op1_sharding,
     "op3_token_files": op3_token_files,
     "op4_secret_scans": op4_secret_scans,
