@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lucerna.llm.decontaminate import op2_decontamination
 from lucerna.llm.near_dup import op6_near_duplicates
 from lucerna.llm.quality import op5_quality_rules
 from lucerna.llm.secrets import op4_secret_scans
@@ -10,6 +11,7 @@ from lucerna.llm.token_files import op3_token_files
 from lucerna.llm.tokens import op8_encode_decode, op10_token_counts
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op1_sharding": op1_sharding,
     "op3_token_files": op3_token_files,
