@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lucerna.llm import common, vec
 
 SHINGLE = 5
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 25, 4
 HASHES = BANDS * ROWS
 #: Hashes compared before each decision, and the chance of a miss at which a pair is dropped.
 BATCH = 20
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     words, or null, is linked with nothing, as is a row with a null id (its
     component is null and it is kept). Rows of one id are one node; it is
     linked where any of its sets is. Extra columns are ignored. The chance that a link of similarity s
-    is in no common band is (1 - s^5)^20, under 10^-5 at 0.85.
+    is in no common band is (1 - s^4)^25: 2 in a million at 0.8.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     features = common.stored(rows.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary"), "features")
@@ -210,11 +210,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = common.stored(_verified(pairs, nodes, texts, percent), "links")
-        links = found if links is None else links.union(found)
-        comps = components(links)
+        if pairs.limit(1).count():
+            found = common.stored(_verified(pairs, nodes, texts, percent), "links")
+            if found.limit(1).count():
+                links = found if links is None else links.union(found)
+                comps = components(links)
         members = members.join(heads.select("band", "bucket", F.col("head").alias("rep")), ["band", "bucket", "rep"], "left_anti").select("band", "bucket", "rep")
-        leaders *= 4
+        leaders *= 8
 
     own = features.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = linked.select("doc_id", "n", "k1", "k2").join(sets, ["k1", "k2", "n"])
@@ -225,5 +227,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return own.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all columns, that `near_duplicates` keeps: one document of each component."""
+    gone = near_duplicates(docs, percent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = common.stored(gone.distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), 85)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lucerna.llm.decontaminate import op2_decontamination
 from lucerna.llm.line_dedup import op9_line_dedup
+from lucerna.llm.lm import op7_lm_scores
 from lucerna.llm.near_dup import op6_near_duplicates
 from lucerna.llm.quality import op5_quality_rules
 from lucerna.llm.secrets import op4_secret_scans
@@ -12,6 +13,7 @@ from lucerna.llm.token_files import op3_token_files
 from lucerna.llm.tokens import op8_encode_decode, op10_token_counts
 
 QUERIES = {
+    "op7_lm_scores": op7_lm_scores,
     "op9_line_dedup": op9_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
