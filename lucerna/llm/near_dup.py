@@ -25,6 +25,8 @@ HASHES = BANDS * ROWS
 #: Hashes compared before each decision, and the chance of a miss at which a pair is dropped.
 BATCH = 20
 MISS = 1e-6
+#: Pairs a member that are written out at once; more of them are first thinned by rounds with leaders.
+PAIRS_EACH = 8
 #: Document ids up to which the texts to verify are picked by a broadcast list (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _SEED = 0x5EED
@@ -128,28 +130,33 @@ def _exact(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for all nodes of edges (a, b); comp is the least node reachable.
+    """(node, comp) for the nodes of edges (a < b) that can reach a lesser node; comp is the least.
 
     Every node hooks onto its least neighbour, chains are halved until they
     are stars, and edges are drawn anew between the stars' centres. No round
-    needs more than a minimum for each node.
+    needs more than a minimum for each node. Lists of few nodes are broadcast.
     """
-    edges = common.stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels = common.stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("comp")), "labels")
-    while edges.limit(1).count():
+    labels = None
+    while True:
         up = common.stored(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up")), "hooks")
+        n = up.count()
+        if not n:
+            return labels if labels is not None else up.select("node", F.col("up").alias("comp"))
+        held = F.broadcast if n <= BROADCAST_IDS else lambda df: df
         while True:
-            top = up.select(F.col("node").alias("n2"), F.col("up").alias("u2"))
+            top = held(up.select(F.col("node").alias("n2"), F.col("up").alias("u2")))
             jumped = common.stored(up.join(top, F.col("up") == F.col("n2"), "left").select("node", F.coalesce("u2", "up").alias("up"), F.col("u2").isNotNull().alias("moved")), "jumps")
             up = jumped.select("node", "up")
-            if not jumped.where("moved").limit(1).count():
+            if jumped.where("moved").isEmpty():
                 break
-        labels = common.stored(labels.join(up, labels["comp"] == up["node"], "left").select(labels["node"], F.coalesce("up", "comp").alias("comp")), "labels")
-        first, second = up.toDF("na", "ua"), up.toDF("nb", "ub")
+        own = up.select("node", F.col("up").alias("comp"))
+        first, second = held(up.toDF("na", "ua")), held(up.toDF("nb", "ub"))
+        if labels is not None:
+            own = labels.join(first, F.col("comp") == F.col("na"), "left").select("node", F.coalesce("ua", "comp").alias("comp")).union(own)
+        labels = common.stored(own, "labels")
         redrawn = edges.join(first, F.col("a") == F.col("na"), "left").join(second, F.col("b") == F.col("nb"), "left")
         redrawn = redrawn.select(F.coalesce("ua", "a").alias("a"), F.coalesce("ub", "b").alias("b")).where("a <> b")
-        edges = common.stored(redrawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels
+        edges = common.stored(redrawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -193,30 +200,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     shared = banded.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     members = common.stored(banded.join(shared.select("band", "bucket"), ["band", "bucket"], "left_semi"), "members")
 
-    tested, links, comps, leaders = None, None, None, 1
+    links = comps = tested = None
+    leaders = 1
     while True:
-        state = members if comps is None else members.join(comps, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
         if comps is None:
-            state = state.withColumn("comp", F.col("rep"))
-        state = common.stored(state, "state")
-        mixed = state.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
-        members = common.stored(state.join(mixed, ["band", "bucket"], "left_semi"), "members")
-        if not members.limit(1).count():
+            mixed = members.withColumn("comp", F.col("rep"))
+        else:
+            state = members.join(comps, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+            state = common.stored(state, "state")
+            open_ = state.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
+            mixed = common.stored(state.join(open_, ["band", "bucket"], "left_semi"), "mixed")
+        # pairs between components that buckets still hold: n^2 less the squares of the components' sizes
+        parts = mixed.groupBy("band", "bucket", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("band", "bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
+        size = parts.agg(F.sum("pairs"), F.sum("n")).first()
+        if not size[0]:
             break
-        part = F.pmod(F.xxhash64("rep"), F.lit(leaders))
-        heads = common.stored(members.groupBy("band", "bucket", part.alias("part")).agg(F.min(F.struct("rep", "comp")).alias("head")).select("band", "bucket", F.col("head.rep").alias("head"), F.col("head.comp").alias("head_comp")), "heads")
-        pairs = members.join(heads, ["band", "bucket"]).where("comp <> head_comp").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+        last = size[0] / 2 <= PAIRS_EACH * size[1]
+        if last:
+            other = mixed.select("band", "bucket", F.col("rep").alias("head"), F.col("comp").alias("head_comp"))
+            near = F.col("comp") < F.col("head_comp")
+        else:
+            part = F.pmod(F.xxhash64("rep"), F.lit(leaders))
+            heads = mixed.groupBy("band", "bucket", part.alias("part")).agg(F.min(F.struct("rep", "comp")).alias("head"))
+            other = common.stored(heads.select("band", "bucket", F.col("head.rep").alias("head"), F.col("head.comp").alias("head_comp")), "heads")
+            near = F.col("comp") != F.col("head_comp")
+        pairs = mixed.join(other, ["band", "bucket"]).where(near).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = common.stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        if pairs.limit(1).count():
-            found = common.stored(_verified(pairs, nodes, texts, percent), "links")
-            if found.limit(1).count():
-                links = found if links is None else links.union(found)
-                comps = components(links)
-        members = members.join(heads.select("band", "bucket", F.col("head").alias("rep")), ["band", "bucket", "rep"], "left_anti").select("band", "bucket", "rep")
-        leaders *= 8
+        found = common.stored(_verified(pairs, nodes, texts, percent), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = components(links)
+        if last:
+            break
+        members = mixed.join(other.select("band", "bucket", F.col("head").alias("rep")), ["band", "bucket", "rep"], "left_anti").select("band", "bucket", "rep")
+        leaders *= 16
 
     own = features.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rest = linked.select("doc_id", "n", "k1", "k2").join(sets, ["k1", "k2", "n"])
