@@ -21,10 +21,12 @@ from lucerna.llm import common
 
 SHINGLE = 5
 PERCENT = 80
-#: Slots of the table of word frequencies: its size is fixed, and so is its literal of 512 KB.
-SLOTS = 1 << 16
+#: Slots of the table of word frequencies: its size is fixed, and so is its literal of 128 KB.
+SLOTS = 1 << 14
 #: Rows up to which a list is broadcast (at most 64 bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
+#: The same for tokens, of 8 bytes.
+BROADCAST_TOKENS = 2_000_000
 _SPACE = r"[\x20\x09-\x0D]+"
 _LEVEL_BITS = 58
 
@@ -47,8 +49,9 @@ def _levels(rows: DataFrame) -> list[int]:
     lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("body"))
     counts = lines.select(F.explode(_words(F.col("body"))).alias("w")).groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
     out = [0] * SLOTS
-    for r in counts.collect():
-        out[r.slot] = min(31, r.n.bit_length()) << _LEVEL_BITS
+    found = counts.toArrow()
+    for slot, n in zip(found["slot"].to_pylist(), found["n"].to_pylist()):
+        out[slot] = min(31, n.bit_length()) << _LEVEL_BITS
     return out
 
 
@@ -88,8 +91,8 @@ def _lines(rows: DataFrame, levels: list[int], percent: int) -> DataFrame:
     return out.select("doc_id", "text_hash", "line", n.alias("n"), F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("c2"), prefix.alias("prefix"))
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
@@ -118,14 +121,16 @@ def marked_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = common.stored(_lines(rows, levels, percent), "lines")
     long = lines.where("n > 0")
     order = F.struct("doc_id", "text_hash", "line")
-    classes = long.groupBy("c1", "c2", "n").agg(F.min(order).alias("first"))
-    firsts = common.stored(classes.select("c1", "c2", "n", "first.*"), "classes")
+    # one row for each class, with its first line and its prefix: copies go no further
+    classes = long.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first"))
+    classes = common.stored(classes.select("c1", "c2", "n", "first.*"), "classes")
+    firsts = classes.drop("prefix")
 
-    shared = long.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    shared = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
     shared = common.stored(shared, "shared")
-    places = long.select("c1", "c2", "n", "doc_id", "text_hash", "line", F.posexplode("prefix").alias("place", "token"))
-    places = places.join(_small(shared), "token", "left_semi")
-    members = common.stored(places.groupBy("token", "c1", "c2", "n", "place").agg(F.min(order).alias("first")), "members")
+    places = classes.select("c1", "c2", "n", "doc_id", "text_hash", "line", F.posexplode("prefix").alias("place", "token"))
+    places = places.join(_small(shared, BROADCAST_TOKENS), "token", "left_semi")
+    members = common.stored(places.select("token", "c1", "c2", "n", "place", order.alias("first")), "members")
     heads = members.groupBy("token").agg(F.min(F.struct("first", "c1", "c2", "n", "place")).alias("head"), F.count("*").alias("size")).where("size > 1")
     heads = common.stored(heads.select("token", "size", F.col("head.first").alias("head_first"), F.col("head.c1").alias("d1"), F.col("head.c2").alias("d2"), F.col("head.n").alias("dn"), F.col("head.place").alias("dplace")), "heads")
 
