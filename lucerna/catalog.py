@@ -1,10 +1,646 @@
-"""Queries of the engine's own operators, with their SQL."""
+"""Queries of the engine's own operators over the test tables, with their SQL.
+
+Every query has its SQL beside it. Questions are the benchmark's passages, the
+corpus is `documents`: a document is a page of its `source`; three sources
+stand for the house's own documents.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lucerna.functions import text as X
+from lucerna.functions import words as W
+from lucerna.operators import answer as A
+from lucerna.operators import evaluate as E
+from lucerna.operators import flow as N
+from lucerna.operators import index as I
+from lucerna.operators import ingest as G
+from lucerna.operators import retrieve as R
+from lucerna.operators import verify as V
+from lucerna.sources import files as S
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+OWN = ("src0", "src1", "src2")
+TOPICS = {"english": ["the", "with"], "spanish": ["cion", "mente"], "french": ["leurs", "nous"]}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- SQL fragments -----------------------------------------------------------
+
+
+def _list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _fold(x: str) -> str:
+    return f"strip_accents(lower(coalesce({x}, '')))"
+
+
+def _tok(x: str) -> str:
+    return f"list_filter(regexp_extract_all({_fold(x)}, '[a-z0-9]+'), lambda t: NOT list_contains({_list(W.STOPWORDS)}, t))"
+
+
+def _words(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(coalesce({x}, ''), '\s+'), lambda w: w <> '')"
+
+
+def _content(x: str) -> str:
+    rest = f"list_filter({_tok(x)}, lambda t: NOT list_contains({_list(W.META)}, t))"
+    asked = f"(CASE WHEN len({rest}) = 0 THEN {_tok(x)} ELSE {rest} END)"
+    dull = _list([*W.GENERIC, *W.VERB_WORDS])
+    return f"list_filter({asked}, lambda t: length(t) >= 4 AND NOT regexp_matches(t, '^[0-9]+$') AND NOT list_contains({dull}, t) AND NOT regexp_matches(t, '({'|'.join(W.VERB_ENDINGS)})$'))"
+
+
+_OWN_SQL = "CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'institucional' ELSE 'guia' END"
+_BM25 = f"""chunks AS (SELECT doc_id AS chunk_id, source, {_OWN_SQL} AS source_type, {_tok("text")} AS toks FROM documents),
+post AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(toks) AS term FROM chunks) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM chunks),
+raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, size GROUP BY term),
+idfs AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+asked AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({_tok("text")}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT qid, p.chunk_id, source, source_type, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))) AS score
+  FROM asked JOIN post p USING (term) JOIN idfs USING (term) JOIN chunks c ON c.chunk_id = p.chunk_id, size GROUP BY ALL)"""
+
+
+def _top(source: str, k: int, where: str = "true", digits: int = 6) -> str:
+    return f"SELECT * FROM (SELECT qid, chunk_id, round(score, {digits}) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, {digits}) DESC, chunk_id) AS rank FROM {source} WHERE {where}) WHERE rank <= {k}"
+
+
+_DENSE = """vecs AS (SELECT vec_id AS chunk_id, CASE WHEN label < 3 THEN 'institucional' ELSE 'guia' END AS source_type, embedding FROM embeddings),
+dscored AS (SELECT q.chunk_id AS qid, v.chunk_id, v.source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM vecs q, vecs v WHERE q.chunk_id < 20)"""
+
+
+# --- tables ------------------------------------------------------------------
+
+
+def _chunks(spark, d) -> DataFrame:
+    own = F.when(F.col("source").isin(*OWN), R.INSTITUTIONAL).otherwise("guia")
+    docs = load(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), "text", own.alias("source_type"), F.col("source").alias("source_file"), F.lit("Sin seccion").alias("section"), (F.col("doc_id") % 50 + 1).cast("int").alias("page"), F.col("doc_id").cast("int").alias("chunk_index"), F.col("lang").alias("topic"))
+
+
+def _questions(spark, d) -> DataFrame:
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def _vectors(spark, d) -> DataFrame:
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("label") < 3, R.INSTITUTIONAL).otherwise("guia").alias("source_type"), "embedding")
+
+
+def _vector_questions(spark, d) -> DataFrame:
+    """A stated set of query vectors."""
+    return _vectors(spark, d).where("chunk_id < 20").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def _gold(spark, d) -> DataFrame:
+    """Passages that occur word for word in documents: by their first 5 words' and length's key, then compared in full."""
+    items = I.small(_questions(spark, d))
+    return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(items, F.contains("text", F.col("question"))).select("qid", "chunk_id")
+
+
+_GOLD = "gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+# --- text --------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({_tok('text')}) AS n_tokens, greatest(1, CAST(floor(len({_words('text')}) / 0.75) AS INTEGER)) AS approx_tokens FROM documents")
+def tokenize_counts(spark, d):
+    """F1, F2, F6."""
+    return load(spark, d, "documents").select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), X.approx_tokens("text").alias("approx_tokens"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(list_concat({_tok('text')}, {_tok('source')}))) AS term FROM documents) GROUP BY term")
+def term_doc_freq(spark, d):
+    """A1, U2."""
+    return I.document_frequency(load(spark, d, "documents").select("text", F.col("source").alias("section")))
+
+
+@query(f"SELECT item_id, array_to_string({_content('text')}, ' ') AS content FROM benchmark")
+def content_words(spark, d):
+    """F3, F5."""
+    return load(spark, d, "benchmark").select("item_id", F.array_join(X.content_words("text"), " ").alias("content"))
+
+
+@query("SELECT source AS source_file, bool_or(length(trim(text, E' \\n\\t\\r')) < 20) AS needs_ocr FROM documents GROUP BY source")
+def needs_ocr(spark, d):
+    """S3."""
+    return G.needs_ocr(load(spark, d, "documents").select(F.col("source").alias("source_file"), "text"))
+
+
+@query(f"""SELECT lang, count(*) AS n, sum(CASE WHEN len(list_filter(w, lambda x: list_contains({_list(W.ENGLISH_VOTE)}, x))) > len(list_filter(w, lambda x: list_contains({_list(W.SPANISH_VOTE)}, x))) THEN 1 ELSE 0 END)::BIGINT AS english
+FROM (SELECT lang, regexp_extract_all({_fold('text')}, '[a-z]+') AS w FROM documents) GROUP BY lang""")
+def language_vote(spark, d):
+    """A16."""
+    return load(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(X.is_english("text").cast("long")).alias("english"))
+
+
+_RUN = r"""lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+keyed AS (SELECT source, doc_id, line, regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]*>', ' ', 'g'), '^\s*#+\s*', ''), '[*_]+', '', 'g'), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM lines),
+running AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM keyed WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= (SELECT greatest(3.0, 0.1 * count(*)) FROM documents x WHERE x.source = keyed.source))"""
+
+
+@query(f"WITH {_RUN} SELECT source AS source_file, key, pages FROM running")
+def running_lines(spark, d):
+    """A4, F10."""
+    return G.running_lines(load(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text"), 0.1)
+
+
+@query(f"WITH {_RUN} SELECT source AS source_file, doc_id AS page, count(*) AS lines FROM keyed ANTI JOIN running USING (source, key) GROUP BY ALL")
+def drop_running_lines(spark, d):
+    """J17."""
+    pages = load(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
+    return G.page_lines(pages).join(G.running_lines(pages, 0.1), ["source_file", "key"], "left_anti").groupBy("source_file", "page").agg(F.count("*").alias("lines"))
+
+
+@query(f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '{W.CONTACT_LINE}'))) AS contacts FROM documents")
+def contact_lines(spark, d):
+    """F11."""
+    return load(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(W.CONTACT_LINE))).alias("contacts"))
+
+
+@query(f"""SELECT doc_id, n > 0 AND (hits = n OR (hits >= 4 AND 2 * hits >= n)) AS bibliography, hits AS reference_lines
+FROM (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda s: regexp_matches(s, '{W.REFERENCE_LINE}'))) AS hits FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents))""")
+def bibliography_ratio(spark, d):
+    """A8, F13."""
+    hits = F.size(F.filter(F.split("text", "\n"), lambda s: (F.trim(s) != "") & s.rlike(W.REFERENCE_LINE)))
+    return load(spark, d, "documents").select("doc_id", X.is_bibliography("text").alias("bibliography"), hits.alias("reference_lines"))
+
+
+@query(f"SELECT conv_id, turn, len({_words('text')}) <= 60 AND len(list_filter({_list(W.REFUSAL_MARKERS)}, lambda m: contains(lower(coalesce(text, '')), m))) > 0 AS refusal FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'No encuentro datos. ' || text ELSE text END AS text FROM conversations)")
+def is_refusal(spark, d):
+    """F23."""
+    rows = load(spark, d, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("No encuentro datos. "), F.col("text"))).otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", X.is_refusal("text").alias("refusal"))
+
+
+_ANSWERS = "SELECT doc_id, source, 'Segun [Guia: ' || source || ', s. 1] y [Guia: src' || (doc_id % 7) || ', x] se puede suponer algo; no hay otras guias' || CASE WHEN doc_id % 4 = 0 THEN '. Pero otras fuentes indican mas' ELSE '' END AS answer FROM documents"
+
+
+def _answers(spark, d):
+    tail = F.when(F.col("doc_id") % 4 == 0, ". Pero otras fuentes indican mas").otherwise("")
+    said = F.concat(F.lit("Segun [Guia: "), F.col("source"), F.lit(", s. 1] y [Guia: src"), (F.col("doc_id") % 7).cast("string"), F.lit(", x] se puede suponer algo; no hay otras guias"), tail)
+    return load(spark, d, "documents").select("doc_id", "source", said.alias("answer"))
+
+
+@query(rf"""SELECT doc_id, array_to_string(c, '|') AS cited, len(list_filter(c, lambda x: NOT starts_with(source, x))) AS unknown, list_contains(regexp_extract_all(answer, 'se puede suponer'), 'se puede suponer') AS guessed, doc_id % 4 = 0 AS others
+FROM (SELECT *, regexp_extract_all(answer, '\[Guia: ([^\],]+)', 1) AS c FROM ({_ANSWERS}))""")
+def citations_checked(spark, d):
+    """F24 to F27."""
+    c = X.citations("answer")
+    rows = _answers(spark, d)
+    unknown = F.size(F.filter(c, lambda x: ~X.cites(x, F.col("source"))))
+    return rows.select("doc_id", F.array_join(c, "|").alias("cited"), unknown.alias("unknown"), (F.size(X.inference_markers("answer")) > 0).alias("guessed"), X.mentions_others("answer", F.lit(1)).alias("others"))
+
+
+@query(rf"""SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(answer, '\[Guia: ([^\],]+)', 1)) AS x) WHERE NOT starts_with(source, x)) THEN 2 ELSE 1 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS problems, 'rechazada' AS verdict FROM ({_ANSWERS})""")
+def grounding(spark, d):
+    """G1, G2."""
+    rows = _answers(spark, d).withColumn("p", V.grounding_problems(F.col("answer"), F.array("source"), F.lit(None).cast("array<string>")))
+    return rows.select("doc_id", F.size("p").alias("problems"), V.evaluated(F.col("answer"), F.col("p"), F.lit(True)).alias("verdict"))
+
+
+# --- retrieval ---------------------------------------------------------------
+
+
+@query(f"WITH {_BM25} {_top('scored', 10)} AND score > 0")
+def bm25_topk(spark, d):
+    """R1, R2, P7, T2."""
+    return I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 10, digits=6).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_BM25} {_top('scored', 5, "source_type = 'institucional'")} AND score > 0""")
+def bm25_topk_filtered(spark, d):
+    """The filter comes after global statistics."""
+    return I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 5, R.INSTITUTIONAL, digits=6).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_DENSE} {_top('dscored', 10, digits=5)}")
+def dense_topk(spark, d):
+    """R3, T1."""
+    return R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 10, digits=5).withColumn("score", F.round("score", 5))
+
+
+@query(f"""WITH {_DENSE} {_top('dscored', 5, "source_type = 'institucional'", 5)}""")
+def dense_topk_filtered(spark, d):
+    """P5."""
+    return R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 5, R.INSTITUTIONAL, digits=5).withColumn("score", F.round("score", 5))
+
+
+_FUSED = f"""{_BM25}, {_DENSE}, l0 AS ({_top('dscored', 20, digits=5)}), l1 AS ({_top('scored', 20)} AND score > 0),
+both_ AS (SELECT qid, chunk_id, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM l0 UNION ALL SELECT qid, chunk_id, 1.0 / (60 + rank), 1, rank FROM l1),
+fused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, at, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS at FROM both_ GROUP BY ALL))"""
+
+
+def _fused(spark, d):
+    dense = R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 20, digits=5)
+    return R.fuse([dense, I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 20, digits=6)])
+
+
+@query(f"WITH {_FUSED} SELECT qid, chunk_id, round(score, 8) AS score, rank FROM fused")
+def rrf_fusion(spark, d):
+    """R4, A3, J4, T3."""
+    return _fused(spark, d).withColumn("score", F.round("score", 8))
+
+
+_OWN_FUSED = f"""{_FUSED}, m0 AS ({_top('dscored', 20, "source_type = 'institucional'", 5)}), m1 AS ({_top('scored', 20, "source_type = 'institucional'")} AND score > 0),
+mboth AS (SELECT qid, chunk_id, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM m0 UNION ALL SELECT qid, chunk_id, 1.0 / (60 + rank), 1, rank FROM m1),
+mfused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, at, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS at FROM mboth GROUP BY ALL)),
+pool AS (SELECT qid, chunk_id, score FROM fused WHERE rank <= 24 UNION ALL SELECT m.qid, m.chunk_id, m.score FROM mfused m WHERE rank <= 6 AND NOT EXISTS (SELECT 1 FROM fused f WHERE f.rank <= 24 AND f.qid = m.qid AND f.chunk_id = m.chunk_id))"""
+
+
+@query(f"WITH {_OWN_FUSED} SELECT qid, chunk_id, round(score, 8) AS score FROM pool")
+def candidate_pool(spark, d):
+    """R5, T4, T5, J5."""
+    index = I.build_index(_chunks(spark, d))
+    own = R.fuse([R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 20, R.INSTITUTIONAL, digits=5), I.bm25_search(index, _questions(spark, d), 20, R.INSTITUTIONAL, digits=6)])
+    return R.candidate_pool(_fused(spark, d), own.where("rank <= 6"), 8).withColumn("score", F.round("score", 8))
+
+
+_RANKED = f"""{_BM25}, ranked AS (SELECT qid, chunk_id, source AS source_file, source_type, round(score, 6) / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 40 AND score > 0)"""
+_ORDER = "round(score, 9) DESC, chunk_id"
+
+
+def _ranked(spark, d):
+    best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 40, digits=6)
+    return best.withColumn("score", F.round("score", 6) / 100).join(_chunks(spark, d).select("chunk_id", "source_file", "source_type"), "chunk_id").drop("rank")
+
+
+@query(f"""WITH {_RANKED}, floored AS (SELECT * FROM ranked WHERE score >= 0.05),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_file ORDER BY {_ORDER}) AS nth FROM floored) WHERE source_type = 'institucional' OR nth <= 2),
+res AS (SELECT *, good AND row_number() OVER (PARTITION BY qid, good ORDER BY {_ORDER}) <= 3 AS reserved FROM (SELECT *, source_type = 'institucional' AND score >= 0.08 AS good FROM capped)),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reserved DESC, {_ORDER}) AS pick FROM res) WHERE reserved OR pick <= 8)
+SELECT qid, chunk_id, round(score, 8) AS score, reserved, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rank FROM picked""")
+def quota_select(spark, d):
+    """R8, P8, W1, W2, W3."""
+    out = R.select_with_quota(_ranked(spark, d), 8, 3, 0.08, 0.05, 2)
+    return out.select("qid", "chunk_id", F.round("score", 8).alias("score"), "reserved", "rank")
+
+
+@query(f"""WITH {_RANKED}, w AS (SELECT DISTINCT item_id AS qid, unnest({_tok('text')}) AS term FROM benchmark), ww AS (SELECT qid, term, greatest(coalesce(idf, 1.0), 0.0) AS w FROM w LEFT JOIN idfs USING (term)),
+total AS (SELECT qid, sum(w) AS total FROM ww GROUP BY qid), got AS (SELECT r.qid, r.chunk_id, sum(w) AS got FROM ranked r JOIN ww ON ww.qid = r.qid JOIN post p ON p.term = ww.term AND p.chunk_id = r.chunk_id GROUP BY ALL)
+SELECT r.qid, r.chunk_id, round(CASE WHEN total > 0 THEN coalesce(got, 0) / total ELSE 0 END, 6) AS raw, CASE WHEN r.source_type <> 'institucional' AND r.chunk_id % 50 = 0 THEN -0.2 ELSE 0.0 END::DOUBLE AS penalty
+FROM ranked r LEFT JOIN got g ON g.qid = r.qid AND g.chunk_id = r.chunk_id LEFT JOIN total t ON t.qid = r.qid""")
+def rerank_penalty(spark, d):
+    """R6, R7, D4."""
+    rows = R.coverage(I.build_index(_chunks(spark, d)), _questions(spark, d), _ranked(spark, d).select("qid", "chunk_id"))
+    rows = rows.join(_chunks(spark, d).drop("text"), "chunk_id").join(_questions(spark, d), "qid")
+    return R.rerank(rows).select("qid", "chunk_id", F.round("raw", 6).alias("raw"), F.col("penalty").cast("double").alias("penalty"))
+
+
+@query()
+def hybrid_retrieve(spark, d):
+    """R9 end to end."""
+    asked = _questions(spark, d).join(_vector_questions(spark, d), "qid")
+    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, topics=TOPICS)
+    return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank", "method")
+
+
+def _topic_sql(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN list_has_any({_tok(x)}, {_list(words)}) THEN '{name}' END" for name, words in TOPICS.items()) + "], lambda t: t IS NOT NULL)"
+
+
+@query(f"SELECT item_id AS qid, array_to_string({_topic_sql('text')}, ',') AS topics FROM benchmark")
+def question_topics(spark, d):
+    """R10, U3."""
+    return _questions(spark, d).select("qid", F.array_join(R.question_topics(F.col("question"), TOPICS), ",").alias("topics"))
+
+
+@query("""SELECT doc_id AS chunk_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN CASE WHEN starts_with(source, 'src1') THEN 'b' WHEN starts_with(source, 'src') THEN 'a' END ELSE CASE source WHEN 'src3' THEN 'x' WHEN 'src4' THEN 'y' END END AS topic FROM documents""")
+def source_catalog_join(spark, d):
+    """R11, J2, J3, S5."""
+    known = S.catalog(spark, [{"file": "Src-3", "source_type": "guia", "topic": "x"}, {"file": "src_4", "source_type": "revision", "topic": "y"}])
+    return R.chunk_topic(_chunks(spark, d).drop("topic"), known, {"src1": "b", "src": "a"}).select("chunk_id", "topic")
+
+
+_ASKED = "SELECT item_id AS qid, text || CASE WHEN item_id % 2 = 0 THEN ' zzunheard malariax' ELSE '' END AS question, substr(text, 1, 60) AS answer FROM benchmark"
+
+
+def _asked(spark, d):
+    more = F.when(F.col("qid") % 2 == 0, " zzunheard malariax").otherwise("")
+    return _questions(spark, d).select("qid", F.concat("question", more).alias("question"), F.substring("question", 1, 60).alias("answer"))
+
+
+_VOCABULARY = f"vocab AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_tok('text')})) AS term FROM documents) GROUP BY term)"
+
+
+@query(f"WITH {_VOCABULARY} SELECT qid, term FROM (SELECT qid, unnest({_content('question')}) AS term FROM ({_ASKED})) w WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.term = w.term)")
+def out_of_corpus_terms(spark, d):
+    """R12, J15."""
+    return R.out_of_corpus(_asked(spark, d), I.document_frequency(_chunks(spark, d).withColumn("section", F.lit(""))))
+
+
+@query(f"""WITH {_VOCABULARY}, q AS (SELECT qid, {_tok('answer')} AS said, {_content('question')} AS words FROM ({_ASKED})), w AS (SELECT qid, said, words[i] AS term, i - 1 AS pos FROM q, unnest(generate_series(1, len(words))) g(i))
+SELECT qid, pos::INTEGER AS pos, w.term FROM w JOIN vocab v ON v.term = w.term WHERE v.df <= (SELECT greatest(3, floor(count(*) * 0.01)) FROM documents) AND NOT list_contains(said, w.term)""")
+def uncovered_terms(spark, d):
+    """R13, U5."""
+    n = load(spark, d, "documents").count()
+    return R.uncovered(_asked(spark, d), I.document_frequency(_chunks(spark, d).withColumn("section", F.lit(""))), n)
+
+
+# --- windows -----------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations")
+def carry_forward_title(spark, d):
+    """W5."""
+    rows = load(spark, d, "conversations")
+    return rows.select("conv_id", "turn", G.carried(F.when(F.col("role") == "user", F.col("text")), ["turn"], ["conv_id"]).alias("asked"))
+
+
+@query("""SELECT l_orderkey AS qid, min(l_linenumber)::INTEGER AS first_line, count(*) AS parts, max(l_quantity) AS score FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem WHERE l_returnflag <> 'A' ORDER BY l_orderkey, l_linenumber, l_quantity DESC)) GROUP BY l_orderkey, island""")
+def continuation_merge(spark, d):
+    """X1, W7, A6, A7, J7."""
+    rows = load(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("score"))
+    rows = rows.select(F.col("l_orderkey").alias("qid"), F.lit("f").alias("source_file"), F.lit("s").alias("section"), F.col("l_linenumber").alias("chunk_index"), F.col("l_linenumber").cast("string").alias("text"), "score", F.col("l_linenumber").alias("rank"))
+    return A.merge_continuations(rows).select("qid", F.col("chunk_index").cast("int").alias("first_line"), F.size(F.split("text", "\n\n")).cast("long").alias("parts"), "score")
+
+
+@query("SELECT source, lower(line) AS line, min(doc_id) AS doc_id FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY source, lower(line)")
+def unit_dedupe(spark, d):
+    """W4."""
+    lines = load(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
+    once = F.row_number().over(Window.partitionBy("source", F.lower("line")).orderBy("doc_id", "ord"))
+    return lines.withColumn("n", once).where("n = 1").select("source", F.lower("line").alias("line"), "doc_id")
+
+
+@query("SELECT conv_id, sum(CASE WHEN turn = 0 OR role = 'user' THEN 1 ELSE 0 END)::BIGINT AS islands, count(*) AS turns FROM conversations GROUP BY conv_id")
+def anaphora_islands(spark, d):
+    """A row that refers back joins the one before; the first always opens an island."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    opens = (F.row_number().over(w) == 1) | (F.col("role") == "user")
+    rows = load(spark, d, "conversations").withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("int")).over(w))
+    return rows.groupBy("conv_id").agg(F.max("island").alias("islands"), F.count("*").alias("turns"))
+
+
+# --- ingestion and answers ---------------------------------------------------
+
+
+@query()
+def page_sections(spark, d):
+    """F11, D1, D3, W5, W6 over web pages."""
+    pages = load(spark, d, "pages")
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    text = pages.select(host.alias("source_file"), F.col("page_id").cast("int").alias("page"), G.html_text(F.col("html")).alias("text"))
+    return G.chunk_pages(text, least=5).select("source_file", "page", "section", "chunk_index", "text")
+
+
+@query()
+def pack_overlap(spark, d):
+    """Lines as paragraphs."""
+    from lucerna.operators.segment import split_long
+
+    docs = load(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return docs.select("doc_id", F.posexplode(split_long(200, 0.15)("text")).alias("piece", "body")).select("doc_id", "piece", X.approx_tokens("body").alias("n_tokens"))
+
+
+@query()
+def segment_units(spark, d):
+    """D6, D7."""
+    rows = _ranked(spark, d).join(_chunks(spark, d).select("chunk_id", "text", "section", "page", "chunk_index"), "chunk_id")
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 5")
+    return A.build_units(rows).select("qid", "uid", "rank", "ord", "unit")
+
+
+@query()
+def extractive_answer(spark, d):
+    """X1 to X7, T8, F35."""
+    index = I.build_index(_chunks(spark, d))
+    rows = R.select_with_quota(_ranked(spark, d), 5, 2, 0.05, 0.01, 3).join(_chunks(spark, d).select("chunk_id", "text", "section", "page", "chunk_index"), "chunk_id")
+    return A.extractive_answer(rows.drop("reserved"), _questions(spark, d), index.terms)
+
+
+@query()
+def full_answer(spark, d):
+    """X10, R9, R12, R13."""
+    from lucerna.plans.engine import Engine
+
+    asked = _questions(spark, d).join(_vector_questions(spark, d), "qid")
+    return Engine.build(_chunks(spark, d), _vectors(spark, d), TOPICS).answer(asked)
+
+
+@query("""SELECT o_orderkey::VARCHAR AS source_file, 'Order ' || o_orderkey || ' — ' || l_returnflag AS section, 'Order ' || o_orderkey || ' — ' || l_returnflag || '.' || chr(10) || 'flag: ' || l_returnflag || chr(10) || 'line: ' || l_linenumber || chr(10) || 'reviewed' AS text
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+def table_rows_explode(spark, d):
+    """D5, S4."""
+    cell = lambda name, c: F.struct(F.lit(name).alias("col"), F.col(c).cast("string").alias("val"))
+    row = F.struct(F.array(cell("flag", "l_returnflag"), cell("line", "l_linenumber"), F.struct(F.lit("empty").alias("col"), F.lit(" ").alias("val"))).alias("cells"), F.lit(None).cast("array<string>").alias("notes"))
+    orders = load(spark, d, "orders").where("o_orderstatus = 'F'")
+    tables = load(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(F.collect_list(row).alias("rows"))
+    key = F.col("o_orderkey").cast("string")
+    tables = tables.select(key.alias("source_file"), key.alias("document"), F.lit(True).alias("reviewed"), F.concat(F.lit("Order "), key).alias("title"), F.lit(1).alias("page"), F.array(F.lit("reviewed")).alias("general_notes"), "rows")
+    return G.table_rows(G.valid_tables(tables)).select("source_file", "section", "text")
+
+
+@query(r"SELECT doc_id AS chunk_id, (doc_id % 9) || '. ' || source AS section, substr(text, 1, 500) AS excerpt FROM documents WHERE doc_id % 3 = 0")
+def qa_candidates(spark, d):
+    """E6, P15."""
+    title = F.when(F.col("doc_id") % 3 == 0, F.concat((F.col("doc_id") % 9).cast("string"), F.lit(". "), F.col("source"))).otherwise(F.col("source"))
+    return E.qa_candidates(load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), title.alias("section"), "text"))
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
+def upsert_latest(spark, d):
+    """Each user's last event replaces the others."""
+    ev = load(spark, d, "events").groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.count("*").alias("n"))
+    old = ev.where("user_id % 2 = 0").withColumn("event_id", F.lit(-1).cast("long"))
+    return G.upsert(old, ev, "user_id").select("user_id", "event_id", "n")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def resume_pending(spark, d):
+    """S14."""
+    done = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return G.pending(load(spark, d, "orders").select("o_orderkey"), done, "o_orderkey")
+
+
+# --- graphs ------------------------------------------------------------------
+
+_PAIRS = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b"), ("c", "f")]
+_EDGES = "edges(pos, source, target) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS)) + ")"
+
+
+def _graph(spark):
+    rows = [("P", i, a, b, f"{a}{b}", False, False) for i, (a, b) in enumerate(_PAIRS)]
+    nodes = [("P", n, N.START if n == "a" else N.DECISION if n in "c" else "accion", f"text {n}", "s") for n in "abcdef"]
+    return spark.createDataFrame(nodes, S.NODES), spark.createDataFrame(rows, S.EDGES)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk(node_id, depth) AS (SELECT 'a', 0 UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = node_id WHERE depth < 6)
+SELECT node_id, min(depth)::INTEGER AS depth FROM walk GROUP BY node_id""")
+def graph_reach(spark, d):
+    """N2, P16."""
+    nodes, edges = _graph(spark)
+    return N.routes(edges, nodes.where("node_id = 'a'")).select("node_id", "depth")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk(node_id, depth, path, trail) AS (SELECT 'a', 0, '', '' UNION ALL SELECT target, depth + 1, path || source || target || ' ', trail || pos FROM walk JOIN edges ON source = node_id WHERE depth < 5)
+SELECT node_id, trim(path) AS route FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY depth, trail) AS n FROM walk) WHERE n = 1""")
+def shortest_route(spark, d):
+    """N3."""
+    nodes, edges = _graph(spark)
+    return N.routes(edges, nodes.where("node_id = 'a'")).select("node_id", F.array_join(F.transform("path", lambda s: s["label"]), " ").alias("route"))
+
+
+@query("SELECT 'P' AS protocol_id, 'd' AS node_id")
+def join_node(spark, d):
+    """N5, J12, U7."""
+    nodes, edges = _graph(spark)
+    return N.join_nodes(N.routes(edges, nodes.where("node_id IN ('b', 'c')")))
+
+
+@query("SELECT 'P' AS protocol_id, 'c' AS node_id, 'cf' AS label")
+def conditions_to(spark, d):
+    """N4."""
+    nodes, edges = _graph(spark)
+    return N.conditions(edges, nodes, nodes.where("node_id = 'a'"), "f").select("protocol_id", "node_id", "label")
+
+
+@query("SELECT s_suppkey AS start, count(*) AS reached FROM (SELECT s_suppkey, 'n' || s_nationkey AS x FROM supplier UNION SELECT s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT s_suppkey, 's' || s_suppkey FROM supplier) GROUP BY s_suppkey")
+def supplier_reach(spark, d):
+    """N2 over supplier, nation, region as a graph."""
+    sup, nat = load(spark, d, "supplier"), load(spark, d, "nation")
+    one = sup.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target"))
+    two = nat.select(F.concat(F.lit("n"), "n_nationkey").alias("source"), F.concat(F.lit("r"), "n_regionkey").alias("target"))
+    edges = one.union(two).select(F.lit("P").alias("protocol_id"), F.lit(0).alias("edge_pos"), "source", "target", F.lit("").alias("label"), F.lit(False).alias("reference"), F.lit(False).alias("independent"))
+    reach = N.routes(edges, sup.select(F.lit("P").alias("protocol_id"), F.concat(F.lit("s"), "s_suppkey").alias("node_id")))
+    return reach.groupBy(F.substring("start", 2, 20).cast("long").alias("start")).agg(F.count("*").alias("reached"))
+
+
+TREE = {
+    "metadata": {"code": "XX-PL-001", "version": 3, "title": "Demo", "scope": "demo"},
+    "nodes": [{"id": i, "type": t, "label": s, "src": "s1"} for i, t, s in (("n0", "inicio", "Start"), ("n1", "decision", "Fever?"), ("n2", "accion", "Measure with device"), ("n3", "decision", "Risk?"), ("n4", "accion", "Ward"), ("n5", "accion", "Home"), ("n6", "accion", "End"))],
+    "edges": [{"from": a, "to": b, "label": c} for a, b, c in (("n0", "n1", ""), ("n1", "n2", "si"), ("n1", "n6", "no"), ("n2", "n3", ""), ("n3", "n4", "alto + device"), ("n3", "n5", "bajo"), ("n4", "n6", ""), ("n5", "n6", ""))],
+}
+
+
+@query("""SELECT user_id AS case_id, CASE WHEN user_id % 4 = 3 THEN 'dato_desconocido' WHEN user_id % 4 = 2 THEN 'pendiente' ELSE 'completo' END AS status FROM (SELECT DISTINCT user_id FROM events)""")
+def walk_cases(spark, d):
+    """Answers by case: no; yes then high; yes alone; unknown."""
+    _, nodes, edges = S.parse_tree(TREE)
+    kind = F.col("case_id") % 4
+    answers = F.when(kind == 0, F.create_map(F.lit("n1"), F.lit("no"))).when(kind == 1, F.create_map(F.lit("n1"), F.lit("si"), F.lit("n3"), F.lit("alto + device"))).when(kind == 2, F.create_map(F.lit("n1"), F.lit("si"))).otherwise(F.create_map(F.lit("n1"), F.lit(X.UNKNOWN)))
+    cases = load(spark, d, "events").select(F.col("user_id").alias("case_id")).distinct().withColumn("answers", answers)
+    return N.walk_cases(cases, nodes, edges).select("case_id", "status")
+
+
+# --- verification and evaluation ---------------------------------------------
+
+
+def _threads(spark, d):
+    rows = load(spark, d, "labels")
+    bad, good = F.col("toxic") == 1, F.col("quality") == 1
+    tree = F.struct(F.when(F.col("doc_id") % 11 == 0, "boom").alias("error"), F.when(F.col("doc_id") % 3 != 0, "P").alias("protocol"), F.lit("walk").alias("content"), F.lit(None).cast("string").alias("outcome"), F.array(F.struct(F.lit("f").alias("source_file"), F.when(F.col("doc_id") % 5 != 0, 1).alias("page"), F.lit("v").alias("verbatim_text"))).alias("citations"))
+    rag = F.struct(F.lit(None).cast("string").alias("error"), F.lit("docs").alias("answer"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(2).alias("n_sources"), F.when(good, V.APPROVED).otherwise(V.REJECTED).alias("eval_status"), F.lit(True).alias("provenance"))
+    return rows.select(F.col("doc_id").alias("qid"), (~bad).alias("admitted"), F.lit("rejected").alias("rejection"), tree.alias("tree"), rag.alias("rag"), F.lit(True).alias("tree_related"), F.lit(False).alias("chosen_by_model"))
+
+
+_THREADS = "SELECT doc_id AS qid, toxic, NOT (doc_id % 11 = 0) AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS tree_ok, doc_id % 7 <> 0 AND quality = 1 AS rag_ok FROM labels"
+
+
+@query(f"""SELECT qid, CASE WHEN toxic = 1 THEN 'rejected' WHEN tree_ok AND rag_ok THEN '**Arbol de decision**' || chr(10) || 'walk' || chr(10) || chr(10) || '**Documentos**' || chr(10) || 'docs' WHEN tree_ok THEN 'walk' WHEN rag_ok THEN 'docs' ELSE '{W.REFUSAL_TEXT}' END AS text,
+CASE WHEN toxic = 1 THEN 0 ELSE tree_ok::INTEGER + rag_ok::INTEGER END AS n_blocks FROM ({_THREADS})""")
+def integrate(spark, d):
+    """G3, G4, G7, G8, O1, O2, O4, O9."""
+    from lucerna.plans.engine import agentic
+
+    return agentic(_threads(spark, d))
+
+
+@query("""SELECT doc_id AS qid, CASE WHEN doc_id % 11 = 0 THEN 'error_tecnico' WHEN doc_id % 3 = 0 THEN 'sin_protocolo' ELSE 'resultado' END AS tree_status, CASE WHEN doc_id % 11 = 0 OR doc_id % 3 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'citas_incompletas' ELSE 'verificada' END AS tree_verification,
+CASE WHEN doc_id % 7 = 0 THEN 'sin_fuentes' ELSE 'resultado' END AS rag_status, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN quality = 1 THEN 'verificada' ELSE 'rechazada_por_evaluador' END AS rag_verification FROM labels""")
+def verify_status(spark, d):
+    """G3, G4, P14."""
+    tree = V.verify_tree(*(F.col(f"tree.{c}") for c in ("error", "protocol", "content", "outcome", "citations")))
+    rag = V.verify_rag(*(F.col(f"rag.{c}") for c in ("error", "answer", "n_sources", "eval_status", "provenance")))
+    rows = _threads(spark, d).select("qid", tree.alias("t"), rag.alias("r"))
+    return rows.select("qid", F.col("t.status").alias("tree_status"), F.col("t.verification").alias("tree_verification"), F.col("r.status").alias("rag_status"), F.col("r.verification").alias("rag_verification"))
+
+
+@query("SELECT doc_id AS qid, 'rag' AS agent, CASE WHEN quality = 1 THEN 'with a result' ELSE 'abstained' END AS label, CASE WHEN quality = 1 THEN 'docs' ELSE 'not published: abstencion' END AS content, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS n_sources FROM labels")
+def panels(spark, d):
+    """G9."""
+    good = F.col("quality") == 1
+    rows = load(spark, d, "labels").select(F.col("doc_id").alias("qid"), F.lit("rag").alias("agent"), F.when(good, "resultado").otherwise("abstencion").alias("status"), F.when(good, V.VERIFIED).alias("verification"), good.alias("eligible"), F.lit("docs").alias("content"), F.lit(2).alias("n_sources"))
+    return V.panels(rows)
+
+
+@query("SELECT doc_id AS qid, 'CT-PL-' || (100 + doc_id % 10) AS code, '[' || lpad(((doc_id % 3) + 1)::VARCHAR, 2, '0') || ']' AS arbol, '[01]' AS rag FROM documents WHERE doc_id % 3 <> 0")
+def version_discrepancy(spark, d):
+    """G5, J10, A12, U4."""
+    code = F.concat(F.lit("ct-pl-"), (100 + F.col("doc_id") % 10).cast("string"))
+    docs = load(spark, d, "documents")
+    tree = docs.select(F.col("doc_id").alias("qid"), F.lit("arbol").alias("agent"), F.concat(code, F.lit("_v"), F.format_string("%02d", F.col("doc_id") % 3 + 1), F.lit(".pdf")).alias("source_file"))
+    rag = docs.select(F.col("doc_id").alias("qid"), F.lit("rag").alias("agent"), F.concat(code, F.lit(" v01.pdf")).alias("source_file"))
+    shown = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    return V.version_discrepancies(tree.union(rag)).select("qid", "code", shown("arbol").alias("arbol"), shown("rag").alias("rag"))
+
+
+@query(f"""WITH {_BM25}, {_GOLD}, best AS ({_top('scored', 10)} AND score > 0), k(k) AS (VALUES (1), (3), (6)), total AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid),
+at AS (SELECT t.qid, k, n, count(b.chunk_id) FILTER (rank <= k) AS top, count(g.chunk_id) FILTER (rank <= k) AS hits FROM total t CROSS JOIN k LEFT JOIN best b ON b.qid = t.qid LEFT JOIN gold g ON g.qid = b.qid AND g.chunk_id = b.chunk_id GROUP BY ALL)
+SELECT qid, k::INTEGER AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM at)""")
+def ir_metrics(spark, d):
+    """E1, J14."""
+    best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 10, digits=6)
+    out = E.ir_metrics(best, _gold(spark, d))
+    return out.select("qid", "k", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
+
+
+@query(f"""WITH {_BM25}, {_GOLD}, best AS ({_top('scored', 6)} AND score > 0) SELECT count(*) AS questions, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / count(*) AS rate FROM (SELECT qid, bool_or(EXISTS (SELECT 1 FROM best b WHERE b.qid = gold.qid AND b.chunk_id = gold.chunk_id)) AS hit FROM gold GROUP BY qid)""")
+def hit_rate(spark, d):
+    """E2."""
+    return E.hit_rate(I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 6, digits=6), _gold(spark, d))
+
+
+@query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events")
+def latency_stats(spark, d):
+    """E3, A13."""
+    return E.latency(load(spark, d, "events"), "value").select("n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
+@query("SELECT count(*) AS questions, avg(CASE WHEN (turn % 3 = 0) = (turn % 2 = 0) THEN 1.0 ELSE 0.0 END) AS accuracy FROM conversations")
+def refusal_accuracy(spark, d):
+    """E5, A15."""
+    said = F.when(F.col("turn") % 3 == 0, "No encuentro eso.").otherwise("La dosis es 5 mg.")
+    return E.refusal_accuracy(load(spark, d, "conversations").select(said.alias("answer"), (F.col("turn") % 2 == 0).alias("should_refuse")))
+
+
+@query()
+def wizard_state(spark, d):
+    """The batch twin of the stream: threads of a user's events as replies."""
+    import pandas as pd
+
+    from lucerna.streaming.session import advance
+
+    _, nodes, edges = S.parse_tree(TREE)
+    graph = N.Graph(nodes, edges)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        said = [None, *(("si", "bajo", "?")[i % 3] for i in df.sort_values("event_id")["event_id"])]
+        _, asked, _, status, _ = advance(graph, {}, 0, None, said)
+        return pd.DataFrame({"user_id": df["user_id"].iloc[:1], "status": [status], "asked": [asked]})
+
+    return load(spark, d, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(run, "user_id long, status string, asked int")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best documents for every question, with citations."""
+    best = I.bm25_search(I.build_index(_chunks(spark, sf_dir)), _questions(spark, sf_dir), 5)
+    named = best.join(_chunks(spark, sf_dir).select("chunk_id", "source_file", "section", "page"), "chunk_id")
+    return named.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), "rank", F.round("score", 6).alias("score"), X.citation(F.col("source_file"), F.col("section"), F.col("page")).alias("citation"))
