@@ -52,3 +52,20 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
 
 def bytes_of(text: Column | str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """At most `limit` rows of the largest counts, for the driver.
+
+    A histogram over eighths of powers of two (some 500 rows at most) gives the
+    least class that still fits; so no task sends its own best `limit` rows.
+    Where a single class is too large, none of it is taken.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
+    room, least = limit, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level):
+        room -= r["rows"]
+        if room < 0:
+            break
+        least = r.level
+    return counts.where(level >= least) if least is not None else counts.limit(0)

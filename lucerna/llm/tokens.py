@@ -129,8 +129,8 @@ def frequent_lengths(docs: DataFrame, path: str, size: int = FREQUENT):
     pre-tokens; the occurrences themselves are never shuffled.
     """
     summary = docs.mapInArrow(_heavy, "word string, n long")
-    top = summary.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    words = [r.word for r in top.select("word").collect()]
+    counts = common.stored(summary.groupBy("word").agg(F.sum("n").alias("n")), "frequent")
+    words = sorted(r.word for r in common.most_frequent(counts, size).select("word").collect())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     raw = [w.encode() for w in words]
