@@ -153,7 +153,8 @@ def language_vote(spark, d):
 
 _RUN = r"""lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 keyed AS (SELECT source, doc_id, line, regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]*>', ' ', 'g'), '^\s*#+\s*', ''), '[*_]+', '', 'g'), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM lines),
-running AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM keyed WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= (SELECT greatest(3.0, 0.1 * count(*)) FROM documents x WHERE x.source = keyed.source))"""
+totals AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+running AS (SELECT source, key, pages FROM (SELECT source, key, count(DISTINCT doc_id) AS pages FROM keyed WHERE key <> '' GROUP BY source, key) JOIN totals USING (source) WHERE pages >= greatest(3.0, 0.1 * n))"""
 
 
 @query(f"WITH {_RUN} SELECT source AS source_file, key, pages FROM running")
@@ -190,11 +191,11 @@ def is_refusal(spark, d):
     return rows.select("conv_id", "turn", X.is_refusal("text").alias("refusal"))
 
 
-_ANSWERS = "SELECT doc_id, source, 'Segun [Guia: ' || source || ', s. 1] y [Guia: src' || (doc_id % 7) || ', x] se puede suponer algo; no hay otras guias' || CASE WHEN doc_id % 4 = 0 THEN '. Pero otras fuentes indican mas' ELSE '' END AS answer FROM documents"
+_ANSWERS = "SELECT doc_id, source, 'Segun [Guia: ' || source || ', s. 1] y [Guia: src' || (doc_id % 7) || ', x] se puede suponer algo; no hay otras guias' || CASE WHEN doc_id % 4 = 0 THEN '. En cambio se observa con claridad que otras fuentes indican mas' ELSE '' END AS answer FROM documents"
 
 
 def _answers(spark, d):
-    tail = F.when(F.col("doc_id") % 4 == 0, ". Pero otras fuentes indican mas").otherwise("")
+    tail = F.when(F.col("doc_id") % 4 == 0, ". En cambio se observa con claridad que otras fuentes indican mas").otherwise("")
     said = F.concat(F.lit("Segun [Guia: "), F.col("source"), F.lit(", s. 1] y [Guia: src"), (F.col("doc_id") % 7).cast("string"), F.lit(", x] se puede suponer algo; no hay otras guias"), tail)
     return load(spark, d, "documents").select("doc_id", "source", said.alias("answer"))
 
@@ -245,7 +246,7 @@ def dense_topk_filtered(spark, d):
 
 _FUSED = f"""{_BM25}, {_DENSE}, l0 AS ({_top('dscored', 20, digits=5)}), l1 AS ({_top('scored', 20)} AND score > 0),
 both_ AS (SELECT qid, chunk_id, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM l0 UNION ALL SELECT qid, chunk_id, 1.0 / (60 + rank), 1, rank FROM l1),
-fused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, at, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS at FROM both_ GROUP BY ALL))"""
+fused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, seen, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS seen FROM both_ GROUP BY ALL))"""
 
 
 def _fused(spark, d):
@@ -261,7 +262,7 @@ def rrf_fusion(spark, d):
 
 _OWN_FUSED = f"""{_FUSED}, m0 AS ({_top('dscored', 20, "source_type = 'institucional'", 5)}), m1 AS ({_top('scored', 20, "source_type = 'institucional'")} AND score > 0),
 mboth AS (SELECT qid, chunk_id, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM m0 UNION ALL SELECT qid, chunk_id, 1.0 / (60 + rank), 1, rank FROM m1),
-mfused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, at, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS at FROM mboth GROUP BY ALL)),
+mfused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, seen, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS seen FROM mboth GROUP BY ALL)),
 pool AS (SELECT qid, chunk_id, score FROM fused WHERE rank <= 24 UNION ALL SELECT m.qid, m.chunk_id, m.score FROM mfused m WHERE rank <= 6 AND NOT EXISTS (SELECT 1 FROM fused f WHERE f.rank <= 24 AND f.qid = m.qid AND f.chunk_id = m.chunk_id))"""
 
 
@@ -498,7 +499,7 @@ def shortest_route(spark, d):
     return N.routes(edges, nodes.where("node_id = 'a'")).select("node_id", F.array_join(F.transform("path", lambda s: s["label"]), " ").alias("route"))
 
 
-@query("SELECT 'P' AS protocol_id, 'd' AS node_id")
+@query("SELECT 'P' AS protocol_id, 'b' AS node_id")
 def join_node(spark, d):
     """N5, J12, U7."""
     nodes, edges = _graph(spark)
@@ -593,8 +594,8 @@ def version_discrepancy(spark, d):
 
 
 @query(f"""WITH {_BM25}, {_GOLD}, best AS ({_top('scored', 10)} AND score > 0), k(k) AS (VALUES (1), (3), (6)), total AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid),
-at AS (SELECT t.qid, k, n, count(b.chunk_id) FILTER (rank <= k) AS top, count(g.chunk_id) FILTER (rank <= k) AS hits FROM total t CROSS JOIN k LEFT JOIN best b ON b.qid = t.qid LEFT JOIN gold g ON g.qid = b.qid AND g.chunk_id = b.chunk_id GROUP BY ALL)
-SELECT qid, k::INTEGER AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM at)""")
+per AS (SELECT t.qid, k, n, count(b.chunk_id) FILTER (rank <= k) AS top, count(g.chunk_id) FILTER (rank <= k) AS hits FROM total t CROSS JOIN k LEFT JOIN best b ON b.qid = t.qid LEFT JOIN gold g ON g.qid = b.qid AND g.chunk_id = b.chunk_id GROUP BY ALL)
+SELECT qid, k::INTEGER AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM per)""")
 def ir_metrics(spark, d):
     """E1, J14."""
     best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 10, digits=6)

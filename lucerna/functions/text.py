@@ -51,7 +51,7 @@ def query_tokens(c: Column | str, meta=W.META) -> Column:
 def retrieval_query(c: Column | str, meta=W.META, generic=W.GENERIC) -> Column:
     """the sub-questions (split after `?`) that have a word of substance, or the whole if there is one part or none has."""
     whole = text(c)
-    parts = F.filter(F.transform(F.split(whole, r"(?<=\?)"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(whole, r"(?<=\?)"), lambda s: F.trim(s)), lambda p: p != "")
     dull = _strings([*meta, *generic])
     kept = F.filter(parts, lambda p: F.exists(tokens(p), lambda t: ~F.array_contains(dull, t)))
     return F.when((F.size(parts) < 2) | (F.size(kept) == 0), whole).otherwise(F.array_join(kept, " "))
@@ -226,7 +226,7 @@ def is_refusal(c: Column | str, markers=W.REFUSAL_MARKERS, limit: int = W.REFUSA
 
 def citations(c: Column | str) -> Column:
     """names cited as `[Guia: name, ...]`."""
-    return F.transform(F.regexp_extract_all(text(c), F.lit(W.CITATION), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text(c), F.lit(W.CITATION), F.lit(1)), lambda s: F.trim(s))
 
 
 def plain_key(c: Column | str) -> Column:
@@ -270,7 +270,7 @@ def headline(c: Column | str) -> Column:
     x = text(c)
     lines = F.split(x, "\n")
     first = F.array_position(F.transform(lines, lambda s: s.rlike(r"^\s*[-*•]\s")), True)
-    head = F.filter(F.transform(F.slice(lines, 1, F.greatest(F.lit(0), first.cast("int") - 1)), F.trim), lambda s: s != "")
+    head = F.filter(F.transform(F.slice(lines, 1, F.greatest(F.lit(0), first.cast("int") - 1)), lambda s: F.trim(s)), lambda s: s != "")
     return F.when((first == 0) | (F.size(head) == 0), x).otherwise(F.array_join(head, " "))
 
 

@@ -99,7 +99,7 @@ def compose(units: DataFrame, translations: DataFrame | None = None, fallback: s
 def extractive_answer(retrieved: DataFrame, questions: DataFrame, idf: DataFrame, most: int = 6, least: float = 0.1, translate: Callable | None = None) -> DataFrame:
     """Gate, merge, units, selection, translation, text; every question gets a row, the fallback if nothing is left."""
     rows = merge_continuations(relevance_gate(retrieved, least))
-    units = select_units(unit_scores(build_units(rows), questions, idf), most)
+    units = select_units(unit_scores(build_units(rows).cache(), questions, idf), most)
     answers = compose(units, translate(batches(units)) if translate else None)
     return questions.select("qid").join(answers, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit(W.REFUSAL_TEXT)))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,8 +191,6 @@ WALK = "steps array<struct<node_id:string,choice:string>>, status string, stoppe
 
 def walk_cases(cases: DataFrame, nodes: list[dict], edges: list[dict]) -> DataFrame:
     """N7 for every case (case_id, answers map<string,string>); a protocol is a small, reviewed document and goes with the tasks."""
-    import pandas as pd
-
     graph = Graph(nodes, edges)
 
     @F.pandas_udf(WALK)
