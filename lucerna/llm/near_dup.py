@@ -176,6 +176,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     return both.mapInArrow(_exact(percent), "a long, b long")
 
 
+def _shingle_rows(batches):
+    for part, data, offsets in vec.text_slices(batches):
+        values, first = text_shingles(data, offsets)
+        reps = np.asarray(part.column("doc_id"), np.int64)[vec.rows_of(first)]
+        yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(values.view(np.int64))], ["rep", "shingle"])
+
+
+def _lone_shingles(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles of a document no other of these documents has; none are left out."""
+    reps = common.stored(reps.select(F.col("rep").alias("doc_id")).distinct(), "open")
+    few = reps.count() <= BROADCAST_IDS
+    held = texts.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi")
+    rows = held.mapInArrow(_shingle_rows, "rep long, shingle long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    return common.stored(single.groupBy("rep").agg(F.count("*").alias("lone")), "lone")
+
+
+def _linkable(mixed: DataFrame, sizes: DataFrame, lone: DataFrame, percent: int) -> DataFrame:
+    """Members that can still link with another of their bucket.
+
+    No other document shares x's lone shingles, so with any y the similarity
+    is at most (n_x - lone_x) / (lone_x + n_y); x goes if even the bucket's
+    smallest n_y is too large for that.
+    """
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
+    rows = mixed.join(few(common.stored(sizes.join(few(mixed.select("rep").distinct()), "rep", "left_semi").join(few(lone), "rep", "left").select("rep", "n", F.coalesce("lone", F.lit(0)).alias("lone")).distinct(), "sizes")), "rep")
+    rows = common.stored(rows, "sized")
+    least = rows.groupBy("band", "bucket").agg(F.min("n").alias("least"))
+    rows = rows.join(least, ["band", "bucket"]).where(100 * (F.col("n") - F.col("lone")) >= percent * (F.col("lone") + F.col("least")))
+    rows = common.stored(rows.select("band", "bucket", "rep", "comp"), "linkable")
+    open_ = rows.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
+    return common.stored(rows.join(open_, ["band", "bucket"], "left_semi"), "mixed")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * |A and B| >= percent * |A or B| over sets of 5-word shingles.
 
@@ -200,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     shared = banded.groupBy("band", "bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     members = common.stored(banded.join(shared.select("band", "bucket"), ["band", "bucket"], "left_semi"), "members")
 
-    links = comps = tested = None
+    links = comps = tested = lone = None
     leaders = 1
     while True:
         if comps is None:
@@ -210,6 +244,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
             state = common.stored(state, "state")
             open_ = state.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "bucket")
             mixed = common.stored(state.join(open_, ["band", "bucket"], "left_semi"), "mixed")
+            if not mixed.isEmpty():
+                lone = _lone_shingles(mixed, texts) if lone is None else lone
+                mixed = _linkable(mixed, nodes.select("rep", "n"), lone, percent)
         # pairs between components that buckets still hold: n^2 less the squares of the components' sizes
         parts = mixed.groupBy("band", "bucket", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("band", "bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("pairs"), F.sum("n").alias("n"))
         size = parts.agg(F.sum("pairs"), F.sum("n")).first()
