@@ -105,7 +105,8 @@ def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
 def _matching(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, levels: list[int], percent: int) -> DataFrame:
     """Classes (c1, c2) of the pairs (c1, c2, d1, d2) whose full sets reach the similarity."""
     wanted = pairs.select("c1", "c2").union(pairs.select("d1", "d2")).distinct()
-    wanted = common.stored(wanted.join(firsts, ["c1", "c2"]).select("c1", "c2", "doc_id", "text_hash", "line"), "wanted")
+    wanted = common.stored(wanted, "pair-classes")
+    wanted = common.stored(firsts.join(_small(wanted), ["c1", "c2"]).select("c1", "c2", "doc_id", "text_hash", "line"), "wanted")
     source = rows.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_hash"))
     held = source.join(_small(wanted), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
     sets = held.select("c1", "c2", F.get(F.split("text", "\n", -1), F.col("line")).alias("body")).dropDuplicates(["c1", "c2"])
@@ -148,7 +149,7 @@ def marked_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = _matching(rest, firsts, rows, levels, percent)
     matched = common.stored(found.union(more), "matched").distinct().withColumn("matched", F.lit(True))
 
-    verdict = firsts.join(matched, ["c1", "c2"], "left").select("c1", "c2", "n", F.struct("doc_id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
+    verdict = firsts.join(_small(matched), ["c1", "c2"], "left").select("c1", "c2", "n", F.struct("doc_id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
     judged = long.select("c1", "c2", "n", "doc_id", "text_hash", "line").join(verdict, ["c1", "c2", "n"])
     judged = judged.select("doc_id", "text_hash", "line", (F.col("matched") | (F.struct("doc_id", "text_hash", "line") != F.col("first"))).alias("removed"))
     return judged.union(lines.where("n = 0").select("doc_id", "text_hash", "line", F.lit(False)))
@@ -169,7 +170,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     document. Extra columns are ignored; an empty table gives an empty result.
     """
     marks = marked_lines(_rows(docs, id_col, text_col), percent)
-    out = marks.groupBy("doc_id", "text_hash").agg(F.count_distinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"))
+    out = marks.groupBy("doc_id", "text_hash").agg((F.max("line") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"))
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
