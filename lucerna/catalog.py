@@ -30,7 +30,13 @@ TOPICS = {"english": ["the", "with"], "spanish": ["cion", "mente"], "french": ["
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Integers as 64 bits, as the SQL gives them."""
+            out = f(spark, sf_dir)
+            return out.select(*(F.col(c).cast("long").alias(c) if kind == "int" else F.col(c) for c, kind in out.dtypes))
+
+        wide.__doc__ = f.__doc__
+        QUERIES[f.__name__] = wide
         if sql is not None:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -120,7 +126,7 @@ _GOLD = "gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOI
 # --- text --------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, len({_tok('text')}) AS n_tokens, greatest(1, CAST(floor(len({_words('text')}) / 0.75) AS INTEGER)) AS approx_tokens FROM documents")
+@query(f"SELECT doc_id, len({_tok('text')}) AS n_tokens, greatest(1, CAST(floor(len({_words('text')}) / 0.75) AS BIGINT)) AS approx_tokens FROM documents")
 def tokenize_counts(spark, d):
     """F1, F2, F6."""
     return load(spark, d, "documents").select("doc_id", F.size(X.tokens("text")).alias("n_tokens"), X.approx_tokens("text").alias("approx_tokens"))
@@ -210,7 +216,7 @@ def citations_checked(spark, d):
     return rows.select("doc_id", F.array_join(c, "|").alias("cited"), unknown.alias("unknown"), (F.size(X.inference_markers("answer")) > 0).alias("guessed"), X.mentions_others("answer", F.lit(1)).alias("others"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(answer, '\[Guia: ([^\],]+)', 1)) AS x) WHERE NOT starts_with(source, x)) THEN 2 ELSE 1 END + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS problems, 'rechazada' AS verdict FROM ({_ANSWERS})""")
+@query(rf"""SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM (SELECT unnest(regexp_extract_all(answer, '\[Guia: ([^\],]+)', 1)) AS x) WHERE NOT starts_with(source, x)) THEN 2 ELSE 1 END::BIGINT + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS problems, 'rechazada' AS verdict FROM ({_ANSWERS})""")
 def grounding(spark, d):
     """G1, G2."""
     rows = _answers(spark, d).withColumn("p", V.grounding_problems(F.col("answer"), F.array("source"), F.lit(None).cast("array<string>")))
@@ -348,7 +354,7 @@ def out_of_corpus_terms(spark, d):
 
 
 @query(f"""WITH {_VOCABULARY}, q AS (SELECT qid, {_tok('answer')} AS said, {_content('question')} AS words FROM ({_ASKED})), w AS (SELECT qid, said, words[i] AS term, i - 1 AS pos FROM q, unnest(generate_series(1, len(words))) g(i))
-SELECT qid, pos::INTEGER AS pos, w.term FROM w JOIN vocab v ON v.term = w.term WHERE v.df <= (SELECT greatest(3, floor(count(*) * 0.01)) FROM documents) AND NOT list_contains(said, w.term)""")
+SELECT qid, pos::BIGINT AS pos, w.term FROM w JOIN vocab v ON v.term = w.term WHERE v.df <= (SELECT greatest(3, floor(count(*) * 0.01)) FROM documents) AND NOT list_contains(said, w.term)""")
 def uncovered_terms(spark, d):
     """R13, U5."""
     n = load(spark, d, "documents").count()
@@ -365,7 +371,7 @@ def carry_forward_title(spark, d):
     return rows.select("conv_id", "turn", G.carried(F.when(F.col("role") == "user", F.col("text")), ["turn"], ["conv_id"]).alias("asked"))
 
 
-@query("""SELECT l_orderkey AS qid, min(l_linenumber)::INTEGER AS first_line, count(*) AS parts, max(l_quantity) AS score FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem WHERE l_returnflag <> 'A' ORDER BY l_orderkey, l_linenumber, l_quantity DESC)) GROUP BY l_orderkey, island""")
+@query("""SELECT l_orderkey AS qid, min(l_linenumber)::BIGINT AS first_line, count(*) AS parts, max(l_quantity) AS score FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem WHERE l_returnflag <> 'A' ORDER BY l_orderkey, l_linenumber, l_quantity DESC)) GROUP BY l_orderkey, island""")
 def continuation_merge(spark, d):
     """X1, W7, A6, A7, J7."""
     rows = load(spark, d, "lineitem").where("l_returnflag <> 'A'").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("score"))
@@ -484,7 +490,7 @@ def _graph(spark):
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, walk(node_id, depth) AS (SELECT 'a', 0 UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = node_id WHERE depth < 6)
-SELECT node_id, min(depth)::INTEGER AS depth FROM walk GROUP BY node_id""")
+SELECT node_id, min(depth)::BIGINT AS depth FROM walk GROUP BY node_id""")
 def graph_reach(spark, d):
     """N2, P16."""
     nodes, edges = _graph(spark)
@@ -556,7 +562,7 @@ _THREADS = "SELECT doc_id AS qid, toxic, NOT (doc_id % 11 = 0) AND doc_id % 3 <>
 
 
 @query(f"""SELECT qid, CASE WHEN toxic = 1 THEN 'rejected' WHEN tree_ok AND rag_ok THEN '**Arbol de decision**' || chr(10) || 'walk' || chr(10) || chr(10) || '**Documentos**' || chr(10) || 'docs' WHEN tree_ok THEN 'walk' WHEN rag_ok THEN 'docs' ELSE '{W.REFUSAL_TEXT}' END AS text,
-CASE WHEN toxic = 1 THEN 0 ELSE tree_ok::INTEGER + rag_ok::INTEGER END AS n_blocks FROM ({_THREADS})""")
+(CASE WHEN toxic = 1 THEN 0 ELSE tree_ok::INTEGER + rag_ok::INTEGER END)::BIGINT AS n_blocks FROM ({_THREADS})""")
 def integrate(spark, d):
     """G3, G4, G7, G8, O1, O2, O4, O9."""
     from lucerna.plans.engine import agentic
@@ -574,7 +580,7 @@ def verify_status(spark, d):
     return rows.select("qid", F.col("t.status").alias("tree_status"), F.col("t.verification").alias("tree_verification"), F.col("r.status").alias("rag_status"), F.col("r.verification").alias("rag_verification"))
 
 
-@query("SELECT doc_id AS qid, 'rag' AS agent, CASE WHEN quality = 1 THEN 'with a result' ELSE 'abstained' END AS label, CASE WHEN quality = 1 THEN 'docs' ELSE 'not published: abstencion' END AS content, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS n_sources FROM labels")
+@query("SELECT doc_id AS qid, 'rag' AS agent, CASE WHEN quality = 1 THEN 'with a result' ELSE 'abstained' END AS label, CASE WHEN quality = 1 THEN 'docs' ELSE 'not published: abstencion' END AS content, (CASE WHEN quality = 1 THEN 2 ELSE 0 END)::BIGINT AS n_sources FROM labels")
 def panels(spark, d):
     """G9."""
     good = F.col("quality") == 1
@@ -595,7 +601,7 @@ def version_discrepancy(spark, d):
 
 @query(f"""WITH {_BM25}, {_GOLD}, best AS ({_top('scored', 10)} AND score > 0), k(k) AS (VALUES (1), (3), (6)), total AS (SELECT qid, count(*) AS n FROM gold GROUP BY qid),
 per AS (SELECT t.qid, k, n, count(b.chunk_id) FILTER (rank <= k) AS top, count(g.chunk_id) FILTER (rank <= k) AS hits FROM total t CROSS JOIN k LEFT JOIN best b ON b.qid = t.qid LEFT JOIN gold g ON g.qid = b.qid AND g.chunk_id = b.chunk_id GROUP BY ALL)
-SELECT qid, k::INTEGER AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM per)""")
+SELECT qid, k::BIGINT AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM per)""")
 def ir_metrics(spark, d):
     """E1, J14."""
     best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 10, digits=6)
