@@ -115,6 +115,11 @@ def _vector_questions(spark, d) -> DataFrame:
     return _vectors(spark, d).where("chunk_id < 20").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
+def _questions_with_vectors(spark, d) -> DataFrame:
+    """Every question of the benchmark that has a vector."""
+    return _questions(spark, d).join(_vectors(spark, d).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector")), "qid")
+
+
 def _gold(spark, d) -> DataFrame:
     """Passages that occur word for word in documents: by their first 5 words' and length's key, then compared in full."""
     items = I.small(_questions(spark, d))
@@ -314,7 +319,7 @@ def rerank_penalty(spark, d):
 @query()
 def hybrid_retrieve(spark, d):
     """R9 end to end."""
-    asked = _questions(spark, d).join(_vector_questions(spark, d), "qid")
+    asked = _questions_with_vectors(spark, d)
     out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, topics=TOPICS)
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank", "method")
 
@@ -438,7 +443,7 @@ def full_answer(spark, d):
     """X10, R9, R12, R13."""
     from lucerna.plans.engine import Engine
 
-    asked = _questions(spark, d).join(_vector_questions(spark, d), "qid")
+    asked = _questions_with_vectors(spark, d)
     return Engine.build(_chunks(spark, d), _vectors(spark, d), TOPICS).answer(asked)
 
 

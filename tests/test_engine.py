@@ -212,3 +212,17 @@ def test_entry_without_text_operators():
             sys.modules.pop(k, None)
         sys.modules.update(hidden)
         importlib.reload(entry)
+
+
+def test_hybrid_queries_take_every_question_with_a_vector(spark, tmp_path, monkeypatch):
+    from lucerna.plans.engine import Engine
+
+    texts = [f"alpha{i} beta{i} gamma{i} delta{i}" for i in range(45)]
+    spark.createDataFrame([(i, t, "en", f"src{i % 5}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, texts[i]) for i in (3, 19, 20, 31, 44)] + [(99, texts[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 6, [float(i == k) for k in range(45)]) for i in range(45)], "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(R, "hybrid_retrieve", lambda index, chunks, vectors, asked, **options: asked.select("qid", F.array_position("vector", 1.0).alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.lit("").alias("method")))
+    monkeypatch.setattr(Engine, "answer", lambda self, asked: asked)
+    want = [3, 19, 20, 31, 44]
+    assert sorted((r.qid, r.chunk_id) for r in catalog.hybrid_retrieve(spark, str(tmp_path)).collect()) == [(i, i + 1) for i in want]
+    assert sorted(r.qid for r in catalog.full_answer(spark, str(tmp_path)).collect()) == want
