@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only (operator 9).
 
-A line's tokens are its 5-word shingles, ordered by rarity: by the (log of
+A line's tokens are its 5-word shingles, or its whole word sequence if it has
+one to four words, ordered by rarity: by the (log of
 the) corpus frequency of the shingle's last word - each word ends one -, then by hash. Two lines
 whose sets have a Jaccard similarity of at least `percent` share a token of
 their prefixes, so lines are compared only if they do, if their sizes allow
@@ -61,7 +62,7 @@ def _literal(levels: list[int]) -> Column:
 
 
 def _tokenised(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """Column body replaced by `tokens`: the line's distinct shingles as sorted longs, none under five words.
+    """Column body replaced by `tokens`: the line's distinct shingles as sorted longs; one to four words are one token, a blank line has none.
 
     A token has the level of the shingle's last word in its high bits and the
     shingle's hash below. A run of five is hashed as ((1 2) (3 4)) 5, so
@@ -79,15 +80,22 @@ def _tokenised(rows: DataFrame, levels: list[int]) -> DataFrame:
     rows = rows.withColumn("twos", F.when(n >= SHINGLE, joined(words, words, 2, n - 1, mixed)))
     fours = joined(twos, twos, 3, n - 3, mixed)
     fives = joined(fours, words, 5, n - 4, lambda x, y: F.get(table, _slot(y)).bitwiseOR(F.xxhash64(x, y).bitwiseAND(mask)))
-    return rows.select(*kept, F.when(n >= SHINGLE, F.sort_array(F.array_distinct(fives))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
+    whole = F.get(table, _slot(F.element_at(words, -1))).bitwiseOR(F.xxhash64(n, words).bitwiseAND(mask))
+    blank = (n == 1) & (F.get(words, F.lit(0)) == F.xxhash64(F.lit("")))
+    tokens = F.when(n >= SHINGLE, F.sort_array(F.array_distinct(fives))).when(~blank, F.array(whole))
+    return rows.select(*kept, tokens.otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
 
 def _lines(rows: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """doc_id, text_hash, line, n (tokens), c1, c2 (class), prefix; n = 0 for lines under five words."""
+    """doc_id, text_hash, line, n (tokens), c1, c2 (class), prefix; n = 0 for blank lines.
+
+    A set of one token can only match its equal, which is in its class, if more
+    than half must be shared: it then needs no prefix.
+    """
     out = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     out = _tokenised(out, levels)
     n = F.size("tokens")
-    prefix = F.when(n > 0, F.slice("tokens", 1, n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1)).otherwise(F.array().cast("array<bigint>"))
+    prefix = F.when(n > (1 if percent > 50 else 0), F.slice("tokens", 1, n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1)).otherwise(F.array().cast("array<bigint>"))
     return out.select("doc_id", "text_hash", "line", n.alias("n"), F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("c2"), prefix.alias("prefix"))
 
 
@@ -120,10 +128,10 @@ def marked_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, line, removed for every line of rows (doc_id, text without nulls)."""
     levels = _levels(rows)
     lines = common.stored(_lines(rows, levels, percent), "lines")
-    long = lines.where("n > 0")
+    worded = lines.where("n > 0")
     order = F.struct("doc_id", "text_hash", "line")
     # one row for each class, with its first line and its prefix: copies go no further
-    classes = long.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first"))
+    classes = worded.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first"))
     classes = common.stored(classes.select("c1", "c2", "n", "first.*"), "classes")
     firsts = classes.drop("prefix")
 
@@ -150,7 +158,7 @@ def marked_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     matched = common.stored(found.union(more), "matched").distinct().withColumn("matched", F.lit(True))
 
     verdict = firsts.join(_small(matched), ["c1", "c2"], "left").select("c1", "c2", "n", F.struct("doc_id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    judged = long.select("c1", "c2", "n", "doc_id", "text_hash", "line").join(verdict, ["c1", "c2", "n"])
+    judged = worded.select("c1", "c2", "n", "doc_id", "text_hash", "line").join(verdict, ["c1", "c2", "n"])
     judged = judged.select("doc_id", "text_hash", "line", (F.col("matched") | (F.struct("doc_id", "text_hash", "line") != F.col("first"))).alias("removed"))
     return judged.union(lines.where("n = 0").select("doc_id", "text_hash", "line", F.lit(False)))
 
@@ -165,8 +173,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     A line (text between line breaks) is removed if an earlier line, by
     doc_id, then text hash, then place, in any document, has an equal or
     similar set of shingles. Words are lower-cased runs without ASCII white
-    space; lines with fewer than five words stay. A null text is one empty
-    line. Null ids come first in order. Rows equal in id and text are one
+    space; a line of one to four words has its whole sequence as its one
+    shingle, so it goes if it repeats an earlier one; blank lines stay. A null
+    text is one empty line. Null ids come first in order. Rows equal in id and text are one
     document. Extra columns are ignored; an empty table gives an empty result.
     """
     marks = marked_lines(_rows(docs, id_col, text_col), percent)

@@ -332,6 +332,14 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.removed_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    long = "one two three four five six seven"
+    rows = [(1, f"Yes\n\n{long}\nsee page 4"), (2, f"Yes\n\n{long}\nsee page 4"), (3, "yes \n \nno\nsee  PAGE 4\npage 4 see\nno\n" + long + " eight"), (4, "one two three four\none two three four five\none two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i: r.removed for i, r in by_id(line_dedup.removed_lines(docs)).items()} == {1: [], 2: [0, 2, 3], 3: [0, 3, 5], 4: [2]}
+    assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {1: rows[0][1], 3: " \nno\npage 4 see\n" + long + " eight", 4: "one two three four\none two three four five"}
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline
 
