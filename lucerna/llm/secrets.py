@@ -23,16 +23,20 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Least bits a character in some window, by character class.
 BITS = {"hex": 3.0, "mixed": 3.7}
-#: Candidates that are not secrets: no digit or no letter, placeholders, runs of one character, counting rows, UUIDs, paths of words.
+#: Values that are not secrets as a whole: no digit or no letter, UUIDs, paths of words.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"(?i)(example|sample|dummy|changeme|placeholder|redacted|your[_-]|test[_-])",
-    r"(.)\1{5,}",
-    r"(?i)(0123456|1234567|abcdefg|qwertyu)",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"^([A-Za-z]+[0-9]{0,4}[/_-])*[A-Za-z]+[0-9]{0,4}$",
 )
+#: Placeholder words standing alone: only they are cut out, what is left of and right of one is a value of its own.
+PLACEHOLDER = r"(?i)(?<![A-Za-z0-9])(example|sample|dummy|changeme|placeholder|redacted|your(?=[_-])|test(?=[_-]))(?![A-Za-z0-9])"
+#: Runs of one character and counting rows: each is broken so that all windows are left that do not hold six of the run or the whole row.
+BREAKS = (
+    (r"(.)\1{5,}", "$1$1$1$1$1 $1$1$1$1$1"),
+    *((f"(?i)({row[0]})({row[1:-1]})({row[-1]})", "$1$2 $2$3") for row in ("0123456", "1234567", "abcdefg", "qwertyu")),
+)
 
 
 def _spans(text: Column, found: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -73,13 +77,24 @@ def _window_weight(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["least"])
 
 
-def _is_secret(value: Column) -> Column:
+def _is_secret(candidate: Column) -> Column:
     most = lambda bits: round((math.log2(WINDOW) - bits) * WINDOW * 1e6)
-    limit = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), most(BITS["hex"])).otherwise(most(BITS["mixed"]))
-    listed = F.lit(False)
-    for pattern in ALLOWED:
-        listed |= value.rlike(pattern)
-    return F.when(listed, F.lit(False)).otherwise(_window_weight(value) <= limit)
+
+    def listed(value: Column) -> Column:
+        out = F.lit(False)
+        for pattern in ALLOWED:
+            out |= value.rlike(pattern)
+        return out
+
+    def holds(value: Column) -> Column:
+        limit = F.when(value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), most(BITS["hex"])).otherwise(most(BITS["mixed"]))
+        parts = value
+        for pattern, broken in BREAKS:
+            parts = F.regexp_replace(parts, pattern, broken)
+        found = F.exists(F.split(parts, " ", -1), lambda part: F.when(F.length(part) >= WINDOW, _window_weight(part) <= limit).otherwise(False))
+        return F.when((F.length(value) < WINDOW) | listed(value), F.lit(False)).otherwise(found)
+
+    return F.when(listed(candidate), F.lit(False)).otherwise(F.exists(F.split(candidate, PLACEHOLDER, -1), holds))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +102,9 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (text:
     kind:start:end, comma-joined), base and found (arrays of struct<start, kind,
-    end, hit>). `entropy` spans are candidates of CANDIDATE that are not on
+    end, `entropy` spans are candidates of CANDIDATE that are not on
+    the allow list, of which some window beside placeholder words, runs and
+    counting rows reaches BITS, and that lie in no base span. are candidates of CANDIDATE that are not on
     the allow list, of which some window reaches BITS, and that lie in no base
     span. A null text counts as empty. Equal and null ids stay apart; other
     columns are ignored; an empty table gives an empty result.

@@ -154,6 +154,15 @@ def test_secrets(docs, nothing):
     assert secrets.secrets(nothing).count() == 0
 
 
+def test_secrets_beside_allowed_parts(spark):
+    key = "Zx8Qw3Er7Ty1Ui5Op9As2DfGh4Jk6LmN"
+    secret = [f"latest-key={key}", f"aws_test_key={key}", f"/home/sample_user/{key}", f"{key}AAAAAAAAA", f"1234567{key}", "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"]
+    plain = ["your-api-key-example-0001", "A" * 30 + "1", "abcdefg1234567abcdefg1234567", "test_sample_value_placeholder_12", "123e4567-e89b-42d3-a456-426614174000"]
+    docs = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    got = {i: r.spans for i, r in by_id(secrets.secrets(docs)).items()}
+    assert got == {**{i: f"entropy:0:{len(v)}" for i, v in enumerate(secret)}, **{i: "" for i in range(len(secret), len(secret + plain))}}
+
+
 def counts_of(s):
     w = WORD.findall(s)
     seen, dup, lines = set(), 0, 0
