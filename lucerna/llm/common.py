@@ -14,15 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, the context's own checkpoint folder counts; a local
+    session, whose executors are this machine, gets one. A cluster without one
+    is refused: each executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        held = spark.sparkContext.getCheckpointDir()
-        folder = held or f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
-        if held is None:
-            spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -35,14 +40,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: a cut of lineage that survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files of `stored` tables whose readers have all run."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Removes a scratch path."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it has at most `most` rows; for stored tables, whose count reads footers only."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def named(df: DataFrame, **columns: str) -> DataFrame:
@@ -54,18 +67,33 @@ def bytes_of(text: Column | str) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
-    """At most `limit` rows of the largest counts, for the driver.
+def most_frequent(counts: DataFrame, limit: int, key: str, n: str = "n") -> DataFrame:
+    """The `limit` rows of the largest counts, ties by `key`, for the driver.
 
-    A histogram over eighths of powers of two (some 500 rows at most) gives the
-    least class that still fits; so no task sends its own best `limit` rows.
-    Where a single class is too large, none of it is taken.
+    A histogram of the counts' powers of two (64 rows at most) finds the class
+    that the limit cuts; a second one, of the counts within it, and a third, of
+    64 thousand slots of the key's hash, find the cut in it. So no task ever
+    sends more than its part of the `limit` rows.
     """
-    level = F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
-    room, least = limit, None
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level):
-        room -= r["rows"]
-        if room < 0:
-            break
-        least = r.level
-    return counts.where(level >= least) if least is not None else counts.limit(0)
+    level = F.floor(F.log2(F.col(n).cast("double"))).cast("int")
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << 16)).cast("int")
+
+    def cut(rows: DataFrame, by: Column, room: int, falling: bool) -> tuple[int | None, int]:
+        """The group of `by` in which the room ends, and the room left before it; none if all fit."""
+        for r in sorted(rows.groupBy(by.alias("by")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["by"] if falling else r["by"]):
+            if r["rows"] > room:
+                return r["by"], room
+            room -= r["rows"]
+        return None, room
+
+    at, room = cut(counts, level, limit, True)
+    if at is None:
+        return counts
+    within = counts.where(level == at)
+    # in a class of 2^k to 2^(k+1), up to 4096 steps
+    step = F.floor(F.col(n) / F.lit(max(1, (1 << at) >> 12)))
+    fine, room = cut(within, step, room, True)
+    tied = within.where(step == fine)
+    last, room = cut(tied, slot, room, False)
+    rest = tied.where(slot == last).orderBy(F.desc(n), key).limit(room)
+    return counts.where((level > at) | ((level == at) & (step > fine)) | ((level == at) & (step == fine) & (slot < last))).union(rest)

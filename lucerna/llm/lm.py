@@ -73,7 +73,7 @@ class Tables:
         end = np.array([_END_WORD]).view(np.int64)[0].item()
         ends = counts.where(F.col("word") == end).first()
         self.ends = int(ends.n) if ends else 0
-        top = common.most_frequent(counts.where(F.col("word") != end), TABLE).toPandas().sort_values(["n", "word"], ascending=[False, True])
+        top = common.most_frequent(counts.where(F.col("word") != end), TABLE, "word").toPandas().sort_values(["n", "word"], ascending=[False, True])
         self.hash = top["word"].to_numpy(np.int64).view(np.uint64)
         self.n = top["n"].to_numpy(np.int64)
         self.words = min(WORDS, len(self.hash))

@@ -130,7 +130,7 @@ def frequent_lengths(docs: DataFrame, path: str, size: int = FREQUENT):
     """
     summary = docs.mapInArrow(_heavy, "word string, n long")
     counts = common.stored(summary.groupBy("word").agg(F.sum("n").alias("n")), "frequent")
-    words = sorted(r.word for r in common.most_frequent(counts, size).select("word").collect())
+    words = sorted(r.word for r in common.most_frequent(counts, size, "word").select("word").collect())
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     raw = [w.encode() for w in words]
