@@ -1,16 +1,22 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only (operator 9).
 
-A line's tokens are its 5-word shingles, or its whole word sequence if it has
-one to four words, ordered by rarity: by the (log of
-the) corpus frequency of the shingle's last word - each word ends one -, then by hash. Two lines
-whose sets have a Jaccard similarity of at least `percent` share a token of
-their prefixes, so lines are compared only if they do, if their sizes allow
-it, and if the tokens left after the shared one can still reach the overlap.
-Lines with equal sets are one class. For each prefix token, the classes that
-have it are compared with the earliest of them; only classes that match none
-of their earliest ones are then compared with the others before them. That
-finds every class with an earlier match, and never writes out the pairs of a
-group of copies.
+A line's tokens are its 5-word shingles. Lines with equal words are one class;
+a line of one to four words only matches its equals, a longer one each line
+whose shingles have a Jaccard similarity of `percent`. Such sets share a token
+of their prefixes under any order of all tokens, so the join runs in two steps:
+
+1. An order that needs no counts. Shingles that start with an anchor letter
+   come first, by hash, so only those must be made where a line has enough of
+   them. Prefix tokens are counted over all lines. Tokens of one line match
+   nothing; classes that share a token of few classes are compared at once.
+2. Tokens of many classes. Only classes with one in their prefix can match by
+   it, and only among themselves: their tokens are counted anew and ordered by
+   rarity, which makes the crowded ones the last. Prefix, length and position
+   filters follow; a class is compared with the earliest class of each token,
+   and only classes without a match with all earlier ones, in a semi-join that
+   verifies as it goes and so never writes out the pairs of a group.
+
+Verified matches are removed if they come later. No Python runs on executors.
 """
 
 from __future__ import annotations
@@ -22,145 +28,164 @@ from lucerna.llm import common
 
 SHINGLE = 5
 PERCENT = 80
-#: Slots of the table of word frequencies: its size is fixed, and so is its literal of 128 KB.
-SLOTS = 1 << 14
-#: Rows up to which a list is broadcast (at most 64 bytes each); beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
-#: The same for tokens, of 8 bytes.
-BROADCAST_TOKENS = 2_000_000
+#: Classes up to which all pairs of a token of step 1 are compared at once.
+FEW = 16
+#: Rows of stored lists (at most 64 bytes each) up to which they are broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+#: The same for lists of line numbers, in bytes.
+BROADCAST_BYTES = 64 << 20
+#: Letters that start an anchored shingle: half of the alphabet. Any choice gives the same result.
+ANCHORS = "a-m"
 _SPACE = r"[\x20\x09-\x0D]+"
-_LEVEL_BITS = 58
+_KEY = ["c1", "c2"]
 
 
-def _words(line: Column) -> Column:
-    """Lower-cased words; only lines with blanks other than single ones inside need a pattern."""
+def _normal(line: Column) -> Column:
+    """Lower-cased words with single blanks between; only lines with other blanks need a pattern."""
     low = F.lower(line)
     odd = F.startswith(low, F.lit(" ")) | F.endswith(low, F.lit(" "))
     for blank in ("  ", "\t", "\x0b", "\x0c", "\r"):
         odd |= F.contains(low, F.lit(blank))
-    return F.split(F.when(odd, F.btrim(F.regexp_replace(low, _SPACE, " "), F.lit(" "))).otherwise(low), " ")
+    return F.when(odd, F.btrim(F.regexp_replace(low, _SPACE, " "), F.lit(" "))).otherwise(low)
 
 
-def _slot(code: Column) -> Column:
-    return code.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+def _shingles(body: Column, first: str = "[^ ]") -> Column:
+    """Distinct hashes of the shingles whose first word starts with a character of the class `first`, ascending."""
+    found = F.regexp_extract_all(body, F.lit(rf"(?:^| )(?=({first}[^ ]*+(?: [^ ]++){{{SHINGLE - 1}}}))"), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def _levels(rows: DataFrame) -> list[int]:
-    """Log2 of the number of words in each slot, over all texts; as long whatever the corpus."""
-    lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("body"))
-    counts = lines.select(F.explode(_words(F.col("body"))).alias("w")).groupBy(_slot(F.xxhash64("w")).alias("slot")).agg(F.count("*").alias("n"))
-    out = [0] * SLOTS
-    found = counts.toArrow()
-    for slot, n in zip(found["slot"].to_pylist(), found["n"].to_pylist()):
-        out[slot] = min(31, n.bit_length()) << _LEVEL_BITS
-    return out
+def _least(n: Column, percent: int) -> Column:
+    """The overlap that a set of n needs at least; n less it, plus one, is the length of its prefix."""
+    return F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
 
 
-def _literal(levels: list[int]) -> Column:
-    """The table as one constant, which the optimizer folds to an array."""
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+def _lines(rows: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, line, words, c1, c2 (class), prefix (of step 1) of every line; no words, no class' use."""
+    out = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    out = out.withColumn("body", _normal(F.col("body")))
+    body = F.col("body")
+    words = F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1)
+    n = F.col("words") - (SHINGLE - 1)
+    out = out.withColumn("words", words).withColumn("take", F.when(n > 0, n - _least(n, percent) + 1).otherwise(0))
+    none = F.array().cast("array<bigint>")
+    out = out.withColumn("anchored", F.when(F.col("take") > 0, _shingles(body, f"[{ANCHORS}]")).otherwise(none))
+    # with too few anchored ones, the least hashes of all hold at least those that follow them in the order
+    more = F.array_union("anchored", F.slice(_shingles(body), 1, F.col("take")))
+    prefix = F.when(F.size("anchored") >= F.col("take"), F.slice("anchored", 1, F.col("take"))).otherwise(more)
+    return out.select("doc_id", "text_hash", "line", "words", F.xxhash64("body").alias("c1"), F.xxhash64(F.lit(1), "body").alias("c2"), prefix.alias("prefix"))
+
+
+def _overlaps(mine: str, theirs: str, percent: int) -> Column:
+    shared = F.size(F.array_intersect(mine, theirs))
+    return F.lit(100 + percent) * shared >= F.lit(percent) * (F.size(mine) + F.size(theirs))
+
+
+def _lengths(a: str, b: str, percent: int) -> Column:
+    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+
+
+def _places(percent: int) -> Column:
+    """Position filter: what is left after a shared token, at `place` and `other_place`, can still reach the overlap."""
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place")) - 1
+    return left * (100 + percent) >= F.lit(percent) * (F.col("n") + F.col("other_n"))
+
+
+def _sets(classes: DataFrame, alive: DataFrame, rows: DataFrame) -> DataFrame:
+    """c1, c2, first, n, tokens of the classes `alive`, from the text of their first line."""
+    wanted = common.stored(classes.join(common.small(alive, BROADCAST_ROWS), _KEY, "left_semi").select(*_KEY, "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line")), "wanted")
+    source = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.posexplode(F.split("text", "\n", -1)).alias("_line", "body"))
+    held = source.join(common.small(wanted, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")) & (F.col("_line") == F.col("line")))
+    held = held.select(*_KEY, "first", _normal(F.col("body")).alias("body")).select(*_KEY, "first", _shingles(F.col("body")).alias("tokens"))
+    out = common.stored(held.select(*_KEY, "first", F.size("tokens").alias("n"), "tokens"), "sets")
+    common.dropped(wanted)
+    return out
 
 
-def _tokenised(rows: DataFrame, levels: list[int]) -> DataFrame:
-    """Column body replaced by `tokens`: the line's distinct shingles as sorted longs; one to four words are one token, a blank line has none.
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The later class (c1, c2) of each pair (c1, c2, d1, d2) whose sets reach the similarity."""
+    used = common.stored(pairs.select(*_KEY).union(pairs.select("d1", "d2")).distinct(), "used")
+    own = sets.join(common.small(used, BROADCAST_ROWS), _KEY, "left_semi")
+    both = pairs.join(own.select(*_KEY, "first", F.col("tokens").alias("mine")), _KEY).join(own.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("first").alias("other"), F.col("tokens").alias("theirs")), ["d1", "d2"])
+    later = F.when(F.col("first") > F.col("other"), F.struct("c1", "c2")).otherwise(F.struct(F.col("d1").alias("c1"), F.col("d2").alias("c2")))
+    out = common.stored(both.where(_overlaps("mine", "theirs", percent)).select(later.alias("k")).select("k.*").distinct(), "verified")
+    common.dropped(used)
+    return out
 
-    A token has the level of the shingle's last word in its high bits and the
-    shingle's hash below. A run of five is hashed as ((1 2) (3 4)) 5, so
-    neighbours share the inner hashes.
-    """
-    mask, table = F.lit((1 << _LEVEL_BITS) - 1), _literal(levels)
-    words, twos, n = F.col("words"), F.col("twos"), F.size("words")
-    kept = [c for c in rows.columns if c != "body"]
 
-    def joined(left: Column, right: Column, at: int, size: Column, f) -> Column:
-        return F.zip_with(F.slice(left, 1, size), F.slice(right, at, size), f)
+def _thin_matches(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Later classes of the pairs that share a token of step 1 with at most FEW classes."""
+    thin = members.join(common.small(sizes, BROADCAST_ROWS), "token").where(F.col("size") <= FEW).select("token", *_KEY)
+    thin = thin.join(common.small(sets.select(*_KEY, "n"), BROADCAST_ROWS), _KEY)
+    other = thin.select("token", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n").alias("other_n"))
+    apart = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))
+    pairs = common.stored(thin.join(other, "token").where(apart & _lengths("n", "other_n", percent)).select(*_KEY, "d1", "d2").distinct(), "pairs")
+    out = _verified(pairs, sets, percent)
+    common.dropped(pairs)
+    return out
 
-    mixed = lambda x, y: F.xxhash64(x, y)
-    rows = rows.select(*kept, F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)).alias("words"))
-    rows = rows.withColumn("twos", F.when(n >= SHINGLE, joined(words, words, 2, n - 1, mixed)))
-    fours = joined(twos, twos, 3, n - 3, mixed)
-    fives = joined(fours, words, 5, n - 4, lambda x, y: F.get(table, _slot(y)).bitwiseOR(F.xxhash64(x, y).bitwiseAND(mask)))
-    whole = F.get(table, _slot(F.element_at(words, -1))).bitwiseOR(F.xxhash64(n, words).bitwiseAND(mask))
-    blank = (n == 1) & (F.get(words, F.lit(0)) == F.xxhash64(F.lit("")))
-    tokens = F.when(n >= SHINGLE, F.sort_array(F.array_distinct(fives))).when(~blank, F.array(whole))
-    return rows.select(*kept, tokens.otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
+def _crowded_matches(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes of `sets` that an earlier one of them matches: a self-join with tokens ordered by their count among them."""
+    each = sets.select(*_KEY, "first", "n", F.explode("tokens").alias("token"))
+    counts = common.stored(each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "token-counts")
+    ranked = each.join(common.small(counts, BROADCAST_ROWS), "token").groupBy(*_KEY, "first", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    take = F.col("n") - _least(F.col("n"), percent) + 1 - alone
+    members = ranked.where(take > 0).select(*_KEY, "first", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, take)).alias("at", "x"))
+    members = common.stored(members.select(*_KEY, "first", "n", (F.col("alone") + F.col("at")).alias("place"), F.col("x.token").alias("token")), "crowded")
+
+    fits = _lengths("n", "other_n", percent) & _places(percent)
+    heads = members.groupBy("token").agg(F.min(F.struct("first", *_KEY, "n", "place")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    heads = common.stored(heads.select("token", F.col("head.c1").alias("d1"), F.col("head.c2").alias("d2"), F.col("head.n").alias("other_n"), F.col("head.place").alias("other_place"), "size"), "heads")
+    to_head = members.join(common.small(heads, BROADCAST_ROWS), "token").where(((F.col("c1") != F.col("d1")) | (F.col("c2") != F.col("d2"))) & fits)
+    pairs = common.stored(to_head.select(*_KEY, "d1", "d2").distinct(), "pairs")
+    found = _verified(pairs, sets, percent)
+
+    # the rest of each group, without classes that have their match: every earlier member counts
+    groups = members.join(common.small(heads.where("size > 2").select("token"), BROADCAST_ROWS), "token", "left_semi")
+    left = common.stored(groups.join(common.small(found, BROADCAST_ROWS), _KEY, "left_anti"), "left")
+    open_ = groups.join(common.small(left.select("token").distinct(), BROADCAST_ROWS), "token", "left_semi")
+    mine = left.join(sets.select(*_KEY, "tokens"), _KEY)
+    theirs = open_.join(sets.select(*_KEY, "tokens"), _KEY).select("token", F.col("first").alias("other_first"), F.col("n").alias("other_n"), F.col("place").alias("other_place"), F.col("tokens").alias("theirs"))
+    on = (mine["token"] == theirs["token"]) & (F.col("other_first") < F.col("first")) & fits & _overlaps("tokens", "theirs", percent)
+    rest = common.stored(mine.join(theirs, on, "left_semi").select(*_KEY).distinct(), "rest")
+    out = common.stored(found.union(rest), "found")
+    common.dropped(counts, members, heads, pairs, found, left, rest)
+    return out
 
-def _lines(rows: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """doc_id, text_hash, line, n (tokens), c1, c2 (class), prefix; n = 0 for blank lines.
 
-    A set of one token can only match its equal, which is in its class, if more
-    than half must be shared: it then needs no prefix.
-    """
-    out = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    out = _tokenised(out, levels)
-    n = F.size("tokens")
-    prefix = F.when(n > (1 if percent > 50 else 0), F.slice("tokens", 1, n - F.floor((F.lit(percent) * n + 99) / 100).cast("int") + 1)).otherwise(F.array().cast("array<bigint>"))
-    return out.select("doc_id", "text_hash", "line", n.alias("n"), F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.col("tokens")).alias("c2"), prefix.alias("prefix"))
-
-
-def _small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
-def _possible(percent: int, n1: str, p1: str, n2: str, p2: str) -> Column:
-    """Length and positional filters for a shared prefix token at places p1 and p2."""
-    a, b, p, q = F.col(n1), F.col(n2), F.col(p1), F.col(p2)
-    sizes = F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    return sizes & ((1 + F.least(a - p, b - q) - 1) * (100 + percent) >= F.lit(percent) * (a + b))
-
-
-def _matching(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, levels: list[int], percent: int) -> DataFrame:
-    """Classes (c1, c2) of the pairs (c1, c2, d1, d2) whose full sets reach the similarity."""
-    wanted = pairs.select("c1", "c2").union(pairs.select("d1", "d2")).distinct()
-    wanted = common.stored(wanted, "pair-classes")
-    wanted = common.stored(firsts.join(_small(wanted), ["c1", "c2"]).select("c1", "c2", "doc_id", "text_hash", "line"), "wanted")
-    source = rows.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_hash"))
-    held = source.join(_small(wanted), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-    sets = held.select("c1", "c2", F.get(F.split("text", "\n", -1), F.col("line")).alias("body")).dropDuplicates(["c1", "c2"])
-    sets = common.stored(_tokenised(sets, levels), "sets")
-    both = pairs.join(sets.withColumnRenamed("tokens", "mine"), ["c1", "c2"]).join(sets.toDF("d1", "d2", "theirs"), ["d1", "d2"])
-    shared = F.size(F.array_intersect("mine", "theirs"))
-    return both.where(F.lit(100) * shared >= F.lit(percent) * (F.size("mine") + F.size("theirs") - shared)).select("c1", "c2").distinct()
-
-
-def marked_lines(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_hash, line, removed for every line of rows (doc_id, text without nulls)."""
-    levels = _levels(rows)
-    lines = common.stored(_lines(rows, levels, percent), "lines")
-    worded = lines.where("n > 0")
-    order = F.struct("doc_id", "text_hash", "line")
-    # one row for each class, with its first line and its prefix: copies go no further
-    classes = worded.groupBy("c1", "c2", "n").agg(F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first"))
-    classes = common.stored(classes.select("c1", "c2", "n", "first.*"), "classes")
-    firsts = classes.drop("prefix")
-
-    shared = classes.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    shared = common.stored(shared, "shared")
-    places = classes.select("c1", "c2", "n", "doc_id", "text_hash", "line", F.posexplode("prefix").alias("place", "token"))
-    places = places.join(_small(shared, BROADCAST_TOKENS), "token", "left_semi")
-    members = common.stored(places.select("token", "c1", "c2", "n", "place", order.alias("first")), "members")
-    heads = members.groupBy("token").agg(F.min(F.struct("first", "c1", "c2", "n", "place")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    heads = common.stored(heads.select("token", "size", F.col("head.first").alias("head_first"), F.col("head.c1").alias("d1"), F.col("head.c2").alias("d2"), F.col("head.n").alias("dn"), F.col("head.place").alias("dplace")), "heads")
-
-    fits = _possible(percent, "n", "place", "dn", "dplace")
-    other = (F.col("c1") != F.col("d1")) | (F.col("c2") != F.col("d2"))
-    pairs = common.stored(members.join(heads, "token").where(other & fits).select("c1", "c2", "d1", "d2").distinct(), "pairs")
-    found = common.stored(_matching(pairs, firsts, rows, levels, percent), "found")
-
-    crowded = heads.where("size > 2").select("token", F.col("d1").alias("h1"), F.col("d2").alias("h2"))
-    inside = common.stored(members.join(crowded, "token").where((F.col("c1") != F.col("h1")) | (F.col("c2") != F.col("h2"))).drop("h1", "h2"), "inside")
-    left = inside.join(found, ["c1", "c2"], "left_anti")
-    before = inside.select("token", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n").alias("dn"), F.col("place").alias("dplace"), F.col("first").alias("dfirst"))
-    rest = left.join(before, "token").where((F.col("dfirst") < F.col("first")) & fits).select("c1", "c2", "d1", "d2").distinct()
-    rest = common.stored(rest.join(pairs, ["c1", "c2", "d1", "d2"], "left_anti"), "rest")
-    more = _matching(rest, firsts, rows, levels, percent)
-    matched = common.stored(found.union(more), "matched").distinct().withColumn("matched", F.lit(True))
-
-    verdict = firsts.join(_small(matched), ["c1", "c2"], "left").select("c1", "c2", "n", F.struct("doc_id", "text_hash", "line").alias("first"), F.coalesce("matched", F.lit(False)).alias("matched"))
-    judged = worded.select("c1", "c2", "n", "doc_id", "text_hash", "line").join(verdict, ["c1", "c2", "n"])
-    judged = judged.select("doc_id", "text_hash", "line", (F.col("matched") | (F.struct("doc_id", "text_hash", "line") != F.col("first"))).alias("removed"))
-    return judged.union(lines.where("n = 0").select("doc_id", "text_hash", "line", F.lit(False)))
+def _kept_lines(rows: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, copies (rows equal in both), n_lines, worded, kept (line numbers) of every document."""
+    lines = common.stored(_lines(rows, percent), "lines")
+    place = F.struct("doc_id", "text_hash", "line")
+    classes = common.stored(lines.where("words > 0").groupBy(*_KEY).agg(F.min(place).alias("first")), "classes")
+    counts = common.stored(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "tokens")
+    members = lines.select(*_KEY, F.explode("prefix").alias("token")).join(common.small(counts, 4 * BROADCAST_ROWS), "token", "left_semi").distinct()
+    members = common.stored(members, "members")
+    documents = lines.groupBy("doc_id", "text_hash").agg(F.count_if(F.col("line") == 0).alias("copies"), (F.max("line") + 1).alias("n_lines"), F.collect_set(F.when(F.col("words") > 0, F.col("line"))).alias("worded"))
+    documents = common.stored(documents, "line-documents")
+    common.dropped(lines, counts)
+
+    sizes = common.stored(members.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    alive = members.join(common.small(sizes, BROADCAST_ROWS), "token")
+    crowded = common.stored(alive.where(F.col("size") > FEW).select(*_KEY).distinct(), "crowded-classes")
+    alive = common.stored(alive.select(*_KEY).distinct(), "alive")
+    sets = _sets(classes, alive, rows)
+    thin = _thin_matches(members, sizes, sets, percent)
+    common.dropped(members, sizes, alive)
+    many = common.stored(sets.join(common.small(crowded, BROADCAST_ROWS), _KEY, "left_semi"), "crowded-sets")
+    common.dropped(sets, crowded)
+    matched = common.stored(thin.union(_crowded_matches(many, percent)).distinct(), "matched")
+    common.dropped(many, thin)
+
+    first = classes.join(common.small(matched, BROADCAST_ROWS), _KEY, "left_anti").select("first.*")
+    kept = first.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("kept"))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "kept")
+    out = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    out = common.stored(out.select("doc_id", "text_hash", "copies", "n_lines", "worded", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")), "kept-lines")
+    common.dropped(documents, classes, matched)
+    return out
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,42 +193,54 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, ascending) of every document.
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, ascending) of every row.
 
     A line (text between line breaks) is removed if an earlier line, by
     doc_id, then text hash, then place, in any document, has an equal or
     similar set of shingles. Words are lower-cased runs without ASCII white
-    space; a line of one to four words has its whole sequence as its one
-    shingle, so it goes if it repeats an earlier one; blank lines stay. A null
-    text is one empty line. Null ids come first in order. Rows equal in id and text are one
-    document. Extra columns are ignored; an empty table gives an empty result.
+    space; a line of one to four words goes if it repeats an earlier one; blank
+    lines stay. A null text is one empty line. Null ids come first in order. Of
+    rows equal in id and text, one counts as the first; all worded lines of the
+    others are removed. A text may be of any length. Extra columns are ignored;
+    an empty table gives an empty result.
     """
-    marks = marked_lines(_rows(docs, id_col, text_col), percent)
-    out = marks.groupBy("doc_id", "text_hash").agg((F.max("line") + 1).cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("line")))).alias("removed"))
-    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    out = _kept_lines(_rows(docs, id_col, text_col), percent)
+    out = out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "worded", "kept", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    gone = F.sort_array(F.when(F.col("copy") == 1, F.array_except("worded", "kept")).otherwise(F.col("worded")))
+    return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed"))
 
 
 def drop_lines(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents without the lines that `removed_lines` names.
 
     All columns stay; `length_col`, if there is one, is counted anew for
-    changed texts. A document none of whose lines with a word are left goes.
+    changed texts. A document none of whose worded lines are left goes; one
+    without any stays. Of rows equal in id and text that have a worded line,
+    one stays. Columns may have any names. An empty table gives an empty result.
     """
     rows = _rows(docs, id_col, text_col)
-    marks = common.stored(marked_lines(rows, percent).where("removed").groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")), "gone")
-    marks = marks.select(F.col("doc_id").alias("_line_id"), F.col("text_hash").alias("_line_hash"), F.col("gone").alias("_line_gone"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    whole = docs.join(_small(marks), F.col(f"`{id_col}`").eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda body, i: ~F.array_contains(F.col("_line_gone"), i)), "\n")
-    whole = whole.withColumn("_line_text", F.when(F.col("_line_gone").isNull(), F.col(f"`{text_col}`")).otherwise(kept))
-    whole = whole.where(F.col("_line_gone").isNull() | F.col("_line_text").rlike(r"[^\x20\x09-\x0D]"))
+    held = _kept_lines(rows, percent)
+    changed = held.where((F.size("worded") > F.size("kept")) | ((F.col("copies") > 1) & (F.size("worded") > 0)))
+    marks = common.stored(changed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.sort_array(F.array_except("worded", "kept")).alias("gone"), (F.size("kept") > 0).alias("stays"), "copies"), "gone")
+    common.dropped(held)
+    size = marks.agg(F.sum(F.lit(64) + 4 * F.size("gone"))).first()[0] or 0
+    text = F.col(f"`{text_col}`")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias("own_hash"))
+    whole = whole.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left")
+    whole = whole.where(F.coalesce("stays", F.lit(True)))
+    if not marks.where("copies > 1 AND stays").isEmpty():
+        again = F.coalesce(F.col("copies") > 1, F.lit(False))
+        whole = whole.where(~again).union(whole.where(again).dropDuplicates(["own_id", "own_hash"]))
+    own = F.col("row")[text_col]
+    kept = F.array_join(F.filter(F.split(own.cast("string"), "\n", -1), lambda body, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    cut = F.size("gone") > 0
     out = []
     for name, kind in docs.dtypes:
-        column = F.col(f"`{name}`")
+        column = F.col("row")[name]
         if name == text_col:
-            column = F.col("_line_text")
+            column = F.when(cut, kept).otherwise(column)
         elif name == length_col:
-            column = F.when(F.col("_line_gone").isNull(), column).otherwise(F.length("_line_text").cast(kind))
+            column = F.when(cut, F.length(kept).cast(kind)).otherwise(column)
         out.append(column.alias(name))
     return whole.select(*out)
 
