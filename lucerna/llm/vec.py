@@ -64,6 +64,16 @@ def text_slices(batches, column: str = "text", limit: int = CHUNK_BYTES):
         for part in slices(batch, column, limit):
             data, offsets = buffers(text_array(part.column(column)))
             yield part, data, offsets
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that an idle worker holds little of it."""
+    import ctypes
+
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -230,8 +230,11 @@ def test_near_duplicates(docs, nothing, percent):
 
 def test_near_duplicate_rounds_with_leaders(docs, monkeypatch):
     want = sorted(near_dup.near_duplicates(docs, 85).fillna(-1).collect())
-    monkeypatch.setattr(near_dup, "PAIRS_EACH", 0)
-    assert sorted(near_dup.near_duplicates(docs, 85).fillna(-1).collect()) == want
+    for few, replicas, block in ((1, 100, 4000), (1, 100, 1 << 20), (0, 0, 1 << 20)):
+        monkeypatch.setattr(near_dup, "FEW", few)
+        monkeypatch.setattr(near_dup, "REPLICAS", replicas)
+        monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
+        assert sorted(near_dup.near_duplicates(docs, 85).fillna(-1).collect()) == want
 
 
 def test_posterior_bound():
