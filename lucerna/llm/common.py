@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch, unless the session says otherwise: ten thousand long texts at once would not fit in a worker.
+BATCH_BYTES = 1 << 40
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes where the session leaves them unbounded."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,6 +71,7 @@ def small(rows: DataFrame, most: int) -> DataFrame:
 
 def named(df: DataFrame, **columns: str) -> DataFrame:
     """Only the given columns, under fixed names: extra or clashing ones can't get in the way."""
+    bounded(df.sparkSession)
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 

@@ -245,7 +245,13 @@ def _table(index: Index) -> vec.HashTable:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all columns, that `leaks` would not return."""
+    """The rows of `docs`, with all columns, that `leaks` would not return.
+
+    Null and empty texts stay, as do all rows if there are no items; repeated
+    rows stay or go together, whatever their ids. Columns may have any names.
+    An empty table gives an empty result.
+    """
+    common.bounded(docs.sparkSession)
     out = docs
     for index in indexes(items, item_id, item_text):
         if not index.ids:

@@ -199,6 +199,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     empty table gives an empty result; with nothing to learn from, all counts
     are 0.
     """
+    common.bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(F.col(f"`{id_col}`")).alias("held_out"))
     spark = docs.sparkSession
     id_type = rows.schema["doc_id"].dataType.simpleString()

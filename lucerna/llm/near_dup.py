@@ -303,6 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     of any length; repeated rows get a row each; an empty table gives an empty
     result.
     """
+    common.bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     features = common.stored(rows.mapInArrow(_features(), _FEATURES), "features")
     linked = features.where("n > 0 AND doc_id IS NOT NULL")

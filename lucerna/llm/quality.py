@@ -24,8 +24,8 @@ SMALLEST = 1e-4
 FENCE = 4.0
 #: For each measure: the least spread that counts, and whether low values are rejected too.
 MEASURES = {"word_length": (0.5, True), "symbols": (0.05, False), "dup_lines": (0.1, False), "repeats": (0.08, False)}
-#: A group with fewer rows takes the merged sketch of its language, then of all rows.
-LEAST_ROWS = 200
+#: Rows that the quartiles of a language count for beside those of its source, and those of all rows beside those of a language.
+PRIOR_ROWS = 200
 #: Groups up to which the thresholds are broadcast (under 10 MB); beyond it they are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -79,6 +79,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The rows with their counts in a struct column `counts`; `carry` names the columns to keep, in a struct `row`."""
+    common.bounded(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(f"`{text_col}`").alias("text"))
     shape = ", ".join(f"{c}: bigint" for c in COUNTS)
@@ -118,7 +119,12 @@ def sketch(rows: DataFrame) -> DataFrame:
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """(lang, source, measure columns low_* and high_*) from merged sketches."""
+    """(lang, source, measure columns low_* and high_*) from merged sketches.
+
+    The quartiles of a group are means of its own, weighted by its rows, and of
+    its language's, those of the language likewise of its own and of all rows',
+    so that a group's size changes nothing by a jump.
+    """
     value = F.coalesce(F.lit(2 / (GAMMA + 1)) * F.pow(F.lit(GAMMA), F.col("bucket")), F.lit(0.0))
 
     def fences(groups: list[str]) -> DataFrame:
@@ -133,7 +139,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     joined = pair.alias("p").join(lang.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")) & (F.col("p.measure") == F.col("l.measure"))).join(whole.alias("w"), F.col("p.measure") == F.col("w.measure"))
 
     def chosen(c: str) -> Column:
-        return F.when(F.col("p.total") >= LEAST_ROWS, F.col(f"p.{c}")).when(F.col("l.total") >= LEAST_ROWS, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}")).alias(c)
+        of_lang = (F.col("l.total") * F.col(f"l.{c}") + PRIOR_ROWS * F.col(f"w.{c}")) / (F.col("l.total") + PRIOR_ROWS)
+        return ((F.col("p.total") * F.col(f"p.{c}") + PRIOR_ROWS * of_lang) / (F.col("p.total") + PRIOR_ROWS)).alias(c)
 
     quartiles = joined.select("p.lang", "p.source", "p.measure", chosen("q1"), chosen("q3"))
     out = []
@@ -188,7 +195,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that `quality` keeps, with all their columns."""
+    """The rows that `quality` keeps, with all their columns.
+
+    Null texts go; a null or missing language or source is a group of its own;
+    repeated rows stay or go together. Columns may have any names. An empty
+    table gives an empty result.
+    """
     own = docs.select(F.col(f"`{text_col}`").alias("text"), *_grouping(docs, lang_col, source_col))
     limits = common.stored(thresholds(sketch(with_counts(own, "text", ["lang", "source"]).select("row.*", "counts"))), "quality-limits")
     rows = with_counts(docs, text_col).select("row", "counts", *(c.alias(n) for c, n in zip(_grouping_of_row(docs, lang_col, source_col), ("lang", "source"))))

@@ -46,6 +46,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     `ids` (array of int) and `decoded`. A null text counts as empty: 0 tokens
     and the digests of nothing. Rows with equal or null ids stay apart; other
     columns are ignored. Special strings in a text are one id each.
+    A text may be of any length; an empty table gives an empty result.
     """
     path = path or default_path()
     if not bpe.splits_by_pretoken(path):
@@ -155,6 +156,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, id
     cannot be counted by pre-token (.model, or a .json with a normalizer) are
     encoded text by text. A null text has 0 bytes and 0 tokens. Equal and null
     ids stay apart; other columns are ignored.
+    A text may be of any length; an empty table gives an empty result.
     """
     path = path or default_path()
     rows = common.named(docs, **{id_col: "doc_id", text_col: "text"})

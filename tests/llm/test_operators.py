@@ -77,6 +77,28 @@ def test_sharding(docs, nothing, spark):
     assert sharding.write_shards(nothing, common.scratch(spark, "t")).count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i % 7 if i % 5 else None, "same" if i % 3 else f"t{i}") for i in range(300)] + [(9, "again")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for n in (2, 5):
+        folder = common.scratch(spark, "t")
+        out = sharding.write_shards(docs.repartition(n), folder, shards=3, bucket_bytes=500)
+        got.append(sorted((r.shard, r.slot, r.row.doc_id is None, r.row.doc_id or 0, r.row.text) for r in out.collect()))
+        assert {r.s for r in spark.read.parquet(f"{folder}/shards").select(F.col("shard").alias("s")).distinct().collect()} == {r[0] for r in got[-1]}
+    assert got[0] == got[1] and len(got[0]) == 500
+
+
+def test_most_frequent_takes_part_of_a_tie(spark):
+    counts = spark.createDataFrame([(w, n) for w, n in enumerate([9000] * 3 + [8999] * 3 + [5] * 50 + [1] * 20)], "word long, n long")
+    for limit, want in ((2, [9000] * 2), (4, [9000] * 3 + [8999]), (40, [9000] * 3 + [8999] * 3 + [5] * 34), (60, [9000] * 3 + [8999] * 3 + [5] * 50 + [1] * 4), (99, [9000] * 3 + [8999] * 3 + [5] * 50 + [1] * 20)):
+        rows = common.most_frequent(counts, limit, "word").collect()
+        assert sorted((r.n for r in rows), reverse=True) == want and len({r.word for r in rows}) == len(rows)
+        assert sorted(rows) == sorted(common.most_frequent(counts.repartition(5), limit, "word").collect())
+
+
 def test_decontamination(docs, nothing, spark):
     items = spark.createDataFrame([(1, ITEM), (2, "Never seen words here at all. Nor these ones either, surely."), (3, None), (4, " ")], "item_id long, text string")
     holder = next(i for i, t in TEXT.items() if ITEM in t)
@@ -290,6 +312,24 @@ def test_recurrent_gradients_and_likelihood():
     assert sum(math.exp(whole.score(x, np.array([0, 1]), 1)[0]) for x in one) == pytest.approx(1, abs=1e-5)
 
 
+def test_every_code_point_splits_as_the_library_splits(library):
+    import pyarrow as pa
+
+    from lucerna.llm import vec
+
+    split = library.pre_tokenizer.pre_tokenize_str
+    points = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    # the contexts in which a class shows: an apostrophe, digits, blanks
+    texts = ["".join(f"{chr(c)}'ll {chr(c)}1 a{chr(c)}  {chr(c)}\n" for c in points[k : k + 4000]) for k in range(0, len(points), 4000)]
+    for s in texts:
+        data, offsets = vec.buffers(pa.array([s]))
+        starts, ends, _ = vec.pretoken_spans(data, offsets)
+        lead = [0]
+        for ch in s:
+            lead.append(lead[-1] + len(ch.encode()))
+        assert starts.tolist() == [lead[a] for _, (a, _) in split(s)]
+
+
 def test_encode_decode_and_counts(docs, nothing, library):
     rows, counts = by_id(tokens.encode_decode(docs, texts=True)), by_id(tokens.count_tokens(docs, limit=100))
     for i, r in rows.items():
@@ -352,6 +392,29 @@ def test_line_dedup_of_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {1: rows[0][1], 3: " \nno\npage 4 see\n" + long + " eight", 4: "one two three four\none two three four five"}
 
 
+def test_line_dedup_of_repeated_rows_and_clashing_names(spark):
+    long = "one two three four five six seven"
+    rows = [(1, f"{long}\nfirst", "x"), (1, f"{long}\nfirst", "y"), (1, f"{long}\nfirst", "z"), (None, " \n", "b"), (None, " \n", "b"), (2, f"{long}\nother", "o")]
+    docs = spark.createDataFrame([(i, t, s, s, s, s, s) for i, t, s in rows], "doc_id long, text string, id string, gone string, c1 string, _gone string, row string")
+    got = sorted((r.doc_id or 0, tuple(r.removed)) for r in line_dedup.removed_lines(docs).collect())
+    assert got == [(0, ()), (0, ()), (1, ()), (1, (0, 1)), (1, (0, 1)), (2, (0,))]
+    cut = line_dedup.drop_lines(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == [(0, " \n"), (0, " \n"), (1, f"{long}\nfirst"), (2, "other")]
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 1, 1, 2]
+
+
+def test_quality_has_no_jump_with_the_group_size(spark):
+    limits = []
+    for n in (199, 200, 201):
+        rows = [(i, " ".join(["ab"] * (60 + i % 7) + ["#"] * (i % 5))) for i in range(n)]
+        small = [(i, f"{t}", "en", "s") for i, t in rows] + [(10_000 + i, " ".join(["abcdef"] * 80), "en", "t") for i in range(300)]
+        df = spark.createDataFrame(small, "doc_id long, text string, lang string, source string")
+        limits.append(next(r["high_word_length"] for r in quality.thresholds(quality.sketch(quality.with_counts(df, "text", ["lang", "source"]).select("row.*", "counts"))).collect() if r["source"] == "s"))
+    assert max(limits) - min(limits) < 0.05
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline
 
