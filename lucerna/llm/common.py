@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch, unless the session says otherwise: ten thousand long texts at once would not fit in a worker.
-BATCH_BYTES = 1 << 40
+BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

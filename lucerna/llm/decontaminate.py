@@ -33,7 +33,7 @@ BLOCK = 8
 #: Bytes of items in one broadcast index; more items make more indexes, each asked in turn.
 SEGMENT_BYTES = 16 << 20
 #: Cells (passages x blocks) accumulated at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 
 _IS_GAP = np.ones(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):

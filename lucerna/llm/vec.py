@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 #: The ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
