@@ -19,6 +19,7 @@ from lucerna.operators import flow as N
 from lucerna.operators import index as I
 from lucerna.operators import ingest as G
 from lucerna.operators import retrieve as R
+from lucerna.operators import segment as T
 from lucerna.operators import verify as V
 from lucerna.sources import files as S
 
@@ -90,7 +91,7 @@ def _top(source: str, k: int, where: str = "true", digits: int = 6) -> str:
 
 
 _DENSE = """vecs AS (SELECT vec_id AS chunk_id, CASE WHEN label < 3 THEN 'institucional' ELSE 'guia' END AS source_type, embedding FROM embeddings),
-dscored AS (SELECT q.chunk_id AS qid, v.chunk_id, v.source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM vecs q, vecs v WHERE q.chunk_id < 20)"""
+dscored AS (SELECT q.chunk_id AS qid, v.chunk_id, v.source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM vecs q, vecs v WHERE q.chunk_id % 20 = 0)"""
 
 
 # --- tables ------------------------------------------------------------------
@@ -111,8 +112,8 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def _vector_questions(spark, d) -> DataFrame:
-    """A stated set of query vectors."""
-    return _vectors(spark, d).where("chunk_id < 20").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    """A stated set of query vectors: every row whose id is divisible by 20."""
+    return _vectors(spark, d).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
 
 
 def _questions_with_vectors(spark, d) -> DataFrame:
@@ -120,10 +121,8 @@ def _questions_with_vectors(spark, d) -> DataFrame:
     return _questions(spark, d).join(_vectors(spark, d).select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector")), "qid")
 
 
-def _gold(spark, d) -> DataFrame:
-    """Passages that occur word for word in documents: by their first 5 words' and length's key, then compared in full."""
-    items = I.small(_questions(spark, d))
-    return load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text").join(items, F.contains("text", F.col("question"))).select("qid", "chunk_id")
+def _gold(spark, d, index) -> DataFrame:
+    return E.occurrences(index, _chunks(spark, d), _questions(spark, d))
 
 
 _GOLD = "gold AS (SELECT item_id AS qid, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -162,8 +161,8 @@ def language_vote(spark, d):
     return load(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(X.is_english("text").cast("long")).alias("english"))
 
 
-_RUN = r"""lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-keyed AS (SELECT source, doc_id, line, regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]*>', ' ', 'g'), '^\s*#+\s*', ''), '[*_]+', '', 'g'), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM lines),
+_RUN = r"""lines AS (SELECT source, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)),
+keyed AS (SELECT source, doc_id, line, pos, regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '<[^>]*>', ' ', 'g'), '^\s*#+\s*', ''), '[*_]+', '', 'g'), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM lines),
 totals AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 running AS (SELECT source, key, pages FROM (SELECT source, key, count(DISTINCT doc_id) AS pages FROM keyed WHERE key <> '' GROUP BY source, key) JOIN totals USING (source) WHERE pages >= greatest(3.0, 0.1 * n))"""
 
@@ -174,11 +173,11 @@ def running_lines(spark, d):
     return G.running_lines(load(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text"), 0.1)
 
 
-@query(f"WITH {_RUN} SELECT source AS source_file, doc_id AS page, count(*) AS lines FROM keyed ANTI JOIN running USING (source, key) GROUP BY ALL")
+@query(f"WITH {_RUN}, kept AS (SELECT source, doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM keyed ANTI JOIN running USING (source, key) GROUP BY ALL) SELECT d.source AS source_file, d.doc_id AS page, coalesce(k.text, '') AS text FROM documents d LEFT JOIN kept k USING (source, doc_id)")
 def drop_running_lines(spark, d):
     """J17."""
     pages = load(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
-    return G.page_lines(pages).join(G.running_lines(pages, 0.1), ["source_file", "key"], "left_anti").groupBy("source_file", "page").agg(F.count("*").alias("lines"))
+    return G.drop_running_lines(pages, 0.1).select("source_file", "page", "text")
 
 
 @query(f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '{W.CONTACT_LINE}'))) AS contacts FROM documents")
@@ -260,9 +259,9 @@ both_ AS (SELECT qid, chunk_id, 1.0 / (60 + rank) AS part, 0 AS list, rank FROM
 fused AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, seen, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(part) AS score, min(list) AS list, arg_min(rank, list) AS seen FROM both_ GROUP BY ALL))"""
 
 
-def _fused(spark, d):
+def _fused(spark, d, index=None):
     dense = R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 20, digits=5)
-    return R.fuse([dense, I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 20, digits=6)])
+    return R.fuse([dense, I.bm25_search(index or I.build_index(_chunks(spark, d)), _questions(spark, d), 20, digits=6)])
 
 
 @query(f"WITH {_FUSED} SELECT qid, chunk_id, round(score, 8) AS score, rank FROM fused")
@@ -282,15 +281,15 @@ def candidate_pool(spark, d):
     """R5, T4, T5, J5."""
     index = I.build_index(_chunks(spark, d))
     own = R.fuse([R.dense_search(_vectors(spark, d), _vector_questions(spark, d), 20, R.INSTITUTIONAL, digits=5), I.bm25_search(index, _questions(spark, d), 20, R.INSTITUTIONAL, digits=6)])
-    return R.candidate_pool(_fused(spark, d), own.where("rank <= 6"), 8).withColumn("score", F.round("score", 8))
+    return R.candidate_pool(_fused(spark, d, index), own.where("rank <= 6"), 8).withColumn("score", F.round("score", 8))
 
 
 _RANKED = f"""{_BM25}, ranked AS (SELECT qid, chunk_id, source AS source_file, source_type, round(score, 6) / 100 AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM scored) WHERE rank <= 40 AND score > 0)"""
 _ORDER = "round(score, 9) DESC, chunk_id"
 
 
-def _ranked(spark, d):
-    best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 40, digits=6)
+def _ranked(spark, d, index=None):
+    best = I.bm25_search(index or I.build_index(_chunks(spark, d)), _questions(spark, d), 40, digits=6)
     return best.withColumn("score", F.round("score", 6) / 100).join(_chunks(spark, d).select("chunk_id", "source_file", "source_type"), "chunk_id").drop("rank")
 
 
@@ -311,7 +310,8 @@ SELECT r.qid, r.chunk_id, round(CASE WHEN total > 0 THEN coalesce(got, 0) / tota
 FROM ranked r LEFT JOIN got g ON g.qid = r.qid AND g.chunk_id = r.chunk_id LEFT JOIN total t ON t.qid = r.qid""")
 def rerank_penalty(spark, d):
     """R6, R7, D4."""
-    rows = R.coverage(I.build_index(_chunks(spark, d)), _questions(spark, d), _ranked(spark, d).select("qid", "chunk_id"))
+    index = I.build_index(_chunks(spark, d))
+    rows = R.coverage(index, _questions(spark, d), _ranked(spark, d, index).select("qid", "chunk_id"))
     rows = rows.join(_chunks(spark, d).drop("text"), "chunk_id").join(_questions(spark, d), "qid")
     return R.rerank(rows).select("qid", "chunk_id", F.round("raw", 6).alias("raw"), F.col("penalty").cast("double").alias("penalty"))
 
@@ -388,17 +388,15 @@ def continuation_merge(spark, d):
 def unit_dedupe(spark, d):
     """W4."""
     lines = load(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    once = F.row_number().over(Window.partitionBy("source", F.lower("line")).orderBy("doc_id", "ord"))
-    return lines.withColumn("n", once).where("n = 1").select("source", F.lower("line").alias("line"), "doc_id")
+    return A.once(lines, ["source"], "line", ["doc_id", "ord"]).select("source", F.lower("line").alias("line"), "doc_id")
 
 
-@query("SELECT conv_id, sum(CASE WHEN turn = 0 OR role = 'user' THEN 1 ELSE 0 END)::BIGINT AS islands, count(*) AS turns FROM conversations GROUP BY conv_id")
+@query(f"SELECT conv_id, sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{T.ANAPHORA}') THEN 1 ELSE 0 END)::BIGINT AS islands, sum(length(text))::BIGINT + count(*) - sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{T.ANAPHORA}') THEN 1 ELSE 0 END)::BIGINT AS chars FROM (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
 def anaphora_islands(spark, d):
-    """A row that refers back joins the one before; the first always opens an island."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    opens = (F.row_number().over(w) == 1) | (F.col("role") == "user")
-    rows = load(spark, d, "conversations").withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("int")).over(w))
-    return rows.groupBy("conv_id").agg(F.max("island").alias("islands"), F.count("*").alias("turns"))
+    """A turn that refers back joins the one before; the first always opens an island."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", X.text("text").alias("text")))), lambda x: x["text"])
+    rows = load(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", T.joined_back(F.col("turns")).alias("units"))
+    return rows.select("conv_id", F.size("units").cast("long").alias("islands"), F.length(F.array_join("units", "")).cast("long").alias("chars"))
 
 
 # --- ingestion and answers ---------------------------------------------------
@@ -416,10 +414,8 @@ def page_sections(spark, d):
 @query()
 def pack_overlap(spark, d):
     """Lines as paragraphs."""
-    from lucerna.operators.segment import split_long
-
     docs = load(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return docs.select("doc_id", F.posexplode(split_long(200, 0.15)("text")).alias("piece", "body")).select("doc_id", "piece", X.approx_tokens("body").alias("n_tokens"))
+    return docs.select("doc_id", F.posexplode(T.split_long("text", 200, 0.15)).alias("piece", "body")).select("doc_id", "piece", X.approx_tokens("body").alias("n_tokens"))
 
 
 @query()
@@ -434,7 +430,7 @@ def segment_units(spark, d):
 def extractive_answer(spark, d):
     """X1 to X7, T8, F35."""
     index = I.build_index(_chunks(spark, d))
-    rows = R.select_with_quota(_ranked(spark, d), 5, 2, 0.05, 0.01, 3).join(_chunks(spark, d).select("chunk_id", "text", "section", "page", "chunk_index"), "chunk_id")
+    rows = R.select_with_quota(_ranked(spark, d, index), 5, 2, 0.05, 0.01, 3).join(_chunks(spark, d).select("chunk_id", "text", "section", "page", "chunk_index"), "chunk_id")
     return A.extractive_answer(rows.drop("reserved"), _questions(spark, d), index.terms)
 
 
@@ -484,44 +480,57 @@ def resume_pending(spark, d):
 
 # --- graphs ------------------------------------------------------------------
 
-_PAIRS = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b"), ("c", "f")]
-_EDGES = "edges(pos, source, target) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(_PAIRS)) + ")"
+# Parts as a graph: from each key to its double, its double and one, and its triple. Even keys are decisions, every fifth edge is a reference.
+_PARTS = """edges AS (SELECT a.p_partkey AS s, b.p_partkey AS t, k.k AS pos, 'o' || k.k AS label FROM part a CROSS JOIN (VALUES (0), (1), (2)) k(k) JOIN part b ON b.p_partkey = CASE k.k WHEN 0 THEN 2 * a.p_partkey WHEN 1 THEN 2 * a.p_partkey + 1 ELSE 3 * a.p_partkey END WHERE b.p_partkey % 5 <> 0)"""
+_ROUTES = f"""{_PARTS}, walk(node, depth, path, trail, last) AS (SELECT 1::BIGINT, 0::BIGINT, ''::VARCHAR, ''::VARCHAR, 0::BIGINT UNION ALL SELECT t, depth + 1, path || s || label || ' ', trail || pos, s FROM walk JOIN edges ON s = node)"""
+
 
+def _graph(spark, d):
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    ways = part.select("k", F.posexplode(F.array(2 * F.col("k"), 2 * F.col("k") + 1, 3 * F.col("k"))).alias("edge_pos", "to"))
+    ways = ways.join(part.select(F.col("k").alias("to")), "to")
+    name = lambda c: F.col(c).cast("string")
+    edges = ways.select(F.lit("P").alias("protocol_id"), "edge_pos", name("k").alias("source"), name("to").alias("target"), F.concat(F.lit("o"), name("edge_pos")).alias("label"), (F.col("to") % 5 == 0).alias("reference"), F.lit(False).alias("independent"))
+    kind = F.when(F.col("k") == 1, N.START).when(F.col("k") % 2 == 0, N.DECISION).otherwise("action")
+    nodes = part.select(F.lit("P").alias("protocol_id"), name("k").alias("node_id"), kind.alias("kind"), name("k").alias("text"), F.lit("s").alias("section"), F.lit("").alias("source_ref"))
+    return nodes, edges
 
-def _graph(spark):
-    rows = [("P", i, a, b, f"{a}{b}", False, False) for i, (a, b) in enumerate(_PAIRS)]
-    nodes = [("P", n, N.START if n == "a" else N.DECISION if n in "c" else "accion", f"text {n}", "s") for n in "abcdef"]
-    return spark.createDataFrame(nodes, S.NODES), spark.createDataFrame(rows, S.EDGES)
 
+def _first(nodes, *ids):
+    return nodes.where(F.col("node_id").isin(*ids)).select("protocol_id", "node_id")
 
-@query(f"""WITH RECURSIVE {_EDGES}, walk(node_id, depth) AS (SELECT 'a', 0 UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = node_id WHERE depth < 6)
-SELECT node_id, min(depth)::BIGINT AS depth FROM walk GROUP BY node_id""")
+
+@query(f"WITH RECURSIVE {_PARTS}, walk(node, depth) AS (SELECT 1::BIGINT, 0::BIGINT UNION SELECT t, depth + 1 FROM walk JOIN edges ON s = node) SELECT node::VARCHAR AS node_id, min(depth) AS depth FROM walk GROUP BY node")
 def graph_reach(spark, d):
     """N2, P16."""
-    nodes, edges = _graph(spark)
-    return N.routes(edges, nodes.where("node_id = 'a'")).select("node_id", "depth")
+    nodes, edges = _graph(spark, d)
+    return N.routes(edges, _first(nodes, "1")).select("node_id", "depth")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, walk(node_id, depth, path, trail) AS (SELECT 'a', 0, '', '' UNION ALL SELECT target, depth + 1, path || source || target || ' ', trail || pos FROM walk JOIN edges ON source = node_id WHERE depth < 5)
-SELECT node_id, trim(path) AS route FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY depth, trail) AS n FROM walk) WHERE n = 1""")
+@query(f"WITH RECURSIVE {_ROUTES} SELECT node::VARCHAR AS node_id, trim(path) AS route FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, trail) AS n FROM walk) WHERE n = 1")
 def shortest_route(spark, d):
     """N3."""
-    nodes, edges = _graph(spark)
-    return N.routes(edges, nodes.where("node_id = 'a'")).select("node_id", F.array_join(F.transform("path", lambda s: s["label"]), " ").alias("route"))
+    nodes, edges = _graph(spark, d)
+    return N.routes(edges, _first(nodes, "1")).select("node_id", F.array_join(F.transform("path", lambda s: F.concat(s["node_id"], s["label"])), " ").alias("route"))
 
 
-@query("SELECT 'P' AS protocol_id, 'b' AS node_id")
+@query(f"""WITH RECURSIVE {_PARTS}, walk(root, node, depth, trail) AS (SELECT r, r, 0::BIGINT, ''::VARCHAR FROM (VALUES (2::BIGINT), (3::BIGINT)) v(r) UNION ALL SELECT root, t, depth + 1, trail || pos FROM walk JOIN edges ON s = node)
+SELECT 'P' AS protocol_id, node::VARCHAR AS node_id FROM walk WHERE root = 2 AND node IN (SELECT node FROM walk WHERE root = 3) ORDER BY depth, trail LIMIT 1""")
 def join_node(spark, d):
     """N5, J12, U7."""
-    nodes, edges = _graph(spark)
-    return N.join_nodes(N.routes(edges, nodes.where("node_id IN ('b', 'c')")))
+    nodes, edges = _graph(spark, d)
+    return N.join_nodes(N.routes(edges, _first(nodes, "2", "3")))
 
 
-@query("SELECT 'P' AS protocol_id, 'c' AS node_id, 'cf' AS label")
+@query(f"""WITH RECURSIVE {_ROUTES}, best AS (SELECT node, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, trail) AS n FROM walk) WHERE n = 1),
+steps AS (SELECT node, pos, regexp_extract(step, '^[0-9]+')::BIGINT AS decision, regexp_extract(step, 'o[0-9]$') AS label FROM (SELECT node, unnest(l) AS step, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT node, string_split(trim(path), ' ') AS l FROM best WHERE path <> ''))),
+opts AS (SELECT DISTINCT s AS decision, t AS option FROM edges WHERE s % 2 = 0 AND s <> 1), reach(option, node) AS (SELECT DISTINCT option, option FROM opts UNION SELECT option, t FROM reach JOIN edges ON s = node),
+got AS (SELECT decision, r.node, count(DISTINCT o.option) AS n FROM opts o JOIN reach r ON r.option = o.option GROUP BY ALL), total AS (SELECT decision, count(*) AS n FROM opts GROUP BY decision)
+SELECT s.node::VARCHAR AS node_id, s.pos::BIGINT AS pos, s.decision::VARCHAR AS decision_id, s.label FROM steps s JOIN total t ON t.decision = s.decision LEFT JOIN got g ON g.decision = s.decision AND g.node = s.node WHERE coalesce(g.n, 0) < t.n""")
 def conditions_to(spark, d):
-    """N4."""
-    nodes, edges = _graph(spark)
-    return N.conditions(edges, nodes, nodes.where("node_id = 'a'"), "f").select("protocol_id", "node_id", "label")
+    """N4, for every node."""
+    nodes, edges = _graph(spark, d)
+    return N.all_conditions(edges, nodes, _first(nodes, "1")).select("node_id", "pos", "decision_id", "label")
 
 
 @query("SELECT s_suppkey AS start, count(*) AS reached FROM (SELECT s_suppkey, 'n' || s_nationkey AS x FROM supplier UNION SELECT s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT s_suppkey, 's' || s_suppkey FROM supplier) GROUP BY s_suppkey")
@@ -536,20 +545,80 @@ def supplier_reach(spark, d):
 
 
 TREE = {
-    "metadata": {"code": "XX-PL-001", "version": 3, "title": "Demo", "scope": "demo"},
-    "nodes": [{"id": i, "type": t, "label": s, "src": "s1"} for i, t, s in (("n0", "inicio", "Start"), ("n1", "decision", "Fever?"), ("n2", "accion", "Measure with device"), ("n3", "decision", "Risk?"), ("n4", "accion", "Ward"), ("n5", "accion", "Home"), ("n6", "accion", "End"))],
+    "metadata": {"protocol": "XX-PL-001", "version": 3, "title": "Demo", "scope": "demo"},
+    "nodes": [{"id": i, "type": t, "label": s, "src": "p.1"} for i, t, s in (("n0", "start", "Start"), ("n1", "decision", "Fever?"), ("n2", "action", "Measure with device"), ("n3", "decision", "Risk?"), ("n4", "action", "Ward"), ("n5", "action", "Home"), ("n6", "action", "End"))],
     "edges": [{"from": a, "to": b, "label": c} for a, b, c in (("n0", "n1", ""), ("n1", "n2", "si"), ("n1", "n6", "no"), ("n2", "n3", ""), ("n3", "n4", "alto + device"), ("n3", "n5", "bajo"), ("n4", "n6", ""), ("n5", "n6", ""))],
 }
 
 
-@query("""SELECT user_id AS case_id, CASE WHEN user_id % 4 = 3 THEN 'dato_desconocido' WHEN user_id % 4 = 2 THEN 'pendiente' ELSE 'completo' END AS status FROM (SELECT DISTINCT user_id FROM events)""")
+@query("""SELECT user_id AS case_id, ['completo', 'completo', 'pendiente', 'dato_desconocido'][k] AS status, ['n0 n1=no n6', 'n0 n1=si n2 n3=alto + device n4 n6', 'n0 n1=si n2', 'n0'][k] AS steps, [NULL, NULL, 'n3', 'n1'][k] AS stopped_at, ['', '', 'alto + device|bajo', 'si|no'][k] AS options FROM (SELECT DISTINCT user_id, user_id % 4 + 1 AS k FROM events)""")
 def walk_cases(spark, d):
     """Answers by case: no; yes then high; yes alone; unknown."""
-    _, nodes, edges = S.parse_tree(TREE)
+    _, nodes, edges = S.tree_tables(spark, [TREE])
     kind = F.col("case_id") % 4
     answers = F.when(kind == 0, F.create_map(F.lit("n1"), F.lit("no"))).when(kind == 1, F.create_map(F.lit("n1"), F.lit("si"), F.lit("n3"), F.lit("alto + device"))).when(kind == 2, F.create_map(F.lit("n1"), F.lit("si"))).otherwise(F.create_map(F.lit("n1"), F.lit(X.UNKNOWN)))
-    cases = load(spark, d, "events").select(F.col("user_id").alias("case_id")).distinct().withColumn("answers", answers)
-    return N.walk_cases(cases, nodes, edges).select("case_id", "status")
+    cases = load(spark, d, "events").select(F.col("user_id").alias("case_id"), F.lit("XX-PL-001").alias("protocol_id")).distinct().withColumn("answers", answers)
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws("=", s["node_id"], s["choice"])), " ")
+    return N.walk_cases(cases, nodes, edges).select("case_id", "status", steps.alias("steps"), "stopped_at", F.array_join("options", "|").alias("options"))
+
+
+_SECTIONS = "(SELECT o_orderkey AS qid, ['4. INTRODUCCIÓN', 'Hemocultivos', 'CONTROL DE CAMBIOS — 06', '3. Alcance — Dosis'][o_orderkey % 4 + 1] AS section, CASE WHEN o_orderkey % 3 = 0 THEN '¿que cambios e introducciones hay?' ELSE 'dosis' END AS question, o_orderkey % 5 = 0 AS header, o_orderkey % 7 = 0 AS outside FROM orders)"
+
+
+@query(f"""SELECT qid, CASE WHEN header THEN -0.2 WHEN outside THEN -0.2 WHEN qid % 4 = 0 THEN CASE WHEN contains(question, 'introdu') THEN 0.0 ELSE -0.2 END WHEN qid % 4 = 2 THEN CASE WHEN contains(question, 'cambios') THEN 0.0 ELSE -0.2 END ELSE 0.0 END::DOUBLE AS penalty FROM {_SECTIONS}""")
+def admin_sections(spark, d):
+    """Header, first page of an outside document, last title, first title of a table of changes, and what the question names."""
+    k = F.col("o_orderkey")
+    section = F.element_at(F.array(*map(F.lit, ("4. INTRODUCCIÓN", "Hemocultivos", "CONTROL DE CAMBIOS — 06", "3. Alcance — Dosis"))), (k % 4 + 1).cast("int"))
+    question = F.when(k % 3 == 0, "¿que cambios e introducciones hay?").otherwise("dosis")
+    text = F.when(k % 5 == 0, "Proceso: Cuidado Código: CT-PL-193").otherwise("x")
+    source = F.when(k % 7 == 0, "guia").otherwise(R.INSTITUTIONAL)
+    return load(spark, d, "orders").select(k.alias("qid"), R.admin_penalty(section, question, source, F.lit(1), text).cast("double").alias("penalty"))
+
+
+_TITLES = "['Antes', '2. RECOMENDACIONES', 'MANEJO INICIAL', 'Hemocultivos', '5. Diagnóstico: Orina', 'Tarjetas de bolsillo']"
+
+
+@query(f"""WITH t AS (SELECT l_orderkey, l_linenumber, {_TITLES}[l_partkey % 6 + 1] AS title FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey)),
+k AS (SELECT *, CASE WHEN starts_with(title, '5.') THEN '5. Diagnóstico' WHEN starts_with(title, '2.') OR starts_with(title, 'Tarj') THEN title END AS top FROM t),
+w AS (SELECT *, max(CASE WHEN top IS NOT NULL THEN l_linenumber END) OVER win AS top_at, max(CASE WHEN title = 'MANEJO INICIAL' THEN l_linenumber END) OVER win AS mid_at, last_value(top IGNORE NULLS) OVER win AS last_top FROM k WINDOW win AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING))
+SELECT l_orderkey::VARCHAR AS source_file, l_linenumber::BIGINT AS pos, concat_ws(' — ', last_top, CASE WHEN mid_at > coalesce(top_at, -1) THEN 'MANEJO INICIAL' END, CASE WHEN starts_with(title, '5.') THEN 'Orina' WHEN title IN ('Antes', 'Hemocultivos') THEN title END) AS path FROM w""")
+def title_paths(spark, d):
+    """W6."""
+    titles = ("Antes", "2. RECOMENDACIONES", "MANEJO INICIAL", "Hemocultivos", "5. Diagnóstico: Orina", "Tarjetas de bolsillo")
+    rows = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    title = F.element_at(F.array(*map(F.lit, titles)), (F.col("k") % 6 + 1).cast("int"))
+    return G.title_paths(rows.select(F.col("l_orderkey").cast("string").alias("source_file"), F.lit(1).alias("page"), F.col("l_linenumber").alias("pos"), title.alias("title"))).select("source_file", "pos", "path")
+
+
+@query("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 3 = 0 THEN 'n1=si' ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '' END || 'n3=bajo' ELSE '' END AS answers FROM orders")
+def decision_answers(spark, d):
+    """Only values that are labels of their decision stay."""
+    _, _, edges = S.tree_tables(spark, [TREE])
+    k = F.col("o_orderkey")
+    value = lambda node, v: F.struct(F.lit(node).alias("node_id"), v.alias("value"))
+    said = F.array(value("n1", F.when(k % 3 == 0, "si").otherwise("tal vez")), value("n3", F.when(k % 2 == 0, "bajo").otherwise("si")))
+    rows = load(spark, d, "orders").select(k.alias("case_id"), F.lit("XX-PL-001").alias("protocol_id"), F.inline(said))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("answers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return N.chosen_answers(rows, edges).select("case_id", shown.alias("answers"))
+
+
+@query("SELECT o_orderkey AS qid, unnest(CASE WHEN o_orderkey % 3 = 0 THEN ['n2', 'n6'] ELSE ['n4'] END) AS node_id, generate_subscripts(CASE WHEN o_orderkey % 3 = 0 THEN ['n2', 'n6'] ELSE ['n4'] END, 1)::BIGINT AS pos, o_orderkey % 3 = 0 AS by_model FROM orders")
+def node_selection(spark, d):
+    """Known ids once each and in order; the lexical ranking where the selector failed or named none."""
+    _, nodes, _ = S.tree_tables(spark, [TREE])
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("qid"))
+    ids = F.when(F.col("qid") % 3 == 0, F.array(*map(F.lit, ("n2", "zz", "n2", "n0", "n6")))).when(F.col("qid") % 3 == 1, F.array(F.lit("zz")))
+    return N.selected_nodes(rows.withColumn("ids", ids), nodes, rows.select("qid", F.lit("n4").alias("node_id"), F.lit(1).alias("rank"))).select("qid", "node_id", "pos", "by_model")
+
+
+@query("SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 2 = 0 THEN 'XX-PL-001' END AS protocol_id, CASE WHEN o_orderkey % 3 = 0 THEN 'consulta' ELSE 'caso' END AS mode FROM orders")
+def protocol_mode(spark, d):
+    """O10."""
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("qid"))
+    known = spark.createDataFrame([("XX-PL-001", ["fever"])], "protocol_id string, terms array<string>")
+    verdicts = rows.select("qid", F.when(F.col("qid") % 2 == 0, " xx-pl-001").otherwise("NINGUNO").alias("protocol"), F.when(F.col("qid") % 3 == 0, "Consulta ").when(F.col("qid") % 3 == 1, "?").alias("mode"))
+    return N.classified(rows, known, verdicts)
 
 
 # --- verification and evaluation ---------------------------------------------
@@ -609,15 +678,16 @@ per AS (SELECT t.qid, k, n, count(b.chunk_id) FILTER (rank <= k) AS top, count(g
 SELECT qid, k::BIGINT AS k, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT qid, k, CASE WHEN top > 0 THEN hits / top ELSE 0 END AS p, hits / n AS r FROM per)""")
 def ir_metrics(spark, d):
     """E1, J14."""
-    best = I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 10, digits=6)
-    out = E.ir_metrics(best, _gold(spark, d))
+    index = I.build_index(_chunks(spark, d))
+    out = E.ir_metrics(I.bm25_search(index, _questions(spark, d), 10, digits=6), _gold(spark, d, index))
     return out.select("qid", "k", *(F.round(c, 6).alias(c) for c in ("p", "r", "f1")))
 
 
 @query(f"""WITH {_BM25}, {_GOLD}, best AS ({_top('scored', 6)} AND score > 0) SELECT count(*) AS questions, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / count(*) AS rate FROM (SELECT qid, bool_or(EXISTS (SELECT 1 FROM best b WHERE b.qid = gold.qid AND b.chunk_id = gold.chunk_id)) AS hit FROM gold GROUP BY qid)""")
 def hit_rate(spark, d):
     """E2."""
-    return E.hit_rate(I.bm25_search(I.build_index(_chunks(spark, d)), _questions(spark, d), 6, digits=6), _gold(spark, d))
+    index = I.build_index(_chunks(spark, d))
+    return E.hit_rate(I.bm25_search(index, _questions(spark, d), 6, digits=6), _gold(spark, d, index))
 
 
 @query("SELECT count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median FROM events")
@@ -641,11 +711,11 @@ def wizard_state(spark, d):
     from lucerna.streaming.session import advance
 
     _, nodes, edges = S.parse_tree(TREE)
-    graph = N.Graph(nodes, edges)
+    program = N.compiled(nodes, edges)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         said = [None, *(("si", "bajo", "?")[i % 3] for i in df.sort_values("event_id")["event_id"])]
-        _, asked, _, status, _ = advance(graph, {}, 0, None, said)
+        _, asked, _, status, _ = advance(program, {}, 0, None, said)
         return pd.DataFrame({"user_id": df["user_id"].iloc[:1], "status": [status], "asked": [asked]})
 
     return load(spark, d, "events").select("user_id", "event_id").groupBy("user_id").applyInPandas(run, "user_id long, status string, asked int")

@@ -5,6 +5,7 @@ A null text counts as empty unless stated otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -34,11 +35,20 @@ def nfkd_fold(c: pd.Series) -> pd.Series:
     return c.fillna("").map(lambda s: "".join(x for x in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(x)))
 
 
+def _prefix_tree(words) -> str:
+    """A pattern of the words that shares their beginnings, so that a word is tested in as many steps as it has letters."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [re.escape(h) + (_prefix_tree(rest) if rest != [""] else "") for h, rest in heads.items() if h]
+    return "(?:" + "|".join(parts) + ")" + ("?" if ends else "") if parts else ""
+
+
 def tokens(c: Column | str, stop=W.STOPWORDS) -> Column:
-    """folded runs of letters and digits that are not stop words; negations stay."""
-    found = F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0))
-    held = _strings(stop)
-    return F.filter(found, lambda t: ~F.array_contains(held, t))
+    """folded runs of letters and digits that are not stop words; negations stay. One pattern finds them, without a test by row and word."""
+    skipped = f"(?!{_prefix_tree(stop)}(?![a-z0-9]))" if stop else ""
+    return F.regexp_extract_all(fold(c), F.lit(f"(?<![a-z0-9]){skipped}[a-z0-9]++"), F.lit(0))
 
 
 def query_tokens(c: Column | str, meta=W.META) -> Column:
@@ -88,17 +98,19 @@ def clean_title(c: Column | str) -> Column:
     return F.rtrim(strip_emphasis(c), F.lit(" :."))
 
 
-@F.pandas_udf(T.StringType())
-def file_key(c: pd.Series) -> pd.Series:
-    """escapes `#Uxxxx` decoded, folded, letters and digits only."""
-    import re
+def _unescaped(c: Column) -> Column:
+    """`#Uxxxx` as the character it stands for."""
 
-    def one(s: str) -> str:
-        s = re.sub(r"#U([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), s)
-        s = unicodedata.normalize("NFKD", s.lower())
-        return re.sub(r"[^a-z0-9]", "", s)
+    def one(p: Column, i: Column) -> Column:
+        char = F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE")
+        return F.when(i == 0, p).when(p.rlike("^[0-9a-fA-F]{4}"), F.concat(char, F.substring(p, 5, 1 << 20))).otherwise(F.concat(F.lit("#U"), p))
 
-    return c.fillna("").map(one)
+    return F.when(F.contains(c, F.lit("#U")), F.array_join(F.transform(F.split(c, "#U", -1), one), "")).otherwise(c)
+
+
+def file_key(c: Column | str) -> Column:
+    """escapes `#Uxxxx` decoded, folded, letters and digits only."""
+    return F.regexp_replace(fold(_unescaped(text(c))), "[^a-z0-9]", "")
 
 
 def line_key(c: Column | str) -> Column:
@@ -163,59 +175,88 @@ def is_numbered_question(c: Column | str) -> Column:
 
 
 def with_header(title: Column, body: Column, default: str = W.DEFAULT_SECTION) -> Column:
-    """the clean title above the text, unless it is empty, the default, or there already."""
-    t = clean_title(title)
-    skip = (t == "") | (t == default) | F.startswith(F.lower(body), F.lower(t))
-    return F.when(skip, body).otherwise(F.concat(t, F.lit(".\n"), body))
+    """the title above the text, unless it is empty, the default, or there already."""
+    t = strip_emphasis(title)
+    skip = (t == "") | (t == default) | F.startswith(strip_emphasis(body), t)
+    return F.when(skip, body).otherwise(F.concat(t, F.lit("\n\n"), body))
+
+
+# What cleaning takes away, and what makes an outside unit unusable.
+QUIZ = r"(?i),?\s*(so|therefore|thus)?\s*the (correct )?answer is \(?[a-e]\)?\.?|\bpor lo que la respuesta es \(?[a-e]\)?\.?"
+MARKDOWN = r"(?m)(\*\*|__|(?<!\w)[*_](?!\s)|(?<!\s)[*_](?!\w)|^#+\s*)"
+CALL_OUT = r"\s*\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]"
+INLINE_BULLET = r"\s*[•➢▪◦]\s*"
+TRAILING_CALLS = r"(?<=[a-z)])(?:\s[0-9]{1,3}){2,4}(?=\s*(?:[;.]|$))"
+DOT_CALLS = r"(?<=[A-Za-z)])\.([0-9]{1,3}(?:[,–-][0-9]{1,3})*)(?=\s|$)"
+UNDERSCORE_CALLS = r"_\s?[0-9]{1,3}(?:[,–-][0-9]{1,3})*\b"
+FOOTNOTE_MARKS = r"[†‡§¶]"
+CITED = r"(?i)\bet al\b|doi\.org|\bdoi\s*:|https?://|\bpmid\b|essential reading"
+REFERENCE_START = r"(?:^|(?<=[.;:]\s))[A-Z][\w'-]+ [A-Z]{1,3}(?:,| et al)"
+STUDY_SUMMARY = r"\b(?:[Ee]l|[Uu]n|[Ll]os|[Ee]ste|[Dd]icho)\s+(?:estudio|an[aá]lisis|ensayo|metan[aá]lisis)s?\s+de\s+[A-Z]|\by colaboradores\b"
+ABBREVIATION = r"\b(?!(?:OR|HR|RR)\b)[A-Z][A-Za-z0-9]{1,8}\s?=\s?[A-Za-z]"
+LEADING_ABBREVIATION = r"^[A-Z][\w ]{0,15}?\s?=\s?\S"
+ATTRIBUTION = r"(?i)^(advice|adapted|reproduced|modified|data|source|tomad[oa]|adaptad[oa])\b.{0,40}\b(from|de)\b"
+FINITE_VERB = r"(?i)\b(is|are|was|were|has|have|had|should|can|may|must|recommends?|suggests?|es|son|fue|tiene|tienen|debe|deben|puede|pueden|recomienda|recomendamos|sugerimos)\b"
+SENTENCE_END = r"[.!?](?=\s+[A-ZÁÉÍÓÚÑ¿¡])"
+TERMINAL = r"[.!?:;)\"»]$"
+DANGLING = "the a an of to in for with and or but than that which who we be by from at as plus less more greater el la los las un una de del al en con por para y o que se su sus menor mayor".split()
+SHORT_UNIT, SHORT_VERB_UNIT, REFERENCE_HEAD = 15, 8, 4
 
 
 def clean_unit(c: Column | str) -> Column:
-    """marks, numeric call-outs, inline bullets and doubled dots go; single blanks."""
-    x = F.regexp_replace(text(c), r"[*_#`]+", "")
-    x = F.regexp_replace(x, r"\[[0-9, -]+\]", "")
-    x = F.regexp_replace(x, r"\s[•●▪]\s", " ")
-    x = F.regexp_replace(x, r"\.{2,}", ".")
-    x = F.regexp_replace(x, r"\s+([.,;:])", "$1")
+    """quiz answers, marks, numeric call-outs, inline bullets and doubled dots go; single blanks."""
+    x = F.regexp_replace(text(c), QUIZ, ".")
+    x = F.regexp_replace(x, r"\.\s*\.", ".")
+    x = F.regexp_replace(F.regexp_replace(x, MARKDOWN, ""), CALL_OUT, "")
+    x = F.regexp_replace(x, INLINE_BULLET, " ")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
 def tidy_external(c: Column | str) -> Column:
-    """reference calls of other publications: italic calls, 2 to 4 trailing numbers, `.NN`, foot-note marks."""
-    x = F.regexp_replace(text(c), r"_\([^)]*\)_", "")
-    x = F.regexp_replace(x, "_", "")
-    x = F.regexp_replace(x, r"(?<=[a-z)])\s+[0-9]{1,3}([,–-][0-9]{1,3}){1,3}(?=[.;]|$)", "")
-    x = F.regexp_replace(x, r"(?<=[a-z)]\.)[0-9]{1,3}(?=\s|$)", "")
-    x = F.regexp_replace(x, r"[†‡§¶]", "")
+    """reference calls of other publications: 2 to 4 trailing numbers, numbers after a dot or an underscore, foot-note marks; underscores and blanks before punctuation."""
+    x = F.regexp_replace(text(c), TRAILING_CALLS, "")
+    x = F.regexp_replace(F.regexp_replace(x, DOT_CALLS, "."), FOOTNOTE_MARKS, "")
+    x = F.replace(F.regexp_replace(x, UNDERSCORE_CALLS, ""), F.lit("_"), F.lit(""))
     return F.trim(F.regexp_replace(x, r"\s+([.,;:])", "$1"))
 
 
 def strip_references(c: Column | str) -> Column:
-    """the text before the first reference, if it has four words and does not end in a colon; else empty."""
+    """of a text that cites, what stands before the first surname with initials, if it has four words and does not end in a colon; else nothing."""
     x = text(c)
-    at = F.regexp_instr(x, F.lit(r"(^|\s)\[?[0-9]{1,3}[.\]]\s+\p{Lu}"))
-    head = F.rtrim(F.when(at > 1, F.substring(x, F.lit(1), at - 1)).otherwise(""))
-    good = (n_words(head) >= 4) & ~F.endswith(head, F.lit(":"))
-    return F.when(~x.rlike(r"(?i)(et al|doi|19[0-9]{2};|20[0-9]{2};)"), x).when(good, head).otherwise("")
+    at = F.regexp_instr(x, F.lit(REFERENCE_START))
+    head = F.trim(F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(""))
+    good = (n_words(head) >= REFERENCE_HEAD) & ~F.endswith(head, F.lit(":"))
+    return F.when(~x.rlike(CITED), x).when(good, head).otherwise("")
 
 
-DANGLING = r"(?i)(^|\s)(a|and|con|de|del|el|en|la|los|of|or|para|por|que|the|to|with|y)$"
+def _dangles(c: Column) -> Column:
+    return F.lower(F.element_at(F.split(F.trim(c), r"\s+"), -1)).isin(*DANGLING)
 
 
 def trim_tail(c: Column | str) -> Column:
     """an unfinished last sentence goes if it dangles or is short, and a finished one stands before it."""
-    x = F.rtrim(text(c))
-    head = F.regexp_extract(x, r"(?s)^(.*[.!?])\s+[^.!?]*$", 1)
-    tail = F.substring(x, F.length(head) + 1, F.length(x))
-    cut = ~x.rlike(r"[.!?:;)]$") & (head != "") & (F.trim(tail).rlike(DANGLING) | (n_words(tail) < 15))
-    return F.when(cut, head).otherwise(x)
+    x = text(c)
+    body = F.rtrim(x, F.lit(" |"))
+    head = F.regexp_extract(body, rf"(?s)^(.*{SENTENCE_END})", 1)
+    tail = F.trim(F.substring(body, F.length(head) + 1, F.length(body)))
+    unfinished = ~body.rlike(TERMINAL) & (head != "") & (tail != "") & (_dangles(tail) | (n_words(tail) < SHORT_UNIT))
+    return F.when(unfinished, F.trim(head)).otherwise(x)
+
+
+def is_study_summary(c: Column | str) -> Column:
+    """the summary of a study rather than advice."""
+    return text(c).rlike(STUDY_SUMMARY)
 
 
 def unusable_external(c: Column | str) -> Column:
-    """abbreviation lists, attributions, fragments that start or end in mid-sentence."""
-    x = F.trim(text(c))
-    definitions = F.regexp_count(x, F.lit(r"\b[A-Z]{2,6} ?[=:] ?[a-z]"))
-    starts = x.rlike(r"(?i)^(abbreviations|abreviaturas|adapted from|adaptado de|source:|fuente:)")
-    return (definitions >= 3) | starts | (x.rlike(r"^\p{Ll}") & (n_words(x) < 12)) | (x.rlike(DANGLING) & (n_words(x) < 12))
+    """abbreviation lists, attributions, leading definitions; short fragments that start in lower case, dangle, or are a clause without its end."""
+    x = text(c)
+    bare = F.rtrim(x, F.lit(" |"))
+    ending = F.regexp_extract(bare, r"([0-9,.\s]+)$", 1)
+    body = F.concat(F.regexp_replace(bare, r"[0-9,.\s]+$", ""), F.when(F.contains(ending, F.lit(".")), ".").otherwise(""))
+    n, low = n_words(body), x.rlike(r"^\p{Ll}")
+    cut = (n < SHORT_UNIT) & ~body.rlike(TERMINAL) & (low | _dangles(body) | ((n < SHORT_VERB_UNIT) & body.rlike(FINITE_VERB)))
+    return (F.regexp_count(x, F.lit(ABBREVIATION)) >= 3) | x.rlike(ATTRIBUTION) | x.rlike(LEADING_ABBREVIATION) | (low & (n < SHORT_UNIT)) | cut
 
 
 def is_refusal(c: Column | str, markers=W.REFUSAL_MARKERS, limit: int = W.REFUSAL_WORDS) -> Column:
@@ -230,7 +271,8 @@ def citations(c: Column | str) -> Column:
 
 
 def plain_key(c: Column | str) -> Column:
-    return F.regexp_replace(fold(c), "[^a-z0-9]", "")
+    """F9 as the key of joins."""
+    return file_key(c)
 
 
 def cites(citation: Column, file: Column) -> Column:
@@ -268,48 +310,48 @@ def document_key(c: Column | str) -> Column:
 def headline(c: Column | str) -> Column:
     """the lines before the first bullet, joined; all if it starts with one."""
     x = text(c)
-    lines = F.split(x, "\n")
-    first = F.array_position(F.transform(lines, lambda s: s.rlike(r"^\s*[-*•]\s")), True)
-    head = F.filter(F.transform(F.slice(lines, 1, F.greatest(F.lit(0), first.cast("int") - 1)), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when((first == 0) | (F.size(head) == 0), x).otherwise(F.array_join(head, " "))
+    head = F.array_join(F.split(F.regexp_replace(x, r"(?s)(^|\n)•.*$", ""), "\n"), " ")
+    return F.when(head == "", x).otherwise(head)
 
 
 UNKNOWN = "UNKNOWN"
-UNKNOWN_PHRASES = ("no se", "no lo se", "desconocido", "unknown", "i do not know", "sin dato")
-YES, NO = ("si", "yes", "s", "y"), ("no", "n")
+# Words for yes and no, and the beginnings of not knowing.
+YES = ("si", "s", "yes", "y", "afirmativo", "positivo", "verdadero", "cumple")
+NO = ("no", "n", "negativo", "falso")
+NOT_KNOWN = re.compile(r"^(?!no se ha)(no se|nose|no lo se|no sabe|ns|desconoc\w*|sin dato\w*)\b")
+
+
+def _plain(s: str | None) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", (s or "").lower()) if not unicodedata.combining(c)).strip()
 
 
 def choose(raw: str | None, options: list[str]) -> str | None:
     """an answer in free words as one of the options, UNKNOWN, or nothing.
 
-    In this order: a phrase for not knowing; the option's number; the option
-    itself; yes or no where just one option starts so; the only option whose
-    words hold all words of the answer.
+    Rules in this order, the first that says anything decides: a phrase for not
+    knowing; the option's number; the option itself; a word for yes or no,
+    where just one option is not, or is, a no; the only option all of whose
+    words are in the answer.
     """
-
-    def plain(s: str) -> str:
-        s = "".join(c for c in unicodedata.normalize("NFKD", (s or "").lower()) if not unicodedata.combining(c))
-        return " ".join("".join(c if c.isalnum() else " " for c in s).split())
-
-    said = plain(raw or "")
+    said = _plain(raw).strip(" .,;:!¡?¿")
+    plain = [_plain(o) for o in options]
+    words = lambda s: set(re.findall("[a-z0-9]+", s))
+    nos = [k for k, p in enumerate(plain) if p.startswith("no")]
+    texts_of_no = {options[k] for k in nos}
+    yeses = [k for k, o in enumerate(options) if o not in texts_of_no]
     if not said:
         return None
-    if said in UNKNOWN_PHRASES:
+    if NOT_KNOWN.match(said):
         return UNKNOWN
-    if said.isdigit() and 1 <= int(said) <= len(options):
-        return options[int(said) - 1]
-    folded = {o: plain(o) for o in options}
-    same = [o for o, p in folded.items() if p == said]
-    if same:
-        return same[0]
-    for group in (YES, NO):
-        if said.split()[0] in group:
-            hit = [o for o, p in folded.items() if p.split()[:1] and p.split()[0] in group]
-            if len(hit) == 1:
-                return hit[0]
-    mine = set(said.split())
-    hit = [o for o, p in folded.items() if mine <= set(p.split())]
-    return hit[0] if len(hit) == 1 else None
+    rules = (
+        [int(said) - 1] if said.isdigit() and 1 <= int(said) <= len(options) else [],
+        [k for k, p in enumerate(plain) if p == said][:1],
+        yeses if said in YES and len(yeses) == 1 else [],
+        nos if said in NO and len(nos) == 1 else [],
+        [k for k, p in enumerate(plain) if words(p) <= words(said)],
+    )
+    hit = next((r for r in rules if r), [])
+    return options[hit[0]] if len(hit) == 1 else None
 
 
 @F.pandas_udf(T.StringType())
@@ -395,6 +437,8 @@ def rounded(c: Column, digits: int = 4) -> Column:
 
 def question_prompt(number: Column, label: Column, options: Column) -> Column:
     """The node's text and its options, in line for yes and no, else numbered."""
-    inline = F.concat(label, F.lit(" ("), F.array_join(options, "/"), F.lit(")"))
-    listed = F.concat(label, F.lit("\n"), F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n"))
-    return F.when(F.size(options) <= 2, inline).otherwise(listed)
+    firsts = F.array_sort(F.transform(options, lambda o: F.substring_index(fold(o), " ", 1)))
+    inline = F.array_join(options, " / ")
+    listed = F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
+    shown = F.when(firsts == F.array(F.lit("no"), F.lit("si")), inline).otherwise(listed)
+    return F.concat(label, F.lit("\n\n"), shown)

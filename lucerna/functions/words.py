@@ -39,9 +39,41 @@ OTHER_SOURCES = ["other guidelines", "other sources", "otras fuentes", "otras gu
 NEGATIONS = ["no ", "not ", "sin ", "without ", "ni ", "nor "]
 NEGATION_REACH = 30
 
-#: Administrative sections by the stem of their last title.
-ADMIN = {"anexo": -0.3, "appendi": -0.3, "autores": -0.4, "bibliog": -0.5, "control": -0.5, "firmas": -0.5, "indice": -0.4, "referen": -0.5, "revisio": -0.3}
+#: Beginnings of administrative sections, and the word by whose first letters a question names them.
+ADMIN = {
+    "objetivo": "objetivo",
+    "alcance": "alcance",
+    "introduccion": "introduccion",
+    "epidemiologia": "epidemiologia",
+    "epidemilogia": "epidemiologia",
+    "recopilacion de la evidencia": "evidencia",
+    "criterio de clasificacion": "clasificacion",
+    "control de cambios": "cambios",
+    "plan de delegacion": "delegacion",
+    "necesidades de investigacion": "investigacion",
+    "esta guia no aplica": "aplica",
+    "metodologia": "metodologia",
+    "poblacion de interes": "poblacion",
+    "usuarios de la guia": "usuarios",
+    "usuarios a quienes se dirige": "usuarios",
+    "methods": "metodo",
+    "research needs": "investigacion",
+    "outstanding research": "investigacion",
+    "conclusions and research needs": "investigacion",
+    "controversies and uncertainties": "controversia",
+    "resumen": "resumen",
+    "abstract": "resumen",
+    "summary": "resumen",
+    "introduction": "introduccion",
+    "conclusion": "conclusion",
+    "overview": "resumen",
+}
 ADMIN_STEM = 7
+#: A document's header, what a question about it names, and the section that holds a table of changes.
+DOCUMENT_HEADER = r"(?s)proceso:.*codigo:\s*ct-pl"
+HEADER_WORDS = "version|codigo|fecha"
+CHANGE_CONTROL = "control de cambios"
+ADMIN_PENALTY = 0.2
 
 #: Lines that are stamps or contacts, whole.
 CONTACT_LINE = r"(?i)^.*([a-z0-9._%+-]+@[a-z0-9-]+\.[a-z.]+|https?://|downloaded from|tel\.? ?:).*$"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +38,27 @@ def relevance_gate(rows: DataFrame, least: float = 0.1) -> DataFrame:
     return rows.withColumn("_best", F.max("score").over(Window.partitionBy("qid"))).where(F.col("_best") >= least).drop("_best")
 
 
+def once(rows: DataFrame, by: list[str], text: str, order: list[str]) -> DataFrame:
+    """Of rows whose text is the same but for case, the first."""
+    nth = F.row_number().over(Window.partitionBy(*by, F.lower(text)).orderBy(*order))
+    return rows.withColumn("_n", nth).where("_n = 1").drop("_n")
+
+
 def build_units(rows: DataFrame) -> DataFrame:
     """(qid, uid, unit, rank, ord, and the chunk's columns): units of all chunks, tidied if from outside, each text once, numbered u1..."""
-    cut = rows.select("*", F.posexplode(segment.segment_units("text", "section")).alias("ord", "unit"))
+    cut = rows.select("*", F.posexplode(segment.units("text", "section")).alias("ord", "unit"))
     outside = F.col("source_type") != INSTITUTIONAL
-    tidy = X.trim_tail(X.strip_references(X.tidy_external("unit")))
-    cut = cut.withColumn("unit", F.when(outside, tidy).otherwise(F.col("unit"))).where((F.col("unit") != "") & ~(outside & X.unusable_external("unit")))
-    once = F.row_number().over(Window.partitionBy("qid", F.lower("unit")).orderBy("rank", "ord"))
-    cut = cut.withColumn("_n", once).where("_n = 1")
+
+    def usable(u: Column) -> Column:
+        return F.when((u != "") & ~(outside & (X.is_study_summary(u) | X.unusable_external(u))), u)
+
+    # every step reads its input more than once, so each is bound: the optimizer would multiply columns
+    steps = [(X.tidy_external, outside), (X.strip_references, F.lit(True)), (X.trim_tail, outside)]
+    unit = reduce(lambda u, s: segment.bind(u, lambda v: F.when(s[1], s[0](v)).otherwise(v)), steps, F.col("unit"))
+    cut = cut.withColumn("unit", F.explode(F.filter(F.array(segment.bind(unit, usable)), lambda u: u.isNotNull())))
+    cut = once(cut, ["qid"], "unit", ["rank", "ord"])
     number = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "ord"))
-    return cut.withColumn("uid", F.concat(F.lit("u"), number.cast("string"))).drop("_n", "text")
+    return cut.withColumn("uid", F.concat(F.lit("u"), number.cast("string"))).drop("text")
 
 
 def unit_scores(units: DataFrame, questions: DataFrame, idf: DataFrame) -> DataFrame:
@@ -99,7 +111,7 @@ def compose(units: DataFrame, translations: DataFrame | None = None, fallback: s
 def extractive_answer(retrieved: DataFrame, questions: DataFrame, idf: DataFrame, most: int = 6, least: float = 0.1, translate: Callable | None = None) -> DataFrame:
     """Gate, merge, units, selection, translation, text; every question gets a row, the fallback if nothing is left."""
     rows = merge_continuations(relevance_gate(retrieved, least))
-    units = select_units(unit_scores(build_units(rows).cache(), questions, idf), most)
+    units = select_units(unit_scores(build_units(rows), questions, idf), most)
     answers = compose(units, translate(batches(units)) if translate else None)
     return questions.select("qid").join(answers, "qid", "left").withColumn("answer", F.coalesce("answer", F.lit(W.REFUSAL_TEXT)))
 

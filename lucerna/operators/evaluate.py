@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
+from lucerna.operators import index as I
+
+
+def occurrences(index: I.Index, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, chunk_id) of passages that occur word for word in chunks.
+
+    Such a chunk has every token inside the passage (the first and the last may
+    be parts of longer words): candidates come from the postings of the rarest
+    of them, and are compared in full. The few passages without one are
+    compared with every chunk, if they are few enough to broadcast.
+    """
+    asked = questions.select("qid", "question", X.tokens("question").alias("tokens"))
+    inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
+    terms = asked.select("qid", "question", F.explode(F.array_distinct(inner)).alias("term"))
+    rarest = terms.join(index.terms.select("term", "df"), "term", "left").groupBy("qid", "question").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
+    near = index.postings.select("term", "chunk_id").join(I.small(rarest), "term").select("qid", "question", "chunk_id")
+    found = near.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("question"))).select("qid", "chunk_id")
+    bare = I.small(asked.where(F.size(inner) <= 0).select("qid", "question"))
+    return found.union(chunks.join(bare, F.contains("text", F.col("question"))).select("qid", "chunk_id"))
 
 
 def ir_metrics(ranked: DataFrame, relevant: DataFrame, ks=(1, 3, 6)) -> DataFrame:

@@ -1,31 +1,44 @@
 """Decision graphs.
 
-`nodes`: protocol_id, node_id, kind, text, section. `edges`: protocol_id,
-edge_pos, source, target, label, reference, independent. The relational
-operators walk all graphs at once with a frontier per step; `walk_cases` walks
-one case per task row with the graph broadcast.
+`nodes`: protocol_id, node_id, kind, text, section, source_ref. `edges`:
+protocol_id, edge_pos, source, target, label, reference, independent. The
+relational operators work on all graphs at once with a frontier per step. A
+walk is a machine: a graph is compiled to one move for each node, and a case
+makes one move after the other on a stack of stretches still to go.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import unicodedata
+from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lucerna.functions import text as X
+from lucerna.operators import index as I
+from lucerna.operators import lineage
 
-CONTEXT_LABELS = ("contexto", "context", "ver", "see")
-START, DECISION = "inicio", "decision"
-"""Kinds of nodes (fixed values)."""
+# Labels of context edges, kinds of nodes, outcomes of a walk, headings of rendered text.
+CONTEXT_LABELS = ("contexto",)
+START, DECISION = "start", "decision"
 COMPLETE, PENDING, NO_ROUTE, UNKNOWN_DATUM = "completo", "pendiente", "sin_ruta", "dato_desconocido"
-"""Outcomes of a walk (fixed values)."""
+WALK_HEADING = "Recorrido del árbol clínico "
+CONSULT_HEADING, CONSULT_END = "Ramas del árbol clínico ", " relacionadas con la consulta:"
+OVERVIEW_HEADING, OVERVIEW_END = "Inicio del árbol clínico ", ", en el orden del recorrido:"
+NOTES_HEADING = "Además, según el diagrama:"
+TREE_FILE = "Árbol clínico "
+
+#: Nodes and edges of one protocol, a reviewed document, that go with the tasks of a walk.
+GRAPH_ROWS = 100_000
+FIRST_NODES = 10
 
 
 def is_context(label: Column) -> Column:
-    return X.fold(label).isin(*CONTEXT_LABELS)
+    return F.lower(X.text(label)).isin(*CONTEXT_LABELS)
 
 
 def traversable(edges: DataFrame) -> DataFrame:
@@ -34,11 +47,11 @@ def traversable(edges: DataFrame) -> DataFrame:
 
 
 def support(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(protocol_id, node_id, support_id, text) by incoming reference edges and outgoing context edges."""
-    into = edges.where(F.coalesce("reference", F.lit(False))).select("protocol_id", F.col("target").alias("node_id"), F.col("source").alias("support_id"), "edge_pos")
-    out = edges.where(is_context(F.col("label"))).select("protocol_id", F.col("source").alias("node_id"), F.col("target").alias("support_id"), "edge_pos")
+    """(protocol_id, node_id, support_id, text, pos) by incoming reference edges, then outgoing context edges."""
+    into = edges.where(F.coalesce("reference", F.lit(False))).select("protocol_id", F.col("target").alias("node_id"), F.col("source").alias("support_id"), F.struct(F.lit(0), "edge_pos").alias("pos"))
+    out = edges.where(is_context(F.col("label"))).select("protocol_id", F.col("source").alias("node_id"), F.col("target").alias("support_id"), F.struct(F.lit(1), "edge_pos").alias("pos"))
     named = nodes.select("protocol_id", F.col("node_id").alias("support_id"), "text")
-    return into.union(out).join(named, ["protocol_id", "support_id"]).select("protocol_id", "node_id", "support_id", "text")
+    return into.union(out).join(named, ["protocol_id", "support_id"]).select("protocol_id", "node_id", "support_id", "text", "pos")
 
 
 def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,30 +63,30 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return starts.union(ends).union(few).distinct()
 
 
-def routes(edges: DataFrame, starts: DataFrame, steps: int = 100) -> DataFrame:
-    """(protocol_id, start, node_id, depth, path array<struct<node_id, label>>) along first-found shortest routes.
+def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(protocol_id, start, node_id, depth, path array<struct<node_id, label>>, trail) along first-found shortest routes.
 
-    Ties go by edge position from the start on, as a breadth-first walk finds
-    them. A frontier joins the edges once a step and nodes seen before are
-    dropped, so cycles end by themselves.
+    Ties go by edge position from the start on. A frontier joins the edges once
+    a step, nodes seen before are dropped, and the rounds end when none is
+    left, so graphs may be of any depth and have cycles. The edges are
+    broadcast only if they are few.
     """
-    ways = traversable(edges).select("protocol_id", F.col("source").alias("node_id"), "target", "label", "edge_pos")
+    ways = I.small(traversable(edges).select("protocol_id", F.col("source").alias("node_id"), "target", "label", "edge_pos"))
     empty = F.array().cast("array<struct<node_id:string,label:string>>")
     front = starts.select("protocol_id", F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), empty.alias("path"), F.array(F.lit(0)).cast("array<int>").alias("trail"))
-    seen = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front
-    front = seen
+    front = lineage.cut(front.distinct())
+    rounds = [front]
     first = Window.partitionBy("protocol_id", "start", "node_id").orderBy("trail")
-    for depth in range(1, steps + 1):
-        grown = front.join(F.broadcast(ways), ["protocol_id", "node_id"])
+    while True:
         step = F.struct(F.col("node_id").alias("node_id"), F.col("label").alias("label"))
-        grown = grown.select("protocol_id", "start", F.col("target").alias("node_id"), F.lit(depth).alias("depth"), F.concat("path", F.array(step)).alias("path"), F.concat("trail", F.array(F.col("edge_pos").cast("int"))).alias("trail"))
-        grown = grown.join(seen.select("protocol_id", "start", "node_id"), ["protocol_id", "start", "node_id"], "left_anti")
-        front = grown.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-        front = front.cache()
+        grown = front.join(ways, ["protocol_id", "node_id"])
+        grown = grown.select("protocol_id", "start", F.col("target").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(step)).alias("path"), F.concat("trail", F.array(F.col("edge_pos").cast("int"))).alias("trail"))
+        seen = reduce(DataFrame.unionByName, rounds).select("protocol_id", "start", "node_id")
+        fresh = grown.join(seen, ["protocol_id", "start", "node_id"], "left_anti")
+        front = lineage.cut(fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front).cache()
-    return seen
+            return reduce(DataFrame.unionByName, rounds)
+        rounds.append(front)
 
 
 def join_nodes(reach: DataFrame) -> DataFrame:
@@ -84,148 +97,317 @@ def join_nodes(reach: DataFrame) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("protocol_id", "node_id")
 
 
+def all_conditions(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """N4 for every node: (protocol_id, node_id, pos, decision_id, label): decisions on the shortest route of which some option does not reach the node."""
+    decisions = nodes.where(F.col("kind") == DECISION).select("protocol_id", F.col("node_id").alias("decision_id"))
+    steps = routes(edges, starts).select("protocol_id", "node_id", F.posexplode("path").alias("pos", "step"))
+    steps = steps.select("protocol_id", "node_id", "pos", F.col("step.node_id").alias("decision_id"), F.col("step.label").alias("label")).join(decisions, ["protocol_id", "decision_id"])
+    options = traversable(edges).select("protocol_id", F.col("source").alias("decision_id"), F.col("target").alias("option_id")).join(decisions, ["protocol_id", "decision_id"]).distinct()
+    reach = routes(edges, options.select("protocol_id", F.col("option_id").alias("node_id")).distinct()).select("protocol_id", F.col("start").alias("option_id"), "node_id")
+    reached = options.join(reach, ["protocol_id", "option_id"]).groupBy("protocol_id", "decision_id", "node_id").agg(F.count_distinct("option_id").alias("reaching"))
+    counted = options.groupBy("protocol_id", "decision_id").agg(F.count("*").alias("options"))
+    held = steps.join(counted, ["protocol_id", "decision_id"]).join(reached, ["protocol_id", "decision_id", "node_id"], "left")
+    return held.where(F.coalesce("reaching", F.lit(0)) < F.col("options")).select("protocol_id", "node_id", "pos", "decision_id", "label")
+
+
 def conditions(edges: DataFrame, nodes: DataFrame, starts: DataFrame, target: str) -> DataFrame:
-    """(protocol_id, node_id, label) decisions on the shortest route to `target` of which some option does not reach it."""
-    path = routes(edges, starts).where(F.col("node_id") == target).select("protocol_id", F.posexplode("path").alias("pos", "step")).select("protocol_id", "pos", "step.*")
-    path = path.join(nodes.where(F.col("kind") == DECISION).select("protocol_id", "node_id"), ["protocol_id", "node_id"])
-    options = traversable(edges).select("protocol_id", F.col("source").alias("node_id"), "target").join(path.select("protocol_id", "node_id"), ["protocol_id", "node_id"])
-    reach = routes(edges, options.select("protocol_id", F.col("target").alias("node_id")).distinct()).where(F.col("node_id") == target).select("protocol_id", F.col("start").alias("target"), F.lit(True).alias("hit"))
-    every = options.join(reach, ["protocol_id", "target"], "left").groupBy("protocol_id", "node_id").agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("every"))
-    return path.join(every.where("NOT every"), ["protocol_id", "node_id"]).select("protocol_id", "pos", "node_id", "label")
-
-
-class Graph:
-    """One protocol in memory, for the sequential walk."""
-
-    def __init__(self, nodes: list[dict], edges: list[dict]) -> None:
-        self.nodes = {n["node_id"]: n for n in nodes}
-        self.out: dict[str, list[dict]] = {}
-        for e in sorted(edges, key=lambda e: e["edge_pos"]):
-            if not e.get("reference") and _fold(e.get("label")) not in CONTEXT_LABELS:
-                self.out.setdefault(e["source"], []).append(e)
-        self.start = next(n["node_id"] for n in nodes if n["kind"] == START)
-
-    def order_from(self, node: str) -> list[str]:
-        seen, queue, out = {node}, deque([node]), []
-        while queue:
-            n = queue.popleft()
-            out.append(n)
-            for e in self.out.get(n, []):
-                if e["target"] not in seen:
-                    seen.add(e["target"])
-                    queue.append(e["target"])
-        return out
-
-    def meeting(self, nodes: list[str]) -> str | None:
-        others = [set(self.order_from(n)) for n in nodes[1:]]
-        return next((n for n in self.order_from(nodes[0]) if all(n in o for o in others)), None)
-
-    def options(self, node: str, walked: list[str]) -> list[dict]:
-        """Ways out whose qualifier stands in a text walked before."""
-        return [e for e in self.out.get(node, []) if not (q := _fold((e.get("label") or "").partition("+")[2])) or any(q in t for t in walked)]
-
-    def walk(self, answers: dict[str, str]) -> dict:
-        """N7."""
-        steps, notes, texts, seen = [], [], [], set()
-        agenda: deque[tuple[str | None, str | None]] = deque([(self.start, None)])
-
-        def result(status: str, at: str | None = None, options: list[str] | None = None) -> dict:
-            return {"steps": steps, "status": status, "stopped_at": at, "options": options or [], "notes": notes}
-
-        while agenda:
-            node, stop = agenda.popleft()
-            while node is not None and node != stop and node not in seen:
-                seen.add(node)
-                if self.nodes[node]["kind"] == DECISION:
-                    ways = self.options(node, texts)
-                    if not ways:
-                        steps.append((node, None))
-                        return result(NO_ROUTE, node)
-                    if len(ways) == 1:
-                        chosen = ways[0]
-                    else:
-                        said = answers.get(node)
-                        if said == X.UNKNOWN:
-                            return result(UNKNOWN_DATUM, node)
-                        chosen = next((e for e in ways if e.get("label") == said), None)
-                        if chosen is None:
-                            return result(PENDING, node, [e.get("label") or "" for e in ways])
-                    steps.append((node, chosen.get("label")))
-                    node = chosen["target"]
-                    continue
-                steps.append((node, None))
-                texts.append(_fold(self.nodes[node]["text"]))
-                ways = self.out.get(node, [])
-                apart = [e for e in ways if e.get("independent")]
-                if apart:
-                    heads = [e["target"] for e in apart]
-                    meet = self.meeting(heads)
-                    agenda.extendleft(reversed([*((h, meet) for h in heads), (meet, stop)]))
-                    break
-                notes.extend((e["label"], e["target"]) for e in ways if e.get("label"))
-                plain = [e for e in ways if not e.get("label")]
-                node = plain[0]["target"] if len(plain) == 1 else None
-        return result(COMPLETE)
-
-    def all_routes(self) -> list[dict]:
-        """Every combination of answers that leads to an end."""
-        out, todo = [], [dict()]
-        while todo:
-            answers = todo.pop()
-            got = self.walk(answers)
-            if got["status"] == PENDING:
-                todo += [{**answers, got["stopped_at"]: o} for o in got["options"]]
-            else:
-                out.append({"answers": answers, **got})
-        return out
+    """N4 for one node: (protocol_id, pos, node_id, label)."""
+    return all_conditions(edges, nodes, starts).where(F.col("node_id") == target).select("protocol_id", "pos", F.col("decision_id").alias("node_id"), "label")
 
 
 def _fold(s: str | None) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFKD", (s or "").lower()) if not unicodedata.combining(c)).strip()
 
 
-WALK = "steps array<struct<node_id:string,choice:string>>, status string, stopped_at string, options array<string>, notes array<struct<label:string,node_id:string>>"
+@dataclass
+class Move:
+    """What a walk does at a node: `ask` has ways (label, qualifier, target); `part` has heads and where they meet; `go` has its next node, if any."""
+
+    kind: str
+    said: str = ""
+    ways: list[tuple[str, str, str]] = field(default_factory=list)
+    heads: list[str] = field(default_factory=list)
+    meet: str | None = None
+    onward: str | None = None
+    notes: list[tuple[str, str]] = field(default_factory=list)
+
+
+def _ranks(out: dict[str, list[dict]], root: str) -> dict[str, int]:
+    """Places of the nodes that a root reaches, level by level."""
+    ranks, level = {root: 0}, [root]
+    while level:
+        level = [n for n in dict.fromkeys(e["target"] for p in level for e in out.get(p, ())) if n not in ranks]
+        ranks.update({n: len(ranks) + k for k, n in enumerate(level)})
+    return ranks
+
+
+def compiled(nodes: list[dict], edges: list[dict]) -> tuple[str, dict[str, Move]]:
+    """The start and the move of each node of one protocol. ValueError unless there is one start."""
+    starts = [n["node_id"] for n in nodes if n["kind"] == START]
+    if len(starts) != 1:
+        raise ValueError(f"a tree needs one start, this has {len(starts)}")
+    out: dict[str, list[dict]] = {}
+    for e in sorted(edges, key=lambda e: e["edge_pos"]):
+        if not e.get("reference") and (e.get("label") or "").lower() not in CONTEXT_LABELS:
+            out.setdefault(e["source"], []).append(e)
+    moves = {}
+    for n in nodes:
+        mine = out.get(n["node_id"], [])
+        apart = [e["target"] for e in mine if e.get("independent")]
+        if n["kind"] == DECISION:
+            move = Move("ask", ways=[(e.get("label") or "", _fold((e.get("label") or "").partition("+")[2]), e["target"]) for e in mine])
+        elif apart:
+            ranks = [_ranks(out, h) for h in apart]
+            common = set(ranks[0]).intersection(*ranks[1:])
+            move = Move("part", heads=apart, meet=min(common, key=ranks[0].get, default=None))
+        else:
+            plain = [e["target"] for e in mine if not e.get("label")]
+            move = Move("go", onward=plain[0] if len(plain) == 1 else None, notes=[(e["label"], e["target"]) for e in mine if e.get("label")])
+        move.said = _fold(n["text"])
+        moves[n["node_id"]] = move
+    return starts[0], moves
+
+
+class Walk:
+    """One case on its way (N6, N7, J16): a stack of stretches (next node, node to stop before)."""
+
+    def __init__(self, start: str, moves: dict[str, Move], answers: dict[str, str]) -> None:
+        self.moves, self.answers = moves, answers
+        self.stack: list[tuple[str | None, str | None]] = [(start, None)]
+        self.seen: set[str] = set()
+        self.steps: list[tuple[str, str | None]] = []
+        self.notes: list[tuple[str, str]] = []
+        self.status, self.stopped_at, self.options = None, None, []
+
+    def _halt(self, status: str, node: str, options: list[str]) -> None:
+        self.status, self.stopped_at, self.options = status, node, options
+
+    def _ask(self, node: str, move: Move) -> str | None:
+        told = [self.moves[n].said for n, choice in self.steps if self.moves[n].kind != "ask"]
+        ways = {label: target for label, q, target in reversed(move.ways) if not q or any(q in t for t in told)}
+        labels = [label for label, q, _ in move.ways if not q or any(q in t for t in told)]
+        answer = labels[0] if len(labels) == 1 else self.answers.get(node)
+        if not labels:
+            self._halt(NO_ROUTE, node, [])
+        elif answer in ways:
+            self.steps.append((node, answer))
+            return ways[answer]
+        else:
+            self._halt(UNKNOWN_DATUM if answer == X.UNKNOWN else PENDING, node, labels)
+        return None
+
+    def move(self) -> None:
+        """The next move: the stretch on top ends, or goes on by one node."""
+        node, stop = self.stack.pop()
+        if node is None or node == stop or node in self.seen:
+            return
+        self.seen.add(node)
+        move = self.moves[node]
+        if move.kind == "ask":
+            self.stack.append((self._ask(node, move), stop))
+            return
+        self.steps.append((node, None))
+        self.notes += move.notes
+        if move.kind == "part":
+            self.stack += [(move.meet, stop), *((h, move.meet) for h in reversed(move.heads))]
+        else:
+            self.stack.append((move.onward, stop))
+
+    def result(self) -> dict:
+        while self.stack and self.status is None:
+            self.move()
+        return {"steps": [{"node_id": n, "choice": c} for n, c in self.steps], "status": self.status or COMPLETE, "stopped_at": self.stopped_at, "options": self.options, "notes": [{"label": a, "node_id": b} for a, b in self.notes]}
+
+
+def walk(nodes: list[dict], edges: list[dict], answers: dict[str, str]) -> dict:
+    """N7 for one case."""
+    return Walk(*compiled(nodes, edges), answers).result()
+
+
+def all_routes(nodes: list[dict], edges: list[dict]) -> list[dict]:
+    """Every combination of answers that leads to an end."""
+    program = compiled(nodes, edges)
+    out, open_ = [], [{}]
+    while open_:
+        answers = open_.pop()
+        got = Walk(*program, answers).result()
+        if got["status"] == PENDING:
+            open_.extend({**answers, got["stopped_at"]: option} for option in got["options"])
+        else:
+            out.append({"answers": answers, **got})
+    return out
+
 
+WALK = "steps array<struct<node_id:string,choice:string>>, status string, stopped_at string, options array<string>, notes array<struct<label:string,node_id:string>>"
 
-def walk_cases(cases: DataFrame, nodes: list[dict], edges: list[dict]) -> DataFrame:
-    """N7 for every case (case_id, answers map<string,string>); a protocol is a small, reviewed document and goes with the tasks."""
-    graph = Graph(nodes, edges)
 
-    @F.pandas_udf(WALK)
-    def run(answers: pd.Series) -> pd.DataFrame:
-        rows = [graph.walk(dict(a) if a is not None else {}) for a in answers]
-        return pd.DataFrame({
-            "steps": [[{"node_id": n, "choice": c} for n, c in r["steps"]] for r in rows], "status": [r["status"] for r in rows], "stopped_at": [r["stopped_at"] for r in rows],
-            "options": [r["options"] for r in rows], "notes": [[{"label": a, "node_id": b} for a, b in r["notes"]] for r in rows],
-        })
+def _rows(df: DataFrame) -> list[dict]:
+    rows = [r.asDict() for r in df.limit(GRAPH_ROWS + 1).collect()]
+    if len(rows) > GRAPH_ROWS:
+        raise ValueError(f"more than {GRAPH_ROWS} rows of a graph")
+    return rows
 
-    return cases.select("case_id", run("answers").alias("walk")).select("case_id", "walk.*")
 
+def walk_cases(cases: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """N7 for every case (case_id, protocol_id, answers map<string,string>).
 
-def first_section(order: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    """The nodes of the first section in walk order (rows need depth and trail), else the first k that are no start."""
-    rows = order.join(nodes, ["protocol_id", "node_id"]).where(F.col("kind") != START)
-    lead = F.first("section", ignorenulls=True).over(Window.partitionBy("protocol_id").orderBy("depth", "trail").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    Protocols are reviewed documents of checked size and go with the tasks,
+    compiled; cases stream past them in Arrow batches. A null map counts as
+    empty; a protocol that is not there is an error.
+    """
+    programs = {}
+    all_nodes, all_edges = _rows(nodes), _rows(edges)
+    for p in {n["protocol_id"] for n in all_nodes}:
+        programs[p] = compiled([n for n in all_nodes if n["protocol_id"] == p], [e for e in all_edges if e["protocol_id"] == p])
+    rows = cases.select("case_id", "protocol_id", F.map_entries(F.coalesce("answers", F.create_map().cast("map<string,string>"))).alias("answers"))
+    shape = pa.struct([("steps", pa.list_(pa.struct([("node_id", pa.string()), ("choice", pa.string())]))), ("status", pa.string()), ("stopped_at", pa.string()), ("options", pa.list_(pa.string())), ("notes", pa.list_(pa.struct([("label", pa.string()), ("node_id", pa.string())])))])
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch["protocol_id"].to_pylist(), batch["answers"].to_pylist())
+            found = pa.array([Walk(*programs[p], {a["key"]: a["value"] for a in answers}).result() for p, answers in pairs], shape)
+            yield pa.RecordBatch.from_arrays([batch["case_id"], batch["protocol_id"], *found.flatten()], ["case_id", "protocol_id", *(f.name for f in shape)])
+
+    return rows.mapInArrow(run, f"case_id {rows.schema['case_id'].dataType.simpleString()}, protocol_id string, {WALK}")
+
+
+def first_section(order: DataFrame, nodes: DataFrame, k: int = FIRST_NODES) -> DataFrame:
+    """In walk order (rows need depth and trail), the nodes of the start's section if it has one, else the first k; no start."""
+    rows = order.join(nodes, ["protocol_id", "node_id"])
+    lead = F.max(F.when((F.col("kind") == START) & (X.text("section") != ""), F.col("section"))).over(Window.partitionBy("protocol_id"))
+    rows = rows.withColumn("_lead", lead).where(F.col("kind") != START)
     nth = F.row_number().over(Window.partitionBy("protocol_id").orderBy("depth", "trail"))
-    return rows.withColumn("_lead", lead).withColumn("_n", nth).where(F.when(F.col("_lead").isNotNull(), F.col("section") == F.col("_lead")).otherwise(F.col("_n") <= k)).drop("_lead")
-
-
-def render(walks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(case_id, content, citations) of walks: a bullet per step, texts of a section cited once, in order."""
-    steps = walks.select("case_id", F.posexplode("steps").alias("pos", "step")).select("case_id", "pos", "step.*")
-    named = steps.join(F.broadcast(nodes.select("node_id", "text", "section")), "node_id")
-    line = F.concat(F.lit("- "), X.indent(X.drop_blank_lines("text")), F.coalesce(F.concat(F.lit(": **"), F.col("choice"), F.lit("**")), F.lit("")))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("content")
-    firsts = named.groupBy("case_id", F.coalesce("section", "node_id").alias("section"), "text").agg(F.min("pos").alias("pos"))
-    cites = firsts.groupBy("case_id", "section").agg(F.min("pos").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("verbatim"))
-    cites = cites.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "section", "verbatim"))), lambda x: F.struct(x["section"].alias("section"), x["verbatim"].alias("verbatim_text"))).alias("citations"))
-    return named.groupBy("case_id").agg(content).join(cites, "case_id", "left")
-
-
-def citations_as_sources(walks: DataFrame, source_file: str) -> DataFrame:
-    """One retrieved row per citation: score 1.0, method arbol, no page; a citation without a section names the last node."""
-    last = F.element_at("steps", -1)["node_id"]
-    rows = walks.select("case_id", last.alias("_last"), F.explode("citations").alias("c"))
-    return rows.select("case_id", F.lit(source_file).alias("source_file"), F.coalesce(F.col("c.section"), F.col("_last")).alias("section"), F.lit(None).cast("int").alias("page"), F.col("c.verbatim_text").alias("text"), F.lit(1.0).alias("score"), F.lit("arbol").alias("retrieval_method"))
+    return rows.withColumn("_n", nth).where(F.when(F.col("_lead").isNotNull(), F.col("section") == F.col("_lead")).otherwise(F.col("_n") <= k)).withColumnRenamed("_lead", "first_section")
+
+
+def decisions_in_order(order: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(protocol_id, node_id, text, pos) of the decisions as a walk over all edges meets them."""
+    rows = order.join(nodes.where(F.col("kind") == DECISION), ["protocol_id", "node_id"])
+    return rows.select("protocol_id", "node_id", "text", (F.row_number().over(Window.partitionBy("protocol_id").orderBy("depth", "trail")) - 1).alias("pos"))
+
+
+def citation_key(section: Column, source_ref: Column, node_id: Column) -> Column:
+    """The section, else the page of the protocol, else the reference, else the node."""
+    ref = X.text(source_ref)
+    return F.when(X.text(section) != "", section).when(F.startswith(ref, F.lit("p.")), F.concat(F.lit("protocolo "), ref)).when(ref != "", ref).otherwise(node_id)
+
+
+def _cited(rows: DataFrame, by: str) -> DataFrame:
+    """A10: (by, citations): distinct texts by key, both in the order of `pos`; rows need pos, text, section, source_ref, node_id."""
+    key = citation_key(F.col("section"), F.col("source_ref"), F.col("node_id"))
+    firsts = rows.groupBy(by, key.alias("key"), "text").agg(F.min("pos").alias("pos"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    each = firsts.groupBy(by, "key").agg(F.min("pos").alias("at"), texts.alias("verbatim"))
+    cites = F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "verbatim"))), lambda x: F.struct(x["key"].alias("section"), x["verbatim"].alias("verbatim_text")))
+    return each.groupBy(by).agg(cites.alias("citations"))
+
+
+def _listed(rows: DataFrame, by: list[str], line: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+
+
+def _asked(text: Column, choice: Column) -> Column:
+    return F.concat(F.lit("- "), X.headline(text), F.lit(" → "), choice)
+
+
+def _told(text: Column) -> Column:
+    return F.concat(F.lit("- "), X.indent(text))
+
+
+def render(walks: DataFrame, nodes: DataFrame, protocols: DataFrame) -> DataFrame:
+    """(case_id, rule_id, path, answer_text, citations) of walks: a line per step, then the notes; no start.
+
+    `protocols`: protocol_id, version.
+    """
+    own = nodes.select("protocol_id", "node_id", "kind", "text", "section", "source_ref")
+    steps = walks.select("case_id", "protocol_id", F.posexplode("steps").alias("n", "step")).select("case_id", "protocol_id", F.struct(F.lit(0), "n").alias("pos"), "step.node_id", "step.choice", F.lit(None).cast("string").alias("label"))
+    notes = walks.select("case_id", "protocol_id", F.posexplode("notes").alias("n", "note")).select("case_id", "protocol_id", F.struct(F.lit(1), "n").alias("pos"), "note.node_id", F.lit(None).cast("string").alias("choice"), "note.label")
+    rows = steps.union(notes).join(I.small(own), ["protocol_id", "node_id"]).where((F.col("kind") != START) | F.col("label").isNotNull())
+    bold = F.concat(F.lit("**"), F.col("choice"), F.lit("**"))
+    step_line = F.when(F.col("choice").isNotNull(), _asked(F.col("text"), bold)).otherwise(_told(F.col("text")))
+    first = _listed(rows.where(F.col("label").isNull()), ["case_id"], step_line)
+    note_line = F.concat(F.lit("- "), F.col("label"), F.lit(": "), X.indent("text"))
+    more = _listed(rows.where(F.col("label").isNotNull()), ["case_id"], note_line).withColumnRenamed("body", "notes_body")
+    ends = rows.where(F.col("label").isNull()).groupBy("case_id").agg(F.max(F.struct("pos", "node_id"))["node_id"].alias("rule_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("path"))
+    out = walks.select("case_id", "protocol_id").join(protocols, "protocol_id").join(first, "case_id", "left").join(more, "case_id", "left").join(ends, "case_id", "left").join(_cited(rows, "case_id"), "case_id", "left")
+    text = F.concat(F.lit(WALK_HEADING), "protocol_id", F.lit(" "), "version", F.lit(":\n\n"), X.text("body"), F.coalesce(F.concat(F.lit("\n\n" + NOTES_HEADING + "\n"), "notes_body"), F.lit("")))
+    return out.select("case_id", "rule_id", "path", text.alias("answer_text"), "citations")
+
+
+def render_consult(chosen: DataFrame, nodes: DataFrame, edges: DataFrame, starts: DataFrame, protocols: DataFrame) -> DataFrame:
+    """(qid, rule_id, answer_text, citations) of chosen nodes (qid, protocol_id, node_id, pos).
+
+    Each node is followed by the other branches of the last decision that
+    conditions it; each branch has its full condition and is shown once.
+    """
+    held = lineage.cut(all_conditions(edges, nodes, starts))
+    last = held.groupBy("protocol_id", "node_id").agg(F.max(F.struct("pos", "decision_id"))["decision_id"].alias("decision_id"))
+    ways = traversable(edges).select("protocol_id", F.col("source").alias("decision_id"), F.col("target").alias("branch_id"), "edge_pos")
+    beside = chosen.join(last, ["protocol_id", "node_id"]).join(ways, ["protocol_id", "decision_id"])
+    shown = chosen.select("qid", "protocol_id", "node_id", F.struct(F.col("pos").cast("int"), F.lit(-1)).alias("pos")).union(beside.select("qid", "protocol_id", F.col("branch_id").alias("node_id"), F.struct(F.col("pos").cast("int"), F.col("edge_pos").cast("int"))))
+    shown = shown.groupBy("qid", "protocol_id", "node_id").agg(F.min("pos").alias("pos"))
+    named = nodes.select("protocol_id", F.col("node_id").alias("decision_id"), F.col("text").alias("decision_text"))
+    clause = F.concat(F.lit("«"), X.headline("decision_text"), F.lit("» = "), X.text("label"))
+    when = held.join(named, ["protocol_id", "decision_id"]).groupBy("protocol_id", "node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", clause.alias("clause")))), lambda x: x["clause"]), " y ").alias("when"))
+    rows = shown.join(nodes.select("protocol_id", "node_id", "text", "section", "source_ref"), ["protocol_id", "node_id"]).join(when, ["protocol_id", "node_id"], "left")
+    line = F.concat(F.lit("\n- "), F.coalesce(F.concat(F.lit("Cuando "), "when", F.lit(": ")), F.lit("")), X.indent("text"))
+    body = _listed(rows, ["qid", "protocol_id"], line)
+    first = chosen.groupBy("qid").agg(F.min(F.struct("pos", "node_id"))["node_id"].alias("rule_id"))
+    text = F.concat(F.lit(CONSULT_HEADING), "protocol_id", F.lit(" "), "version", F.lit(CONSULT_END + "\n"), "body")
+    return body.join(protocols, "protocol_id").join(first, "qid").join(_cited(rows, "qid"), "qid").select("qid", "rule_id", text.alias("answer_text"), "citations")
+
+
+def render_overview(nodes: DataFrame, edges: DataFrame, starts: DataFrame, protocols: DataFrame) -> DataFrame:
+    """(protocol_id, answer_text, citations): the first part of each graph in the order of a walk."""
+    rows = first_section(routes(edges, starts), nodes).select("protocol_id", "node_id", "kind", "text", "section", "source_ref", "first_section", F.col("_n").alias("pos"))
+    labels = traversable(edges).groupBy("protocol_id", F.col("source").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_pos", X.text("label").alias("label")))), lambda x: x["label"]), " / ").alias("labels"))
+    rows = rows.join(labels, ["protocol_id", "node_id"], "left")
+    line = F.when(F.col("kind") == DECISION, _asked(F.col("text"), X.text("labels"))).otherwise(_told(F.col("text")))
+    body = _listed(rows, ["protocol_id", "first_section"], line).join(protocols, "protocol_id").join(_cited(rows, "protocol_id"), "protocol_id")
+    where = F.coalesce(F.concat(F.lit(" («"), "first_section", F.lit("»)")), F.lit(""))
+    text = F.concat(F.lit(OVERVIEW_HEADING), "protocol_id", F.lit(" "), "version", where, F.lit(OVERVIEW_END + "\n\n"), "body")
+    return body.select("protocol_id", text.alias("answer_text"), "citations")
+
+
+def citations_as_sources(walks: DataFrame) -> DataFrame:
+    """One retrieved row per citation: score 1.0, method arbol, no page; a citation without a section names the last node. Rows need source_file, rule_id, citations."""
+    rows = walks.select("case_id", "source_file", "rule_id", F.explode("citations").alias("c"))
+    return rows.select("case_id", "source_file", F.coalesce(F.col("c.section"), F.col("rule_id")).alias("section"), F.lit(None).cast("int").alias("page"), F.col("c.verbatim_text").alias("text"), F.lit(1.0).alias("score"), F.lit("arbol").alias("retrieval_method"))
+
+
+def chosen_answers(answers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, protocol_id, answers): of what an extractor says (case_id, protocol_id, node_id, value), only values that are labels of that decision."""
+    labels = traversable(edges).select("protocol_id", F.col("source").alias("node_id"), F.col("label").alias("value")).distinct()
+    valid = answers.join(I.small(labels), ["protocol_id", "node_id", "value"], "left_semi")
+    pairs = valid.groupBy("case_id", "protocol_id", "node_id").agg(F.min("value").alias("value")).groupBy("case_id", "protocol_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node_id", "value")))).alias("answers"))
+    every = answers.select("case_id", "protocol_id").distinct().join(pairs, ["case_id", "protocol_id"], "left")
+    return every.withColumn("answers", F.coalesce("answers", F.create_map().cast("map<string,string>")))
+
+
+def selected_nodes(selected: DataFrame, nodes: DataFrame, ranked: DataFrame, most: int = 4) -> DataFrame:
+    """(qid, node_id, pos, by_model): ids that a selector names (qid, ids array<string>; null where it failed), known ones, once each, at most `most`; else the lexical ranking (qid, node_id, rank)."""
+    known = nodes.where(F.col("kind") != START).select("node_id").distinct()
+    named = selected.select("qid", F.posexplode(F.array_distinct("ids")).alias("at", "node_id")).join(I.small(known), "node_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("at"))
+    model = named.withColumn("pos", place).where(F.col("pos") <= most).select("qid", "node_id", "pos", F.lit(True).alias("by_model"))
+    rest = ranked.join(model.select("qid").distinct(), "qid", "left_anti").select("qid", "node_id", F.col("rank").alias("pos"), F.lit(False).alias("by_model"))
+    return model.unionByName(rest)
+
+
+def classified(questions: DataFrame, protocols: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """(qid, protocol_id, mode): a known protocol or null, and caso unless the verdict says consulta.
+
+    `verdicts` (qid, protocol, mode) come from a classifier; without one, the
+    protocol is the one with most of its `terms` in the question, if it is the
+    only such, and the mode is consulta for a question without a digit.
+    """
+    if verdicts is None:
+        asked = questions.select("qid", "question", X.tokens("question").alias("words"))
+        hits = asked.select("qid", F.explode("words").alias("term")).distinct().join(I.small(protocols.select("protocol_id", F.explode("terms").alias("term")).distinct()), "term").groupBy("qid", "protocol_id").agg(F.count("*").alias("n"))
+        best = hits.groupBy("qid").agg(F.max(F.struct("n", "protocol_id")).alias("top"), F.sort_array(F.collect_list("n"), False).alias("all"))
+        best = best.where((F.size("all") == 1) | (F.get("all", F.lit(0)) > F.get("all", F.lit(1)))).select("qid", F.col("top.protocol_id").alias("protocol"))
+        verdicts = asked.join(best, "qid", "left").select("qid", "protocol", F.when(F.col("question").rlike("[0-9]"), "caso").otherwise("consulta").alias("mode"))
+    known = I.small(protocols.select(F.col("protocol_id"), F.upper("protocol_id").alias("protocol")).distinct())
+    mode = F.lower(F.trim(X.text("mode")))
+    clean = verdicts.select("qid", F.upper(F.trim(X.text("protocol"))).alias("protocol"), F.when(mode.isin("caso", "consulta"), mode).otherwise("caso").alias("mode"))
+    return questions.select("qid").join(clean, "qid", "left").join(known, "protocol", "left").select("qid", "protocol_id", F.coalesce("mode", F.lit("caso")).alias("mode"))

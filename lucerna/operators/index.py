@@ -1,6 +1,6 @@
 """Inverted index and BM25.
 
-The index is four tables: postings (term, chunk_id, tf), lengths (chunk_id,
+The index is four tables: postings (term, chunk_id, source_type, len, tf), lengths (chunk_id,
 source_type, len), terms (term, df, idf) and stats (n, avgdl, terms, mean_idf).
 Statistics are always of the whole index; a filter on the source type comes
 after scoring.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lucerna.functions import text as X
+from lucerna.operators import lineage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 """The defaults of the published Okapi variant with a floor for negative idf."""
@@ -45,21 +46,24 @@ class Index:
         return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "terms", "stats")))
 
 
-def postings_of(tokens: DataFrame) -> DataFrame:
-    return tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-
-
 def build_index(chunks: DataFrame) -> Index:
-    """Chunks (chunk_id, text, source_type) as an index; chunks without tokens count in n and avgdl."""
+    """Chunks (chunk_id, text, source_type) as an index; chunks without tokens count in n and avgdl.
+
+    Texts are tokenised once: postings, with the chunk's length and type, are
+    checkpointed, and all other tables come from them. A chunk without tokens
+    is there as a row without a term.
+    """
     tokenised = chunks.select("chunk_id", "source_type", X.tokens("text").alias("tokens"))
-    postings = postings_of(tokenised)
-    lengths = tokenised.select("chunk_id", "source_type", F.size("tokens").alias("len"))
+    each = tokenised.select("chunk_id", "source_type", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
+    rows = lineage.cut(each.groupBy("chunk_id", "source_type", "len", "term").agg(F.count("term").alias("tf")))
+    postings = rows.where("term IS NOT NULL")
+    lengths = rows.groupBy("chunk_id", "source_type", "len").agg(F.lit(1).alias("_one")).drop("_one")
     size = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size.select("n")))
-    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = lineage.cut(df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.count("*").alias("terms"), F.avg("raw").alias("mean_idf"))
-    stats = size.crossJoin(mean)
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    stats = lineage.cut(size.crossJoin(mean))
+    terms = raw.crossJoin(F.broadcast(stats.select("mean_idf"))).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     return Index(postings, lengths, terms, stats)
 
 
@@ -78,7 +82,7 @@ def query_terms(questions: DataFrame, column=None) -> DataFrame:
 def bm25_scores(index: Index, questions: DataFrame, source_type: str | None = None) -> DataFrame:
     """(qid, chunk_id, score) of every chunk that shares a term with the question."""
     asked = small(query_terms(questions)).join(F.broadcast(index.stats.select("avgdl")), how="cross")
-    hits = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("qid", "chunk_id", "source_type").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
     return (scored if source_type is None else scored.where(F.col("source_type") == source_type)).select("qid", "chunk_id", "score")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lucerna.functions import text as X
 from lucerna.functions import words as W
+from lucerna.operators import index as I
 from lucerna.operators import segment
 
 BUDGET, OVERLAP, LEAST = 400, 0.15, 30
@@ -46,17 +47,34 @@ def carried(title: Column, order: list, partition: list[str]) -> Column:
     return F.last(title, ignorenulls=True).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+# Numbered titles and titles that stand alone start a path anew.
+NUMBERED_TITLE = r"^[0-9]{1,3}\.\s"
+STANDALONE_TITLE = r"(?i)^(resumen (de (las )?)?recomendaciones|tarjetas? de bolsillo)"
+SEPARATOR = segment.SEPARATOR
+
+
 def title_paths(titles: DataFrame) -> DataFrame:
-    """Adds `path` to rows (source_file, page, pos, title): numbered titles reset the top, capitals the middle, others hang below."""
+    """Adds `path` to rows (source_file, page, pos, title).
+
+    Numbered titles and those that stand alone are the top; of "n. head: rest"
+    only the head is, and the rest hangs below it. Capitals are the middle,
+    until the next top; others hang below both. The window holds the titles of
+    one document.
+    """
     w = Window.partitionBy("source_file").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    place = F.struct("page", "pos")
-    numbered = F.col("title").rlike(r"^[0-9]{1,3}(\.[0-9]+)*\.?\s")
-    upper = ~numbered & X.is_upper_title("title")
-    rows = titles.withColumn("_top", F.when(numbered, F.struct(place.alias("at"), F.col("title")))).withColumn("_mid", F.when(upper, F.struct(place.alias("at"), F.col("title"))))
+    place, title = F.struct("page", "pos"), X.clean_title("title")
+    named = (title != "") & (title != W.DEFAULT_SECTION)
+    alone = named & title.rlike(STANDALONE_TITLE)
+    numbered = named & ~alone & title.rlike(NUMBERED_TITLE)
+    upper = named & ~alone & ~numbered & X.is_upper_title(title)
+    head = F.trim(F.substring_index(title, ":", 1))
+    rest = F.trim(F.substring(title, F.length(F.substring_index(title, ":", 1)) + 2, F.length(title)))
+    top = F.when(alone, title).when(numbered, head)
+    rows = titles.withColumn("_top", F.when(top.isNotNull(), F.struct(place.alias("at"), top.alias("title")))).withColumn("_mid", F.when(upper, F.struct(place.alias("at"), title.alias("title"))))
     rows = rows.withColumn("_t", F.last("_top", True).over(w)).withColumn("_m", F.last("_mid", True).over(w))
     middle = F.when(F.col("_t").isNull() | (F.col("_m.at") > F.col("_t.at")), F.col("_m.title"))
-    own = F.when(~numbered & ~upper, F.col("title"))
-    path = F.concat_ws(" > ", F.col("_t.title"), middle, own)
+    below = F.when(numbered, F.nullif(rest, F.lit(""))).when(~alone & ~upper, title)
+    path = F.when(~named, F.col("title")).otherwise(F.concat_ws(SEPARATOR, F.col("_t.title"), middle, below))
     return rows.withColumn("path", path).drop("_top", "_mid", "_t", "_m")
 
 
@@ -76,17 +94,17 @@ def chunk_pages(pages: DataFrame, budget: int = BUDGET, overlap: float = OVERLAP
     clean = drop_running_lines(pages, ratio).withColumn("text", X.clean_page("text"))
     if drop_tables:
         clean = clean.withColumn("text", X.strip_tables("text"))
-    parts = clean.where("text <> ''").select("source_file", "page", F.inline(segment.split_sections(_CARRY, True)("text")))
+    parts = clean.where("text <> ''").select("source_file", "page", F.inline(segment.sections("text", _CARRY, True)))
     parts = title_paths(parts.withColumn("title", F.when(F.col("title") != _CARRY, F.col("title"))))
     shown = F.when(X.is_bibliography_title("title"), F.col("title")).otherwise(F.col("path"))
     section = carried(F.when(F.col("title").isNotNull(), shown), ["page", "pos"], ["source_file"])
     parts = parts.withColumn("section", F.coalesce(F.nullif(X.clean_title(section), F.lit("")), F.lit(W.DEFAULT_SECTION)))
     parts = parts.where((F.trim("body") != "") & ~X.is_bibliography_title("section"))
-    pieces = parts.select("source_file", "page", "pos", "section", F.posexplode(segment.split_long(budget, overlap, 1)("body")).alias("piece", "body"))
+    pieces = parts.select("source_file", "page", "pos", "section", F.posexplode(segment.split_long("body", budget, overlap, 1)).alias("piece", "body"))
     titled = F.col("section") != W.DEFAULT_SECTION
     pieces = pieces.where((X.approx_tokens("body") >= F.when(titled, min(least, TITLED_LEAST)).otherwise(least)) & ~X.is_bibliography("body"))
     nth = F.row_number().over(Window.partitionBy("source_file").orderBy("page", "pos", "piece")) - 1
-    out = pieces.select("source_file", "page", "section", nth.alias("chunk_index"), X.with_header(F.element_at(F.split("section", " > "), -1), F.col("body"), W.DEFAULT_SECTION).alias("text"))
+    out = pieces.select("source_file", "page", "section", nth.alias("chunk_index"), X.with_header(F.col("section"), F.col("body"), W.DEFAULT_SECTION).alias("text"))
     return out.withColumn("chunk_id", chunk_id(F.col("source_file"), F.col("chunk_index"), F.col("text")))
 
 
@@ -120,7 +138,7 @@ def tagged(chunks: DataFrame, catalog: DataFrame, strict: bool = True) -> DataFr
 
     With `strict` a file that the catalog lacks is an error when rows are read.
     """
-    known = F.broadcast(catalog.select(X.plain_key("file").alias("_key"), "source_type", F.coalesce("title", "file").alias("source_title")))
+    known = I.small(catalog.select(X.plain_key("file").alias("_key"), "source_type", F.coalesce("title", "file").alias("source_title")))
     rows = chunks.join(known, X.plain_key("source_file") == F.col("_key"), "left").drop("_key")
     if strict:
         missing = F.raise_error(F.concat(F.lit("not in the catalog: "), F.col("source_file"))).cast("string")

@@ -65,19 +65,30 @@ def candidate_pool(fused: DataFrame, extras: DataFrame | None, k_final: int) ->
     return pool.unionByName(extras.select("qid", "chunk_id", "score").join(pool.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti"))
 
 
-def admin_penalty(section: Column, question: Column, source_type: Column, page: Column, table=W.ADMIN, stem: int = W.ADMIN_STEM) -> Column:
-    """Penalty of an administrative section by the stem of its last title; none if the question names the stem.
+def admin_penalty(section: Column, question: Column, source_type: Column, page: Column, text: Column | None = None, penalty: float = W.ADMIN_PENALTY, table=W.ADMIN, stem: int = W.ADMIN_STEM) -> Column:
+    """Minus `penalty` for administrative text, in this order.
 
-    The first page of an outside document (title, authors) is always penalised.
+    A document's header, unless the question asks for version, code or date;
+    the first page of an outside document; a section whose last title (of a
+    table of changes, also the first) starts as one of the table, unless the
+    question has the stem of its word.
     """
-    last = F.regexp_replace(X.fold(F.element_at(F.split(section, " > "), -1)), r"^[0-9. ]+", "")
     asked = X.fold(question)
-    out = F.lit(0.0)
-    for prefix, value in table.items():
-        key = prefix[:stem]
-        out = F.when(F.startswith(last, F.lit(key)) & ~F.contains(asked, F.lit(key)), F.lit(value)).otherwise(out)
-    first = (source_type != INSTITUTIONAL) & (page == 1)
-    return F.least(out, F.when(first, F.lit(-0.2)).otherwise(F.lit(0.0)))
+    levels = F.transform(F.split(X.fold(section), " — ", -1), lambda s: F.btrim(F.regexp_replace(s, r"^[0-9]{1,3}\.\s*", ""), F.lit(" :.")))
+    first, last = F.get(levels, F.lit(0)), F.element_at(levels, -1)
+    lost, none = F.lit(-float(penalty)), F.lit(0.0)
+
+    def by_title(title: Column, otherwise: Column) -> Column:
+        out = otherwise
+        for prefix, word in reversed(table.items()):
+            out = F.when(F.startswith(title, F.lit(prefix)), F.when(F.contains(asked, F.lit(word[:stem])), none).otherwise(lost)).otherwise(out)
+        return out
+
+    titled = by_title(last, F.when(F.startswith(first, F.lit(W.CHANGE_CONTROL)), by_title(first, none)).otherwise(none))
+    out = F.when((source_type != INSTITUTIONAL) & F.coalesce(page == 1, F.lit(False)), lost).otherwise(titled)
+    if text is not None:
+        out = F.when(X.fold(text).rlike(W.DOCUMENT_HEADER), F.when(asked.rlike(W.HEADER_WORDS), none).otherwise(lost)).otherwise(out)
+    return out
 
 
 def boost(raw: Column, section: Column, value: float = 0.0, least: float = 0.02) -> Column:
@@ -97,7 +108,7 @@ def coverage(index: I.Index, questions: DataFrame, pairs: DataFrame) -> DataFram
 
 def rerank(scored: DataFrame, exclude_admin: bool = False, section_boost: float = 0.0) -> DataFrame:
     """Raw score, boost and penalty as `score`, ranked; rows need qid, question, chunk_id, raw, section, source_type, page."""
-    penalty = admin_penalty(F.col("section"), F.col("question"), F.col("source_type"), F.col("page"))
+    penalty = admin_penalty(F.col("section"), F.col("question"), F.col("source_type"), F.col("page"), F.col("text") if "text" in scored.columns else None)
     out = scored.withColumn("penalty", penalty)
     if exclude_admin:
         out = out.where("penalty >= 0")

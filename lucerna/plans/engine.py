@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import words as W
 from lucerna.operators import answer as A
 from lucerna.operators import index as I
+from lucerna.operators import lineage
 from lucerna.operators import retrieve as R
 from lucerna.operators import verify as V
 
@@ -26,10 +27,8 @@ class Engine:
 
     @staticmethod
     def build(chunks: DataFrame, vectors: DataFrame, topics: dict | None = None) -> Engine:
-        """The index's tables are kept (spilling to disk) for the queries that follow; a large corpus saves and loads them instead."""
-        index = I.build_index(chunks)
-        index = I.Index(*(t.cache() for t in (index.postings, index.lengths, index.terms, index.stats)))
-        return Engine(chunks, vectors, index, I.document_frequency(chunks).cache(), topics or {})
+        """The index and the document frequencies are checkpointed for the queries that follow; a large corpus saves and loads them instead."""
+        return Engine(chunks, vectors, I.build_index(chunks), lineage.cut(I.document_frequency(chunks)), topics or {})
 
     def answer(self, questions: DataFrame, **options) -> DataFrame:
         """(qid, answer, refused, n_sources) for a set of questions (qid, question, vector).
@@ -40,7 +39,8 @@ class Engine:
         """
         strange = R.out_of_corpus(questions, self.df, self.topics).select("qid").distinct()
         asked = questions.join(strange, "qid", "left_anti")
-        found = R.hybrid_retrieve(self.index, self.chunks.drop("text"), self.vectors, asked, topics=self.topics, **options).join(self.chunks.select("chunk_id", "text"), "chunk_id").cache()
+        found = R.hybrid_retrieve(self.index, self.chunks.drop("text"), self.vectors, asked, topics=self.topics, **options).join(self.chunks.select("chunk_id", "text"), "chunk_id")
+        found = lineage.cut(found)
         said = A.extractive_answer(found, asked, self.index.terms)
         n = self.index.stats.first()["n"]
         missed = R.uncovered(asked.select("qid", "question").join(said, "qid"), self.df, n, self.topics).select("qid").distinct().withColumn("missed", F.lit(True))

@@ -9,21 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lucerna.functions.text import choose
-from lucerna.operators.flow import PENDING, Graph
+from lucerna.operators.flow import PENDING, Walk, compiled
 
 MOST_QUESTIONS = 20
 MISSING = "informacion_faltante"
 
 
-def advance(graph: Graph, answers: dict[str, str], asked: int, pending: str | None, said: list[str | None]) -> tuple[dict, int, str | None, str, list[str]]:
+def advance(program: tuple, answers: dict[str, str], asked: int, pending: str | None, said: list[str | None]) -> tuple[dict, int, str | None, str, list[str]]:
     """Takes the replies in turn; a reply that cannot be read uses up a question and stores nothing. The walk is replayed from the answers."""
-    got = graph.walk(answers)
+    walked = lambda answers: Walk(*program, answers).result()
+    got = walked(answers)
     for reply in said:
         if pending is not None and got["status"] == PENDING and got["stopped_at"] == pending:
             option = choose(reply, got["options"])
             if option is not None:
                 answers = {**answers, pending: option}
-                got = graph.walk(answers)
+                got = walked(answers)
         if got["status"] != PENDING:
             return answers, asked, None, got["status"], []
         if asked >= MOST_QUESTIONS:
@@ -44,12 +45,12 @@ def conversations(events: DataFrame, nodes: list[dict], edges: list[dict]) -> Da
     The state (answers, questions asked, open question) lives in the state
     store, so a restart from the checkpoint goes on where threads stood.
     """
-    graph = Graph(nodes, edges)
+    program = compiled(nodes, edges)
 
     def step(key, frames, state: GroupState):
         frame = pd.concat(list(frames)).sort_values("turn")
         held, asked, pending = ("{}", 0, None) if not state.exists else state.get
-        answers, asked, pending, status, options = advance(graph, json.loads(held), asked, pending, frame["reply"].tolist())
+        answers, asked, pending, status, options = advance(program, json.loads(held), asked, pending, frame["reply"].tolist())
         state.update((json.dumps(answers, sort_keys=True), asked, pending))
         yield pd.DataFrame({"thread_id": [key[0]], "status": [status], "node_id": [pending], "options": [options], "asked": [asked], "answers": [json.dumps(answers, sort_keys=True)]})
 

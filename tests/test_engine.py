@@ -39,8 +39,11 @@ def test_refusals(spark):
 
 
 def test_choices():
-    options = ["si", "no", "alto riesgo", "bajo riesgo"]
-    assert [X.choose(s, options) for s in ("2", "SI", "no sé", "alto", "riesgo", "", "otra")] == ["no", "si", X.UNKNOWN, "alto riesgo", None, None, None]
+    options = ["Sí", "No", "alto riesgo", "bajo riesgo"]
+    said = {"2": "No", "SI": "Sí", "no sé": X.UNKNOWN, "no se ha medido": "No", "alto": None, "es de alto riesgo": "alto riesgo", "": None, "otra": None, "¿?": None, "desconocido": X.UNKNOWN}
+    assert {s: X.choose(s, options) for s in said} == said
+    pair = ["Sí — gestante", "No"]
+    assert [X.choose(s, pair) for s in ("yes", "negativo", "gestante", "es paciente gestante y si", "si")] == [pair[0], "No", None, pair[0], pair[0]]
 
 
 def chunks(spark, texts):
@@ -79,21 +82,84 @@ def test_rare_limit():
     assert (R.rare_limit(850), R.rare_limit(100)) == (8, 3)
 
 
-def test_sections_and_units():
-    assert segment.sections("plain") == [(W.DEFAULT_SECTION, "plain")]
-    got = segment.sections("before\n# First\none\n**Dose:** two\n# " + "long " * 30 + "\nrest")
-    assert [t for t, _ in got] == [W.DEFAULT_SECTION, "First", "Dose", W.DEFAULT_SECTION] and got[-1][1].endswith("rest")
-    assert segment.units("Opciones de manejo:\n- Primera opcion larga\n- Segunda opcion\n- que sigue") == ["Opciones de manejo: Primera opcion larga; Segunda opcion que sigue"]
-    assert segment.units("La primera frase tiene palabras.\n\nEsta frase depende de la anterior.") == ["La primera frase tiene palabras. Esta frase depende de la anterior."]
-    long = "Lista:\n" + "\n".join(f"- Punto {i} " + "palabra " * 15 for i in range(6))
-    assert len(segment.units(long)) == 6
+def sections(spark, s, **options):
+    return [(r["title"], r["body"]) for r in one(spark, segment.sections("s", **options), s=s)]
+
 
+def units(spark, s, section=""):
+    return one(spark, segment.units("s", F.lit(section)), s=s)
 
-def test_packing_keeps_every_paragraph():
-    parts = [f"p{i} " + "w " * (i * 7 % 40) for i in range(30)]
-    pieces = segment.packed("\n\n".join(parts), 60, 0.3)
-    assert all(any(p.strip() in piece for piece in pieces) for p in parts)
-    assert segment.packed("x", 10, 0.1, 50) == ["x"]
+
+def test_sections(spark):
+    assert sections(spark, "plain") == [(W.DEFAULT_SECTION, "plain")]
+    assert sections(spark, "") == [] and sections(spark, "", keep_empty=True) == [(W.DEFAULT_SECTION, "")]
+    got = sections(spark, "before\n# First\none\n**Dose:** two\n# " + "long " * 30 + "\nrest")
+    assert [t for t, _ in got] == [W.DEFAULT_SECTION, "First", "Dose", W.DEFAULT_SECTION] and got[-1][1].endswith("rest")
+    assert sections(spark, "# A\n\n# B\nx") == [("B", "x")] and sections(spark, "# A\n\n# B\nx", keep_empty=True) == [("A", ""), ("B", "x")]
+    assert sections(spark, "**12.** Smith J\n**13. En adultos** hola\n**Tabla 2. Dosis**\nfila\n**Figura 1:** no") == [(W.DEFAULT_SECTION, "**12.** Smith J"), ("13. En adultos", "hola"), ("Tabla 2. Dosis", "fila\n**Figura 1:** no")]
+    long = "En pacientes adultos " + "muy " * 40
+    assert sections(spark, f"# Manejo inicial: {long}\nx")[0][0] == "Manejo inicial"
+    assert sections(spark, f"# 3. {long}¿que hacer?\nx")[0][0].endswith("…")
+
+
+def test_units(spark):
+    assert units(spark, "Opciones de manejo:\n- Primera opcion larga\n- Segunda opcion\n- que sigue") == ["Opciones de manejo: Primera opcion larga; Segunda opcion que sigue."]
+    assert units(spark, "La primera frase tiene palabras.\n\nEsta frase depende de la anterior.") == ["La primera frase tiene palabras. Esta frase depende de la anterior."]
+    assert len(units(spark, "Lista:\n" + "\n".join(f"- Punto {i} " + "palabra " * 15 for i in range(6)))) == 6
+    assert units(spark, "Manejo\n\n- Uno dos tres\n- Cuatro cinco\n- seis", "A — Manejo") == ["Manejo: Uno dos tres; Cuatro cinco seis."]
+    assert units(spark, "Una linea de texto.\n- dos tres cuatro\notra linea aqui abajo", "S") == ["Una linea de texto.", "S: dos tres cuatro.", "otra linea aqui abajo"]
+    assert units(spark, "Hallazgo con nota †Primera nota al pie ‡Segunda nota al pie.") == ["†Primera nota al pie", "‡Segunda nota al pie."]
+    assert units(spark, "Box 2. Main Indications to Treat\n\nFrases de entrada al final:") == ["Frases de entrada al final:"]
+    row = "T — 1.\nCol: a\nDos: b\nTres: c\nNotas de la tabla:\n- (1) nota."
+    assert units(spark, row, "T — 1") == ["T — 1. Col: a. Dos: b. Tres: c. Notas: (1) nota."]
+    assert units(spark, "", "S") == []
+
+
+def test_outside_units(spark):
+    value = lambda f, s: one(spark, f("s"), s=s)
+    assert value(X.tidy_external, "adults 1 52 53; causa SAMR_157 y _P. aeruginosa_ 132 , MRSA.8 fin †") == "adults; causa SAMR y P. aeruginosa, MRSA. fin"
+    assert value(X.strip_references, "Se recomienda tratar cinco dias. Nicolle LE, Gupta K, et al. Guia. doi:10") == "Se recomienda tratar cinco dias."
+    assert value(X.strip_references, "Additional readings: Smith J et al. Guia 2020") == "" and value(X.strip_references, "Sin citas LE, nada") == "Sin citas LE, nada"
+    bad = ["ATS=a, FiO2=b, IDSA=c.", "Adapted from the 2025 guideline.", "MRSA=meticillin resistant.", "continua de otra frase.", "We suggest treating with the", "No single sign has good"]
+    assert [value(X.unusable_external, s) for s in bad] == [True] * len(bad)
+    assert not value(X.unusable_external, "Frailty or poor social support") and not value(X.unusable_external, "Se recomienda tratar cinco dias.")
+    assert value(X.is_study_summary, "El estudio de Prina introdujo algo.") and value(X.trim_tail, "Frase completa aqui. Luego sigue como") == "Frase completa aqui."
+    assert value(X.file_key, "Guia#U00e9s_2.pdf") == "guiaes2pdf"
+
+
+def packed_by_loop(parts, budget, ratio):
+    size = lambda p: max(1, int(len(p.split()) / 0.75))
+    out, a = [], 0
+    for b in range(len(parts) + 1):
+        if b == len(parts) or (b > a and sum(map(size, parts[a : b + 1])) > budget):
+            out.append("\n\n".join(parts[a:b]))
+            a = next(j for j in range(a, b + 1) if sum(map(size, parts[j:b])) <= int(budget * ratio))
+    return out
+
+
+def test_packing(spark):
+    parts = [(f"p{i} " + "w " * (i * 7 % 40)).strip() for i in range(30)]
+    for budget, ratio in ((60, 0.3), (20, 0.9), (400, 0.15)):
+        assert one(spark, segment.packed("s", budget, ratio), s="\n\n".join(parts)) == packed_by_loop(parts, budget, ratio)
+    assert one(spark, segment.packed("s", 10, 0.1, 50), s="x") == ["x"] and one(spark, segment.packed("s"), s="") == [""]
+
+
+def test_title_paths(spark):
+    titles = ["Antes", "2. RECOMENDACIONES", "MANEJO INICIAL", "Hemocultivos", "5. Diagnóstico: Análisis de orina", "Cultivo", "Tarjetas de bolsillo", "Dosis"]
+    rows = spark.createDataFrame([("f", 1, k, t) for k, t in enumerate(titles)], "source_file string, page int, pos int, title string")
+    want = ["Antes", "2. RECOMENDACIONES", "2. RECOMENDACIONES — MANEJO INICIAL", "2. RECOMENDACIONES — MANEJO INICIAL — Hemocultivos", "5. Diagnóstico — Análisis de orina", "5. Diagnóstico — Cultivo", "Tarjetas de bolsillo", "Tarjetas de bolsillo — Dosis"]
+    assert [r.path for r in G.title_paths(rows).orderBy("pos").collect()] == want
+
+
+def test_admin_sections(spark):
+    def penalty(section, question, source="institucional", page=2, body=""):
+        return one(spark, R.admin_penalty(F.lit(section), F.lit(question), F.lit(source), F.lit(page), F.lit(body)))
+
+    assert penalty("4. INTRODUCCIÓN", "dosis") == -0.2 and penalty("4. INTRODUCCIÓN — Manifestaciones", "dosis") == 0
+    assert penalty("3. Criterio de clasificación", "¿como se clasifican?") == 0 and penalty("CONTROL DE CAMBIOS — 06", "dosis") == -0.2
+    assert penalty("x", "dosis", "guia", 1) == -0.2 and penalty("x", "dosis", "institucional", 1) == 0
+    header = "Proceso: Cuidado Código: CT-PL-193"
+    assert penalty("x", "dosis", body=header) == -0.2 and penalty("Objetivo", "¿que versión es?", body=header) == 0
 
 
 def test_chunking(spark):
@@ -126,32 +192,104 @@ def test_grounding(spark):
     assert one(spark, V.admitted(F.lit(None).cast("boolean")))
 
 
-def test_walks():
-    _, nodes, edges = S.parse_tree(catalog.TREE)
-    graph = N.Graph(nodes, edges)
-    assert graph.walk({})["status"] == N.PENDING and graph.walk({"n1": "no"})["status"] == N.COMPLETE
-    assert graph.walk({"n1": X.UNKNOWN})["status"] == N.UNKNOWN_DATUM
-    assert {r["status"] for r in graph.all_routes()} == {N.COMPLETE} and len(graph.all_routes()) == 3
+DIAGRAM = {
+    "document": {"code": "YY-PL-002", "version": "9", "title": "Otro", "scope": "demo"},
+    "diagram": {
+        "sections": {1: "Entrada", 2: "Manejo"},
+        "nodes": [{"id": i, "kind": k, "text": s, "section": x} for i, k, s, x in (("a", "Start", "Inicio", 1), ("b", "decision", "¿Fiebre?\n• alta", 1), ("c", "action", "Medir ITU baja", 1), ("d", "action", "Cultivo", 2), ("e", "decision", "¿Riesgo?", 2), ("f", "action", "Sala", 2), ("g", "action", "Casa", 2), ("h", "criteria", "Criterios", 2), ("i", "action", "Fin", 2))],
+        "edges": [{"from": a, "to": b, "label": c, **more} for a, b, c, more in (("a", "c", "", {"independent": True}), ("a", "d", "", {"independent": True}), ("c", "b", "", {}), ("d", "b", "", {}), ("b", "e", "Sí", {}), ("b", "i", "No", {}), ("e", "f", "Sí + ITU baja", {}), ("e", "g", "No", {}), ("e", "g", "Quizá + cistitis", {}), ("h", "e", "", {"reference": True}), ("e", "h", "Contexto", {}), ("f", "i", "si recurrencia", {}), ("g", "i", "", {}))],
+    },
+}
 
 
-def test_independent_branches_meet():
-    nodes = [{"node_id": n, "kind": "inicio" if n == "a" else "accion", "text": n, "section": "s"} for n in "abcde"]
-    edges = [{"edge_pos": i, "source": s, "target": t, "label": "", "reference": False, "independent": ind} for i, (s, t, ind) in enumerate([("a", "b", True), ("a", "c", True), ("b", "d", False), ("c", "d", False), ("d", "e", False)])]
-    assert [n for n, _ in N.Graph(nodes, edges).walk({})["steps"]] == list("abcde")
+def test_both_dialects():
+    head, nodes, edges = S.parse_tree(DIAGRAM)
+    assert head == {"protocol_id": "YY-PL-002", "version": "v09", "name": "Otro", "description": "demo"}
+    assert nodes[0]["kind"] == "start" and nodes[1]["section"] == "Entrada" and [e["independent"] for e in edges[:3]] == [True, True, False]
+    head, nodes, _ = S.parse_tree(catalog.TREE)
+    assert head["protocol_id"] == "XX-PL-001" and nodes[1]["source_ref"] == "p.1" and nodes[1]["section"] == ""
+    for wrong in ({}, {"nodes": [], "edges": []}, catalog.TREE | {"metadata": {}}, catalog.TREE | {"edges": catalog.TREE["edges"][1:] + [{"from": "n0", "to": "zz"}]}, catalog.TREE | {"edges": [e for e in catalog.TREE["edges"] if e["label"] != "no"]}):
+        with pytest.raises(ValueError):
+            S.parse_tree(wrong)
+
+
+def test_walks():
+    _, nodes, edges = S.parse_tree(catalog.TREE)
+    got = N.walk(nodes, edges, {})
+    assert (got["status"], got["stopped_at"], got["options"], [s["node_id"] for s in got["steps"]]) == (N.PENDING, "n1", ["si", "no"], ["n0"])
+    got = N.walk(nodes, edges, {"n1": X.UNKNOWN})
+    assert (got["status"], got["options"], [s["node_id"] for s in got["steps"]]) == (N.UNKNOWN_DATUM, ["si", "no"], ["n0"])
+    assert N.walk(nodes, edges, {"n1": "no"})["status"] == N.COMPLETE
+    routes = N.all_routes(nodes, edges)
+    assert {r["status"] for r in routes} == {N.COMPLETE} and len(routes) == 3
+
+
+def test_walk_of_independent_branches_and_qualifiers():
+    _, nodes, edges = S.parse_tree(DIAGRAM)
+    got = N.walk(nodes, edges, {"b": "Sí", "e": "Sí + ITU baja"})
+    assert [(s["node_id"], s["choice"]) for s in got["steps"]] == [("a", None), ("c", None), ("d", None), ("b", "Sí"), ("e", "Sí + ITU baja"), ("f", None)]
+    assert got["status"] == N.COMPLETE and got["notes"] == [{"label": "si recurrencia", "node_id": "i"}]
+    got = N.walk(nodes, edges, {"b": "Sí"})
+    assert got["options"] == ["Sí + ITU baja", "No"] and got["stopped_at"] == "e"
+    only = [e | {"label": e["label"] and e["label"] + " + nunca"} if e["source"] == "e" else e for e in edges if e["label"] != "No"]
+    got = N.walk(nodes, only, {"b": "Sí"})
+    assert (got["status"], got["stopped_at"], got["options"], [s["node_id"] for s in got["steps"]]) == (N.NO_ROUTE, "e", [], list("acd") + ["b"])
 
 
 def test_graph_problems(spark):
-    _, nodes, edges = S.tree_tables(spark, [catalog.TREE])
+    _, nodes, edges = S.tree_tables(spark, [catalog.TREE, DIAGRAM])
     assert N.problems(nodes, edges).count() == 0
     assert {r.problem.split(":")[0] for r in N.problems(nodes.where("node_id <> 'n6'"), edges.where("edge_pos <> 5")).collect()} == {"unknown node", "dead decision"}
 
 
+def test_routes_of_any_depth(spark):
+    edges = spark.createDataFrame([("P", i, f"n{i}", f"n{(i + 1) % 130}", "", False, False) for i in range(130)], S.EDGES)
+    starts = spark.createDataFrame([("P", "n0")], "protocol_id string, node_id string")
+    assert N.routes(edges, starts).agg(F.max("depth"), F.count("*")).first() == (129, 130)
+
+
 def test_render(spark):
-    _, nodes, edges = S.parse_tree(catalog.TREE)
-    _, node_table, _ = S.tree_tables(spark, [catalog.TREE])
-    cases = spark.createDataFrame([(1, {"n1": "no"})], "case_id long, answers map<string,string>")
-    row = N.render(N.walk_cases(cases, nodes, edges), node_table).first()
-    assert row.content == "- Start\n- Fever?: **no**\n- End" and len(row.citations) == 1
+    heads, nodes, edges = S.tree_tables(spark, [catalog.TREE, DIAGRAM])
+    cases = spark.createDataFrame([(1, "XX-PL-001", {"n1": "no"}), (2, "YY-PL-002", {"b": "Sí", "e": "Sí + ITU baja"}), (3, "XX-PL-001", None)], "case_id long, protocol_id string, answers map<string,string>")
+    walks = N.walk_cases(cases, nodes, edges)
+    rows = {r.case_id: r for r in N.render(walks, nodes, heads).collect()}
+    assert rows[1].answer_text == "Recorrido del árbol clínico XX-PL-001 v03:\n\n- Fever? → **no**\n- End" and rows[1].rule_id == "n6" and [c.section for c in rows[1].citations] == ["protocolo p.1"]
+    assert rows[2].answer_text.endswith("- ¿Fiebre? → **Sí**\n- ¿Riesgo? → **Sí + ITU baja**\n- Sala\n\nAdemás, según el diagrama:\n- si recurrencia: Fin")
+    assert [(c.section, c.verbatim_text) for c in rows[2].citations] == [("Entrada", "Medir ITU baja\n¿Fiebre?\n• alta"), ("Manejo", "Cultivo\n¿Riesgo?\nSala\nFin")]
+    starts = nodes.where("kind = 'start'").select("protocol_id", "node_id")
+    chosen = spark.createDataFrame([(7, "YY-PL-002", "g", 1)], "qid long, protocol_id string, node_id string, pos int")
+    text = N.render_consult(chosen, nodes, edges, starts, heads).first().answer_text
+    assert text == "Ramas del árbol clínico YY-PL-002 v09 relacionadas con la consulta:\n\n- Cuando «¿Fiebre?» = Sí y «¿Riesgo?» = No: Casa\n\n- Cuando «¿Fiebre?» = Sí y «¿Riesgo?» = Sí + ITU baja: Sala"
+    over = {r.protocol_id: r.answer_text for r in N.render_overview(nodes, edges, starts, heads).collect()}
+    assert over["YY-PL-002"] == "Inicio del árbol clínico YY-PL-002 v09 («Entrada»), en el orden del recorrido:\n\n- Medir ITU baja\n- ¿Fiebre? → Sí / No"
+    assert over["XX-PL-001"].splitlines()[0].endswith("v03, en el orden del recorrido:")
+
+
+def test_protocol_answers_and_nodes(spark):
+    _, nodes, edges = S.tree_tables(spark, [catalog.TREE])
+    said = spark.createDataFrame([(1, "XX-PL-001", "n1", "si"), (1, "XX-PL-001", "n3", "maybe"), (2, "XX-PL-001", "zz", "si")], "case_id long, protocol_id string, node_id string, value string")
+    assert {r.case_id: r.answers for r in N.chosen_answers(said, edges).collect()} == {1: {"n1": "si"}, 2: {}}
+    picked = spark.createDataFrame([(1, ["n6", "zz", "n6", "n0", "n2"]), (2, None), (3, [])], "qid long, ids array<string>")
+    ranked = spark.createDataFrame([(q, "n4", 1) for q in (1, 2, 3)], "qid long, node_id string, rank int")
+    assert sorted((r.qid, r.pos, r.node_id, r.by_model) for r in N.selected_nodes(picked, nodes, ranked).collect()) == [(1, 1, "n6", True), (1, 2, "n2", True), (2, 1, "n4", False), (3, 1, "n4", False)]
+    asked = spark.createDataFrame([(1, "fever in a man of 70"), (2, "which fever dose"), (3, "nothing")], "qid long, question string")
+    known = spark.createDataFrame([("XX-PL-001", ["fever"])], "protocol_id string, terms array<string>")
+    assert sorted((r.qid, r.protocol_id, r.mode) for r in N.classified(asked, known).fillna("-").collect()) == [(1, "XX-PL-001", "caso"), (2, "XX-PL-001", "consulta"), (3, "-", "consulta")]
+    verdicts = spark.createDataFrame([(1, " xx-pl-001 ", "Consulta"), (2, "zz", "what")], "qid long, protocol string, mode string")
+    assert sorted((r.qid, r.protocol_id, r.mode) for r in N.classified(asked, known, verdicts).fillna("-").collect()) == [(1, "XX-PL-001", "consulta"), (2, "-", "caso"), (3, "-", "caso")]
+
+
+def test_documents_and_tables(spark):
+    files = lambda *names: spark.createDataFrame([(n,) for n in names], "source_file string")
+    known = S.catalog(spark, [{"file": "b-1.pdf", "source_type": "guia", "title": "B"}, {"file": "a.pdf", "source_type": "revision"}])
+    assert [(r.source_file, r.source_type) for r in S.documents(files("z.pdf", "c.pdf"), files("b_1.pdf", "a.pdf"), known).orderBy("pos").collect()] == [("c.pdf", "institucional"), ("z.pdf", "institucional"), ("a.pdf", "revision"), ("b_1.pdf", "guia")]
+    with pytest.raises(ValueError, match="not in the catalog"):
+        S.documents(files("z.pdf"), files("x.pdf"), known)
+    good = {"document": "d 1", "reviewed": True, "tables": [{"id": "t", "title": "T", "page": 2, "rows": [{"cells": {"a": 1, "b": None}, "notes": ["n"]}]}]}
+    assert S.curated_tables(spark, [("d_1", good), ("e", None)]).first().rows[0].cells[0].val == "1"
+    for wrong in ({"document": "e"}, {"reviewed": False}, {"tables": [{"id": "t"}]}):
+        with pytest.raises(ValueError):
+            S.curated_tables(spark, [("d_1", good | wrong)])
 
 
 def test_store_and_index_round_trip(spark, tmp_path):
