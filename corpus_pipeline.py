@@ -17,27 +17,27 @@ from lucerna.llm.tokens import encode_decode
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null texts among them. Repeated rows stay or go together."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; n_chars follows the text. A document with no line left goes."""
+    """Lines that match an earlier line go; n_chars follows the text. A document with no worded line left goes; of rows equal in id and text one stays."""
     return drop_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate component stays."""
+    """The document with the least id of each near-duplicate component stays; null ids and texts without words stay."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of `benchmark` go."""
+    """Documents that hold an item of `benchmark` go; with no items, none."""
     return drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text; a row for each row."""
     return encode_decode(docs)
 
 
@@ -49,7 +49,7 @@ STAGES = [
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: The adaptive thresholds, the retrieval scores and the encoding are not SQL; the pipeline is tested against a brute-force version.
+#: The adaptive thresholds, the retrieval scores and the encoding are not SQL; tests hold every stage's operator against a brute-force version.
 ORACLE_SQL = None
 
 
