@@ -58,6 +58,12 @@ def refusal_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("questions"), F.avg((X.is_refusal("answer") == F.col("should_refuse")).cast("int")).alias("accuracy"))
 
 
+def judge_metrics(rows: DataFrame, names=("faithfulness", "answer_relevancy", "context_precision")) -> DataFrame:
+    """(metric, n, mean) of a judge's scores, a column each; rows without a score don't count, a metric without any has no mean."""
+    each = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("score")) for n in names))
+    return rows.select(F.inline(each)).groupBy("metric").agg(F.count("score").alias("n"), F.avg("score").alias("mean"))
+
+
 def qa_candidates(chunks: DataFrame, limit: int = 500) -> DataFrame:
     """Chunks of numbered sections with an excerpt."""
     return chunks.where(F.col("section").rlike(r"^[0-9]{1,3}\.\s")).select("chunk_id", "section", F.substring("text", 1, limit).alias("excerpt"))

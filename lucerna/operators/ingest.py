@@ -146,6 +146,12 @@ def tagged(chunks: DataFrame, catalog: DataFrame, strict: bool = True) -> DataFr
     return rows
 
 
+def by_kind(chunks: DataFrame) -> DataFrame:
+    """How many chunks are the house's own and how many are from outside."""
+    own = F.col("source_type") == "institucional"
+    return chunks.agg(F.count_if(own).alias("own"), F.count_if(~own).alias("outside"))
+
+
 def valid_tables(tables: DataFrame) -> DataFrame:
     """Errors for tables that are not reviewed, have no rows, or name another document (`document` and `source_file`)."""
     wrong = F.when(X.plain_key("document") != X.plain_key("source_file"), "table of another document").when(~F.coalesce("reviewed", F.lit(False)), "table not reviewed").when(F.coalesce(F.size("rows"), F.lit(0)) < 1, "table without rows")
