@@ -34,8 +34,8 @@ FEW = 16
 BROADCAST_ROWS = 1_000_000
 #: The same for lists of line numbers, in bytes.
 BROADCAST_BYTES = 64 << 20
-#: Letters that start an anchored shingle: half of the alphabet. Any choice gives the same result.
-ANCHORS = "a-m"
+#: Letters that start an anchored shingle: some more of them than a prefix needs. Any choice gives the same result.
+ANCHORS = "a-g"
 _SPACE = r"[\x20\x09-\x0D]+"
 _KEY = ["c1", "c2"]
 
@@ -51,10 +51,17 @@ def _normal(line: Column) -> Column:
 
 def _shingles(body: Column, first: str = "[^ ]") -> Column:
     """Distinct hashes of the shingles whose first word starts with a character of the class `first`, ascending."""
-    found = F.regexp_extract_all(body, F.lit(rf"(?:^| )(?=({first}[^ ]*+(?: [^ ]++){{{SHINGLE - 1}}}))"), F.lit(1))
+    found = F.regexp_extract_all(F.concat(F.lit(" "), body), F.lit(rf" (?=({first}[^ ]*+{" [^ ]++" * (SHINGLE - 1)}))"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
+def _shingle_set(words: str) -> Column:
+    """Distinct hashes of all shingles of a list of words, word by word; for sets, which only meet sets."""
+    last = F.size(words) - SHINGLE
+    each = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))
+    return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _least(n: Column, percent: int) -> Column:
     """The overlap that a set of n needs at least; n less it, plus one, is the length of its prefix."""
     return F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
@@ -70,9 +77,9 @@ def _lines(rows: DataFrame, percent: int) -> DataFrame:
     out = out.withColumn("words", words).withColumn("take", F.when(n > 0, n - _least(n, percent) + 1).otherwise(0))
     none = F.array().cast("array<bigint>")
     out = out.withColumn("anchored", F.when(F.col("take") > 0, _shingles(body, f"[{ANCHORS}]")).otherwise(none))
-    # with too few anchored ones, the least hashes of all hold at least those that follow them in the order
-    more = F.array_union("anchored", F.slice(_shingles(body), 1, F.col("take")))
-    prefix = F.when(F.size("anchored") >= F.col("take"), F.slice("anchored", 1, F.col("take"))).otherwise(more)
+    # the others follow the anchored ones, and are made only where those are too few
+    more = F.concat("anchored", _shingles(body, f"[^ {ANCHORS}]"))
+    prefix = F.slice(F.when(F.size("anchored") >= F.col("take"), F.col("anchored")).otherwise(more), 1, F.col("take"))
     return out.select("doc_id", "text_hash", "line", "words", F.xxhash64("body").alias("c1"), F.xxhash64(F.lit(1), "body").alias("c2"), prefix.alias("prefix"))
 
 
@@ -96,7 +103,7 @@ def _sets(classes: DataFrame, alive: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = common.stored(classes.join(common.small(alive, BROADCAST_ROWS), _KEY, "left_semi").select(*_KEY, "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line")), "wanted")
     source = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.posexplode(F.split("text", "\n", -1)).alias("_line", "body"))
     held = source.join(common.small(wanted, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")) & (F.col("_line") == F.col("line")))
-    held = held.select(*_KEY, "first", _normal(F.col("body")).alias("body")).select(*_KEY, "first", _shingles(F.col("body")).alias("tokens"))
+    held = held.select(*_KEY, "first", F.split(_normal(F.col("body")), " ", -1).alias("words")).select(*_KEY, "first", _shingle_set("words").alias("tokens"))
     out = common.stored(held.select(*_KEY, "first", F.size("tokens").alias("n"), "tokens"), "sets")
     common.dropped(wanted)
     return out
