@@ -316,18 +316,42 @@ def rerank_penalty(spark, d):
     return R.rerank(rows).select("qid", "chunk_id", F.round("raw", 6).alias("raw"), F.col("penalty").cast("double").alias("penalty"))
 
 
-@query()
+def _topic_sql(x: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN list_has_any({_tok(x)}, {_list(words)}) THEN '{name}' END" for name, words in TOPICS.items()) + "], lambda t: t IS NOT NULL)"
+
+
+_OF_BOTH = """SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, seen, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS score, min(list) AS list, arg_min(rank, list) AS seen FROM (SELECT qid, chunk_id, 0 AS list, rank FROM {0} UNION ALL SELECT qid, chunk_id, 1, rank FROM {1}) GROUP BY ALL)"""
+_HYBRID = f"""{_BM25}, asked_v AS (SELECT item_id AS qid, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), bm AS (SELECT * FROM scored WHERE qid IN (SELECT qid FROM asked_v)),
+dscored AS (SELECT qid, vec_id AS chunk_id, CASE WHEN label < 3 THEN 'institucional' ELSE 'guia' END AS source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM asked_v q, embeddings v),
+l0 AS ({_top('dscored', 20, digits=5)}), l1 AS ({_top('bm', 20, digits=5)} AND score > 0), fused AS ({_OF_BOTH.format('l0', 'l1')}),
+m0 AS ({_top('dscored', 20, "source_type = 'institucional'", 5)}), m1 AS ({_top('bm', 20, "source_type = 'institucional'", 5)} AND score > 0), mfused AS ({_OF_BOTH.format('m0', 'm1')})"""
+
+
+@query(f"WITH {_HYBRID} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM fused WHERE rank <= 8")
+def hybrid_without_reranker(spark, d):
+    """The fused list, cut."""
+    asked = _questions_with_vectors(spark, d)
+    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, use_reranker=False, digits=5)
+    return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_HYBRID}, pool AS (SELECT qid, chunk_id FROM fused WHERE rank <= 24 UNION SELECT qid, chunk_id FROM mfused WHERE rank <= 6),
+w AS (SELECT DISTINCT item_id AS qid, unnest({_tok('text')}) AS term FROM benchmark), ww AS (SELECT qid, term, greatest(coalesce(idf, 1.0), 0.0) AS w FROM w LEFT JOIN idfs USING (term)), total AS (SELECT qid, sum(w) AS total FROM ww GROUP BY qid),
+got AS (SELECT r.qid, r.chunk_id, sum(w) AS got FROM pool r JOIN ww ON ww.qid = r.qid JOIN post p ON p.term = ww.term AND p.chunk_id = r.chunk_id GROUP BY ALL),
+topical AS (SELECT item_id AS qid, len({_topic_sql('text')}) AS topics FROM benchmark),
+ranked AS (SELECT r.qid, r.chunk_id, d.source AS source_file, {_OWN_SQL} AS source_type, CASE WHEN total > 0 THEN coalesce(got, 0) / total ELSE 0 END + CASE WHEN {_OWN_SQL} <> 'institucional' AND r.chunk_id % 50 = 0 THEN -0.2 ELSE 0.0 END AS score
+FROM pool r JOIN documents d ON d.doc_id = r.chunk_id JOIN topical t ON t.qid = r.qid LEFT JOIN got g ON g.qid = r.qid AND g.chunk_id = r.chunk_id LEFT JOIN total o ON o.qid = r.qid WHERE t.topics <> 1 OR d.lang IS NULL),
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_file ORDER BY {_ORDER}) AS nth FROM ranked WHERE score >= 0.05) WHERE source_type = 'institucional' OR nth <= 3),
+res AS (SELECT *, good AND row_number() OVER (PARTITION BY qid, good ORDER BY {_ORDER}) <= 3 AS reserved FROM (SELECT *, source_type = 'institucional' AND score >= 0.02 AS good FROM capped)),
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reserved DESC, {_ORDER}) AS pick FROM res) WHERE reserved OR pick <= 8)
+SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rank, 'rerank' AS method FROM picked""")
 def hybrid_retrieve(spark, d):
-    """R9 end to end."""
+    """R9 end to end, P9, P10, J13."""
     asked = _questions_with_vectors(spark, d)
-    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, topics=TOPICS)
+    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, topics=TOPICS, digits=5)
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank", "method")
 
 
-def _topic_sql(x: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN list_has_any({_tok(x)}, {_list(words)}) THEN '{name}' END" for name, words in TOPICS.items()) + "], lambda t: t IS NOT NULL)"
-
-
 @query(f"SELECT item_id AS qid, array_to_string({_topic_sql('text')}, ',') AS topics FROM benchmark")
 def question_topics(spark, d):
     """R10, U3."""

@@ -161,18 +161,23 @@ def same_topic(rows: DataFrame) -> DataFrame:
     return rows.where((F.size("topics") != 1) | F.col("topic").isNull() | (F.col("topic") == F.get("topics", F.lit(0))))
 
 
-def hybrid_retrieve(index: I.Index, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, *, k_first: int = 20, k_final: int = 8, quota: int = 3, min_score: float = 0.02, floor: float | None = 0.05, per_document: int | None = 3, topics: dict | None = None, use_reranker: bool = True, exclude_admin: bool = False, scorer: Callable | None = None) -> DataFrame:
+def hybrid_retrieve(index: I.Index, chunks: DataFrame, vectors: DataFrame, questions: DataFrame, *, k_first: int = 20, k_final: int = 8, quota: int = 3, min_score: float = 0.02, floor: float | None = 0.05, per_document: int | None = 3, topics: dict | None = None, use_reranker: bool = True, exclude_admin: bool = False, scorer: Callable | None = None, digits: int | None = None) -> DataFrame:
     """Both searches, fusion, pool with the house's own, topic filter, rerank, selection.
 
     `questions`: qid, question, vector. `chunks`: chunk_id, source_file,
     source_type, section, page, topic. Without a reranker the fused list is
-    cut at k_final and nothing else applies (T9).
+    cut at k_final and nothing else applies (T9). Both searches rank scores
+    rounded to `digits`, if given.
     """
     asked = questions.withColumn("question", X.retrieval_query("question"))
-    fused = fuse([dense_search(vectors, asked, k_first), I.bm25_search(index, asked, k_first)])
+
+    def both(source_type: str | None = None) -> DataFrame:
+        return fuse([dense_search(vectors, asked, k_first, source_type, digits=digits), I.bm25_search(index, asked, k_first, source_type, digits)])
+
+    fused = both()
     if not use_reranker:
         return fused.where(F.col("rank") <= k_final).withColumn("method", F.lit("hybrid"))
-    extras = fuse([dense_search(vectors, asked, k_first, INSTITUTIONAL), I.bm25_search(index, asked, k_first, INSTITUTIONAL)]).where(F.col("rank") <= 2 * quota)
+    extras = both(INSTITUTIONAL).where(F.col("rank") <= 2 * quota)
     pool = candidate_pool(fused, extras, k_final).select("qid", "chunk_id")
     raw = (scorer or coverage)(index, asked, pool)
     rows = raw.join(asked.select("qid", "question"), "qid").join(chunks, "chunk_id")
