@@ -727,7 +727,9 @@ def refusal_accuracy(spark, d):
     return E.refusal_accuracy(load(spark, d, "conversations").select(said.alias("answer"), (F.col("turn") % 2 == 0).alias("should_refuse")))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id % 3 AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS j FROM events), a AS (SELECT user_id, min(j) FILTER (r = 0) AS a, count(*) AS n FROM e GROUP BY user_id),
+b AS (SELECT a.user_id, any_value(n) AS n, min(j) FILTER (r = 1 AND j > a) AS b FROM a JOIN e ON e.user_id = a.user_id GROUP BY a.user_id)
+SELECT user_id, CASE WHEN b <= 20 THEN 'completo' WHEN n >= 20 THEN 'informacion_faltante' ELSE 'pendiente' END AS status, CASE WHEN b <= 20 THEN b WHEN n >= 20 THEN 20 ELSE 1 + n END AS asked FROM b""")
 def wizard_state(spark, d):
     """The batch twin of the stream: threads of a user's events as replies."""
     import pandas as pd

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lucerna.catalog import _fold, _graph, _list, load, query
+from lucerna.catalog import _ROUTES, _first, _fold, _graph, _list, load, query
 from lucerna.functions import text as X
 from lucerna.functions import words as W
 from lucerna.operators import answer as A
@@ -12,6 +12,7 @@ from lucerna.operators import evaluate as E
 from lucerna.operators import flow as N
 from lucerna.operators import ingest as G
 from lucerna.operators import verify as V
+from lucerna.sources import files as S
 
 # --- cleaning ----------------------------------------------------------------
 
@@ -130,6 +131,43 @@ def chunks_by_kind(spark, d):
     return G.by_kind(_chunks(spark, d))
 
 
+_DULL = W.META[0]
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '{_DULL}? {_DULL}?' WHEN p_partkey % 3 = 1 THEN p_name || '?' ELSE p_name || '? ' || p_type || ' zinc?' END AS query FROM part")
+def sub_questions(spark, d):
+    """parts without a word of substance go; all stay if none has one."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    asked = F.when(k % 3 == 0, f"{_DULL}? {_DULL}?").when(k % 3 == 1, F.concat(F.lit(f"{_DULL}? "), name, F.lit("?"))).otherwise(F.concat(name, F.lit("? "), F.lit(f"{_DULL}? "), F.col("p_type"), F.lit(" zinc?")))
+    return load(spark, d, "part").select("p_partkey", X.retrieval_query(asked).alias("query"))
+
+
+@query("""SELECT p_partkey, p_name || '. x' AS tidied, 'Use ' || p_name || ' in adults now.' AS without_references, p_name || ' is used here.' AS whole, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name || ' doi' END AS cited,
+p_partkey % 5 < 4 AS unusable, p_partkey % 2 = 0 AS study FROM part""")
+def external_units(spark, d):
+    """Numbers and marks of calls, references, unfinished ends, lists of abbreviations, attributions, fragments, summaries of studies."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    whole = F.concat(F.lit("We recommend the "), name, F.lit(" for all adults with a severe infection and for those who do not improve in two days."))
+    kinds = (F.concat(F.lit("AB = alpha, CD = beta, EF = gamma and "), whole), F.lit("Adapted from another text of ours."), F.concat(name, F.lit(" with")), F.concat(F.lit("Dose = "), whole), whole)
+    unit = F.element_at(F.array(*kinds), (k % 5 + 1).cast("int"))
+    cited = F.when(k % 2 == 0, F.concat(F.lit("Smith JA, "), name, F.lit(" et al. 2020"))).otherwise(F.concat(name, F.lit(" doi")))
+    shown = {
+        "tidied": X.tidy_external(F.concat(F.lit("_"), name, F.lit(" 12 13 . x†"))),
+        "without_references": X.strip_references(F.concat(F.lit("Use "), name, F.lit(" in adults now. Smith JA, et al. doi:10"))),
+        "whole": X.trim_tail(F.concat(name, F.lit(" is used here. And then the"))),
+        "cited": X.strip_references(cited), "unusable": X.unusable_external(unit),
+        "study": X.is_study_summary(F.when(k % 2 == 0, F.concat(F.lit("El estudio de Lopez con "), name)).otherwise(name)),
+    }
+    return load(spark, d, "part").select("p_partkey", *(c.alias(n) for n, c in shown.items()))
+
+
+@query("SELECT p_type AS protocol, max(p_name) AS version, arg_max(k, p_name) AS path FROM (SELECT p_type, p_name, min(p_partkey) AS k FROM part GROUP BY ALL) GROUP BY p_type")
+def newest_files(spark, d):
+    """S6."""
+    files = load(spark, d, "part").groupBy(F.col("p_type").alias("protocol"), F.col("p_name").alias("version")).agg(F.min("p_partkey").alias("path"))
+    return S.newest_versions(files)
+
+
 # --- units and answers -------------------------------------------------------
 
 # Line items as units: an order asks, a line is a unit, returned ones are the house's own.
@@ -247,6 +285,24 @@ def graph_support(spark, d):
     return N.support(every, nodes).select("node_id", "support_id", F.col("pos")["col1"].alias("way"))
 
 
+_BEST = f"WITH RECURSIVE {_ROUTES}, best AS (SELECT node, depth, trail FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, trail) AS n FROM walk) WHERE n = 1 AND node <> 1)"
+
+
+@query(f"{_BEST} SELECT node::VARCHAR AS node_id, row_number() OVER (ORDER BY depth, trail) - 1 AS pos FROM best WHERE node % 2 = 0")
+def decision_order(spark, d):
+    """N8."""
+    nodes, edges = _graph(spark, d)
+    return N.decisions_in_order(N.routes(edges, _first(nodes, "1")), nodes).select("node_id", "pos")
+
+
+@query(f"{_BEST} SELECT node_id, pos FROM (SELECT node, node::VARCHAR AS node_id, row_number() OVER (ORDER BY depth, trail) AS pos FROM best) WHERE node % 3 = 1")
+def first_sections(spark, d):
+    """The nodes of the start's section, in the order of a walk."""
+    nodes, edges = _graph(spark, d)
+    nodes = nodes.withColumn("section", F.concat(F.lit("s"), (F.col("node_id").cast("long") % 3).cast("string")))
+    return N.first_section(N.routes(edges, _first(nodes, "1")), nodes).select("node_id", F.col("_n").alias("pos"))
+
+
 @query("""SELECT doc_id AS qid, CASE WHEN toxic = 1 THEN 'rejected' WHEN doc_id % 3 = 0 THEN 'both' WHEN quality = 1 THEN 'answer' ELSE 'none' END AS text, CASE WHEN doc_id % 4 = 0 THEN 'could not check for contradictions' WHEN doc_id % 4 = 1 THEN 'the contributions contradict each other' END AS note,
 CASE WHEN toxic = 1 THEN 'citas_incompletas' WHEN doc_id % 5 = 0 THEN 'verificada' WHEN doc_id % 4 = 0 THEN 'no_verificable' WHEN doc_id % 4 = 1 THEN 'verificada' ELSE 'no_relacionada' END AS verification,
 toxic = 0 AND (doc_id % 5 = 0 OR doc_id % 4 = 1) AS eligible FROM labels""")
