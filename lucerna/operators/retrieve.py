@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from lucerna.operators import index as I
 INSTITUTIONAL = "institucional"
 """Source type of the house's own documents (a fixed value)."""
 RRF_K = 60
+QUESTIONS = 20_000
+"""Question vectors held in memory at once (about 10 MB at 64 dimensions, 160 MB at 1,024)."""
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -33,14 +36,24 @@ def similarity(a: str, b: str, metric: str = "cosine") -> Column:
 
 
 def dense_search(vectors: DataFrame, questions: DataFrame, k: int, source_type: str | None = None, metric: str = "dot", digits: int | None = None) -> DataFrame:
-    """Exact search. `questions` (qid, vector) are a stated set, held in blocks by the broadcast of a checked size; `vectors` (chunk_id, source_type, embedding) stream past it.
+    """Exact search. `questions` (qid, vector) are a stated set, asked in blocks of QUESTIONS that are broadcast; `vectors` (chunk_id, source_type, embedding) stream past each block.
 
-    The source filter is below the product, so it reaches the scan (P5).
+    The source filter is below the product, so it reaches the scan (P5). The k
+    best of a task are found before the shuffle.
     """
     rows = vectors if source_type is None else vectors.where(F.col("source_type") == source_type)
-    pairs = rows.join(I.small(questions.select("qid", "vector"), 20_000), how="cross")
-    scored = pairs.select("qid", "chunk_id", similarity("embedding", "vector", metric).alias("score"))
-    return I.top_k(scored, k, digits=digits)
+    asked = questions.select("qid", "vector")
+    blocks = max(1, -(-asked.count() // QUESTIONS))
+
+    def best(block: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(block), how="cross")
+        return I.top_k(pairs.select("qid", "chunk_id", similarity("embedding", "vector", metric).alias("score")), k, digits=digits)
+
+    if blocks == 1:
+        return best(asked)
+    # twice as many blocks as needed, so that the hash's unevenness leaves each below the bound
+    parts = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)) == b) for b in range(2 * blocks))
+    return reduce(DataFrame.unionByName, map(best, parts))
 
 
 def fuse(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:

@@ -364,3 +364,13 @@ def test_hybrid_queries_take_every_question_with_a_vector(spark, tmp_path, monke
     want = [3, 19, 20, 31, 44]
     assert sorted((r.qid, r.chunk_id) for r in catalog.hybrid_retrieve(spark, str(tmp_path)).collect()) == [(i, i + 1) for i in want]
     assert sorted(r.qid for r in catalog.full_answer(spark, str(tmp_path)).collect()) == want
+
+
+def test_dense_questions_in_blocks(spark, monkeypatch):
+    rows = [(i, "guia" if i % 2 else R.INSTITUTIONAL, [float((i * k) % 7) for k in range(1, 5)]) for i in range(40)]
+    vectors = spark.createDataFrame(rows, "chunk_id long, source_type string, embedding array<float>")
+    asked = vectors.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    want = sorted(R.dense_search(vectors, asked, 3).collect())
+    monkeypatch.setattr(R, "QUESTIONS", 4)
+    assert sorted(R.dense_search(vectors, asked, 3).collect()) == want and len(want) == 3 * 14
+    assert R.dense_search(vectors, asked.limit(0), 3).count() == 0
