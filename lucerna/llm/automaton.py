@@ -23,7 +23,9 @@ import numpy as np
 from lucerna.llm import bpe, vec
 
 #: Entries of the transition table that a worker holds before it starts anew.
-TABLE_LIMIT = 4_000_000
+TABLE_LIMIT = 1_000_000
+#: Distinct pre-tokens that a worker holds beside it.
+CACHE_WORDS = 500_000
 _NEVER = np.iinfo(np.int32).max
 
 
@@ -205,4 +207,4 @@ def compiled(path: str) -> MergeAutomaton:
 
 @functools.cache
 def automaton_encoder(path: str) -> bpe.PretokenEncoder:
-    return bpe.PretokenEncoder(compiled(path).encode, bpe.added_tokens(path))
+    return bpe.PretokenEncoder(compiled(path).encode, bpe.added_tokens(path), CACHE_WORDS)

@@ -39,12 +39,13 @@ def library(path: str):
     return out
 
 
-@functools.cache
 def description(path: str) -> dict:
+    """The whole file, which is large: callers keep only what they need of it."""
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
 
+@functools.cache
 def splits_by_pretoken(path: str) -> bool:
     """Whether pre-tokens of the published pattern can be encoded one by one."""
     if not path.endswith(".json"):
@@ -55,6 +56,7 @@ def splits_by_pretoken(path: str) -> bool:
     return plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and d.get("normalizer") is None and not model.get("dropout")
 
 
+@functools.cache
 def added_tokens(path: str) -> dict[bytes, int]:
     return {t["content"].encode(): t["id"] for t in description(path).get("added_tokens") or []}
 
