@@ -15,7 +15,7 @@ from lucerna.llm import automaton, bpe, common, vec
 #: Entries of the broadcast table of frequent pre-tokens; 12 bytes each, so under 1 MB whatever the corpus.
 FREQUENT = 32_768
 #: Entries of each task's summary from which that table is chosen.
-SUMMARY = 2_048
+SUMMARY = FREQUENT
 #: Distinct pre-tokens a task counts before it keeps only the most frequent.
 COUNTED = 400_000
 
