@@ -21,6 +21,13 @@ ASSIGN_LEAST = 8
 #: Candidates of the entropy scan and its window, in characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
+#: The characters of a candidate.
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: A candidate is scanned in pieces of at most so many characters, one less than a window of which overlap, so that time is linear in its length.
+PIECE = 200
+PIECES = rf"(?=(.{{1,{PIECE}}})).{{1,{PIECE - WINDOW + 1}}}"
+#: Matches that are summed up together.
+GROUP = 256
 #: Least bits a character in some window, by character class.
 BITS = {"hex": 3.0, "mixed": 3.7}
 #: Values that are not secrets as a whole: no digit or no letter, UUIDs, paths of words.
@@ -28,7 +35,8 @@ ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^([A-Za-z]+[0-9]{0,4}[/_-])*[A-Za-z]+[0-9]{0,4}$",
+    # possessive: a part is never tried again, so that a path of any length needs no stack
+    r"^(?:[A-Za-z]++[0-9]{0,4}+[/_-])*+[A-Za-z]++[0-9]{0,4}+$",
 )
 #: Placeholder words standing alone: only they are cut out, what is left of and right of one is a value of its own.
 PLACEHOLDER = r"(?i)(?<![A-Za-z0-9])(example|sample|dummy|changeme|placeholder|redacted|your(?=[_-])|test(?=[_-]))(?![A-Za-z0-9])"
@@ -39,42 +47,67 @@ BREAKS = (
 )
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(text: Column, found: Column, pattern: str, kind: int, keep=None) -> Column:
-    """Positions (code points) of all matches, from the lengths of the matches and of the text between them."""
+    """Positions (code points) of all matches, from the lengths of the matches and of the text between them.
+
+    Matches are summed up in groups of GROUP, and the groups then: an array that
+    grows by one match at a time would be copied once a match.
+    """
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("width"), hit.alias("hit")))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    span = "struct<start:int,kind:int,end:int,hit:string>"
+    none, no_groups = F.array().cast(f"array<{span}>"), F.array().cast(f"array<array<{span}>>")
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         here = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["width"]).alias("end"), x["hit"].alias("hit"))
         return F.struct((start + x["width"]).alias("at"), F.concat(s["out"], F.array(here)).alias("out"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    def group(s: Column, g: Column) -> Column:
+        inner = F.aggregate(g, F.struct(s["at"].alias("at"), none.alias("out")), step)
+        return _let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(s["out"], F.array(i["out"])).alias("out")))
+
+    last = F.floor((F.size(found) - 1) / GROUP).cast("int")
+    groups = _let(pairs, lambda p: F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(p, g * GROUP + 1, GROUP)))
+    spans = F.flatten(F.aggregate(groups, F.struct(F.lit(0).alias("at"), no_groups.alias("out")), group, lambda s: s["out"]))
     if keep is not None:
         spans = F.filter(spans, lambda s: keep(s["hit"]))
-    return F.when(F.size(found) > 0, spans).otherwise(empty)
+    return F.when(F.size(found) > 0, spans).otherwise(none)
 
 
 def _window_weight(value: Column) -> Column:
     """Least sum of c * log2(c) over the character counts c of all windows, times 10^6.
 
-    One character enters and one leaves at a step, so the sum changes by the
-    terms of those two counts only. Entropy is log2(WINDOW) - sum / WINDOW.
+    `counts` holds how often the window has each character. At a step one
+    leaves and one enters; the two counts change, and the sum by their terms.
+    Entropy is log2(WINDOW) - sum / WINDOW. For values of at most PIECE.
     """
     term = F.array(*(F.lit(0 if c < 2 else round(c * math.log2(c) * 1e6)) for c in range(WINDOW + 1)))
     up = lambda c: F.get(term, c + 1) - F.get(term, c)
+    put = lambda counts, at, n: F.concat(F.slice(counts, 1, at), F.array(n), F.slice(counts, at + 2, len(ALPHABET)))
+    codes = F.transform(F.split(value, "(?!^)(?!$)", -1), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    moves = _let(codes, lambda c: F.zip_with(c, F.concat(F.array_repeat(F.lit(-1), WINDOW), F.slice(c, 1, F.greatest(F.size(c) - WINDOW, F.lit(0)))), lambda e, l: F.struct(e.alias("enters"), l.alias("leaves"))))
+
+    def leave(s: Column, code: Column) -> Column:
+        less = lambda n: F.struct((s["total"] - up(n)).alias("total"), s["least"].alias("least"), (s["at"] + 1).alias("at"), put(s["counts"], code, n).alias("counts"))
+        kept = F.struct(s["total"].alias("total"), s["least"].alias("least"), (s["at"] + 1).alias("at"), s["counts"].alias("counts"))
+        return F.when(code >= 0, _let(F.get(s["counts"], code) - 1, less)).otherwise(kept)
+
+    def enter(s: Column, code: Column) -> Column:
+        def more(n: Column) -> Column:
+            total = s["total"] + up(n)
+            least = F.when(s["at"] >= WINDOW, F.least(s["least"], total)).otherwise(s["least"])
+            return F.struct(total.alias("total"), least.alias("least"), s["at"].alias("at"), put(s["counts"], code, n + 1).alias("counts"))
 
-    def step(s: Column, i: Column) -> Column:
-        core = F.substring(value, F.greatest(F.lit(1), i - (WINDOW - 1)), F.least(i - 1, F.lit(WINDOW - 1)))
-        count = lambda c: F.length(core) - F.length(F.replace(core, c, F.lit("")))
-        enters = up(count(F.substring(value, i, 1)))
-        leaves = F.when(i > WINDOW, up(count(F.substring(value, i - WINDOW, 1)))).otherwise(0)
-        total = s["total"] + enters - leaves
-        return F.struct(total.alias("total"), F.when(i >= WINDOW, F.least(s["least"], total)).otherwise(s["least"]).alias("least"))
+        return _let(F.get(s["counts"], code), more)
 
-    start = F.struct(F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda s: s["least"])
+    start = F.struct(F.lit(0).alias("total"), F.lit(2**31 - 1).alias("least"), F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"))
+    return F.aggregate(moves, start, lambda s, m: _let(leave(s, m["leaves"]), lambda t: enter(t, m["enters"])), lambda s: s["least"])
 
 
 def _is_secret(candidate: Column) -> Column:
@@ -91,7 +124,8 @@ def _is_secret(candidate: Column) -> Column:
         parts = value
         for pattern, broken in BREAKS:
             parts = F.regexp_replace(parts, pattern, broken)
-        found = F.exists(F.split(parts, " ", -1), lambda part: F.when(F.length(part) >= WINDOW, _window_weight(part) <= limit).otherwise(False))
+        scan = lambda piece: F.when(F.length(piece) >= WINDOW, _window_weight(piece) <= limit).otherwise(False)
+        found = F.exists(F.split(parts, " ", -1), lambda part: F.when(F.length(part) >= WINDOW, F.exists(F.regexp_extract_all(part, F.lit(PIECES), F.lit(1)), scan)).otherwise(False))
         return F.when((F.length(value) < WINDOW) | listed(value), F.lit(False)).otherwise(found)
 
     return F.when(listed(candidate), F.lit(False)).otherwise(F.exists(F.split(candidate, PLACEHOLDER, -1), holds))
@@ -102,12 +136,14 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (text:
     kind:start:end, comma-joined), base and found (arrays of struct<start, kind,
-    end, `entropy` spans are candidates of CANDIDATE that are not on
-    the allow list, of which some window beside placeholder words, runs and
-    counting rows reaches BITS, and that lie in no base span. are candidates of CANDIDATE that are not on
-    the allow list, of which some window reaches BITS, and that lie in no base
-    span. A null text counts as empty. Equal and null ids stay apart; other
-    columns are ignored; an empty table gives an empty result.
+    end, hit>, in that order). `entropy` spans are matches of CANDIDATE that are
+    not on the allow list, of which some window beside placeholder words, runs
+    and counting rows reaches BITS, and that lie in no base span.
+
+    A null or empty text has no spans. Texts and candidates may be of any
+    length; time is linear in them. Equal and null ids stay apart, and repeated
+    rows get equal results; other columns are ignored; an empty table gives an
+    empty result.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")

@@ -1,8 +1,11 @@
 """Repeated rows, very long texts and words, odd code points: results stay whole and equal rows get equal results."""
 
+import collections
 import hashlib
+import math
 import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -94,3 +97,29 @@ def test_leaks_and_scores(docs, spark):
     scored = collected(lm.scores(docs))
     for x in scored.values():
         assert all(r.base_score == pytest.approx(x[0].base_score) and r.score == pytest.approx(x[0].score, rel=1e-5) and r.score < 0 for r in x)
+
+
+def windows_reach(value, bits):
+    """Whether some window's entropy, counted anew for each, reaches `bits`."""
+    n = secrets.WINDOW
+    return any(-sum(c / n * math.log2(c / n) for c in collections.Counter(value[i : i + n]).values()) >= bits for i in range(len(value) - n + 1))
+
+
+def test_long_candidates(spark):
+    """Megabytes without a blank: paths, slugs, random letters, and very many candidates in one text."""
+    draw = random.Random(4)
+    dull = lambda n: "".join(draw.choice("abcA1") for _ in range(n))
+    letters = "".join(draw.choice(secrets.ALPHABET[:62]) for _ in range(100_000))
+    # one window in many that reaches the bits, at every place round the ends of the pieces
+    hidden = [dull(k) + letters[:20] + dull(150) for k in range(140, 240, 7)]
+    texts = ["ab1-" * 250_000, "key " + "ab1-" * 250_000 + "ab1", letters, " ".join(letters[k : k + 24] for k in range(0, 48_000, 24)), *hidden, *(dull(500) for _ in range(20))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.spans for r in secrets.secrets(rows).collect()}
+    assert time.time() - began < 120
+    assert got[1] == "" and got[2] == "entropy:0:100000"
+    many = got[3].split(",")
+    assert len(many) > 1900 and all((int(a) % 25, int(b) - int(a)) == (0, 24) for _, a, b in (s.split(":") for s in many))
+    for k in range(4, len(texts)):
+        assert (got[k] != "") == windows_reach(texts[k], secrets.BITS["mixed"]), texts[k]
+    assert sum(got[k] != "" for k in range(4, 4 + len(hidden))) >= 10 and not all(got.values())
