@@ -92,7 +92,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
         columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     order = (F.asc_nulls_last("source"), F.desc("size"), key, F.col("doc_id"), F.col("hash"), F.col("spread"))
-    rows = _numbered(docs.select(*columns), "sizes", *order)
+    counted = docs.select(*columns)
+    if not carry:
+        # dealing out by ranges looks at the rows twice; so the texts are read once
+        counted = common.stored(counted, "counted")
+    rows = _numbered(counted, "sizes", *order)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, most)
     each = F.when(F.col("source_size") > 0, F.least(F.lit(most << BITS), F.round(F.col("target") / F.col("source_size") * float(1 << BITS)).cast("long"))).otherwise(F.lit(0)).cast("long")
     sources = sources.select("source", "source_size", "target", each.alias("each"), _offset(F.col("source").cast("string"), seed).alias("offset"))
