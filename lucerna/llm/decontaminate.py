@@ -1,7 +1,9 @@
 """Benchmark decontamination by BM25 with block-max WAND (operator 2).
 
 The test items are the indexed side and every passage of every document is a
-query. Scores are BM25 divided by the item's score for its own text, so one
+query. How many items hold a term, and their mean length, are counted over all
+items, and the passages an item is sought in depend on the item's own length, so
+scores do not depend on how the items are cut into indexes. Scores are BM25 divided by the item's score for its own text, so one
 threshold suits items of all lengths. For a passage, blocks of items are
 bounded by the sum of its terms' block maxima; terms that are too common to
 matter alone (`tail`: their joint best over any item stays below the
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,8 +33,11 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.8
 SHINGLE = 5
 BLOCK = 8
-#: Bytes of items in one broadcast index; more items make more indexes, each asked in turn.
+#: Bytes of items in one broadcast index, and indexes that are asked in one scan of the documents; more items make more scans.
 SEGMENT_BYTES = 16 << 20
+AT_ONCE = 8
+#: Least words of an item's class, and how much longer the items of the next class may be.
+LEAST_REACH, STEP = 16, 4
 #: Cells (passages x blocks) accumulated at once.
 CELLS = 1 << 20
 
@@ -64,8 +70,21 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def reach_of(n: int) -> int:
+    """The length class of an item of n words: the words of the longest items of its class, which are half a passage."""
+    reach = LEAST_REACH
+    while reach < n:
+        reach *= STEP
+    return reach
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    """Items of one length class with the statistics of all items: how many hold each term (`df`, hashes to counts), how many there are, their mean length.
+
+    Without them, the statistics are those of the given items.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], df: tuple[np.ndarray, np.ndarray] | None = None, n_items: int = 0, mean: float = 0.0) -> None:
         parts = [split_item(t) for _, t in items]
         hashes = [[words(*vec.buffers(pa.array([x])))[0] for x in p] for p in parts]
         kept = [i for i, (q, a) in enumerate(hashes) if len(q) + len(a)]
@@ -75,16 +94,18 @@ class Index:
             self.shingles.append([(n, np.unique(_grams(h, n))) for h in hashes[i] if (n := min(SHINGLE, len(h)))])
         full = [np.concatenate(hashes[i]) for i in kept]
         sizes = np.array([len(h) for h in full], np.int64)
-        self.longest = int(sizes.max()) if len(sizes) else 0
+        self.reach = reach_of(int(sizes.max())) if len(sizes) else 0
         if not kept:
             return
         item = np.repeat(np.arange(len(full)), sizes)
         self.terms, term = np.unique(np.concatenate(full), return_inverse=True)
         key, tf = np.unique(term * np.int64(len(full)) + item, return_counts=True)
         term, item = key // len(full), key % len(full)
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (len(full) - df + 0.5) / (df + 0.5))
-        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+        own = np.bincount(term, minlength=len(self.terms))
+        held = own if df is None else df[1][np.searchsorted(df[0], self.terms)]
+        n_items, mean = (len(full), sizes.mean()) if df is None else (n_items, mean)
+        idf = np.log(1 + (n_items - held + 0.5) / (held + 0.5))
+        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean))
         score /= np.bincount(item, score)[item]
         # postings by term: (item, impact), and by term and block: largest impact
         self.post_at = np.searchsorted(term, np.arange(len(self.terms) + 1))
@@ -96,10 +117,10 @@ class Index:
         self.block_at = np.searchsorted(bkey[new] // self.blocks, np.arange(len(self.terms) + 1))
         # the tail: commonest terms while their joint best for an item stays under half the threshold
         joint, self.tail = np.zeros(len(full)), np.zeros(len(self.terms), bool)
-        for t in np.argsort(-df, kind="stable").tolist():
-            own = slice(self.post_at[t], self.post_at[t + 1])
+        for t in np.argsort(-own, kind="stable").tolist():
+            its = slice(self.post_at[t], self.post_at[t + 1])
             grown = joint.copy()
-            grown[item[own]] += score[own]
+            grown[item[its]] += score[its]
             if grown.max() >= THRESHOLD / 2:
                 break
             joint, self.tail[t] = grown, True
@@ -158,27 +179,71 @@ def _expand(starts: np.ndarray, width: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - width), width) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+_COUNTED = "uid long, n int, reach int, terms array<bigint>"
+
+
 def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """Indexes of the items, each over at most SEGMENT_BYTES of them; a test set is read once, in order of id."""
+    """Indexes of the items, each of one length class and over at most SEGMENT_BYTES of them or one item.
+
+    Spark counts terms and lengths over all items; the driver reads the items
+    once, by class, id and text, and holds one index's at a time.
+    """
+    rows = common.named(items, i=id_col, t=text_col).where("t IS NOT NULL")
+
+    def count(batches):
+        at = TaskContext.get().partitionId() << 33
+        for part, data, offsets in vec.text_slices(batches, "t"):
+            h, first = words(data, offsets)
+            n = np.diff(first)
+            terms, own = vec.unique_by_row(h, first) if len(h) else (np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(terms.view(np.int64)))
+            reach = pa.array([reach_of(x) for x in n.tolist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("t"), pa.array(at + np.arange(len(n))), pa.array(n, pa.int32()), reach, lists], names=["i", "t", "uid", "n", "reach", "terms"])
+            at += len(n)
+
+    counted = common.stored(rows.mapInArrow(count, f"i {rows.schema['i'].dataType.simpleString()}, t string, {_COUNTED}").where("n > 0"), "items")
+    n_items, mean = counted.agg(F.count("*"), F.avg("n")).first()
+    each = counted.select("uid", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    held = each.join(df, "term").groupBy("uid").agg(F.collect_list(F.struct("term", "df")).alias("held"))
+    # ids and texts only, and counts of the items' own terms, come to the driver
+    listed = common.stored(counted.select("uid", "i", "t", "reach").join(held, "uid"), "item-terms")
+
+    def built(batch: list) -> Index:
+        pairs = np.array([(x.term, x.df) for r in batch for x in r.held], np.int64)
+        terms, at = np.unique(pairs[:, 0].view(np.uint64), return_index=True)
+        return Index([(r.i, r.t) for r in batch], (terms, pairs[at, 1]), n_items, mean)
+
     batch, size = [], 0
-    for r in items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL").orderBy("i", "t").toLocalIterator():
-        batch.append((r.i, r.t))
-        size += len(r.t.encode())
-        if size > SEGMENT_BYTES:
-            yield Index(batch)
+    for r in listed.orderBy("reach", "i", "t").toLocalIterator():
+        if batch and (r.reach != batch[0].reach or size > SEGMENT_BYTES):
+            yield built(batch)
             batch, size = [], 0
+        batch.append(r)
+        size += len(r.t.encode())
     if batch:
-        yield Index(batch)
+        yield built(batch)
+    common.dropped(counted, listed)
+
+
+def _groups(found: Iterator[Index]) -> Iterator[list[Index]]:
+    group = []
+    for index in found:
+        group.append(index)
+        if len(group) == AT_ONCE:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
-def _matches(index: Index, table: vec.HashTable, data: np.ndarray, offsets: np.ndarray, threshold: float, overlap: float):
-    """{(row, item): (score, question overlap, answer overlap)} of the verified leaks of a batch."""
-    h, first = words(data, offsets)
+def _matches(index: Index, table: vec.HashTable, h: np.ndarray, first: np.ndarray, threshold: float, overlap: float):
+    """{(row, item): (score, question overlap, answer overlap)} of the verified leaks of a batch of words."""
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not len(h):
         return found
-    # passages: windows of twice the longest item, half overlapping, so any item lies whole in one
-    stride = index.longest
+    # passages: windows of twice the class' longest items, half overlapping, so any item lies whole in one
+    stride = index.reach
     n_windows = np.maximum(1, -(-np.diff(first) // stride) - 1)
     row_at = np.concatenate([[0], np.cumsum(n_windows)])
     row = vec.rows_of(first)
@@ -209,30 +274,32 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
 
     A pair is returned if in some passage the item's normalised BM25 score
     reaches `threshold` and at least `overlap` of the 5-word shingles of both
-    its question and its answer occur. Texts and items that are null or have
-    no words match nothing; no items or no documents give an empty result.
-    Equal and null ids stay apart by row; other columns are ignored.
+    its question and its answer occur. A passage is a window of twice the words
+    of the longest items of the item's length class, so texts may be of any
+    length. Texts and items that are null or have no words match nothing; no
+    items or no documents give an empty result. Equal and null ids stay apart by
+    row, and repeated rows are returned each; of equal scores of a pair one
+    passage counts. Other columns are ignored.
     """
     rows = common.named(docs, doc_id=id_col, text=text_col)
     kind = items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind}, score double, question_overlap double, answer_overlap double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     out = rows.sparkSession.createDataFrame([], schema)
-    for index in indexes(items, item_id, item_text):
-        if not index.ids:
-            continue
-        shared = rows.sparkSession.sparkContext.broadcast(index)
+    for group in _groups(indexes(items, item_id, item_text)):
+        shared = [rows.sparkSession.sparkContext.broadcast(index) for index in group]
 
         def run(batches, shared=shared):
-            index = shared.value
-            table = _table(index)
+            asked = [(x.value, _table(x.value)) for x in shared]
             for part, data, offsets in vec.text_slices(batches):
-                found = _matches(index, table, data, offsets, threshold, overlap)
-                if found:
-                    order = sorted(found)
-                    ids = part.column("doc_id").take(pa.array([d for d, _ in order]))
-                    values = [found[k] for k in order]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i in order], arrow.field("item_id").type), *(pa.array([v[j] for v in values]) for j in range(3))], schema=arrow)
+                h, first = words(data, offsets)
+                for index, table in asked:
+                    found = _matches(index, table, h, first, threshold, overlap)
+                    if found:
+                        order = sorted(found)
+                        ids = part.column("doc_id").take(pa.array([d for d, _ in order]))
+                        values = [found[k] for k in order]
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([index.ids[i] for _, i in order], arrow.field("item_id").type), *(pa.array([v[j] for v in values]) for j in range(3))], schema=arrow)
 
         out = out.union(rows.mapInArrow(run, schema))
     return out
@@ -248,21 +315,19 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     """The rows of `docs`, with all columns, that `leaks` would not return.
 
     Null and empty texts stay, as do all rows if there are no items; repeated
-    rows stay or go together, whatever their ids. Columns may have any names.
+    rows stay or go together, whatever their ids. Texts may be of any length. Columns may have any names.
     An empty table gives an empty result.
     """
     common.bounded(docs.sparkSession)
     out = docs
-    for index in indexes(items, item_id, item_text):
-        if not index.ids:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in _groups(indexes(items, item_id, item_text)):
+        shared = [docs.sparkSession.sparkContext.broadcast(index) for index in group]
 
         def run(batches, shared=shared):
-            index = shared.value
-            table = _table(index)
+            asked = [(x.value, _table(x.value)) for x in shared]
             for part, data, offsets in vec.text_slices(batches):
-                leaked = {d for d, _ in _matches(index, table, data, offsets, threshold, overlap)}
+                h, first = words(data, offsets)
+                leaked = {d for index, table in asked for d, _ in _matches(index, table, h, first, threshold, overlap)}
                 yield part.select(["row"]).filter(pa.array([d not in leaked for d in range(part.num_rows)]))
 
         rows = out.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))

@@ -80,7 +80,7 @@ def grams(w, n):
 
 
 def leaked(texts, items, threshold=decontaminate.THRESHOLD, overlap=decontaminate.OVERLAP):
-    """{(document, item): (score, question share, answer share)}: every window of every text against every item."""
+    """{(document, item): (score, question share, answer share)}: every window, of the item's length class, of every text against every item."""
     parts = {i: [item_words(p) for p in decontaminate.split_item(t)] for i, t in items if t is not None and item_words(t)}
     full = {i: collections.Counter(q + a) for i, (q, a) in parts.items()}
     df = collections.Counter(t for c in full.values() for t in c)
@@ -88,15 +88,17 @@ def leaked(texts, items, threshold=decontaminate.THRESHOLD, overlap=decontaminat
     idf = {t: math.log(1 + (len(full) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     k1, b = decontaminate.K1, decontaminate.B
     impact = {i: {t: idf[t] * n * (k1 + 1) / (n + k1 * (1 - b + b * sum(c.values()) / mean)) for t, n in c.items()} for i, c in full.items()}
-    longest = max(sum(c.values()) for c in full.values())
     found = {}
     for d, s in texts.items():
         w = item_words(s)
-        windows = max(1, math.ceil(len(w) / longest) - 1)
-        for k in range(windows):
-            passage = w[k * longest : len(w) if k + 1 == windows else (k + 2) * longest]
-            terms = set(passage)
-            for i, own in impact.items():
+        for i, own in impact.items():
+            stride = 16
+            while stride < sum(full[i].values()):
+                stride *= 4
+            windows = max(1, math.ceil(len(w) / stride) - 1)
+            for k in range(windows):
+                passage = w[k * stride : len(w) if k + 1 == windows else (k + 2) * stride]
+                terms = set(passage)
                 score = sum(v for t, v in own.items() if t in terms) / sum(own.values())
                 shares = []
                 for p in parts[i]:
@@ -116,7 +118,11 @@ def near(item):
 ITEMS = [(1, ITEM), (2, near(ITEM)), (3, None), (4, " "), (5, "one"), (6, TEXT[3].split("\n")[0] + " " + TEXT[4]), (7, "Never seen here. Nor this."), (8, TEXT[70][:200]), (9, "a b c d e")]
 
 
-def test_leaks(docs, spark):  # noqa: F811
+@pytest.mark.parametrize(("segment", "at_once"), [(16 << 20, 8), (60, 2), (1, 1)])
+def test_leaks(docs, spark, monkeypatch, segment, at_once):  # noqa: F811
+    """The same pairs and scores however the items are cut into indexes."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", segment)
+    monkeypatch.setattr(decontaminate, "AT_ONCE", at_once)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, items).collect()}
     want = leaked({i: text_of(i) for i in [*TEXT, None]}, ITEMS)
