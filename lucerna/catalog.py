@@ -26,7 +26,8 @@ from lucerna.sources import files as S
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 OWN = ("src0", "src1", "src2")
-TOPICS = {"english": ["the", "with"], "spanish": ["cion", "mente"], "french": ["leurs", "nous"]}
+#: Words of a topic; topics have the names that chunks have.
+TOPICS = {"en": ["the", "with"], "es": ["cion", "mente"], "fr": ["leurs", "nous"]}
 
 
 def query(sql: str | None = None):
@@ -60,6 +61,11 @@ def _fold(x: str) -> str:
     return f"strip_accents(lower(coalesce({x}, '')))"
 
 
+def _re2(pattern: str) -> str:
+    """A pattern without the flag that makes classes Unicode's, which the SQL's expressions don't have."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+
+
 def _tok(x: str) -> str:
     return f"list_filter(regexp_extract_all({_fold(x)}, '[a-z0-9]+'), lambda t: NOT list_contains({_list(W.STOPWORDS)}, t))"
 
@@ -180,10 +186,10 @@ def drop_running_lines(spark, d):
     return G.drop_running_lines(pages, 0.1).select("source_file", "page", "text")
 
 
-@query(f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '{W.CONTACT_LINE}'))) AS contacts FROM documents")
+@query(f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '{_re2(W.STAMP_LINE)}'))) AS contacts FROM documents")
 def contact_lines(spark, d):
     """F11."""
-    return load(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(W.CONTACT_LINE))).alias("contacts"))
+    return load(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda s: s.rlike(W.STAMP_LINE))).alias("contacts"))
 
 
 @query(f"""SELECT doc_id, n > 0 AND (hits = n OR (hits >= 4 AND 2 * hits >= n)) AS bibliography, hits AS reference_lines
@@ -321,12 +327,21 @@ def _topic_sql(x: str) -> str:
 
 
 _OF_BOTH = """SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, list, seen, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS score, min(list) AS list, arg_min(rank, list) AS seen FROM (SELECT qid, chunk_id, 0 AS list, rank FROM {0} UNION ALL SELECT qid, chunk_id, 1, rank FROM {1}) GROUP BY ALL)"""
-_HYBRID = f"""{_BM25}, asked_v AS (SELECT item_id AS qid, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), bm AS (SELECT * FROM scored WHERE qid IN (SELECT qid FROM asked_v)),
-dscored AS (SELECT qid, vec_id AS chunk_id, CASE WHEN label < 3 THEN 'institucional' ELSE 'guia' END AS source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM asked_v q, embeddings v),
+
+
+def _hybrid(asked: str, dense: str) -> str:
+    """Both searches and their fusions, over all sources and over the house's own, of questions `asked_v` and dense scores `dscored`."""
+    return f"""{_BM25}, {asked}, bm AS (SELECT * FROM scored WHERE qid IN (SELECT qid FROM asked_v)), {dense},
 l0 AS ({_top('dscored', 20, digits=5)}), l1 AS ({_top('bm', 20, digits=5)} AND score > 0), fused AS ({_OF_BOTH.format('l0', 'l1')}),
 m0 AS ({_top('dscored', 20, "source_type = 'institucional'", 5)}), m1 AS ({_top('bm', 20, "source_type = 'institucional'", 5)} AND score > 0), mfused AS ({_OF_BOTH.format('m0', 'm1')})"""
 
 
+_HYBRID = _hybrid(
+    "asked_v AS (SELECT item_id AS qid, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)",
+    "dscored AS (SELECT qid, vec_id AS chunk_id, CASE WHEN label < 3 THEN 'institucional' ELSE 'guia' END AS source_type, list_sum(list_transform(generate_series(1, 64), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score FROM asked_v q, embeddings v)",
+)
+
+
 @query(f"WITH {_HYBRID} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM fused WHERE rank <= 8")
 def hybrid_without_reranker(spark, d):
     """The fused list, cut."""
@@ -335,20 +350,23 @@ def hybrid_without_reranker(spark, d):
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {_HYBRID}, pool AS (SELECT qid, chunk_id FROM fused WHERE rank <= 24 UNION SELECT qid, chunk_id FROM mfused WHERE rank <= 6),
+_PICKED = f"""pool AS (SELECT qid, chunk_id FROM fused WHERE rank <= 24 UNION SELECT qid, chunk_id FROM mfused WHERE rank <= 6),
 w AS (SELECT DISTINCT item_id AS qid, unnest({_tok('text')}) AS term FROM benchmark), ww AS (SELECT qid, term, greatest(coalesce(idf, 1.0), 0.0) AS w FROM w LEFT JOIN idfs USING (term)), total AS (SELECT qid, sum(w) AS total FROM ww GROUP BY qid),
 got AS (SELECT r.qid, r.chunk_id, sum(w) AS got FROM pool r JOIN ww ON ww.qid = r.qid JOIN post p ON p.term = ww.term AND p.chunk_id = r.chunk_id GROUP BY ALL),
-topical AS (SELECT item_id AS qid, len({_topic_sql('text')}) AS topics FROM benchmark),
-ranked AS (SELECT r.qid, r.chunk_id, d.source AS source_file, {_OWN_SQL} AS source_type, CASE WHEN total > 0 THEN coalesce(got, 0) / total ELSE 0 END + CASE WHEN {_OWN_SQL} <> 'institucional' AND r.chunk_id % 50 = 0 THEN -0.2 ELSE 0.0 END AS score
-FROM pool r JOIN documents d ON d.doc_id = r.chunk_id JOIN topical t ON t.qid = r.qid LEFT JOIN got g ON g.qid = r.qid AND g.chunk_id = r.chunk_id LEFT JOIN total o ON o.qid = r.qid WHERE t.topics <> 1 OR d.lang IS NULL),
+topical AS (SELECT item_id AS qid, {_topic_sql('text')} AS topics FROM benchmark),
+ranked AS (SELECT r.qid, r.chunk_id, d.source AS source_file, {_OWN_SQL} AS source_type, CASE WHEN total > 0 THEN coalesce(got, 0) / total ELSE 0 END + CASE WHEN regexp_matches({_fold('d.text')}, '{W.DOCUMENT_HEADER}') THEN CASE WHEN regexp_matches({_fold('b.text')}, '{W.HEADER_WORDS}') THEN 0.0 ELSE -0.2 END WHEN {_OWN_SQL} <> 'institucional' AND r.chunk_id % 50 = 0 THEN -0.2 ELSE 0.0 END AS score
+FROM pool r JOIN documents d ON d.doc_id = r.chunk_id JOIN benchmark b ON b.item_id = r.qid JOIN topical t ON t.qid = r.qid LEFT JOIN got g ON g.qid = r.qid AND g.chunk_id = r.chunk_id LEFT JOIN total o ON o.qid = r.qid WHERE len(t.topics) <> 1 OR d.lang IS NULL OR d.lang = t.topics[1]),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_file ORDER BY {_ORDER}) AS nth FROM ranked WHERE score >= 0.05) WHERE source_type = 'institucional' OR nth <= 3),
 res AS (SELECT *, good AND row_number() OVER (PARTITION BY qid, good ORDER BY {_ORDER}) <= 3 AS reserved FROM (SELECT *, source_type = 'institucional' AND score >= 0.02 AS good FROM capped)),
 picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY reserved DESC, {_ORDER}) AS pick FROM res) WHERE reserved OR pick <= 8)
-SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rank, 'rerank' AS method FROM picked""")
+SELECT qid, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY {_ORDER}) AS rank, 'rerank' AS method FROM picked"""
+
+
+@query(f"WITH {_HYBRID}, {_PICKED}")
 def hybrid_retrieve(spark, d):
     """R9 end to end, P9, P10, J13."""
     asked = _questions_with_vectors(spark, d)
-    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d).drop("text"), _vectors(spark, d), asked, topics=TOPICS, digits=5)
+    out = R.hybrid_retrieve(I.build_index(_chunks(spark, d)), _chunks(spark, d), _vectors(spark, d), asked, topics=TOPICS, digits=5)
     return out.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank", "method")
 
 
@@ -397,7 +415,7 @@ def uncovered_terms(spark, d):
 def carry_forward_title(spark, d):
     """W5."""
     rows = load(spark, d, "conversations")
-    return rows.select("conv_id", "turn", G.carried(F.when(F.col("role") == "user", F.col("text")), ["turn"], ["conv_id"]).alias("asked"))
+    return G.carried(rows, F.when(F.col("role") == "user", F.col("text")), ["turn"], ["conv_id"], "asked").select("conv_id", "turn", "asked")
 
 
 @query("""SELECT l_orderkey AS qid, min(l_linenumber)::BIGINT AS first_line, count(*) AS parts, max(l_quantity) AS score FROM (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem WHERE l_returnflag <> 'A' ORDER BY l_orderkey, l_linenumber, l_quantity DESC)) GROUP BY l_orderkey, island""")
@@ -415,7 +433,7 @@ def unit_dedupe(spark, d):
     return A.once(lines, ["source"], "line", ["doc_id", "ord"]).select("source", F.lower("line").alias("line"), "doc_id")
 
 
-@query(f"SELECT conv_id, sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{T.ANAPHORA}') THEN 1 ELSE 0 END)::BIGINT AS islands, sum(length(text))::BIGINT + count(*) - sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{T.ANAPHORA}') THEN 1 ELSE 0 END)::BIGINT AS chars FROM (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
+@query(f"SELECT conv_id, sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{_re2(T.ANAPHORA)}') THEN 1 ELSE 0 END)::BIGINT AS islands, sum(length(text))::BIGINT + count(*) - sum(CASE WHEN n = 1 OR NOT regexp_matches(substr(text, 1, 80), '{_re2(T.ANAPHORA)}') THEN 1 ELSE 0 END)::BIGINT AS chars FROM (SELECT conv_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id")
 def anaphora_islands(spark, d):
     """A turn that refers back joins the one before; the first always opens an island."""
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", X.text("text").alias("text")))), lambda x: x["text"])
@@ -543,7 +561,7 @@ SELECT 'P' AS protocol_id, node::VARCHAR AS node_id FROM walk WHERE root = 2 AND
 def join_node(spark, d):
     """N5, J12, U7."""
     nodes, edges = _graph(spark, d)
-    return N.join_nodes(N.routes(edges, _first(nodes, "2", "3")))
+    return N.join_nodes(edges, _first(nodes, "2", "3"))
 
 
 @query(f"""WITH RECURSIVE {_ROUTES}, best AS (SELECT node, path FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY depth, trail) AS n FROM walk) WHERE n = 1),
@@ -686,13 +704,13 @@ def panels(spark, d):
     return V.panels(rows)
 
 
-@query("SELECT doc_id AS qid, 'CT-PL-' || (100 + doc_id % 10) AS code, '[' || lpad(((doc_id % 3) + 1)::VARCHAR, 2, '0') || ']' AS arbol, '[01]' AS rag FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id AS qid, 'CT-PL-' || (100 + doc_id % 10) AS code, '[' || ((doc_id % 3) + 1) || ']' AS arbol, '[1]' AS rag FROM documents WHERE doc_id % 3 <> 0")
 def version_discrepancy(spark, d):
-    """G5, J10, A12, U4."""
+    """v1, v01 and V001 are one version."""
     code = F.concat(F.lit("ct-pl-"), (100 + F.col("doc_id") % 10).cast("string"))
     docs = load(spark, d, "documents")
-    tree = docs.select(F.col("doc_id").alias("qid"), F.lit("arbol").alias("agent"), F.concat(code, F.lit("_v"), F.format_string("%02d", F.col("doc_id") % 3 + 1), F.lit(".pdf")).alias("source_file"))
-    rag = docs.select(F.col("doc_id").alias("qid"), F.lit("rag").alias("agent"), F.concat(code, F.lit(" v01.pdf")).alias("source_file"))
+    tree = docs.select(F.col("doc_id").alias("qid"), F.lit("arbol").alias("agent"), F.concat(code, F.lit("_v"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("0"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit(".pdf")).alias("source_file"))
+    rag = docs.select(F.col("doc_id").alias("qid"), F.lit("rag").alias("agent"), F.concat(code, F.when(F.col("doc_id") % 4 == 0, " V001.pdf").otherwise(" v1.pdf")).alias("source_file"))
     shown = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
     return V.version_discrepancies(tree.union(rag)).select("qid", "code", shown("arbol").alias("arbol"), shown("rag").alias("rag"))
 
@@ -720,10 +738,10 @@ def latency_stats(spark, d):
     return E.latency(load(spark, d, "events"), "value").select("n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
 
 
-@query("SELECT count(*) AS questions, avg(CASE WHEN (turn % 3 = 0) = (turn % 2 = 0) THEN 1.0 ELSE 0.0 END) AS accuracy FROM conversations")
+@query("SELECT count(*) AS questions, avg(CASE WHEN turn % 3 = 0 THEN 1.0 ELSE 0.0 END) AS accuracy FROM conversations WHERE turn % 2 = 0")
 def refusal_accuracy(spark, d):
-    """E5, A15."""
-    said = F.when(F.col("turn") % 3 == 0, "No encuentro eso.").otherwise("La dosis es 5 mg.")
+    """Of the questions to refuse, the share that is refused, however long the reply."""
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("No encontré eso. "), F.repeat(F.col("text"), 3))).otherwise("La dosis es 5 mg.")
     return E.refusal_accuracy(load(spark, d, "conversations").select(said.alias("answer"), (F.col("turn") % 2 == 0).alias("should_refuse")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lucerna.catalog import _ROUTES, _first, _fold, _graph, _list, load, query
+from lucerna.catalog import _ROUTES, _first, _fold, _graph, _list, _re2, load, query
 from lucerna.functions import text as X
 from lucerna.functions import words as W
 from lucerna.operators import answer as A
@@ -46,15 +46,27 @@ def stripped_tables(spark, d):
     return load(spark, d, "documents").select("doc_id", X.strip_tables(text).alias("text"))
 
 
-_PAGE = r"""(SELECT doc_id, '<!-- start of picture text -->' || chr(10) || 'x' || chr(10) || '<!-- end of picture text -->' || chr(10) || '**==> picture [1 x 2] intentionally omitted <==**' || chr(10) || replace(coalesce(text, ''), '. ', '.<br>') || repeat(chr(10), 4) || '****' || chr(10) || 'End' AS t FROM documents)"""
-
-
-@query(rf"""SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(list_filter(string_split(x, chr(10)), lambda s: NOT regexp_matches(s, '{W.CONTACT_LINE}')), lambda s: CASE WHEN regexp_matches(s, '^[\s*_#>|~-]+$') AND NOT contains(s, '|') THEN '' ELSE s END), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), E' \n\t') AS text
-FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<!--\s*start of picture text.*?end of picture text\s*-->', '', 'g'), '(?im)^.*==> *picture.*<==.*$', '', 'g'), '(?i)</?(br|sup|sub|b|i|u|p|span|div)[^>]*>', ' ', 'g') AS x FROM {_PAGE})""")
+#: What an extractor leaves at the top of a page; of it only the last line is text.
+_HEAD = """<!-- Start of picture text -->
+x <br>
+y
+<!-- End of picture text -->
+**Gráfico 1.** Etiología
+**FIGURA 2** x
+Descargado para Ana Ruiz (ana.ruiz@example.org) de Y
+Copyright. For personal use only.
+_El contenido de este documento es de propiedad y de uso exclusivo de la Casa Ñandú._
+**Cualquier impresión o copia tomada de este documento se considera como COPIA NO CONTROLADA**
+** Página 3 de 12 **
+Ver https://example.org: la <mark>dosis</mark> es 5 mg
+"""
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace('Ver https://example.org: la dosis es 5 mg' || chr(10) || array_to_string(list_transform(list_filter(string_split(x, chr(10)), lambda s: NOT regexp_matches(s, '{_re2(W.STAMP_LINE)}')), lambda s: CASE WHEN regexp_matches(s, '^[\s*_-]*$') THEN '' ELSE regexp_replace(s, '\s+$', '') END), chr(10)) || repeat(chr(10), 6) || 'End', '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text
+FROM (SELECT doc_id, replace(coalesce(text, ''), '. ', '.') AS x FROM documents)""")
 def cleaned_pages(spark, d):
-    """F11."""
-    head = "<!-- start of picture text -->\nx\n<!-- end of picture text -->\n**==> picture [1 x 2] intentionally omitted <==**\n"
-    text = F.concat(F.lit(head), F.replace(X.text("text"), F.lit(". "), F.lit(".<br>")), F.lit("\n\n\n\n****\nEnd"))
+    """pictures' text and captions, stamps and boilerplate go; a line with an address of a page stays."""
+    text = F.concat(F.lit(_HEAD), F.replace(X.text("text"), F.lit(". "), F.lit(".<br>")), F.lit("\n\n\n\n****\n \nEnd"))
     return load(spark, d, "documents").select("doc_id", X.clean_page(text).alias("text"))
 
 
@@ -74,7 +86,7 @@ def key_value_blocks(spark, d):
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'CT-PL-' || (100 + o_orderkey % 900) ELSE 'guia ' || o_orderkey END AS document, 'v' || lpad((o_orderkey % 120)::VARCHAR, greatest(2, length((o_orderkey % 120)::VARCHAR))::INTEGER, '0') AS version,
 o_orderpriority || ' x' AS head, o_orderpriority AS qualifier, 'a &lt; ' || o_orderpriority || ' &amp; b' AS html, CASE o_orderkey % 3 WHEN 0 THEN 'Protocolo institucional' WHEN 1 THEN 'Guia clinica' ELSE 'otro' END AS label,
-'(' || o_orderkey || ') [Guia: f, ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ', p. ' || o_orderkey % 7 ELSE '' END || ']' || chr(10) || 'body' AS block, 'a' || chr(10) || '  ' || o_orderpriority AS indented, 'a' || chr(10) || o_orderpriority AS lines FROM orders""")
+'(' || o_orderkey || ') [Guia: f, Seccion: ' || o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ', Pagina: ' || o_orderkey % 7 ELSE '' END || ']' || chr(10) || 'body' AS block, 'a' || chr(10) || '  ' || o_orderpriority AS indented, 'a' || chr(10) || o_orderpriority AS lines FROM orders""")
 def small_texts(spark, d):
     """F28, F29, F31 to F35, F37."""
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
@@ -90,7 +102,7 @@ def small_texts(spark, d):
     return load(spark, d, "orders").select(k.alias("k"), *(c.alias(n) for n, c in shown.items()))
 
 
-_TOKS = f"list_filter(list_filter(regexp_extract_all({_fold('p_name')}, '[a-z0-9]+'), lambda t: NOT list_contains({_list(W.STOPWORDS)}, t)), lambda t: length(t) > 2)"
+_TOKS = f"list_filter(list_filter(regexp_extract_all({_fold('p_name')}, '[a-z0-9]+'), lambda t: NOT list_contains({_list(W.NODE_STOP)}, t)), lambda t: length(t) > 2)"
 
 
 @query(f"SELECT p_partkey, array_to_string(list_transform({_TOKS}, lambda t: CASE WHEN t IN ('blue', 'azure') THEN 'sky' ELSE t END), ' ') AS tokens FROM part")
@@ -99,12 +111,13 @@ def node_words(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(X.node_tokens("p_name", {"blue": "sky", "azure": "sky"}), " ").alias("tokens"))
 
 
-@query("SELECT o_orderkey AS k, 'Ask?' || chr(10) || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Sí / No' ELSE '1. ' || o_orderpriority || chr(10) || '2. otro' END AS prompt FROM orders")
+@query("""SELECT o_orderkey AS k, '**' || o_orderpriority || '?**' || chr(10) || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || chr(10) || chr(10) || 'box' || chr(10) || chr(10) ELSE '' END || 'Responde con una opción:' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Sí — ' || o_orderstatus || ' / No' ELSE '1. ' || o_orderpriority || chr(10) || '2. otro' END || chr(10) || chr(10) || 'Si no tienes el dato, responde «no sé».' AS prompt FROM orders""")
 def question_prompts(spark, d):
-    """N12."""
-    k = F.col("o_orderkey")
-    options = F.when(k % 2 == 0, F.array(F.lit("Sí"), F.lit("No"))).otherwise(F.array(F.col("o_orderpriority"), F.lit("otro")))
-    return load(spark, d, "orders").select(k.alias("k"), X.question_prompt(k, F.lit("Ask?"), options).alias("prompt"))
+    """The node's text, its boxes of support, the options, and what to do without the datum."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    options = F.when(k % 2 == 0, F.array(F.concat(F.lit("Sí — "), status), F.lit("No"))).otherwise(F.array(F.col("o_orderpriority"), F.lit("otro")))
+    boxes = F.when(k % 3 == 0, F.array(status, F.lit("box")))
+    return load(spark, d, "orders").select(k.alias("k"), X.question_prompt(F.concat("o_orderpriority", F.lit("?")), options, boxes).alias("prompt"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round_even(l_partkey / 8.0, 2) AS score, coalesce(nullif(l_returnflag, 'N'), 'none') AS flag, 'institucional' AS source_type FROM lineitem")
@@ -150,10 +163,10 @@ def external_units(spark, d):
     whole = F.concat(F.lit("We recommend the "), name, F.lit(" for all adults with a severe infection and for those who do not improve in two days."))
     kinds = (F.concat(F.lit("AB = alpha, CD = beta, EF = gamma and "), whole), F.lit("Adapted from another text of ours."), F.concat(name, F.lit(" with")), F.concat(F.lit("Dose = "), whole), whole)
     unit = F.element_at(F.array(*kinds), (k % 5 + 1).cast("int"))
-    cited = F.when(k % 2 == 0, F.concat(F.lit("Smith JA, "), name, F.lit(" et al. 2020"))).otherwise(F.concat(name, F.lit(" doi")))
+    cited = F.when(k % 2 == 0, F.concat(F.when(k % 4 == 0, "Muñoz LE, ").otherwise("Smith JA, "), name, F.lit(" et al. 2020"))).otherwise(F.concat(name, F.lit(" doi")))
     shown = {
         "tidied": X.tidy_external(F.concat(F.lit("_"), name, F.lit(" 12 13 . x†"))),
-        "without_references": X.strip_references(F.concat(F.lit("Use "), name, F.lit(" in adults now. Smith JA, et al. doi:10"))),
+        "without_references": X.strip_references(F.concat(F.lit("Use "), name, F.lit(" in adults now. Muñoz JA, et al. doi:10"))),
         "whole": X.trim_tail(F.concat(name, F.lit(" is used here. And then the"))),
         "cited": X.strip_references(cited), "unusable": X.unusable_external(unit),
         "study": X.is_study_summary(F.when(k % 2 == 0, F.concat(F.lit("El estudio de Lopez con "), name)).otherwise(name)),
@@ -206,15 +219,15 @@ def gated_questions(spark, d):
     return rows.select("qid").distinct().join(kept, "qid", "left").select("qid", F.col("kept").isNull().alias("gated"), F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-_CITE = "'[Guia: ' || source_file || ', s, p. ' || page || ']'"
+_CITE = "'[Guia: ' || source_file || ', Seccion: s, Pagina: ' || page || ']'"
 
 
-@query(f"""WITH {_UNITS}, lines AS (SELECT *, '- ' || CASE WHEN rank % 2 = 0 THEN 'translated (trad.)' ELSE 'line ' || rank END || ' ' || {_CITE} AS line, source_type = 'institucional' AS own FROM units)
+@query(f"""WITH {_UNITS}, lines AS (SELECT *, '- ' || CASE WHEN rank % 2 = 0 THEN 'translated (traducido del inglés)' ELSE 'line ' || rank END || ' ' || {_CITE} AS line, source_type = 'institucional' AS own FROM units)
 SELECT qid, string_agg(line, chr(10) ORDER BY NOT own, CASE WHEN own THEN source_file ELSE '' END, CASE WHEN own THEN page ELSE rank END, CASE WHEN own THEN chunk_index ELSE 0 END, ord, line) AS answer FROM lines GROUP BY qid""")
 def composed_answers(spark, d):
     """Even lines come translated, odd ones keep the original."""
     rows = _units(spark, d)
-    said = rows.where("rank % 2 = 0").select("qid", "uid", F.concat("uid", F.lit(": translated")).alias("translation")).distinct()
+    said = rows.where("rank % 2 = 0").select("qid", "uid", F.concat("uid", F.lit(": **translated** [3]")).alias("translation")).distinct()
     return A.compose(rows, said)
 
 
@@ -225,12 +238,13 @@ def context_blocks(spark, d):
 
 
 @query(f"""WITH {_UNITS}, u AS (SELECT qid, rank, min(uid) AS uid, min(source_file) AS source_file, min(page) AS page FROM units GROUP BY qid, rank),
-c AS (SELECT *, {_CITE} AS cite FROM u), l AS (SELECT *, lag(cite) OVER (PARTITION BY qid ORDER BY rank) AS last FROM c)
-SELECT qid, string_agg(CASE WHEN last IS DISTINCT FROM cite THEN cite || chr(10) ELSE '' END || uid || ': line ' || rank, chr(10) ORDER BY rank) AS prompt FROM l GROUP BY qid""")
+c AS (SELECT *, '[Guia clinica | ' || source_file || ' | s | p. ' || page || ']' AS cite FROM u), l AS (SELECT *, lag(cite) OVER (PARTITION BY qid ORDER BY rank) AS last FROM c)
+SELECT qid, 'PREGUNTA:' || chr(10) || 'Order ' || qid || '?' || chr(10) || chr(10) || 'ORACIONES:' || chr(10) || string_agg(CASE WHEN last IS DISTINCT FROM cite THEN cite || chr(10) ELSE '' END || '  ' || uid || ': line ' || rank, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'INSTRUCCION ADICIONAL:' || chr(10) || 'literal' AS prompt FROM l GROUP BY qid""")
 def selector_prompts(spark, d):
-    """a header only where the source changes."""
-    rows = _units(spark, d).groupBy("qid", "rank", "ord", "unit", "section").agg(F.min("uid").alias("uid"), F.min("source_file").alias("source_file"), F.min("page").alias("page"))
-    return A.selector_prompt(rows)
+    """the question, a header only where the source changes, the instruction."""
+    rows = _units(spark, d).groupBy("qid", "rank", "ord", "unit", "section").agg(F.min("uid").alias("uid"), F.min("source_file").alias("source_file"), F.min("page").alias("page")).withColumn("source_type", F.lit("guia"))
+    asked = rows.select("qid").distinct().withColumn("question", F.concat(F.lit("Order "), F.col("qid").cast("string"), F.lit("?")))
+    return A.selector_prompt(rows, asked, "literal")
 
 
 @query("""SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'own a' || chr(10) || chr(10) || 'outside' WHEN 1 THEN 'outside' WHEN 2 THEN 'own a' ELSE 'No encuentro eso.' END AS answer FROM orders""")

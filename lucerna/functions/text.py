@@ -5,8 +5,10 @@ A null text counts as empty unless stated otherwise.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,15 +26,67 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+@functools.cache
+def _decompositions() -> tuple[str, str, str, str]:
+    """What folding makes of each code point, by the rule itself (compatibility decomposition of the lower case, without marks).
+
+    Characters that become one character and the ones they become, then those
+    that vanish, as `translate` takes them; characters that become several, and
+    what they become, joined by \x01. Hangul syllables, which follow from their
+    numbers, are left out.
+    """
+    one: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000 or 0xAC00 <= point < 0xAC00 + 11_172:
+            continue
+        char = chr(point)
+        folded = "".join(x for x in unicodedata.normalize("NFKD", char.lower()) if not unicodedata.combining(x))
+        if folded != char:
+            (several if len(folded) > 1 else one)[char] = folded
+    changed = [c for c in one if one[c]]
+    return "".join(changed) + "".join(c for c in one if not one[c]), "".join(one[c] for c in changed), "".join(several), "\x01".join(several.values())
+
+
+#: The parts of which the standard composes Hangul syllables, by first code point and number.
+_HANGUL = ((0x1100, 19), (0x1161, 21), (0x11A8, 27))
+
+
+def _expanded(x: Column) -> Column:
+    """A text with the characters that fold to several replaced, one by one."""
+    _, _, keys, values = _decompositions()
+    heads, middles, tails = ("".join(map(chr, range(first, first + n))) for first, n in _HANGUL)
+
+    def one(c: Column) -> Column:
+        number = F.ascii(c) - 0xAC00
+        part = lambda chars, k: F.substring(F.lit(chars), k + 1, 1)
+        head = part(heads, F.floor(number / (21 * 28)).cast("int"))
+        middle = part(middles, F.floor(number % (21 * 28) / 28).cast("int"))
+        tail = F.when(number % 28 > 0, part(tails, (number % 28 - 1).cast("int"))).otherwise("")
+        found = lambda k: F.when(k > 0, F.split_part(F.lit(values), F.lit("\x01"), k)).otherwise(c)
+        return F.when((number >= 0) & (number < 11_172), F.concat(head, middle, tail)).otherwise(bind(F.instr(F.lit(keys), c), found))
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), one), "")
+
+
 def fold(c: Column | str) -> Column:
-    """lower case without accents. Ligatures and superscripts stay; `nfkd_fold` maps them too."""
-    return F.regexp_replace(F.translate(F.lower(text(c)), W.ACCENTED, W.PLAIN), r"\p{M}", "")
+    """lower case, compatibility decomposition, no combining marks.
 
+    ASCII stays as it is; one table maps most other characters, and only texts
+    with one that becomes several (ligatures, fractions, Hangul) are taken apart.
+    """
+    changed, to, several, _ = _decompositions()
 
-@F.pandas_udf(T.StringType())
-def nfkd_fold(c: pd.Series) -> pd.Series:
-    """F1, exact: compatibility decomposition without marks."""
-    return c.fillna("").map(lambda s: "".join(x for x in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(x)))
+    def mapped(x: Column) -> Column:
+        rare = (F.length(F.translate(x, several, "")) < F.length(x)) | x.rlike("[\uac00-\ud7a3]")
+        return F.when(rare, _expanded(x)).otherwise(x)
+
+    return bind(F.lower(text(c)), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), bind(F.translate(x, changed, to), mapped)).otherwise(x))
 
 
 def _prefix_tree(words) -> str:
@@ -118,18 +172,30 @@ def line_key(c: Column | str) -> Column:
     x = F.regexp_replace(text(c), r"<[^>]*>", " ")
     x = F.regexp_replace(x, r"^\s*#+\s*", "")
     x = F.regexp_replace(x, r"[*_]+", "")
-    x = F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    x = F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     return F.regexp_replace(x, r"[0-9]+", "#")
 
 
-def clean_page(c: Column | str) -> Column:
-    """no picture text, tags, stamp or contact lines; lines of marks alone are blank; at most one blank line."""
-    x = F.regexp_replace(text(c), r"(?s)<!--\s*start of picture text.*?end of picture text\s*-->", "")
-    x = F.regexp_replace(x, r"(?im)^.*==> *picture.*<==.*$", "")
-    x = F.regexp_replace(x, r"(?i)</?(br|sup|sub|b|i|u|p|span|div)[^>]*>", " ")
-    lines = F.filter(F.split(x, "\n"), lambda s: ~s.rlike(W.CONTACT_LINE))
-    lines = F.transform(lines, lambda s: F.when(s.rlike(r"^[\s*_#>|~-]+$") & ~s.rlike(r"\|"), F.lit("")).otherwise(s))
-    return F.btrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(" \n\t"))
+# What an extractor leaves in a page: text of pictures and their captions, inline tags, lines without words.
+PICTURE_TEXT = r"(?s)<!--\s*Start of picture text\s*-->.*?<!--\s*End of picture text\s*-->"
+PICTURE_CAPTION = r"(?imu)^\*\*(gr[aá]fico|figura)\s*[0-9]+\.?\*\*.*$"
+INLINE_TAG = r"(?i)</?(mark|u|sup|sub|span|br)\b[^>]*>"
+BARE_MARKS = r"(?U)^[\s*_-]*$"
+LINE_END = "\r\n|[\n\x0B\x0C\r\x1C-\x1E\x85\u2028\u2029]"
+
+
+def clean_page(c: Column | str, stamps: str = W.STAMP_LINE, boilerplate=W.BOILERPLATE) -> Column:
+    """no text or captions of pictures, inline tags, lines with a stamp or contact, or boilerplate; lines of marks alone are blank; at most one blank line.
+
+    Order: pictures, captions, tags, stamps, boilerplate. An address of a page
+    alone does not make a line a stamp.
+    """
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(text(c), PICTURE_TEXT, ""), PICTURE_CAPTION, ""), INLINE_TAG, "")
+    x = F.array_join(F.filter(F.split(x, LINE_END, -1), lambda s: ~s.rlike(stamps)), "\n")
+    for pattern in boilerplate:
+        x = F.regexp_replace(x, pattern, "")
+    lines = F.transform(F.split(x, "\n", -1), lambda s: F.when(s.rlike(BARE_MARKS), F.lit("")).otherwise(F.regexp_replace(s, r"(?U)\s+$", "")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def strip_tables(c: Column | str) -> Column:
@@ -164,14 +230,14 @@ def is_upper_title(c: Column | str) -> Column:
 def short_title(c: Column | str, limit: int = 120) -> Column:
     """cut at a word with an ellipsis."""
     x = text(c)
-    cut = F.rtrim(F.regexp_replace(F.substring(x, 1, limit), r"\s+\S*$", ""))
+    cut = F.rtrim(F.regexp_replace(F.substring(x, 1, limit), r"(?U)\s+\S*$", ""))
     return F.when(F.length(x) > limit, F.concat(cut, F.lit("…"))).otherwise(x)
 
 
 def is_numbered_question(c: Column | str) -> Column:
-    """F16."""
+    """F16: a number, and an opening question mark anywhere or a closing one at the end."""
     x = strip_emphasis(c)
-    return x.rlike(r"^[0-9]{1,3}\.\s") & x.rlike("[¿?]")
+    return x.rlike(r"(?U)^[0-9]{1,3}\.\s") & x.rlike(r"(?U)¿|\?\s*$")
 
 
 def with_header(title: Column, body: Column, default: str = W.DEFAULT_SECTION) -> Column:
@@ -182,21 +248,21 @@ def with_header(title: Column, body: Column, default: str = W.DEFAULT_SECTION) -
 
 
 # What cleaning takes away, and what makes an outside unit unusable.
-QUIZ = r"(?i),?\s*(so|therefore|thus)?\s*the (correct )?answer is \(?[a-e]\)?\.?|\bpor lo que la respuesta es \(?[a-e]\)?\.?"
-MARKDOWN = r"(?m)(\*\*|__|(?<!\w)[*_](?!\s)|(?<!\s)[*_](?!\w)|^#+\s*)"
-CALL_OUT = r"\s*\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]"
-INLINE_BULLET = r"\s*[•➢▪◦]\s*"
-TRAILING_CALLS = r"(?<=[a-z)])(?:\s[0-9]{1,3}){2,4}(?=\s*(?:[;.]|$))"
-DOT_CALLS = r"(?<=[A-Za-z)])\.([0-9]{1,3}(?:[,–-][0-9]{1,3})*)(?=\s|$)"
-UNDERSCORE_CALLS = r"_\s?[0-9]{1,3}(?:[,–-][0-9]{1,3})*\b"
+QUIZ = r"(?iU),?\s*(so|therefore|thus)?\s*the (correct )?answer is \(?[a-e]\)?\.?|\bpor lo que la respuesta es \(?[a-e]\)?\.?"
+MARKDOWN = r"(?mU)(\*\*|__|(?<!\w)[*_](?!\s)|(?<!\s)[*_](?!\w)|^#+\s*)"
+CALL_OUT = r"(?U)\s*\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]"
+INLINE_BULLET = r"(?U)\s*[•➢▪◦]\s*"
+TRAILING_CALLS = r"(?U)(?<=[a-z)])(?:\s[0-9]{1,3}){2,4}(?=\s*(?:[;.]|$))"
+DOT_CALLS = r"(?U)(?<=[A-Za-z)])\.([0-9]{1,3}(?:[,–-][0-9]{1,3})*)(?=\s|$)"
+UNDERSCORE_CALLS = r"(?U)_\s?[0-9]{1,3}(?:[,–-][0-9]{1,3})*\b"
 FOOTNOTE_MARKS = r"[†‡§¶]"
-CITED = r"(?i)\bet al\b|doi\.org|\bdoi\s*:|https?://|\bpmid\b|essential reading"
-REFERENCE_START = r"(?:^|(?<=[.;:]\s))[A-Z][\w'-]+ [A-Z]{1,3}(?:,| et al)"
-STUDY_SUMMARY = r"\b(?:[Ee]l|[Uu]n|[Ll]os|[Ee]ste|[Dd]icho)\s+(?:estudio|an[aá]lisis|ensayo|metan[aá]lisis)s?\s+de\s+[A-Z]|\by colaboradores\b"
-ABBREVIATION = r"\b(?!(?:OR|HR|RR)\b)[A-Z][A-Za-z0-9]{1,8}\s?=\s?[A-Za-z]"
-LEADING_ABBREVIATION = r"^[A-Z][\w ]{0,15}?\s?=\s?\S"
-ATTRIBUTION = r"(?i)^(advice|adapted|reproduced|modified|data|source|tomad[oa]|adaptad[oa])\b.{0,40}\b(from|de)\b"
-FINITE_VERB = r"(?i)\b(is|are|was|were|has|have|had|should|can|may|must|recommends?|suggests?|es|son|fue|tiene|tienen|debe|deben|puede|pueden|recomienda|recomendamos|sugerimos)\b"
+CITED = r"(?iU)\bet al\b|doi\.org|\bdoi\s*:|https?://|\bpmid\b|essential reading"
+REFERENCE_START = r"(?U)(?:^|(?<=[.;:]\s))[A-Z][\w'-]+ [A-Z]{1,3}(?:,| et al)"
+STUDY_SUMMARY = r"(?U)\b(?:[Ee]l|[Uu]n|[Ll]os|[Ee]ste|[Dd]icho)\s+(?:estudio|an[aá]lisis|ensayo|metan[aá]lisis)s?\s+de\s+[A-Z]|\by colaboradores\b"
+ABBREVIATION = r"(?U)\b(?!(?:OR|HR|RR)\b)[A-Z][A-Za-z0-9]{1,8}\s?=\s?[A-Za-z]"
+LEADING_ABBREVIATION = r"(?U)^[A-Z][\w ]{0,15}?\s?=\s?\S"
+ATTRIBUTION = r"(?iU)^(advice|adapted|reproduced|modified|data|source|tomad[oa]|adaptad[oa])\b.{0,40}\b(from|de)\b"
+FINITE_VERB = r"(?iU)\b(is|are|was|were|has|have|had|should|can|may|must|recommends?|suggests?|es|son|fue|tiene|tienen|debe|deben|puede|pueden|recomienda|recomendamos|sugerimos)\b"
 SENTENCE_END = r"[.!?](?=\s+[A-ZÁÉÍÓÚÑ¿¡])"
 TERMINAL = r"[.!?:;)\"»]$"
 DANGLING = "the a an of to in for with and or but than that which who we be by from at as plus less more greater el la los las un una de del al en con por para y o que se su sus menor mayor".split()
@@ -206,10 +272,10 @@ SHORT_UNIT, SHORT_VERB_UNIT, REFERENCE_HEAD = 15, 8, 4
 def clean_unit(c: Column | str) -> Column:
     """quiz answers, marks, numeric call-outs, inline bullets and doubled dots go; single blanks."""
     x = F.regexp_replace(text(c), QUIZ, ".")
-    x = F.regexp_replace(x, r"\.\s*\.", ".")
+    x = F.regexp_replace(x, r"(?U)\.\s*\.", ".")
     x = F.regexp_replace(F.regexp_replace(x, MARKDOWN, ""), CALL_OUT, "")
     x = F.regexp_replace(x, INLINE_BULLET, " ")
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
 def tidy_external(c: Column | str) -> Column:
@@ -217,7 +283,7 @@ def tidy_external(c: Column | str) -> Column:
     x = F.regexp_replace(text(c), TRAILING_CALLS, "")
     x = F.regexp_replace(F.regexp_replace(x, DOT_CALLS, "."), FOOTNOTE_MARKS, "")
     x = F.replace(F.regexp_replace(x, UNDERSCORE_CALLS, ""), F.lit("_"), F.lit(""))
-    return F.trim(F.regexp_replace(x, r"\s+([.,;:])", "$1"))
+    return F.trim(F.regexp_replace(x, r"(?U)\s+([.,;:])", "$1"))
 
 
 def strip_references(c: Column | str) -> Column:
@@ -230,14 +296,14 @@ def strip_references(c: Column | str) -> Column:
 
 
 def _dangles(c: Column) -> Column:
-    return F.lower(F.element_at(F.split(F.trim(c), r"\s+"), -1)).isin(*DANGLING)
+    return F.lower(F.element_at(F.split(F.trim(c), r"(?U)\s+"), -1)).isin(*DANGLING)
 
 
 def trim_tail(c: Column | str) -> Column:
     """an unfinished last sentence goes if it dangles or is short, and a finished one stands before it."""
     x = text(c)
     body = F.rtrim(x, F.lit(" |"))
-    head = F.regexp_extract(body, rf"(?s)^(.*{SENTENCE_END})", 1)
+    head = F.regexp_extract(body, rf"(?sU)^(.*{SENTENCE_END})", 1)
     tail = F.trim(F.substring(body, F.length(head) + 1, F.length(body)))
     unfinished = ~body.rlike(TERMINAL) & (head != "") & (tail != "") & (_dangles(tail) | (n_words(tail) < SHORT_UNIT))
     return F.when(unfinished, F.trim(head)).otherwise(x)
@@ -265,6 +331,11 @@ def is_refusal(c: Column | str, markers=W.REFUSAL_MARKERS, limit: int = W.REFUSA
     return (n_words(c) <= limit) & F.exists(_strings(markers), lambda m: F.contains(low, m))
 
 
+def abstains(c: Column | str, phrases=W.ABSTENTION) -> Column:
+    """E5: a phrase of abstention in a text of any length."""
+    return bind(fold(c), lambda x: F.exists(_strings(phrases), lambda p: F.contains(x, p)))
+
+
 def citations(c: Column | str) -> Column:
     """names cited as `[Guia: name, ...]`."""
     return F.transform(F.regexp_extract_all(text(c), F.lit(W.CITATION), F.lit(1)), lambda s: F.trim(s))
@@ -288,17 +359,23 @@ def inference_markers(c: Column | str, phrases=W.INFERENCE) -> Column:
     return F.array_sort(F.filter(_strings(phrases), lambda p: F.contains(x, p)))
 
 
-def mentions_others(c: Column | str, n_documents: Column, phrases=W.OTHER_SOURCES, negations=W.NEGATIONS, reach: int = W.NEGATION_REACH) -> Column:
-    """all sources are one document, and a phrase speaks of several without a negation just before it."""
-    x = F.concat(F.lit(" "), fold(c))
+def mentions_others(c: Column | str, n_documents: Column, phrases: str = W.OTHER_SOURCES, together: str = W.SOURCES_TOGETHER, negation: str = W.NEGATION, reach: int = W.NEGATION_REACH) -> Column:
+    """at most one document is the source, and the text speaks of others or of several.
 
-    def plain(p: Column) -> Column:
-        pieces = F.split(x, F.concat(F.lit(r"\Q"), p, F.lit(r"\E")), -1)
-        before = F.slice(pieces, 1, F.size(pieces) - 1)
-        near = lambda s: F.concat(F.lit(" "), F.substring(s, -reach, reach))
-        return F.exists(before, lambda s: ~F.exists(_strings(negations), lambda n: F.contains(near(s), F.concat(F.lit(" "), n))))
+    A phrase for others does not count if the `reach` characters before it end in
+    a negation and at most two words; one for several always counts.
+    """
+    x = fold(c)
 
-    return (n_documents == 1) & F.exists(_strings(phrases), plain)
+    def plain(x: Column) -> Column:
+        pieces = F.split(x, phrases, -1)
+        found = F.regexp_extract_all(x, F.lit(phrases), F.lit(0))
+        # what stands before the k-th phrase: all pieces and phrases up to it
+        before = F.transform(F.slice(pieces, 1, F.size(found)), lambda p, k: F.concat(F.when(k > 0, F.get(found, k - 1)).otherwise(""), p))
+        held = F.transform(before, lambda p, k: F.array_join(F.slice(before, 1, k + 1), ""))
+        return x.rlike(together) | F.exists(held, lambda s: ~F.right(s, F.lit(reach)).rlike(negation))
+
+    return (n_documents <= 1) & bind(x, plain)
 
 
 def document_key(c: Column | str) -> Column:
@@ -388,8 +465,13 @@ def source_label(c: Column | str) -> Column:
 
 
 def citation(file: Column, section: Column, page: Column) -> Column:
-    """[Guia: file, section, p. page]; without a page if there is none."""
-    return F.concat(F.lit("[Guia: "), file, F.lit(", "), section, F.coalesce(F.concat(F.lit(", p. "), page.cast("string")), F.lit("")), F.lit("]"))
+    """[Guia: file, Seccion: section, Pagina: page]; without a page if there is none."""
+    return F.concat(F.lit("[Guia: "), file, F.lit(", Seccion: "), section, F.coalesce(F.concat(F.lit(", Pagina: "), page.cast("string")), F.lit("")), F.lit("]"))
+
+
+def source_header(kind: Column, title: Column, section: Column, page: Column) -> Column:
+    """[kind | title | section | p. page], as a selector sees a source."""
+    return F.concat(F.lit("["), F.concat_ws(" | ", source_label(kind), title, section, F.concat(F.lit("p. "), F.coalesce(page.cast("string"), F.lit("-")))), F.lit("]"))
 
 
 def context_block(number: Column, cite: Column, body: Column) -> Column:
@@ -397,8 +479,8 @@ def context_block(number: Column, cite: Column, body: Column) -> Column:
     return F.concat(F.lit("("), number.cast("string"), F.lit(") "), cite, F.lit("\n"), body)
 
 
-def node_tokens(c: Column | str, synonyms: dict[str, str] | None = None, stop=W.STOPWORDS) -> Column:
-    """tokens over two letters, synonyms mapped to one word."""
+def node_tokens(c: Column | str, synonyms: dict[str, str] = W.NODE_SYNONYMS, stop=W.NODE_STOP) -> Column:
+    """tokens over two letters that are none of the node's own stop words, synonyms mapped to one word."""
     found = F.filter(tokens(c, stop), lambda t: F.length(t) > 2)
     if not synonyms:
         return found
@@ -435,10 +517,17 @@ def rounded(c: Column, digits: int = 4) -> Column:
     return F.bround(c, digits)
 
 
-def question_prompt(number: Column, label: Column, options: Column) -> Column:
-    """The node's text and its options, in line for yes and no, else numbered."""
-    firsts = F.array_sort(F.transform(options, lambda o: F.substring_index(fold(o), " ", 1)))
+# The closing lines of a question to the user.
+ANSWER_WITH = "Responde con una opción:"
+IF_UNKNOWN = "Si no tienes el dato, responde «no sé»."
+
+
+def question_prompt(label: Column, options: Column, support: Column | None = None) -> Column:
+    """The node's text in bold, its boxes of support (array), the options (in line for yes and no, else numbered) and what to do without the datum, a blank line between them."""
+    firsts = F.array_sort(F.transform(options, lambda o: F.substring_index(F.trim(fold(o)), " ", 1)))
     inline = F.array_join(options, " / ")
     listed = F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
     shown = F.when(firsts == F.array(F.lit("no"), F.lit("si")), inline).otherwise(listed)
-    return F.concat(label, F.lit("\n\n"), shown)
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.array(F.concat(F.lit("**"), label, F.lit("**"))), none if support is None else F.coalesce(support, none))
+    return F.array_join(F.concat(parts, F.array(F.concat(F.lit(ANSWER_WITH + "\n"), shown), F.lit(IF_UNKNOWN))), "\n\n")

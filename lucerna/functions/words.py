@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-#: Accented letters and what they fold to, position by position.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñýÿ"
-PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuucnyy"
-
 #: Function words, folded. Negations (no, not, sin, ni, nicht, kein, ne, pas, never) are left out on purpose.
 STOP = {
     "es": "a al ante como con cual cuando de del desde donde el ella en entre es esta este esto ha hay la las lo los mas o para pero por que se segun ser si sobre son su sus tras un una y ya",
@@ -34,9 +30,10 @@ REFUSAL_TEXT = "No se encuentra esa informacion en las fuentes."
 
 #: Phrases that mark a guess.
 INFERENCE = ["could be inferred", "it is likely that", "podria inferirse", "presumably", "probably", "probablemente", "se puede suponer", "supposedly"]
-#: Phrases that speak of several sources, and what negates them within NEGATION_REACH characters before.
-OTHER_SOURCES = ["other guidelines", "other sources", "otras fuentes", "otras guias", "several guidelines", "varias guias"]
-NEGATIONS = ["no ", "not ", "sin ", "without ", "ni ", "nor "]
+# Fixed values, over folded text: phrases for other sources, phrases for several at once, and what negates the former within NEGATION_REACH characters before.
+OTHER_SOURCES = r"\b(otras|algunas|diferentes|distintas|demas|varias)\s+(guias|fuentes|protocolos)\b"
+SOURCES_TOGETHER = r"\b(ambas|las dos)\s+(guias|fuentes|protocolos)\b|\b(guias|fuentes|protocolos)\s+(\w+\s+){0,2}(coinciden|concuerdan)\b|\b(guias|fuentes|protocolos)\b(\s+\w+){0,8}\s+(presentan|dan|tienen|ofrecen|hacen)\s+las\s+mismas\b"
+NEGATION = r"(no hay|no existen|ninguna|sin|no se encontraron)\s+(\w+\s+){0,2}$"
 NEGATION_REACH = 30
 
 #: Beginnings of administrative sections, and the word by whose first letters a question names them.
@@ -75,12 +72,22 @@ HEADER_WORDS = "version|codigo|fecha"
 CHANGE_CONTROL = "control de cambios"
 ADMIN_PENALTY = 0.2
 
-#: Lines that are stamps or contacts, whole.
-CONTACT_LINE = r"(?i)^.*([a-z0-9._%+-]+@[a-z0-9-]+\.[a-z.]+|https?://|downloaded from|tel\.? ?:).*$"
+# Lines that are stamps or contacts, whole, and the foot lines that a house prints on each page, of whatever house.
+STAMP_LINE = r"(?iU)[\w.+-]+\s?@\s?[\w-]+(\s?\.[\w-]+)+|can be contacted at|address correspondence|descargado para|downloaded (from|for|by)\b|para uso personal exclusivamente|for personal use only|for the private, non-?commercial|reprint orders|autor para correspondencia|correspondence:|corresponding author"
+BOILERPLATE = (
+    r"(?iU)_?El contenido de este documento es de propiedad y de uso exclusivo de la [^.\n_]+\.?_?\.?",
+    r"(?iU)\**_?Cualquier impresi[oó]n o copia tomada de este documento se considera como COPIA NO CONTROLADA_?\**",
+    r"(?iU)\**\s*P[aá]gina\s+\d+\s+de\s+\d+\s*\**",
+)
 #: A bibliographic reference: a year, and pages, et al., a volume or a DOI.
 REFERENCE_LINE = r"(?i)((19|20)[0-9]{2}.*(et al|[0-9]+ ?\([0-9]+\)|: ?[0-9]+ ?[-–] ?[0-9]+|doi))|^\s*\[?[0-9]{1,3}[.\]].*(19|20)[0-9]{2}"
 BIBLIOGRAPHY_TITLE = r"(?i)^[0-9. ]*(bibliograf|bibliograph|referencias|references|literatur|acknowledg|agradecimient)"
 CITATION = r"\[Guia: ([^\],]+)"
-CODE = r"([A-Z]{2}-[A-Z]{2}-[0-9]{2,4})"
+CODE = r"([A-Z]{2}-[A-Z]{2}-[0-9]+)"
 DEFAULT_SECTION = "Sin seccion"
 """Title of text without a heading (a fixed value of the data model)."""
+#: Words that a question to a decision tree shares with most of its nodes, and one word for words of one meaning; both depend on the trees and may be replaced.
+NODE_STOP = sorted({*STOPWORDS, *META, *GENERIC, *"adulto adultos cual cuales cuando debe deben decidir diferencias disponibles donde enfoque entre existe existen inicial recomendaciones recomendado recomienda situaciones".split()})
+NODE_SYNONYMS = {"pseudomonas": "aeruginosa"}
+#: Phrases of a reply that abstains, of any length.
+ABSTENTION = ["no encontr", "no cubr", "no teng", "no dispon", "informacion suficiente"]

@@ -15,6 +15,11 @@ from lucerna.operators import segment
 from lucerna.operators.retrieve import INSTITUTIONAL
 
 
+# The mark of a translated unit, and the id that a translator may repeat before a text.
+TRANSLATED = "(traducido del inglés)"
+LEADING_ID = r"(?iU)^\s*u[0-9]+\s*[:.-]\s*"
+
+
 def merge_continuations(rows: DataFrame) -> DataFrame:
     """Consecutive chunks of a section as one row: best score, texts joined in order, at the place of its best-ranked part.
 
@@ -87,6 +92,23 @@ def chosen_units(units: DataFrame, picks: DataFrame) -> DataFrame:
     return units.join(firsts, ["qid", "uid"])
 
 
+def picks(replies: DataFrame) -> DataFrame:
+    """(qid, pos, uid) of a selector's replies (qid, reply), as `{"ids": [...]}`; a reply that can't be read picks nothing."""
+    return replies.select("qid", F.posexplode(F.from_json("reply", "struct<ids:array<string>>")["ids"]).alias("at", "uid")).where("uid IS NOT NULL").select("qid", (F.col("at") + 1).alias("pos"), "uid")
+
+
+def translations(replies: DataFrame, units: DataFrame) -> DataFrame:
+    """(qid, uid, translation) of a translator's replies (qid, reply), as `{"traducciones": {uid: text}}`.
+
+    Unreadable replies, empty texts and ids that are none of the English units
+    are left out, so those units keep their own words; a repeated id before a
+    text goes.
+    """
+    said = replies.select("qid", F.explode(F.from_json("reply", "struct<traducciones:map<string,string>>")["traducciones"]).alias("uid", "translation"))
+    said = said.withColumn("translation", F.trim(F.regexp_replace("translation", LEADING_ID, ""))).where("translation <> ''")
+    return said.join(units.where(X.is_english("unit")).select("qid", "uid"), ["qid", "uid"], "left_semi")
+
+
 def batches(units: DataFrame, size: int = 3) -> DataFrame:
     """Number of the translation batch of each English unit."""
     nth = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "ord")) - 1
@@ -94,11 +116,14 @@ def batches(units: DataFrame, size: int = 3) -> DataFrame:
 
 
 def compose(units: DataFrame, translations: DataFrame | None = None, fallback: str = W.REFUSAL_TEXT) -> DataFrame:
-    """(qid, answer): bullets with citations, the house's own in document order first; no unit: the fallback."""
+    """(qid, answer): bullets with citations, the house's own in document order first; no unit: the fallback.
+
+    A translated unit (qid, uid, translation) is cleaned as units are, and marked.
+    """
     rows = units
     if translations is not None:
-        rows = rows.join(translations.select("qid", "uid", F.regexp_replace("translation", r"^u[0-9]+[:.)]?\s*", "").alias("_t")), ["qid", "uid"], "left")
-        rows = rows.withColumn("unit", F.when(F.col("_t").isNull(), F.col("unit")).otherwise(F.concat("_t", F.lit(" (trad.)"))))
+        rows = rows.join(translations.select("qid", "uid", F.trim(F.regexp_replace("translation", LEADING_ID, "")).alias("_t")), ["qid", "uid"], "left")
+        rows = rows.withColumn("unit", F.when(F.coalesce(F.col("_t"), F.lit("")) == "", F.col("unit")).otherwise(F.concat(X.clean_unit("_t"), F.lit(f" {TRANSLATED}"))))
     own = F.col("source_type") == INSTITUTIONAL
     zero = F.lit(0)
     page = F.coalesce(F.col("page"), zero)
@@ -129,10 +154,24 @@ def context(rows: DataFrame, empty: str = "(no context)") -> DataFrame:
     return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context")).withColumn("context", F.coalesce(F.nullif("context", F.lit("")), F.lit(empty)))
 
 
-def selector_prompt(units: DataFrame) -> DataFrame:
-    """(qid, prompt): units with a source header only where the source changes."""
+def selector_prompt(units: DataFrame, questions: DataFrame | None = None, instruction: str | None = None) -> DataFrame:
+    """(qid, prompt): units with a source header only where the source changes; with the question before them and the instruction after, if given."""
     w = Window.partitionBy("qid").orderBy("rank", "ord")
-    cite = X.citation(F.col("source_file"), F.col("section"), F.col("page"))
-    rows = units.withColumn("_c", cite).withColumn("_last", F.lag("_c").over(w))
-    line = F.concat_ws("\n", F.when(~F.col("_c").eqNullSafe(F.col("_last")), F.col("_c")), F.concat(F.col("uid"), F.lit(": "), F.col("unit")))
-    return rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
+    title = F.coalesce("source_title", "source_file") if "source_title" in units.columns else F.col("source_file")
+    head = X.source_header(F.col("source_type"), title, F.col("section"), F.col("page"))
+    rows = units.withColumn("_c", head).withColumn("_last", F.lag("_c").over(w))
+    line = F.concat_ws("\n", F.when(~F.col("_c").eqNullSafe(F.col("_last")), F.col("_c")), F.concat(F.lit("  "), "uid", F.lit(": "), "unit"))
+    listed = rows.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("prompt"))
+    if questions is not None:
+        asked = F.concat(F.lit("PREGUNTA:\n"), "question", F.lit("\n\nORACIONES:\n"), "prompt")
+        listed = listed.join(questions.select("qid", "question"), "qid").select("qid", asked.alias("prompt"))
+    return listed.withColumn("prompt", F.concat("prompt", F.lit(f"\n\nINSTRUCCION ADICIONAL:\n{instruction}"))) if instruction else listed
+
+
+def group_instruction(group: Column, extra: Column, instructions: dict[str, str], shared: str = "") -> Column:
+    """what a generator is told of a group of sources: the group's own part, the shared one and the extra one, empty ones left out."""
+    own = F.lit(None).cast("string")
+    for name, said in instructions.items():
+        own = F.when(group == name, F.lit(said)).otherwise(own)
+    parts = F.filter(F.array(own, F.lit(shared), extra), lambda p: F.coalesce(p, F.lit("")) != "")
+    return F.array_join(parts, "\n")

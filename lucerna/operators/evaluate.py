@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
 from lucerna.operators import index as I
+from lucerna.operators import scan
 
 
 def occurrences(index: I.Index, chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -49,13 +50,14 @@ def hit_rate(ranked: DataFrame, relevant: DataFrame, k: int = 6) -> DataFrame:
 
 
 def latency(rows: DataFrame, column: str) -> DataFrame:
-    """Count, mean and exact median."""
-    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"))
+    """Count, mean and exact median, which no task gathers the values for."""
+    median = scan.quantile(rows, column, 0.5)
+    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).withColumn("median", F.lit(median).cast("double"))
 
 
 def refusal_accuracy(rows: DataFrame) -> DataFrame:
-    """E5: (questions, accuracy) of rows (answer, should_refuse)."""
-    return rows.agg(F.count("*").alias("questions"), F.avg((X.is_refusal("answer") == F.col("should_refuse")).cast("int")).alias("accuracy"))
+    """(questions, accuracy) of those rows (answer, should_refuse) that should be refused: the share that abstains, at any length."""
+    return rows.where("should_refuse").agg(F.count("*").alias("questions"), F.avg(X.abstains("answer").cast("int")).alias("accuracy"))
 
 
 def judge_metrics(rows: DataFrame, names=("faithfulness", "answer_relevancy", "context_precision")) -> DataFrame:

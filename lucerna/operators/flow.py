@@ -1,8 +1,9 @@
 """Decision graphs.
 
 `nodes`: protocol_id, node_id, kind, text, section, source_ref. `edges`:
-protocol_id, edge_pos, source, target, label, reference, independent. The
-relational operators work on all graphs at once with a frontier per step. A
+protocol_id, edge_pos, source, target, label, reference, independent. All
+graphs are worked on at once: what asks for a graph (starts, options, cases) is
+dealt out in parts, and a task has such a part and the edges of its protocol. A
 walk is a machine: a graph is compiled to one move for each node, and a case
 makes one move after the other on a stack of stretches still to go.
 """
@@ -11,8 +12,8 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,6 @@ OVERVIEW_HEADING, OVERVIEW_END = "Inicio del árbol clínico ", ", en el orden d
 NOTES_HEADING = "Además, según el diagrama:"
 TREE_FILE = "Árbol clínico "
 
-#: Nodes and edges of one protocol, a reviewed document, that go with the tasks of a walk.
-GRAPH_ROWS = 100_000
 FIRST_NODES = 10
 
 
@@ -63,51 +62,167 @@ def problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return starts.union(ends).union(few).distinct()
 
 
+#: Nodes from which one task of a graph follows the edges, and columns of a task's table of reach (64 marks each).
+STARTS, WORDS = 256, 64
+
+
+def _ways(edges: DataFrame) -> DataFrame:
+    return traversable(edges).select("protocol_id", "source", "target", "label", F.col("edge_pos").cast("int").alias("edge_pos"))
+
+
+def _dealt(edges: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The edges of each protocol, once for each of its jobs (protocol_id, job)."""
+    return _apart(_ways(edges).join(I.small(jobs.select("protocol_id", "job").distinct()), "protocol_id"))
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows in columns of their own, so that they can be grouped beside what they come from."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
+def _followed(starts: pa.Table, ways: pa.Table) -> pa.Table:
+    """Routes from each start over the edges of its protocol, level by level; a node is met first by the route whose edges come first."""
+    out: dict[str, list] = {}
+    for w in sorted(ways.select(["source", "target", "label", "edge_pos"]).to_pylist(), key=lambda w: (w["edge_pos"], w["target"])):
+        out.setdefault(w["source"], []).append((w["target"], w["label"], w["edge_pos"]))
+    made: dict[str, list] = {name: [] for name in _ROUTE}
+    for start, protocol in zip(starts["node_id"].to_pylist(), starts["protocol_id"].to_pylist()):
+        met = {start: ([], [0])}
+        level = [start]
+        while level:
+            grown = []
+            for node in level:
+                path, trail = met[node]
+                for target, label, pos in out.get(node, ()):
+                    if target not in met:
+                        met[target] = [*path, {"node_id": node, "label": label}], [*trail, pos]
+                        grown.append(target)
+            level = grown
+        for node, (path, trail) in met.items():
+            for name, value in zip(_ROUTE, (protocol, start, node, len(path), path, trail)):
+                made[name].append(value)
+    return pa.table(made, schema=pa.schema(list(_ROUTE.items())))
+
+
+_STEP = pa.struct([("node_id", pa.string()), ("label", pa.string())])
+_ROUTE = {"protocol_id": pa.string(), "start": pa.string(), "node_id": pa.string(), "depth": pa.int32(), "path": pa.list_(_STEP), "trail": pa.list_(pa.int32())}
+
+
 def routes(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(protocol_id, start, node_id, depth, path array<struct<node_id, label>>, trail) along first-found shortest routes.
 
-    Ties go by edge position from the start on. A frontier joins the edges once
-    a step, nodes seen before are dropped, and the rounds end when none is
-    left, so graphs may be of any depth and have cycles. The edges are
-    broadcast only if they are few.
+    Ties go by edge position from the start on. A task follows the edges of one
+    protocol from up to about STARTS of its starts, so a graph of any depth, with
+    or without cycles, takes one shuffle; what a task holds is that protocol's
+    edges and the nodes one start has met.
+    """
+    begun = starts.select("protocol_id", "node_id").where("node_id IS NOT NULL").distinct()
+    share = begun.groupBy("protocol_id").agg(F.ceil(F.count("*") / F.lit(STARTS)).alias("_jobs"))
+    begun = begun.join(I.small(share), "protocol_id").withColumn("job", F.pmod(F.xxhash64("node_id"), F.col("_jobs")).cast("int")).drop("_jobs")
+    ways = _dealt(edges, begun)
+    found = begun.groupBy("protocol_id", "job").cogroup(ways.groupBy("protocol_id", "job")).applyInArrow(_followed, "protocol_id string, start string, node_id string, depth int, path array<struct<node_id:string,label:string>>, trail array<int>")
+    return found
+
+
+def _components(n: int, out: list[list[int]]) -> tuple[list[int], int]:
+    """The strongly connected component of each node, numbered so that edges lead to lower or equal numbers."""
+    index, low, own, stack, calls, count, at = [0] * n, [0] * n, [-1] * n, [], [], 0, 0
+    for root in range(n):
+        if index[root]:
+            continue
+        calls.append((root, 0))
+        while calls:
+            v, k = calls.pop()
+            if k == 0:
+                at += 1
+                index[v] = low[v] = at
+                stack.append(v)
+            for i in range(k, len(out[v])):
+                w = out[v][i]
+                if not index[w]:
+                    calls += [(v, i + 1), (w, 0)]
+                    break
+                if own[w] < 0:
+                    low[v] = min(low[v], index[w])
+            else:
+                if low[v] == index[v]:
+                    while own[v] < 0:
+                        own[stack.pop()] = count
+                    count += 1
+                if calls:
+                    low[calls[-1][0]] = min(low[calls[-1][0]], low[v])
+    return own, count
+
+
+def _marked(marks: pa.Table, ways: pa.Table) -> pa.Table:
+    """Which of a job's marks (node, word, bit) reach each node: a bitset for each component of the graph, handed on along its edges in topological order."""
+    names = sorted({*marks["node_id"].to_pylist(), *ways["source"].to_pylist(), *ways["target"].to_pylist()})
+    number = {name: k for k, name in enumerate(names)}
+    out: list[list[int]] = [[] for _ in names]
+    for a, b in zip(ways["source"].to_pylist(), ways["target"].to_pylist()):
+        out[number[a]].append(number[b])
+    own, count = _components(len(names), out)
+    words = np.asarray(marks["word"])
+    first = int(words.min()) if len(words) else 0
+    held = np.zeros((count, int(words.max()) - first + 1 if len(words) else 1), np.uint64)
+    for name, word, bit in zip(marks["node_id"].to_pylist(), words.tolist(), marks["bit"].to_pylist()):
+        held[own[number[name]], word - first] |= np.uint64(1) << np.uint64(bit)
+    after: list[set[int]] = [set() for _ in range(count)]
+    for v, targets in enumerate(out):
+        after[own[v]].update(own[w] for w in targets)
+    for c in range(count - 1, -1, -1):
+        if held[c].any():
+            for d in after[c]:
+                if d != c:
+                    held[d] |= held[c]
+    node, word = np.nonzero(held[own])
+    protocol = marks["protocol_id"][0].as_py() if len(marks) else None
+    return pa.table({"protocol_id": pa.array([protocol] * len(node), pa.string()), "node_id": pa.array(names, pa.string()).take(pa.array(node)), "word": pa.array(word + first, pa.int64()), "bits": pa.array(held[own][node, word].view(np.int64))})
+
+
+def reached_by(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(protocol_id, node_id, word, bits): which marks (protocol_id, node_id, slot from 0) reach each node over the edges, or stand there.
+
+    Slot s is bit s % 64 of word s // 64; words without a bit have no row. Cycles
+    are condensed and bitsets handed on in topological order, in one pass over a
+    protocol's edges for each WORDS words of its marks, so rows and time are
+    edges x words and not nodes x marks.
     """
-    ways = I.small(traversable(edges).select("protocol_id", F.col("source").alias("node_id"), "target", "label", "edge_pos"))
-    empty = F.array().cast("array<struct<node_id:string,label:string>>")
-    front = starts.select("protocol_id", F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth"), empty.alias("path"), F.array(F.lit(0)).cast("array<int>").alias("trail"))
-    front = lineage.cut(front.distinct())
-    rounds = [front]
-    first = Window.partitionBy("protocol_id", "start", "node_id").orderBy("trail")
-    while True:
-        step = F.struct(F.col("node_id").alias("node_id"), F.col("label").alias("label"))
-        grown = front.join(ways, ["protocol_id", "node_id"])
-        grown = grown.select("protocol_id", "start", F.col("target").alias("node_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(step)).alias("path"), F.concat("trail", F.array(F.col("edge_pos").cast("int"))).alias("trail"))
-        seen = reduce(DataFrame.unionByName, rounds).select("protocol_id", "start", "node_id")
-        fresh = grown.join(seen, ["protocol_id", "start", "node_id"], "left_anti")
-        front = lineage.cut(fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
-        if front.isEmpty():
-            return reduce(DataFrame.unionByName, rounds)
-        rounds.append(front)
-
-
-def join_nodes(reach: DataFrame) -> DataFrame:
+    word = F.floor(F.col("slot") / 64).cast("long")
+    set_ = marks.select("protocol_id", "node_id", word.alias("word"), (F.col("slot") % 64).cast("int").alias("bit"), F.floor(word / WORDS).cast("int").alias("job"))
+    return set_.groupBy("protocol_id", "job").cogroup(_dealt(edges, set_).groupBy("protocol_id", "job")).applyInArrow(_marked, "protocol_id string, node_id string, word long, bits long")
+
+
+def join_nodes(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(protocol_id, node_id) that all starts of a protocol reach, first in the breadth-first order of the first start."""
-    count = reach.groupBy("protocol_id").agg(F.count_distinct("start").alias("all"))
-    hits = reach.groupBy("protocol_id", "node_id").agg(F.count_distinct("start").alias("n"), F.min(F.struct("start", "depth", "trail")).alias("at")).join(count, "protocol_id").where("n = all")
-    order = Window.partitionBy("protocol_id").orderBy("at.depth", "at.trail", "node_id")
-    return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("protocol_id", "node_id")
+    begun = starts.select("protocol_id", "node_id").distinct()
+    marks = lineage.cut(begun.withColumn("slot", F.row_number().over(Window.partitionBy("protocol_id").orderBy("node_id")) - 1))
+    total = marks.groupBy("protocol_id").agg(F.count("*").alias("all"))
+    met = reached_by(edges, marks).groupBy("protocol_id", "node_id").agg(F.sum(F.bit_count("bits")).alias("n")).join(I.small(total), "protocol_id").where("n = all")
+    walk = routes(edges, marks.where("slot = 0")).select("protocol_id", "node_id", "depth", "trail")
+    order = Window.partitionBy("protocol_id").orderBy("depth", "trail", "node_id")
+    return met.join(walk, ["protocol_id", "node_id"]).withColumn("_n", F.row_number().over(order)).where("_n = 1").select("protocol_id", "node_id")
 
 
 def all_conditions(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """N4 for every node: (protocol_id, node_id, pos, decision_id, label): decisions on the shortest route of which some option does not reach the node."""
+    """N4 for every node: (protocol_id, node_id, pos, decision_id, label): decisions on the shortest route of which some option does not reach the node.
+
+    A decision's options are marks with successive slots; a node is free of the
+    decision if it holds all of them, which a look at the one or two words of
+    these slots tells.
+    """
     decisions = nodes.where(F.col("kind") == DECISION).select("protocol_id", F.col("node_id").alias("decision_id"))
     steps = routes(edges, starts).select("protocol_id", "node_id", F.posexplode("path").alias("pos", "step"))
     steps = steps.select("protocol_id", "node_id", "pos", F.col("step.node_id").alias("decision_id"), F.col("step.label").alias("label")).join(decisions, ["protocol_id", "decision_id"])
     options = traversable(edges).select("protocol_id", F.col("source").alias("decision_id"), F.col("target").alias("option_id")).join(decisions, ["protocol_id", "decision_id"]).distinct()
-    reach = routes(edges, options.select("protocol_id", F.col("option_id").alias("node_id")).distinct()).select("protocol_id", F.col("start").alias("option_id"), "node_id")
-    reached = options.join(reach, ["protocol_id", "option_id"]).groupBy("protocol_id", "decision_id", "node_id").agg(F.count_distinct("option_id").alias("reaching"))
-    counted = options.groupBy("protocol_id", "decision_id").agg(F.count("*").alias("options"))
-    held = steps.join(counted, ["protocol_id", "decision_id"]).join(reached, ["protocol_id", "decision_id", "node_id"], "left")
-    return held.where(F.coalesce("reaching", F.lit(0)) < F.col("options")).select("protocol_id", "node_id", "pos", "decision_id", "label")
+    slot = F.row_number().over(Window.partitionBy("protocol_id").orderBy("decision_id", "option_id")) - 1
+    options = lineage.cut(options.withColumn("slot", slot))
+    held = reached_by(edges, options.select("protocol_id", F.col("option_id").alias("node_id"), "slot"))
+    wanted = options.groupBy("protocol_id", "decision_id", F.floor(F.col("slot") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot % 64 AS INT)))").alias("mask"))
+    asked = steps.join(wanted, ["protocol_id", "decision_id"]).join(held, ["protocol_id", "node_id", "word"], "left")
+    lacks = F.coalesce("bits", F.lit(0)).bitwiseAND(F.col("mask")) != F.col("mask")
+    found = asked.groupBy("protocol_id", "node_id", "pos", "decision_id", "label").agg(F.bool_or(lacks).alias("lacks"))
+    return found.where("lacks").drop("lacks")
 
 
 def conditions(edges: DataFrame, nodes: DataFrame, starts: DataFrame, target: str) -> DataFrame:
@@ -241,34 +356,38 @@ def all_routes(nodes: list[dict], edges: list[dict]) -> list[dict]:
 WALK = "steps array<struct<node_id:string,choice:string>>, status string, stopped_at string, options array<string>, notes array<struct<label:string,node_id:string>>"
 
 
-def _rows(df: DataFrame) -> list[dict]:
-    rows = [r.asDict() for r in df.limit(GRAPH_ROWS + 1).collect()]
-    if len(rows) > GRAPH_ROWS:
-        raise ValueError(f"more than {GRAPH_ROWS} rows of a graph")
-    return rows
+#: Cases of one protocol that a task walks, about.
+CASES = 50_000
 
 
 def walk_cases(cases: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """N7 for every case (case_id, protocol_id, answers map<string,string>).
 
-    Protocols are reviewed documents of checked size and go with the tasks,
-    compiled; cases stream past them in Arrow batches. A null map counts as
-    empty; a protocol that is not there is an error.
+    A protocol's cases are dealt out to tasks of about CASES; each task gets the
+    protocol's nodes and edges beside them and compiles its graph once. A null
+    map counts as empty; a protocol that is not there is an error.
     """
-    programs = {}
-    all_nodes, all_edges = _rows(nodes), _rows(edges)
-    for p in {n["protocol_id"] for n in all_nodes}:
-        programs[p] = compiled([n for n in all_nodes if n["protocol_id"] == p], [e for e in all_edges if e["protocol_id"] == p])
+    kind = cases.schema["case_id"].dataType
     rows = cases.select("case_id", "protocol_id", F.map_entries(F.coalesce("answers", F.create_map().cast("map<string,string>"))).alias("answers"))
-    shape = pa.struct([("steps", pa.list_(pa.struct([("node_id", pa.string()), ("choice", pa.string())]))), ("status", pa.string()), ("stopped_at", pa.string()), ("options", pa.list_(pa.string())), ("notes", pa.list_(pa.struct([("label", pa.string()), ("node_id", pa.string())])))])
+    share = rows.groupBy("protocol_id").agg(F.ceil(F.count("*") / F.lit(CASES)).cast("int").alias("jobs"))
+    share = lineage.cut(share)
+    rows = rows.join(I.small(share), "protocol_id").withColumn("job", F.pmod(F.xxhash64("case_id"), F.col("jobs")).cast("int")).drop("jobs")
+    node, edge = (F.struct(*cs) for cs in (("node_id", "kind", "text"), ("edge_pos", "source", "target", "label", "reference", "independent")))
+    graph = nodes.select("protocol_id", node.alias("node"), F.lit(None).alias("edge")).union(edges.select("protocol_id", F.lit(None), edge))
+    jobs = share.select("protocol_id", F.explode(F.sequence(F.lit(0), F.col("jobs") - 1)).alias("job"))
+    graph = _apart(graph.join(I.small(jobs), "protocol_id"))
+    shape = pa.struct([("steps", pa.list_(_CHOICE)), ("status", pa.string()), ("stopped_at", pa.string()), ("options", pa.list_(pa.string())), ("notes", pa.list_(pa.struct([("label", pa.string()), ("node_id", pa.string())])))])
+
+    def run(cases: pa.Table, graph: pa.Table) -> pa.Table:
+        program = compiled([n for n in graph["node"].to_pylist() if n], [e for e in graph["edge"].to_pylist() if e])
+        found = [Walk(*program, {a["key"]: a["value"] for a in answers}).result() for answers in cases["answers"].to_pylist()]
+        made = pa.array(found, shape)
+        return pa.table([cases["case_id"], cases["protocol_id"], *made.flatten()], names=["case_id", "protocol_id", *(f.name for f in shape)])
+
+    return rows.groupBy("protocol_id", "job").cogroup(graph.groupBy("protocol_id", "job")).applyInArrow(run, f"case_id {kind.simpleString()}, protocol_id string, {WALK}")
 
-    def run(batches):
-        for batch in batches:
-            pairs = zip(batch["protocol_id"].to_pylist(), batch["answers"].to_pylist())
-            found = pa.array([Walk(*programs[p], {a["key"]: a["value"] for a in answers}).result() for p, answers in pairs], shape)
-            yield pa.RecordBatch.from_arrays([batch["case_id"], batch["protocol_id"], *found.flatten()], ["case_id", "protocol_id", *(f.name for f in shape)])
 
-    return rows.mapInArrow(run, f"case_id {rows.schema['case_id'].dataType.simpleString()}, protocol_id string, {WALK}")
+_CHOICE = pa.struct([("node_id", pa.string()), ("choice", pa.string())])
 
 
 def first_section(order: DataFrame, nodes: DataFrame, k: int = FIRST_NODES) -> DataFrame:

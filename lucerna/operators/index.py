@@ -81,8 +81,10 @@ def query_terms(questions: DataFrame, column=None) -> DataFrame:
 
 def bm25_scores(index: Index, questions: DataFrame, source_type: str | None = None) -> DataFrame:
     """(qid, chunk_id, score) of every chunk that shares a term with the question."""
-    asked = small(query_terms(questions)).join(F.broadcast(index.stats.select("avgdl")), how="cross")
-    hits = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term")
+    # the terms' idf is joined to the few asked terms, so that the postings are joined once
+    asked = query_terms(questions)
+    asked = small(lineage.cut(asked.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))))
+    hits = index.postings.join(asked, "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("qid", "chunk_id", "source_type").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
     return (scored if source_type is None else scored.where(F.col("source_type") == source_type)).select("qid", "chunk_id", "score")
@@ -102,8 +104,23 @@ def bm25_search(index: Index, questions: DataFrame, k: int, source_type: str | N
 
 
 def rank_nodes(nodes: DataFrame, questions: DataFrame, k: int = 4, ratio: float = 0.4) -> DataFrame:
-    """The k nodes that fit a question best, with a positive score of at least `ratio` times the best."""
-    index = build_index(nodes.select(F.col("node_id").alias("chunk_id"), "text", F.lit("node").alias("source_type")))
-    best = bm25_search(index, questions, k)
+    """(qid, node_id, score, rank): the k nodes of a question's protocol that fit it best, with a positive score of at least `ratio` times the best.
+
+    `nodes` (protocol_id, node_id, kind, text), `questions` (qid, protocol_id,
+    question). Each protocol is an index of its own, over its nodes but the
+    start, with the tokens and synonyms of nodes (F36).
+    """
+    own = nodes.where("kind <> 'start'").select("protocol_id", "node_id", X.node_tokens("text").alias("tokens"))
+    each = own.select("protocol_id", "node_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("protocol_id", "node_id", "len", "term").agg(F.count("*").alias("tf"))
+    size = own.groupBy("protocol_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    df = each.groupBy("protocol_id", "term").agg(F.count("*").alias("df")).join(size, "protocol_id")
+    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = F.avg("raw").over(Window.partitionBy("protocol_id"))
+    idf = raw.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw"))).select("protocol_id", "term", "idf", "avgdl")
+    asked = questions.select("qid", "protocol_id", F.explode(X.node_tokens("question")).alias("term")).groupBy("qid", "protocol_id", "term").agg(F.count("*").alias("times"))
+    hits = each.join(small(idf.join(asked, ["protocol_id", "term"])), ["protocol_id", "term"])
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    scored = hits.groupBy("qid", F.col("node_id").alias("chunk_id")).agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
+    best = top_k(scored, k, True, 9)
     most = F.max("score").over(Window.partitionBy("qid"))
     return best.withColumn("most", most).where(F.col("score") >= ratio * F.col("most")).drop("most").withColumnRenamed("chunk_id", "node_id")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from lucerna.functions import text as X
 from lucerna.functions import words as W
 from lucerna.operators import index as I
-from lucerna.operators import segment
+from lucerna.operators import lineage, scan, segment
 
 BUDGET, OVERLAP, LEAST = 400, 0.15, 30
 TITLED_LEAST = 10
@@ -24,14 +24,25 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 def running_lines(pages: DataFrame, ratio: float = 0.4, least: int = 3) -> DataFrame:
     """A4: (source_file, key, pages) of lines on at least max(least, ratio * pages) distinct pages of a document."""
-    seen = page_lines(pages).where("key <> ''").select("source_file", "page", "key").distinct().groupBy("source_file", "key").agg(F.count("*").alias("pages"))
+    keys = F.array_distinct(F.transform(F.split(X.text("text"), "\n"), X.line_key))
+    seen = pages.select("source_file", "page", F.explode(keys).alias("key")).where("key <> ''").distinct().groupBy("source_file", "key").agg(F.count("*").alias("pages"))
     totals = pages.groupBy("source_file").agg(F.count_distinct("page").alias("_n"))
-    return seen.join(totals, "source_file").where(F.col("pages") >= F.greatest(F.lit(float(least)), F.lit(ratio) * F.col("_n"))).drop("_n")
+    return seen.join(I.small(totals), "source_file").where(F.col("pages") >= F.greatest(F.lit(float(least)), F.lit(ratio) * F.col("_n"))).drop("_n")
 
 
 def drop_running_lines(pages: DataFrame, ratio: float = 0.4, least: int = 3) -> DataFrame:
-    """The pages without their document's running lines; order kept."""
-    kept = page_lines(pages).join(running_lines(pages, ratio, least), ["source_file", "key"], "left_anti")
+    """The pages without their document's running lines; order kept.
+
+    Few running lines go to the pages as an array for each document, so that a
+    page's lines stay in their row; many are joined line by line.
+    """
+    running = lineage.cut(running_lines(pages, ratio, least).select("source_file", "key"))
+    if running.limit(I.BROADCAST_ROWS + 1).count() <= I.BROADCAST_ROWS:
+        held = running.groupBy("source_file").agg(F.collect_list("key").alias("_keys"))
+        lines = F.split(X.text("text"), "\n")
+        kept = F.array_join(F.filter(lines, lambda s: ~F.array_contains("_keys", X.line_key(s))), "\n")
+        return pages.join(F.broadcast(held), "source_file", "left").withColumn("text", F.when(F.col("_keys").isNull(), X.text("text")).otherwise(kept)).drop("_keys")
+    kept = page_lines(pages).join(running, ["source_file", "key"], "left_anti")
     joined = kept.groupBy("source_file", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"))
     text = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
     return pages.drop("text").join(joined.select("source_file", "page", text.alias("text")), ["source_file", "page"], "left").withColumn("text", X.text("text"))
@@ -42,9 +53,9 @@ def needs_ocr(pages: DataFrame, least: int = 20) -> DataFrame:
     return pages.groupBy("source_file").agg(F.bool_or(F.length(F.btrim(X.text("text"), F.lit(" \n\t\r"))) < least).alias("needs_ocr"))
 
 
-def carried(title: Column, order: list, partition: list[str]) -> Column:
-    """The last title that is not null, in document order."""
-    return F.last(title, ignorenulls=True).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def carried(rows: DataFrame, title: Column, order: list[str], by: list[str], name: str) -> DataFrame:
+    """Adds the last title that is not null, in document order; a document may be of any length."""
+    return scan.last_values(rows, by, order, {name: title})
 
 
 # Numbered titles and titles that stand alone start a path anew.
@@ -58,10 +69,9 @@ def title_paths(titles: DataFrame) -> DataFrame:
 
     Numbered titles and those that stand alone are the top; of "n. head: rest"
     only the head is, and the rest hangs below it. Capitals are the middle,
-    until the next top; others hang below both. The window holds the titles of
-    one document.
+    until the next top; others hang below both. A document may have any number
+    of titles: they are scanned by ranges.
     """
-    w = Window.partitionBy("source_file").orderBy("page", "pos").rowsBetween(Window.unboundedPreceding, 0)
     place, title = F.struct("page", "pos"), X.clean_title("title")
     named = (title != "") & (title != W.DEFAULT_SECTION)
     alone = named & title.rlike(STANDALONE_TITLE)
@@ -70,12 +80,12 @@ def title_paths(titles: DataFrame) -> DataFrame:
     head = F.trim(F.substring_index(title, ":", 1))
     rest = F.trim(F.substring(title, F.length(F.substring_index(title, ":", 1)) + 2, F.length(title)))
     top = F.when(alone, title).when(numbered, head)
-    rows = titles.withColumn("_top", F.when(top.isNotNull(), F.struct(place.alias("at"), top.alias("title")))).withColumn("_mid", F.when(upper, F.struct(place.alias("at"), title.alias("title"))))
-    rows = rows.withColumn("_t", F.last("_top", True).over(w)).withColumn("_m", F.last("_mid", True).over(w))
+    last = {"_t": F.when(top.isNotNull(), F.struct(place.alias("at"), top.alias("title"))), "_m": F.when(upper, F.struct(place.alias("at"), title.alias("title")))}
+    rows = scan.last_values(titles, ["source_file"], ["page", "pos"], last)
     middle = F.when(F.col("_t").isNull() | (F.col("_m.at") > F.col("_t.at")), F.col("_m.title"))
     below = F.when(numbered, F.nullif(rest, F.lit(""))).when(~alone & ~upper, title)
     path = F.when(~named, F.col("title")).otherwise(F.concat_ws(SEPARATOR, F.col("_t.title"), middle, below))
-    return rows.withColumn("path", path).drop("_top", "_mid", "_t", "_m")
+    return rows.withColumn("path", path).drop("_t", "_m", *([] if scan.PART in titles.columns else [scan.PART]))
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -95,16 +105,19 @@ def chunk_pages(pages: DataFrame, budget: int = BUDGET, overlap: float = OVERLAP
     if drop_tables:
         clean = clean.withColumn("text", X.strip_tables("text"))
     parts = clean.where("text <> ''").select("source_file", "page", F.inline(segment.sections("text", _CARRY, True)))
-    parts = title_paths(parts.withColumn("title", F.when(F.col("title") != _CARRY, F.col("title"))))
+    # one deal of the sections by document, page and place serves titles, carried titles and numbers
+    parts = scan.placed(parts.withColumn("title", F.when(F.col("title") != _CARRY, F.col("title"))), ["source_file"], ["page", "pos"])
+    parts = title_paths(parts)
     shown = F.when(X.is_bibliography_title("title"), F.col("title")).otherwise(F.col("path"))
-    section = carried(F.when(F.col("title").isNotNull(), shown), ["page", "pos"], ["source_file"])
-    parts = parts.withColumn("section", F.coalesce(F.nullif(X.clean_title(section), F.lit("")), F.lit(W.DEFAULT_SECTION)))
+    parts = carried(parts, F.when(F.col("title").isNotNull(), shown), ["page", "pos"], ["source_file"], "section")
+    parts = parts.withColumn("section", F.coalesce(F.nullif(X.clean_title("section"), F.lit("")), F.lit(W.DEFAULT_SECTION)))
     parts = parts.where((F.trim("body") != "") & ~X.is_bibliography_title("section"))
-    pieces = parts.select("source_file", "page", "pos", "section", F.posexplode(segment.split_long("body", budget, overlap, 1)).alias("piece", "body"))
+    pieces = parts.select(scan.PART, "source_file", "page", "pos", "section", F.posexplode(segment.split_long("body", budget, overlap, 1)).alias("piece", "body"))
     titled = F.col("section") != W.DEFAULT_SECTION
     pieces = pieces.where((X.approx_tokens("body") >= F.when(titled, min(least, TITLED_LEAST)).otherwise(least)) & ~X.is_bibliography("body"))
-    nth = F.row_number().over(Window.partitionBy("source_file").orderBy("page", "pos", "piece")) - 1
-    out = pieces.select("source_file", "page", "section", nth.alias("chunk_index"), X.with_header(F.col("section"), F.col("body"), W.DEFAULT_SECTION).alias("text"))
+    # the texts are made once, for the counts of the ranges and for the rows
+    pieces = scan.numbers(lineage.cut(pieces), ["source_file"], ["page", "pos", "piece"], "chunk_index")
+    out = pieces.select("source_file", "page", "section", F.col("chunk_index").cast("int").alias("chunk_index"), X.with_header(F.col("section"), F.col("body"), W.DEFAULT_SECTION).alias("text"))
     return out.withColumn("chunk_id", chunk_id(F.col("source_file"), F.col("chunk_index"), F.col("text")))
 
 

@@ -1,21 +1,32 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and folders for stored tables."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows checkpointed in the folder all executors share (spark.checkpoint.dir); a local session without one gets one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir); a local session without one gets one."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
         context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/lucerna-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows checkpointed in the folder all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from lucerna.functions import text as X
 from lucerna.functions import words as W
 from lucerna.operators import index as I
+from lucerna.operators import lineage
 
 INSTITUTIONAL = "institucional"
 """Source type of the house's own documents (a fixed value)."""
@@ -178,23 +179,25 @@ def hybrid_retrieve(index: I.Index, chunks: DataFrame, vectors: DataFrame, quest
     """Both searches, fusion, pool with the house's own, topic filter, rerank, selection.
 
     `questions`: qid, question, vector. `chunks`: chunk_id, source_file,
-    source_type, section, page, topic. Without a reranker the fused list is
-    cut at k_final and nothing else applies (T9). Both searches rank scores
-    rounded to `digits`, if given.
+    source_type, section, page, topic, and text, by which a document's header is
+    known. `vectors` is a table of vectors or a vector_index.VectorIndex. Without
+    a reranker the fused list is cut at k_final and nothing else applies (T9).
+    Both searches rank scores rounded to `digits`, if given. The pool, a few rows
+    a question, is checkpointed; texts are joined to it, never the other way.
     """
     asked = questions.withColumn("question", X.retrieval_query("question"))
 
     def both(source_type: str | None = None) -> DataFrame:
-        return fuse([dense_search(vectors, asked, k_first, source_type, digits=digits), I.bm25_search(index, asked, k_first, source_type, digits)])
+        dense = dense_search(vectors, asked, k_first, source_type, digits=digits) if isinstance(vectors, DataFrame) else vectors.search(asked, k_first, source_type, digits=digits)
+        return fuse([dense, I.bm25_search(index, asked, k_first, source_type, digits)])
 
     fused = both()
     if not use_reranker:
         return fused.where(F.col("rank") <= k_final).withColumn("method", F.lit("hybrid"))
     extras = both(INSTITUTIONAL).where(F.col("rank") <= 2 * quota)
-    pool = candidate_pool(fused, extras, k_final).select("qid", "chunk_id")
-    raw = (scorer or coverage)(index, asked, pool)
-    rows = raw.join(asked.select("qid", "question"), "qid").join(chunks, "chunk_id")
-    rows = rows.withColumn("topics", question_topics(F.col("question"), topics or {}))
+    pool = lineage.cut(candidate_pool(fused, extras, k_final).select("qid", "chunk_id"))
+    raw = lineage.cut((scorer or coverage)(index, asked, pool).join(asked.select("qid", "question"), "qid"))
+    rows = chunks.join(I.small(raw), "chunk_id").withColumn("topics", question_topics(F.col("question"), topics or {}))
     return select_with_quota(rerank(same_topic(rows), exclude_admin), k_final, quota, min_score, floor, per_document).withColumn("method", F.lit("rerank"))
 
 

@@ -48,9 +48,9 @@ def complete_citation(c: Column) -> Column:
 
 
 def verify_tree(error: Column, protocol: Column, content: Column, outcome: Column, cites: Column) -> Column:
-    """struct<status, verification, eligible>."""
+    """struct<status, verification, eligible>; one complete citation is enough."""
     status = F.when(error.isNotNull(), "error_tecnico").when(protocol.isNull(), "sin_protocolo").when(content.isNull(), F.coalesce(outcome, F.lit("sin_resultado"))).otherwise("resultado")
-    whole = (F.size(cites) > 0) & ~F.exists(cites, lambda c: ~complete_citation(c))
+    whole = F.exists(cites, complete_citation)
     verification = F.when(status != "resultado", F.lit(None)).when(whole, VERIFIED).otherwise("citas_incompletas")
     return F.struct(status.alias("status"), verification.alias("verification"), F.coalesce(verification == VERIFIED, F.lit(False)).alias("eligible"))
 
@@ -75,9 +75,10 @@ def contradiction(judge: Column) -> Column:
 
 
 def file_versions(rows: DataFrame) -> DataFrame:
-    """(qid, agent, code, versions) from cited file names."""
+    """(qid, agent, code, versions) from cited file names; v3 and v03 are one version."""
     code = F.regexp_extract(F.upper("source_file"), W.CODE, 1)
-    version = F.regexp_extract(F.lower("source_file"), r"(?:^|[^a-z])v([0-9]+)", 1)
+    digits = F.regexp_extract(F.lower("source_file"), r"(?:^|[^a-z])v([0-9]+)", 1)
+    version = F.regexp_replace(digits, "^0+(?=[0-9])", "")
     named = rows.select("qid", "agent", code.alias("code"), version.alias("version")).where("code <> '' AND version <> ''")
     return named.groupBy("qid", "agent", "code").agg(F.array_sort(F.collect_set("version")).alias("versions"))
 
@@ -90,6 +91,23 @@ def version_discrepancies(rows: DataFrame) -> DataFrame:
     return tree.join(rag, ["qid", "code"]).where("arbol <> rag")
 
 
+#: Fixed value: what stands before the notes on sources.
+NOTE = "**Nota sobre las fuentes:** "
+
+
+def annotated(text: Column, notes: Column) -> Column:
+    """A text with the notes (array) on versions and contradictions below it, if there are any."""
+    return F.when(F.size(notes) > 0, F.concat(text, F.lit("\n\n" + NOTE), F.array_join(notes, " "))).otherwise(text)
+
+
+def version_notes(discrepancies: DataFrame) -> DataFrame:
+    """(qid, notes) of `version_discrepancies`, a sentence for each code, by code."""
+    listed = lambda c: F.array_join(F.array_sort(c), ", ")
+    note = F.concat(F.lit("El arbol de decision usa "), "code", F.lit(" version "), listed("arbol"), F.lit(" y los documentos recuperados citan "), "code", F.lit(" version "), listed("rag"), F.lit("."))
+    pairs = F.array_sort(F.collect_list(F.struct("code", note.alias("note"))))
+    return discrepancies.groupBy("qid").agg(F.transform(pairs, lambda p: p["note"]).alias("notes"))
+
+
 def integrate(contributions: DataFrame, fallback: str = W.REFUSAL_TEXT) -> DataFrame:
     """(qid, text, n_blocks): eligible blocks, tree first; one stands alone, two get titles; none gives the abstention or the fallback."""
     place = F.when(F.col("agent") == "arbol", 0).otherwise(1)

@@ -35,15 +35,16 @@ class Engine:
 
         Questions with words outside the corpus are refused before retrieval
         and never reach the scorer; answers that leave a rare word of the
-        question out are refused after it.
+        question out are refused after it, and lose their sources. An answer
+        that abstains itself is left as it is, with the sources it was drawn from.
         """
         strange = R.out_of_corpus(questions, self.df, self.topics).select("qid").distinct()
         asked = questions.join(strange, "qid", "left_anti")
-        found = R.hybrid_retrieve(self.index, self.chunks.drop("text"), self.vectors, asked, topics=self.topics, **options).join(self.chunks.select("chunk_id", "text"), "chunk_id")
-        found = lineage.cut(found)
+        found = lineage.cut(R.hybrid_retrieve(self.index, self.chunks, self.vectors, asked, topics=self.topics, **options))
         said = A.extractive_answer(found, asked, self.index.terms)
         n = self.index.stats.first()["n"]
-        missed = R.uncovered(asked.select("qid", "question").join(said, "qid"), self.df, n, self.topics).select("qid").distinct().withColumn("missed", F.lit(True))
+        open_ = said.where(F.col("answer") != W.REFUSAL_TEXT)
+        missed = R.uncovered(asked.select("qid", "question").join(open_, "qid"), self.df, n, self.topics).select("qid").distinct().withColumn("missed", F.lit(True))
         sources = found.groupBy("qid").agg(F.count("*").alias("n_sources"))
         out = questions.select("qid").join(said, "qid", "left").join(missed, "qid", "left").join(sources, "qid", "left")
         refused = F.when(F.col("answer").isNull(), "out_of_corpus").when(F.col("missed"), "uncovered")

@@ -6,7 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lucerna.functions.text import choose
 from lucerna.operators.flow import PENDING, Walk, compiled
@@ -37,21 +37,65 @@ def advance(program: tuple, answers: dict[str, str], asked: int, pending: str |
 
 OUTPUT = "thread_id string, status string, node_id string, options array<string>, asked int, answers string"
 STATE = "answers string, asked int, pending string"
+EXPIRED = "caducado"
+#: How long an open thread waits for a reply.
+WAIT_MS = 24 * 60 * 60 * 1000
 
 
-def conversations(events: DataFrame, nodes: list[dict], edges: list[dict]) -> DataFrame:
+class Conversation(StatefulProcessor):
+    """The state of a thread: its answers, questions asked, and open question.
+
+    A thread that ends leaves the store at once; one that gets no reply for
+    `wait_ms` leaves it with a last row of status EXPIRED. A reply to a thread
+    that is not in the store opens it anew.
+    """
+
+    def __init__(self, program: tuple, wait_ms: int) -> None:
+        self.program, self.wait_ms = program, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.thread = handle.getValueState("thread", STATE)
+
+    def _row(self, key, status: str, pending: str | None, options: list[str], asked: int, answers: dict[str, str]) -> pd.DataFrame:
+        return pd.DataFrame({"thread_id": [key[0]], "status": [status], "node_id": [pending], "options": [options], "asked": [asked], "answers": [json.dumps(answers, sort_keys=True)]})
+
+    def _quiet(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values("turn")
+        held, asked, pending = self.thread.get() if self.thread.exists() else ("{}", 0, None)
+        answers, asked, pending, status, options = advance(self.program, json.loads(held), int(asked), pending, frame["reply"].tolist())
+        self._quiet()
+        if status == PENDING:
+            self.thread.update((json.dumps(answers, sort_keys=True), asked, pending))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        else:
+            self.thread.clear()
+        yield self._row(key, status, pending, options, asked, answers)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.thread.exists():
+            held, asked, pending = self.thread.get()
+            self.thread.clear()
+            yield self._row(key, EXPIRED, pending, [], int(asked), json.loads(held))
+
+    def close(self) -> None:
+        pass
+
+
+def conversations(events: DataFrame, nodes: list[dict], edges: list[dict], wait_ms: int = WAIT_MS) -> DataFrame:
     """A stream (thread_id, turn, reply) as the state of each thread after its new turns; the first turn opens the thread.
 
-    The state (answers, questions asked, open question) lives in the state
-    store, so a restart from the checkpoint goes on where threads stood.
+    The state lives in the state store, so a restart from the checkpoint goes on
+    where threads stood; only open threads are there. The store must be RocksDB
+    (`state_store`).
     """
-    program = compiled(nodes, edges)
+    return events.groupBy("thread_id").transformWithStateInPandas(Conversation(compiled(nodes, edges), wait_ms), OUTPUT, "Update", "ProcessingTime")
 
-    def step(key, frames, state: GroupState):
-        frame = pd.concat(list(frames)).sort_values("turn")
-        held, asked, pending = ("{}", 0, None) if not state.exists else state.get
-        answers, asked, pending, status, options = advance(program, json.loads(held), asked, pending, frame["reply"].tolist())
-        state.update((json.dumps(answers, sort_keys=True), asked, pending))
-        yield pd.DataFrame({"thread_id": [key[0]], "status": [status], "node_id": [pending], "options": [options], "asked": [asked], "answers": [json.dumps(answers, sort_keys=True)]})
 
-    return events.groupBy("thread_id").applyInPandasWithState(step, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+def state_store(spark) -> None:
+    """Sets the store that threads with timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

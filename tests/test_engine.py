@@ -29,7 +29,7 @@ def test_tokens_and_queries(spark):
     assert [one(spark, X.approx_tokens("s"), s=s) for s in ("", "a b c", " ".join("x" * 30))] == [1, 4, 40]
     assert one(spark, X.qualifier("s"), s="alto + device") == "device"
     assert one(spark, X.version_label("s"), s="ver 3") == "v03"
-    assert one(spark, X.nfkd_fold("s"), s="ﬁÁ²") == "fia2"
+    assert one(spark, X.fold("s"), s="ﬁÁ²ǎŐ…각½") == "fia2ao...\u1100\u1161\u11a81⁄2"
     assert one(spark, X.citations("s"), s="x [Guia: doc1 , p. 1] y [Guia: b, s]") == ["doc1", "b"]
 
 
@@ -313,7 +313,9 @@ def test_catalog_errors(spark):
 
 
 def test_conversations_resume(spark, tmp_path):
-    from lucerna.streaming.session import conversations
+    from lucerna.streaming.session import conversations, state_store
+
+    state_store(spark)
 
     _, nodes, edges = S.parse_tree(catalog.TREE)
     source = f"{tmp_path}/turns"
