@@ -91,7 +91,8 @@ def conversations(events: DataFrame, nodes: list[dict], edges: list[dict], wait_
 
     The state lives in the state store, so a restart from the checkpoint goes on
     where threads stood; only open threads are there. The store must be RocksDB
-    (`state_store`).
+    (`state_store`). Timers run with each batch; a stream that is to end when its
+    input does needs `spark.sql.streaming.noDataMicroBatches.enabled` off.
     """
     return events.groupBy("thread_id").transformWithStateInPandas(Conversation(compiled(nodes, edges), wait_ms), OUTPUT, "Update", "ProcessingTime")
 

@@ -316,6 +316,7 @@ def test_conversations_resume(spark, tmp_path):
     from lucerna.streaming.session import conversations, state_store
 
     state_store(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
 
     _, nodes, edges = S.parse_tree(catalog.TREE)
     source = f"{tmp_path}/turns"
