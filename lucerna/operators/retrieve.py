@@ -87,22 +87,25 @@ def admin_penalty(section: Column, question: Column, source_type: Column, page:
     table of changes, also the first) starts as one of the table, unless the
     question has the stem of its word.
     """
-    asked = X.fold(question)
     levels = F.transform(F.split(X.fold(section), " — ", -1), lambda s: F.btrim(F.regexp_replace(s, r"^[0-9]{1,3}\.\s*", ""), F.lit(" :.")))
-    first, last = F.get(levels, F.lit(0)), F.element_at(levels, -1)
     lost, none = F.lit(-float(penalty)), F.lit(0.0)
 
-    def by_title(title: Column, otherwise: Column) -> Column:
+    def by_title(title: Column, asked: Column, otherwise: Column) -> Column:
         out = otherwise
         for prefix, word in reversed(table.items()):
             out = F.when(F.startswith(title, F.lit(prefix)), F.when(F.contains(asked, F.lit(word[:stem])), none).otherwise(lost)).otherwise(out)
         return out
 
-    titled = by_title(last, F.when(F.startswith(first, F.lit(W.CHANGE_CONTROL)), by_title(first, none)).otherwise(none))
-    out = F.when((source_type != INSTITUTIONAL) & F.coalesce(page == 1, F.lit(False)), lost).otherwise(titled)
-    if text is not None:
-        out = F.when(X.fold(text).rlike(W.DOCUMENT_HEADER), F.when(asked.rlike(W.HEADER_WORDS), none).otherwise(lost)).otherwise(out)
-    return out
+    def judged(x: Column) -> Column:
+        asked, first, last = x["asked"], F.get(x["levels"], F.lit(0)), F.element_at(x["levels"], -1)
+        titled = by_title(last, asked, F.when(F.startswith(first, F.lit(W.CHANGE_CONTROL)), by_title(first, asked, none)).otherwise(none))
+        out = F.when((source_type != INSTITUTIONAL) & F.coalesce(page == 1, F.lit(False)), lost).otherwise(titled)
+        if text is not None:
+            out = F.when(X.fold(text).rlike(W.DOCUMENT_HEADER), F.when(asked.rlike(W.HEADER_WORDS), none).otherwise(lost)).otherwise(out)
+        return out
+
+    # question and titles are folded once a row, not once for each entry of the table
+    return X.bind(F.struct(X.fold(question).alias("asked"), levels.alias("levels")), judged)
 
 
 def boost(raw: Column, section: Column, value: float = 0.0, least: float = 0.02) -> Column:
