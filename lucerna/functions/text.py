@@ -117,8 +117,9 @@ def retrieval_query(c: Column | str, meta=W.META, generic=W.GENERIC) -> Column:
     whole = text(c)
     parts = F.filter(F.transform(F.split(whole, r"(?<=\?)"), lambda s: F.trim(s)), lambda p: p != "")
     dull = _strings([*meta, *generic])
-    kept = F.filter(parts, lambda p: F.exists(tokens(p), lambda t: ~F.array_contains(dull, t)))
-    return F.when((F.size(parts) < 2) | (F.size(kept) == 0), whole).otherwise(F.array_join(kept, " "))
+    kept = lambda each: F.filter(each, lambda p: F.exists(tokens(p), lambda t: ~F.array_contains(dull, t)))
+    joined = lambda good: F.when(F.size(good) == 0, whole).otherwise(F.array_join(good, " "))
+    return bind(parts, lambda each: F.when(F.size(each) < 2, whole).otherwise(bind(kept(each), joined)))
 
 
 def content_words(c: Column | str, generic=W.GENERIC, endings=W.VERB_ENDINGS, verbs=W.VERB_WORDS) -> Column:

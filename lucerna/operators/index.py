@@ -79,11 +79,15 @@ def query_terms(questions: DataFrame, column=None) -> DataFrame:
     return questions.select("qid", F.explode(found).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(index: Index, questions: DataFrame, source_type: str | None = None) -> DataFrame:
-    """(qid, chunk_id, score) of every chunk that shares a term with the question."""
-    # the terms' idf is joined to the few asked terms, so that the postings are joined once
-    asked = query_terms(questions)
-    asked = small(lineage.cut(asked.join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.stats.select("avgdl")))))
+def asked_terms(index: Index, questions: DataFrame) -> DataFrame:
+    """(qid, term, times, idf, avgdl) of the questions' terms that the index has, so that its postings are joined once."""
+    known = query_terms(questions).join(index.terms.select("term", "idf"), "term")
+    return small(lineage.cut(known.crossJoin(F.broadcast(index.stats.select("avgdl")))))
+
+
+def bm25_scores(index: Index, questions: DataFrame, source_type: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """(qid, chunk_id, score) of every chunk that shares a term with the question; `asked` are its `asked_terms`, where they are known."""
+    asked = asked_terms(index, questions) if asked is None else asked
     hits = index.postings.join(asked, "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.groupBy("qid", "chunk_id", "source_type").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
@@ -98,9 +102,9 @@ def top_k(scored: DataFrame, k: int, positive: bool = False, digits: int | None
     return out.where("score > 0") if positive else out
 
 
-def bm25_search(index: Index, questions: DataFrame, k: int, source_type: str | None = None, digits: int | None = None) -> DataFrame:
+def bm25_search(index: Index, questions: DataFrame, k: int, source_type: str | None = None, digits: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """R2: global statistics, then the source filter, then the k best, then only positive scores."""
-    return top_k(bm25_scores(index, questions, source_type), k, True, digits)
+    return top_k(bm25_scores(index, questions, source_type, asked), k, True, digits)
 
 
 def rank_nodes(nodes: DataFrame, questions: DataFrame, k: int = 4, ratio: float = 0.4) -> DataFrame:

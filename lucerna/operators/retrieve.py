@@ -186,13 +186,15 @@ def hybrid_retrieve(index: I.Index, chunks: DataFrame, vectors: DataFrame, quest
     known. `vectors` is a table of vectors or a vector_index.VectorIndex. Without
     a reranker the fused list is cut at k_final and nothing else applies (T9).
     Both searches rank scores rounded to `digits`, if given. The pool, a few rows
-    a question, is checkpointed; texts are joined to it, never the other way.
+    a question, is checkpointed, as are the questions and their terms, which both
+    searches share; texts are joined to the pool, never the other way.
     """
-    asked = questions.withColumn("question", X.retrieval_query("question"))
+    asked = lineage.cut(questions.withColumn("question", X.retrieval_query("question")))
+    terms = I.asked_terms(index, asked)
 
     def both(source_type: str | None = None) -> DataFrame:
         dense = dense_search(vectors, asked, k_first, source_type, digits=digits) if isinstance(vectors, DataFrame) else vectors.search(asked, k_first, source_type, digits=digits)
-        return fuse([dense, I.bm25_search(index, asked, k_first, source_type, digits)])
+        return fuse([dense, I.bm25_search(index, asked, k_first, source_type, digits, terms)])
 
     fused = both()
     if not use_reranker:

@@ -41,7 +41,7 @@ class Engine:
         strange = R.out_of_corpus(questions, self.df, self.topics).select("qid").distinct()
         asked = questions.join(strange, "qid", "left_anti")
         found = lineage.cut(R.hybrid_retrieve(self.index, self.chunks, self.vectors, asked, topics=self.topics, **options))
-        said = A.extractive_answer(found, asked, self.index.terms)
+        said = lineage.cut(A.extractive_answer(found, asked, self.index.terms))
         n = self.index.stats.first()["n"]
         open_ = said.where(F.col("answer") != W.REFUSAL_TEXT)
         missed = R.uncovered(asked.select("qid", "question").join(open_, "qid"), self.df, n, self.topics).select("qid").distinct().withColumn("missed", F.lit(True))
