@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, Not, StringStartsWith
 
 from lucerna.sources.files import EDGES, NODES, parse_tree
 
@@ -25,19 +27,24 @@ TREE_TABLES = {"nodes": NODES, "edges": EDGES, "protocols": PROTOCOLS}
 TREE_FILES = ("tree.yaml", "tree.yml", "tree.json")
 
 
+def opened(path: str) -> tuple:
+    """The file system of a path, with or without a scheme, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if re.match("[A-Za-z][A-Za-z0-9+.-]*:", path) else os.path.abspath(path))
+
+
 def _listed(path: str) -> tuple[object, list]:
-    """The file system of a path and its files, at any depth, by path."""
+    """The root of a path in its file system and its files, at any depth, by path."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(f"file://{path}")
+    system, root = opened(path)
     found = system.get_file_info(fs.FileSelector(root, recursive=True))
     return root, sorted((f.path for f in found if f.is_file), key=str)
 
 
-def _opened(base: str, path: str) -> bytes:
-    from pyarrow import fs
-
-    system, _ = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+def _content(base: str, path: str) -> bytes:
+    system, _ = opened(base)
     with system.open_input_stream(path) as f:
         return f.read()
 
@@ -57,6 +64,15 @@ class File(InputPartition):
     name: str
 
 
+def _passes(f: Filter, name: str) -> bool:
+    """Whether a name passes a filter: equality, a list, a beginning, or the contrary of one of these."""
+    if isinstance(f, Not):
+        return not _passes(f.child, name)
+    if isinstance(f, StringStartsWith):
+        return name.startswith(f.value)
+    return name in (f.value if isinstance(f, In) else (f.value,))
+
+
 class _Filtered(DataSourceReader):
     """A reader of files that keeps those whose `key` passes the pushed filters."""
 
@@ -64,21 +80,21 @@ class _Filtered(DataSourceReader):
 
     def __init__(self, options: dict) -> None:
         self.base = options["path"]
-        self.kept: set[str] | None = None
+        self.pushed: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
-            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if values is None or f.attribute != (self.key,):
-                yield f
+            plain = f.child if isinstance(f, Not) else f
+            if isinstance(plain, (EqualTo, In, StringStartsWith)) and plain.attribute == (self.key,):
+                self.pushed.append(f)
             else:
-                self.kept = values if self.kept is None else self.kept & values
+                yield f
 
     def files(self) -> list[File]:
         raise NotImplementedError
 
     def partitions(self) -> list[InputPartition]:
-        return [f for f in self.files() if self.kept is None or f.name in self.kept]
+        return [f for f in self.files() if all(_passes(p, f.name) for p in self.pushed)]
 
 
 class PagesReader(_Filtered):
@@ -90,7 +106,7 @@ class PagesReader(_Filtered):
         return [File(p, p.rpartition("/")[2]) for p in _listed(self.base)[1] if fnmatch.fnmatch(p.rpartition("/")[2], self.names)]
 
     def read(self, partition: File) -> Iterator[tuple]:
-        content = _opened(self.base, partition.path).decode()
+        content = _content(self.base, partition.path).decode()
         if partition.name.endswith(".json"):
             pages = [(p.get("metadata") or {}, p.get("text")) for p in json.loads(content)]
         else:
@@ -139,7 +155,7 @@ class TreesReader(_Filtered):
         return [File(path, protocol) for protocol, (_, path) in sorted(newest.items())]
 
     def read(self, partition: File) -> Iterator[tuple]:
-        head, nodes, edges = parse_tree(parsed(_opened(self.base, partition.path), partition.path))
+        head, nodes, edges = parse_tree(parsed(_content(self.base, partition.path), partition.path))
         if head["protocol_id"] != partition.name:
             raise ValueError(f"{partition.path} is the tree of {head['protocol_id']}, not of {partition.name}")
         names = [c.split()[0] for c in TREE_TABLES[self.table].split(", ")]

@@ -345,7 +345,10 @@ def test_pages_reader(spark, tmp_path):
     (tmp_path / "in" / "broken.json").write_text("{")
     assert [r.page for r in df.where("source_file = 'a.txt'").collect()] == [1, 3]
     assert df.where("source_file IN ('a.txt', 'b.md') AND page = 1").count() == 2
-    assert spark.read.format("document_pages").option("path", f"file://{tmp_path}/in").option("names", "*.md").load().count() == 1
+    assert df.where("NOT startswith(source_file, 'broken') AND NOT source_file = 'c.json'").count() == 3
+    assert df.where("startswith(source_file, 'a')").count() == 2
+    for path in (f"{tmp_path}/in", f"file:{tmp_path}/in", f"file://{tmp_path}/in"):
+        assert spark.read.format("document_pages").option("path", path).option("names", "*.md").load().count() == 1
     with pytest.raises(Exception):
         spark.read.format("document_pages").option("path", f"{tmp_path}/in").load().collect()
 
