@@ -6,9 +6,11 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 
-from lucerna.llm import decontaminate, lm, quality, vec
+from lucerna.llm import common, decontaminate, lm, quality, sharding, vec
 from tests.llm.test_operators import ITEM, ROWS, TEXT, WORD, by_id, counts_of, docs, library, lowered, nothing, shingles  # noqa: F401
 
 
@@ -246,3 +248,51 @@ def test_stages_take_nulls_clashing_names_and_empty_tables(spark, tmp_path, stag
     kept = out.collect()
     assert out.columns == table.columns and 0 < len(kept) <= len(rows) and {tuple(r)[5:] for r in kept} == {("x",) * 5}
     assert run(spark, table.limit(0), folder).count() == 0
+
+
+def chained(*values):
+    """The session's 64-bit hash of several values: each seeds the next, nulls count for nothing; int is 4 bytes, ("long", x) 8."""
+    h = 42
+    for v in values:
+        if isinstance(v, tuple):
+            v = None if v[1] is None else v[1].to_bytes(8, "little", signed=True)
+        elif isinstance(v, int):
+            v = v.to_bytes(4, "little", signed=True)
+        elif isinstance(v, str):
+            v = v.encode()
+        h = h if v is None else xxhash.xxh64_intdigest(v, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def winner(key, shards, seed):
+    return max((chained(key, seed, s), s) for s in range(shards))[1]
+
+
+def test_every_shard_and_slot(spark):
+    """Winners of the draws, buckets and Fisher-Yates of all rows, in plain Python; one row is repeated two hundred times."""
+    seed, shards, bucket_bytes = 17, 5, 2000
+    rows = [(i, f"text ñ {i} " * (i % 9)) for i in range(300)] + [(None, "no id"), (None, None), (301, None), (301, ""), (302, "long " * 3000)]
+    rows += [(303, "again")] * 200 + [(304, "again"), (5, "same id")]
+    buckets = math.ceil(sum(len((t or "").encode()) + 16 for _, t in rows) / shards / bucket_bytes)
+    groups, seen = collections.defaultdict(list), collections.Counter()
+    for i, t in rows:
+        seen[i, t] += 1
+        key = None if i is None else str(i)
+        parts = (("long", i), t)
+        by_id = chained(key or "", seed + 1)
+        spread = chained(("long", by_id), ("long", chained(*parts)), ("long", chained(1, *parts)), ("long", seen[i, t]))
+        groups[winner(key, shards, seed), spread % buckets].append((by_id, spread, i, t))
+    want, base = [], collections.Counter()
+    for shard, bucket in sorted(groups):
+        pile = sorted(groups[shard, bucket], key=lambda r: r[:2])
+        draw = np.random.default_rng([seed, shard, bucket])
+        for last in range(len(pile) - 1, 0, -1):
+            other = int(draw.integers(0, last + 1))
+            pile[last], pile[other] = pile[other], pile[last]
+        for _, _, i, t in pile:
+            grown = winner(None if i is None else str(i), shards + 1, seed)
+            want.append((shard, base[shard], i, t, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), grown))
+            base[shard] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.write_shards(docs, common.scratch(spark, "t"), shards=shards, seed=seed, bucket_bytes=bucket_bytes).collect()
+    assert sorted((r.shard, r.slot, r.row.doc_id, r.row.text, r.size, r.text_crc32, r.grown_shard) for r in got) == sorted(want)
