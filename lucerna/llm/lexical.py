@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lucerna.llm import common, vec
@@ -25,8 +25,10 @@ BLOCK_BYTES = 4 << 20
 ITEM_BYTES = 256 << 10
 #: Blocks of items that are broadcast; more are met by a plan that broadcasts nothing.
 BROADCAST_BLOCKS = 128
-#: Bytes of a Parquet row group of blocks, which a reader holds as a whole.
+#: Bytes of a Parquet row group of blocks, which a writer and a reader hold as a whole.
 GROUP_BYTES = 16 << 20
+#: Rows after which a writer first looks at its size; by default a hundred, which are half a gigabyte of blocks.
+CHECK_ROWS = 1
 
 _PARTS = ("ids", "sizes", "terms", "first", "member", "times")
 BLOCKS = "task int, block long, rows long, words long, " + ", ".join(f"{p} binary" for p in _PARTS)
@@ -63,12 +65,17 @@ def blocks(rows: DataFrame, name: str, limit: int) -> DataFrame:
 
     made = rows.mapInArrow(run, BLOCKS)
     path = common.scratch(rows.sparkSession, name)
-    made.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
+    _sized(made.write).parquet(path)
     out = rows.sparkSession.read.schema(made.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def _sized(writer: DataFrameWriter) -> DataFrameWriter:
+    """Row groups of about GROUP_BYTES, however large the rows are."""
+    return writer.options(**{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": CHECK_ROWS, "parquet.page.size.row.check.max": CHECK_ROWS})
+
+
 def _matrix(batch: pa.RecordBatch, row: int, mark: str) -> dict[str, np.ndarray]:
     return {p: np.frombuffer(batch.column(mark + p)[row].as_buffer(), _TYPES[p]) for p in _PARTS}
 

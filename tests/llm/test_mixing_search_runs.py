@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 
@@ -267,3 +268,16 @@ def test_queries_on_a_table(spark, tmp_path, name):
         assert key((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got.collect()) == key((*r[:3], round(r[3], 6), r[4]) for r in sql.fetchall())
     else:
         assert key(got.collect()) == key(sql.fetchall())
+
+
+def test_row_groups_of_blocks_are_bounded(spark, monkeypatch):
+    """A writer holds no more than its group and one block, however few rows that is."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "GROUP_BYTES", 64 << 10)
+    rows = spark.range(60, numPartitions=1).selectExpr("id", "concat_ws(' ', transform(sequence(0, 4000), x -> hex(hash(x, id)))) AS text")
+    path = lexical.blocks(rows, "bounded", 40_000).scratch_path.removeprefix("file://")
+    groups = [g for f in Path(path).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 60
+    largest = max(g.total_byte_size / g.num_rows for g in groups)
+    assert max(g.total_byte_size for g in groups) <= (64 << 10) + 2 * largest
