@@ -377,3 +377,33 @@ def test_dense_questions_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "QUESTIONS", 4)
     assert sorted(R.dense_search(vectors, asked, 3).collect()) == want and len(want) == 3 * 14
     assert R.dense_search(vectors, asked.limit(0), 3).count() == 0
+
+
+def test_dense_search_by_products(spark):
+    """Matrix products only screen: scores, ties and odd vectors are those of the pairs, one by one."""
+    import random
+
+    import numpy as np
+
+    from lucerna.operators import product
+    from lucerna.operators.index import top_k
+
+    draw = random.Random(5)
+    vector = lambda: [draw.choice([0.125, -0.5, draw.uniform(-1, 1)]) for _ in range(16)]
+    copied, near = vector(), vector()
+    rows = [(i, copied if i % 9 == 0 else [x + 1e-7 * (i % 5) for x in near] if i % 9 == 1 else vector()) for i in range(700)]
+    odd = [(700, None), (701, vector()[:5]), (702, [None, *vector()[1:]]), (703, [1e20] * 16)]
+    vectors = spark.createDataFrame([(i, "guia", v) for i, v in rows + odd], "chunk_id long, source_type string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, v) for i, v in rows[:40]] + [(900, None), (901, odd[1][1])], "qid long, vector array<double>")
+    pairs = vectors.crossJoin(asked).select("qid", "chunk_id", R.dot("embedding", "vector").alias("score"))
+    for digits in (5, 1, None):
+        got = R.dense_search(vectors, asked, 7, digits=digits)
+        assert sorted(map(repr, got.select("qid", "chunk_id", "score", "rank").collect())) == sorted(map(repr, top_k(pairs, 7, digits=digits).select("qid", "chunk_id", "score", "rank").collect()))
+    halves = [0.000005, 1.000015, -0.000005, 2.5e-5, 0.1234549999, 0.123455, 1 / 3] + [draw.randrange(-300000, 300000) / 200000 for _ in range(300)]
+    want = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(halves)], "i long, x double").orderBy("i").select(F.round("x", 5)).collect()]
+    assert product.rounded(np.array(halves), 5).tolist() == want
+    few = product.Best(np.array([copied]), 3, 5)
+    for k in (0, 1):
+        block = np.array([copied] * 50)
+        few.merge(block, block.astype(np.float32), 4.0, np.arange(50) + 50 * (1 - k))
+    assert few.ids.tolist() == [0, 1, 2]
