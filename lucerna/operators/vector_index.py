@@ -35,8 +35,11 @@ CODES = 256
 LISTS = 65_536
 #: Lists that a question looks into, at least, and its share of all lists where they are few.
 PROBES, PROBE_SHARE = 16, 0.25
-#: Candidates of a question that are scored exactly, for each one that is wanted.
+#: Candidates of a question that are scored exactly, for each one that is wanted, at least.
 REFINE = 20
+#: Vectors of the sample that ask when the index is built, the neighbours that each wants, and the share of them that
+#: the lists looked into must hold, and of those that the candidates must.
+ASKING, WANTED, IN_LISTS, IN_CODES = 256, 10, 0.97, 0.985
 #: Scores held at once while a batch is looked up.
 CELLS = 1 << 22
 
@@ -85,6 +88,28 @@ class Quantiser:
         return own, np.stack([_nearest(np.ascontiguousarray(rest[:, p]), book) for p, book in enumerate(self.books)], 1).astype(np.uint8)
 
 
+def _tuned(x: np.ndarray, quantiser: Quantiser, n: int) -> tuple[int, int]:
+    """(probes, refine) with which vectors of the sample find their neighbours in it.
+
+    Where vectors fall into groups a few lists do; where they lie evenly most
+    lists are needed. Candidates grow with the share of the rows that are in the
+    sample, as that many more codes are as near.
+    """
+    asking = x[:ASKING]
+    scores = asking @ x.T
+    wanted = np.argpartition(-scores, min(WANTED, len(x)) - 1, axis=1)[:, :WANTED]
+    own, codes = quantiser.encode(x)
+    order = np.argsort(-(asking @ quantiser.centers.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    probes = int(np.quantile(np.take_along_axis(place, own[wanted], 1), IN_LISTS, method="higher")) + 1
+    coded = quantiser.centers[own] + np.concatenate([book[codes[:, p]] for p, book in enumerate(quantiser.books)], 1)
+    near = asking @ coded.T
+    theirs = np.take_along_axis(near, wanted, 1)
+    better = np.array([len(x) - np.searchsorted(np.sort(row), at, side="right") for row, at in zip(near, theirs)])
+    refine = math.ceil((np.quantile(better, IN_CODES, method="higher") + 1) * n / len(x) / WANTED)
+    return min(len(quantiser.centers), max(PROBES, probes)), max(REFINE, refine)
+
+
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     flat = np.asarray(column.flatten(), np.float32)
     return flat.reshape(len(column), width or -1) if len(column) else np.zeros((0, width or 1), np.float32)
@@ -94,6 +119,8 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 class VectorIndex:
     quantiser: Quantiser
     rows: DataFrame
+    looked: int | None = None
+    refine: int = REFINE
 
     @staticmethod
     def build(vectors: DataFrame, folder: str, lists: int | None = None, parts: int = PARTS, seed: int = 1) -> VectorIndex:
@@ -101,7 +128,8 @@ class VectorIndex:
 
         There is about a list for each square root of the rows. Rows are dealt
         out by (list, hash of the id), so a list of any size is split between
-        tasks. A null vector is left out. `parts` must divide the vectors'
+        tasks. How many lists a search looks into, and how many candidates it
+        scores exactly, is measured on the sample (`_tuned`). A null vector is left out. `parts` must divide the vectors'
         length.
         """
         spark = vectors.sparkSession
@@ -115,6 +143,7 @@ class VectorIndex:
         x = np.array([r.embedding for r in sample.select("embedding").toLocalIterator()], np.float32)
         lists = lists or max(1, min(LISTS, len(x) // 8, math.isqrt(n)))
         quantiser = Quantiser.fit(x, lists, parts, seed)
+        looked, refine = _tuned(x, quantiser, n)
         shared = spark.sparkContext.broadcast(quantiser)
         wide = x.shape[1]
 
@@ -127,19 +156,21 @@ class VectorIndex:
         kind = rows.schema["chunk_id"].dataType.simpleString()
         placed = rows.mapInArrow(assign, f"chunk_id {kind}, source_type string, embedding array<float>, list int, code binary")
         placed.repartitionByRange(F.col("list"), F.xxhash64("chunk_id")).sortWithinPartitions("list", "chunk_id").write.partitionBy("list").parquet(f"{folder}/rows")
-        spark.createDataFrame([(json.dumps({"centers": quantiser.centers.tolist(), "books": quantiser.books.tolist()}),)], "model string").coalesce(1).write.parquet(f"{folder}/model")
+        spark.createDataFrame([(json.dumps({"centers": quantiser.centers.tolist(), "books": quantiser.books.tolist(), "probes": looked, "refine": refine}),)], "model string").coalesce(1).write.parquet(f"{folder}/model")
         return VectorIndex.load(spark, folder)
 
     @staticmethod
     def load(spark: SparkSession, folder: str) -> VectorIndex:
         model = json.loads(spark.read.parquet(f"{folder}/model").first().model)
-        return VectorIndex(Quantiser(np.array(model["centers"], np.float32), np.array(model["books"], np.float32)), spark.read.parquet(f"{folder}/rows"))
+        return VectorIndex(Quantiser(np.array(model["centers"], np.float32), np.array(model["books"], np.float32)), spark.read.parquet(f"{folder}/rows"), model.get("probes"), model.get("refine", REFINE))
 
     def probes(self) -> int:
+        if self.looked is not None:
+            return self.looked
         lists = len(self.quantiser.centers)
         return min(lists, max(PROBES, math.ceil(PROBE_SHARE * min(lists, 4 * PROBES))))
 
-    def search(self, questions: DataFrame, k: int, source_type: str | None = None, probes: int | None = None, refine: int = REFINE, digits: int | None = None) -> DataFrame:
+    def search(self, questions: DataFrame, k: int, source_type: str | None = None, probes: int | None = None, refine: int | None = None, digits: int | None = None) -> DataFrame:
         """The k best of each question (qid, vector) by dot product: qid, chunk_id, score, rank; ties by chunk_id.
 
         Questions are a stated set and asked in blocks of retrieve.QUESTIONS,
@@ -152,7 +183,7 @@ class VectorIndex:
         asked = questions.select("qid", "vector").where("vector IS NOT NULL")
         blocks = max(1, -(-asked.count() // R.QUESTIONS))
         parts = [asked] if blocks == 1 else [asked.where(F.pmod(F.xxhash64("qid"), F.lit(2 * blocks)) == b) for b in range(2 * blocks)]
-        found = [self._best(part, k, source_type, probes or self.probes(), refine * k, digits) for part in parts]
+        found = [self._best(part, k, source_type, probes or self.probes(), (refine or self.refine) * k, digits) for part in parts]
         out = found[0]
         for more in found[1:]:
             out = out.unionByName(more)

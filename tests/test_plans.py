@@ -442,3 +442,14 @@ def test_agents_without_models(spark):
 
     got = {r.qid: r for r in P.agents(asked, trees, lost).collect()}
     assert got[1].n_blocks == 1 and got[1].rag_error == "error_tecnico: OSError" and got[1].tree_verification == V.VERIFIED
+
+
+def test_vector_index_recall_of_even_vectors(spark, tmp_path):
+    """Vectors without groups: as many lists are looked into as their neighbours lie in."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, "guia", v.tolist()) for i, v in enumerate(x)], "chunk_id long, source_type string, embedding array<float>")
+    asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
+    index = VectorIndex.build(rows, f"file://{tmp_path}/even")
+    assert recall(index.search(asked, 10), R.dense_search(rows, asked, 10)).first().recall >= 0.9
