@@ -55,8 +55,14 @@ def latency(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean")).withColumn("median", F.lit(median).cast("double"))
 
 
-def refusal_accuracy(rows: DataFrame) -> DataFrame:
-    """(questions, accuracy) of those rows (answer, should_refuse) that should be refused: the share that abstains, at any length."""
+def refusal_accuracy(rows: DataFrame, every: bool = False) -> DataFrame:
+    """(questions, accuracy) of those rows (answer, should_refuse) that should be refused: the share that abstains, at any length.
+
+    With `every`, of all rows: the share that abstains exactly if it should.
+    """
+    if every:
+        right = X.abstains("answer") == F.col("should_refuse")
+        return rows.agg(F.count("*").alias("questions"), F.avg(right.cast("int")).alias("accuracy"))
     return rows.where("should_refuse").agg(F.count("*").alias("questions"), F.avg(X.abstains("answer").cast("int")).alias("accuracy"))
 
 

@@ -407,3 +407,23 @@ def test_dense_search_by_products(spark):
         block = np.array([copied] * 50)
         few.merge(block, block.astype(np.float32), 4.0, np.arange(50) + 50 * (1 - k))
     assert few.ids.tolist() == [0, 1, 2]
+
+
+def _of_sql(name, tmp_path):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    return sorted(tuple(r) for r in db.execute(catalog.ORACLE_SQL[name]).fetchall())
+
+
+def test_anaphora_and_refusals_as_in_sql(spark, tmp_path):
+    """Boundaries of words are those of the SQL, null turns come last, and every reply counts in the share of right refusals."""
+    said = ["Esta dosis", "itè rapida", "estañol puede", "no ésta caso", "ñesta caso sube", "ESTE CASO", "they", "ItaliA", None, "", "como esta RECOMENDACIÓN", "x"]
+    rows = [(c, t, "user", said[(c * 5 + t) % len(said)]) for c in range(12) for t in range(7)] + [(c, None, "user", said[c % 7]) for c in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, catalog.QUERIES["anaphora_islands"](spark, str(tmp_path)).collect())) == _of_sql("anaphora_islands", tmp_path)
+    full = [r for r in rows if r[1] is not None and r[3] is not None]
+    spark.createDataFrame(full, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["refusal_accuracy"](spark, str(tmp_path)).first()
+    assert got.questions == len(full) and [tuple(got)] == _of_sql("refusal_accuracy", tmp_path)
