@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import text as X
 from lucerna.operators import index as I
-from lucerna.operators import scan
+from lucerna.operators import lineage, scan
 
 
 def occurrences(index: I.Index, chunks: DataFrame, questions: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def occurrences(index: I.Index, chunks: DataFrame, questions: DataFrame) -> Data
     inner = F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 2, F.lit(0)))
     terms = asked.select("qid", "question", F.explode(F.array_distinct(inner)).alias("term"))
     rarest = terms.join(index.terms.select("term", "df"), "term", "left").groupBy("qid", "question").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "term"))["term"].alias("term"))
-    near = index.postings.select("term", "chunk_id").join(I.small(rarest), "term").select("qid", "question", "chunk_id")
-    found = near.join(chunks.select("chunk_id", "text"), "chunk_id").where(F.contains("text", F.col("question"))).select("qid", "chunk_id")
+    near = I.small(lineage.cut(index.postings.select("term", "chunk_id").join(I.small(lineage.cut(rarest)), "term").select("qid", "question", "chunk_id")))
+    found = chunks.select("chunk_id", "text").join(near, "chunk_id").where(F.contains("text", F.col("question"))).select("qid", "chunk_id")
     bare = I.small(asked.where(F.size(inner) <= 0).select("qid", "question"))
     return found.union(chunks.join(bare, F.contains("text", F.col("question"))).select("qid", "chunk_id"))
 

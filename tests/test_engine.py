@@ -427,3 +427,17 @@ def test_anaphora_and_refusals_as_in_sql(spark, tmp_path):
     spark.createDataFrame(full, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["refusal_accuracy"](spark, str(tmp_path)).first()
     assert got.questions == len(full) and [tuple(got)] == _of_sql("refusal_accuracy", tmp_path)
+
+
+def test_index_is_dealt_out_by_chunk(spark, monkeypatch):
+    """Scores of questions are summed where a chunk's postings are: only the best rows of each task are shuffled, by question."""
+    monkeypatch.setattr(I, "PART_CHUNKS", 5)
+    rows = [(i % 37, f"alpha beta{i % 5} gamma{i % 7} alpha", "guia") for i in range(40)]
+    index = I.build_index(spark.createDataFrame(rows, "chunk_id long, text string, source_type string"))
+    asked = spark.createDataFrame([(1, "alpha gamma3"), (2, "beta1 beta1")], "qid long, question string")
+    best = I.bm25_search(index, asked, 3)
+    assert len(best.collect()) == 6
+    plan = best._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+    assert [line.count("hashpartitioning(qid") for line in plan.splitlines() if "Exchange hashpartitioning" in line] == [1] and "hashpartitioning(qid#" in plan and ", chunk_id" not in plan.partition("Exchange hashpartitioning(")[2].partition(")")[0]
+    assert index.postings.rdd.getNumPartitions() == 8
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
