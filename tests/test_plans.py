@@ -453,3 +453,16 @@ def test_vector_index_recall_of_even_vectors(spark, tmp_path):
     asked = rows.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("vector"))
     index = VectorIndex.build(rows, f"file://{tmp_path}/even")
     assert recall(index.search(asked, 10), R.dense_search(rows, asked, 10)).first().recall >= 0.9
+
+
+def test_nodes_of_one_text_are_ranked_once(spark, monkeypatch):
+    """Equal texts and equal questions make one pair; each node and question still has its own rows, equal scores by id."""
+    kinds = ["fever grade", "fever ward", "home rest water"]
+    nodes = spark.createDataFrame([("P", f"{k:02d}", "action", kinds[k % 3]) for k in range(30)] + [("Q", "00", "action", "fever ward")], "protocol_id string, node_id string, kind string, text string")
+    asked = spark.createDataFrame([(i, "P", "home water" if i % 2 else "grade of fever") for i in range(12)], "qid long, protocol_id string, question string")
+    pairs, top_k = [], I.top_k
+    monkeypatch.setattr(I, "top_k", lambda scored, *options: pairs.append(scored.count()) or top_k(scored, *options))
+    got = sorted((r.qid, r["rank"], r.node_id) for r in I.rank_nodes(nodes, asked).collect())
+    want = {0: ["00", "03", "06", "09"], 1: ["02", "05", "08", "11"]}
+    assert got == [(i, r + 1, n) for i in range(12) for r, n in enumerate(want[i % 2])]
+    assert pairs[0] <= 2 * 3
