@@ -314,7 +314,7 @@ def first_sections(spark, d):
     """The nodes of the start's section, in the order of a walk."""
     nodes, edges = _graph(spark, d)
     nodes = nodes.withColumn("section", F.concat(F.lit("s"), (F.col("node_id").cast("long") % 3).cast("string")))
-    return N.first_section(N.routes(edges, _first(nodes, "1")), nodes).select("node_id", F.col("_n").alias("pos"))
+    return N.first_section(N.routes(edges, _first(nodes, "1")).drop("path"), nodes).select("node_id", F.col("_n").alias("pos"))
 
 
 @query("""SELECT doc_id AS qid, CASE WHEN toxic = 1 THEN 'rejected' WHEN doc_id % 3 = 0 THEN 'both' WHEN quality = 1 THEN 'answer' ELSE 'none' END AS text, CASE WHEN doc_id % 4 = 0 THEN 'could not check for contradictions' WHEN doc_id % 4 = 1 THEN 'the contributions contradict each other' END AS note,

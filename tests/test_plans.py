@@ -309,6 +309,27 @@ def test_deep_chain_and_many_marks(spark, monkeypatch):
     assert time.time() - began < 120
 
 
+def test_large_graphs_are_in_no_task(spark, monkeypatch):
+    draw = random.Random(9)
+    pairs = [("n0", "n1"), *((f"n{draw.randrange(60)}", f"n{draw.randrange(60)}") for _ in range(130)), ("n1", "m0"), *((f"m{k}", f"m{k + 1}") for k in range(6)), ("m6", "n0")]
+    nodes, edges = graph(spark, pairs, {f"n{k}" for k in range(0, 60, 2)})
+    edges = edges.withColumn("edge_pos", F.col("edge_pos") % 3)
+    start = spark.createDataFrame([("P", "n0"), ("P", "n7")], "protocol_id string, node_id string")
+    marks = spark.createDataFrame([("P", f"n{k}", k) for k in range(60)] + [("P", "m3", 200)], "protocol_id string, node_id string, slot long")
+    results = lambda: [sorted(map(str, df.collect())) for df in (N.routes(edges, start), N.reached_by(edges, marks), N.all_conditions(edges, nodes, start.limit(1)), N.join_nodes(edges, start), N.first_section(N.routes(edges, start.limit(1)), nodes))]
+    want = results()
+    monkeypatch.setattr(N, "EDGES", 20)
+    monkeypatch.setattr(N, "ROUNDS", 3)
+    monkeypatch.setattr(N, "LEVELS", 4)
+
+    def held(rows, ways):
+        raise AssertionError("a task holds the whole graph")
+
+    monkeypatch.setattr(N, "_followed", held)
+    monkeypatch.setattr(N, "_marked", held)
+    assert results() == want
+
+
 def test_meeting_points_and_starts_in_parts(spark, monkeypatch):
     monkeypatch.setattr(N, "STARTS", 2)
     _, edges = graph(spark, [("a", "c"), ("b", "d"), ("c", "e"), ("d", "e"), ("e", "f"), ("g", "g")])
