@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lucerna import catalog
+from lucerna import catalog, catalog_rules  # noqa: F401  registers its queries
 from lucerna.functions import text as X
 from lucerna.functions import words as W
 from lucerna.operators import answer as A
@@ -252,6 +252,14 @@ def test_quantiles(spark):
     assert E.latency(spark.createDataFrame([(1.0,), (4.0,)], "v double"), "v").first() == (2, 2.5, 2.5)
 
 
+def test_rules_on_parts_are_dealt_out(spark, tmp_path):
+    part = spark.createDataFrame([(k, f"name {k % 7}", "TYPE") for k in range(400)], "p_partkey long, p_name string, p_type string")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("external_units", "sub_questions"):
+        per_task = catalog.QUERIES[name](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count()
+        assert per_task.count() >= 4 and per_task.agg(F.max("count")).first()[0] <= 110
+
+
 # --- graphs
 
 
