@@ -100,27 +100,34 @@ class StoredIndex:
     # --- writing
 
     def _counted(self, chunks: DataFrame) -> DataFrame:
-        """Term counts of chunks, from one look at each text."""
-        words = chunks.select("chunk_id", "source_type", X.tokens("text").alias("tokens")).select("chunk_id", "source_type", F.size("tokens").alias("len"), F.explode_outer("tokens").alias("term"))
-        each = words.groupBy("chunk_id", "source_type", "len", "term").agg(F.count("term").alias("tf"))
-        terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
-        return each.groupBy("chunk_id", "source_type", "len").agg(terms.alias("terms"))
+        """Term counts of chunks, from one look at each text, which nothing is shuffled for."""
+        words = chunks.select("chunk_id", "source_type", X.tokens("text").alias("tokens"))
+        none = F.array().cast("array<struct<term:string,tf:bigint>>")
+        return words.select("chunk_id", "source_type", F.size("tokens").alias("len"), F.coalesce(I.counted(F.col("tokens")), none).alias("terms"))
 
     def _write(self, df: DataFrame, name: str, segment: int, *by: str) -> None:
         df.withColumn("segment", F.lit(segment)).write.mode("append").partitionBy("segment", *by).parquet(f"{self.folder}/{name}")
 
     def _add(self, segment: int, new: DataFrame, old: DataFrame | None, base: int) -> None:
-        """Writes a segment of counted chunks that replace live rows `old`; the manifest comes last."""
-        new = lineage.cut(new)
-        size = new.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
+        """Writes a segment of counted chunks that replace live rows `old`; the manifest comes last.
+
+        Its rows are written first, by the tasks that have them (a file for
+        each task and part), and all else comes from the files. Rows are dealt out by cell, so that the
+        postings of a cell are listed without a shuffle of postings.
+        """
+        slices = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.parts)
         rows = new.withColumn("part", _hashed("chunk_id", self.parts))
-        self._write(rows.repartitionByRange("part", "chunk_id"), "rows", segment, "part")
+        self._write(rows, "rows", segment, "part")
+        shape = rows.withColumn("segment", F.lit(segment)).schema
+        new = self.spark.read.schema(shape).parquet(f"{self.folder}/rows").where(F.col("segment") == segment).drop("segment", "part")
+        size = new.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
         cells = max(1, -(-size.first()["docs"] // CELL))
-        each = new.select("chunk_id", "source_type", "len", F.inline("terms")).withColumn("cell", F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(cells)).cast("int"))
+        dealt = new.withColumn("cell", F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(cells)).cast("int")).repartition(slices, "cell")
         posting = F.struct("chunk_id", "source_type", "len", "tf")
-        held = each.groupBy("term", "cell").agg(F.collect_list(posting).alias("postings"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).withColumn("bucket", _hashed("term", self.parts))
-        self._write(held.repartitionByRange("bucket", "term", "cell").sortWithinPartitions("bucket", "term", "cell"), "blocks", segment, "bucket")
-        df = each.groupBy("term").agg(F.count("*").alias("df"))
+        each = dealt.select("chunk_id", "source_type", "len", "cell", F.inline("terms"))
+        held = each.groupBy("cell", "term").agg(F.collect_list(posting).alias("postings"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).withColumn("bucket", _hashed("term", self.parts))
+        self._write(held.sortWithinPartitions("bucket", "term", "cell"), "blocks", segment, "bucket")
+        df = new.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count("*").alias("df"))
         if old is not None:
             old = lineage.cut(old)
             lost = old.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg((-F.count("*")).alias("df"))
@@ -136,8 +143,7 @@ class StoredIndex:
 
     def upsert(self, chunks: DataFrame) -> None:
         """Adds chunks; those with an id that is there replace the old ones. Only parts of the rows that hold such ids are read."""
-        new = lineage.cut(self._counted(chunks))
-        self._add(self._next(), new, self._held(new.select("chunk_id")), min(self._segments()))
+        self._add(self._next(), self._counted(chunks), self._held(chunks.select("chunk_id")), min(self._segments()))
 
     def delete(self, ids: DataFrame) -> None:
         """Takes out the chunks of some ids (chunk_id)."""
@@ -186,6 +192,8 @@ class StoredIndex:
     def _scored(self, blocks: DataFrame, asked: DataFrame, cells: DataFrame, source_type: str | None) -> DataFrame:
         """(qid, chunk_id, score) of the live chunks of some cells (qid, segment, cell)."""
         chosen = I.small(cells.select("qid", "segment", "cell").join(I.small(asked), "qid"))
+        # where the cells are too many to be broadcast, only blocks of asked terms are shuffled
+        blocks = blocks.join(I.small(asked.select("term").distinct()), "term", "left_semi")
         hits = blocks.select("segment", "cell", "term", "postings").join(chosen, ["segment", "cell", "term"]).select("qid", "segment", "weight", "avgdl", F.inline("postings"))
         if source_type is not None:
             hits = hits.where(F.col("source_type") == source_type)

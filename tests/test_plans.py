@@ -252,6 +252,16 @@ def test_quantiles(spark):
     assert E.latency(spark.createDataFrame([(1.0,), (4.0,)], "v double"), "v").first() == (2, 2.5, 2.5)
 
 
+def test_term_counts_need_no_shuffle(spark, tmp_path):
+    rows = [(1, "red blue red red", "a"), (2, None, "a"), (3, "", "b"), (4, "blue", None), (5, " ".join(f"w{k % 97}" for k in range(1000)), "b")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, source_type string")
+    counted = StoredIndex(spark, str(tmp_path), 2)._counted(chunks)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    got = {r.chunk_id: (r.len, {t.term: t.tf for t in r.terms}) for r in counted.collect()}
+    assert got[1] == (4, {"blue": 1, "red": 3}) and got[2] == got[3] == (0, {}) and got[4] == (1, {"blue": 1})
+    assert got[5] == (1000, {f"w{k}": 11 if k < 1000 % 97 else 10 for k in range(97)})
+
+
 def test_rules_on_parts_are_dealt_out(spark, tmp_path):
     part = spark.createDataFrame([(k, f"name {k % 7}", "TYPE") for k in range(400)], "p_partkey long, p_name string, p_type string")
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
