@@ -24,6 +24,7 @@ DIMENSIONS = 64
 SEED = 7
 #: Signs that one hash of a bucket has.
 _SIGNS = 128
+_FOUND = "_buckets"
 
 
 def _hex(x: Column, at: int, digits: int) -> Column:
@@ -36,15 +37,25 @@ def buckets(text: Column | str) -> Column:
     return F.transform(X.tokens(text), lambda t: _hex(F.md5(t.cast("binary")), 1, 4).cast("int"))
 
 
+def looked_up(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """The texts as the buckets of their tokens, checkpointed, so that `fit` and `vectors` of them share one look at each text."""
+    return lineage.cut(texts.withColumn(_FOUND, buckets(text_col)).drop(text_col))
+
+
+def _found(texts: DataFrame, text_col: str) -> Column:
+    return F.col(_FOUND) if _FOUND in texts.columns else buckets(text_col)
+
+
 def fit(texts: DataFrame, text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """The table of buckets: bucket, idf, weights (one a dimension). All texts count.
+    """The table of buckets: bucket, idf, weights (one a dimension). All texts count; they may be `looked_up`.
 
     idf is ln((texts + 1) / (texts with the bucket + 1)) + 1, so a bucket that no
     text has is the heaviest. No texts: all are alike. The rows are
     checkpointed, as every use of the model reads them.
     """
-    rows = texts.select(F.array_distinct(buckets(text_col)).alias("buckets"))
-    held = rows.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
+    # an inner explode would come with a filter on the array's size, for which the tokens are found once more
+    rows = texts.select(F.explode_outer(F.array_distinct(_found(texts, text_col))).alias("bucket"))
+    held = rows.groupBy("bucket").agg(F.count("bucket").alias("df"))
     n = texts.agg(F.count("*").alias("n"))
     every = texts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counted = every.join(held, "bucket", "left").crossJoin(F.broadcast(n))
@@ -57,9 +68,9 @@ def fit(texts: DataFrame, text_col: str = "text", dimensions: int = DIMENSIONS,
 def vectors(texts: DataFrame, model: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, embedding array<double>): a unit vector for each text; all zeros for a null text and one without tokens.
 
-    Ids name texts: rows of one id count as one text. Texts may be of any length.
+    Ids name texts: rows of one id count as one text. Texts may be of any length, and may be `looked_up`.
     """
-    tokens = texts.select(F.col(f"`{id_col}`").alias("_id"), F.explode_outer(buckets(text_col)).alias("bucket"))
+    tokens = texts.select(F.col(f"`{id_col}`").alias("_id"), F.explode_outer(_found(texts, text_col)).alias("bucket"))
     rows = tokens.join(F.broadcast(model), "bucket", "left")
     sums = rows.groupBy("_id").agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"v{k}") for k in range(dimensions)))
     # the array is bound, so that its 64 parts stand in the plan once

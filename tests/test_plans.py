@@ -505,3 +505,20 @@ def test_nodes_of_one_text_are_ranked_once(spark, monkeypatch):
     want = {0: ["00", "03", "06", "09"], 1: ["02", "05", "08", "11"]}
     assert got == [(i, r + 1, n) for i in range(12) for r, n in enumerate(want[i % 2])]
     assert pairs[0] <= 2 * 3
+
+
+def test_embedder_looks_at_each_text_once(spark, monkeypatch):
+    """The model and the vectors of the corpus come from one look at its texts."""
+    from lucerna import catalog_plans
+
+    folder, seen, made = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0), embed.buckets
+
+    @F.udf("string")
+    def looked(text):
+        seen.add(1)
+        return text
+
+    monkeypatch.setattr(embed, "buckets", lambda c: made(looked(c)))
+    assert catalog_plans.embedded_texts(spark, folder).count() > 0
+    texts = sum(spark.read.parquet(f"{folder}/{name}.parquet").count() for name in ("documents", "benchmark"))
+    assert seen.value == texts
