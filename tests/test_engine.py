@@ -441,3 +441,22 @@ def test_index_is_dealt_out_by_chunk(spark, monkeypatch):
     assert [line.count("hashpartitioning(qid") for line in plan.splitlines() if "Exchange hashpartitioning" in line] == [1] and "hashpartitioning(qid#" in plan and ", chunk_id" not in plan.partition("Exchange hashpartitioning(")[2].partition(")")[0]
     assert index.postings.rdd.getNumPartitions() == 8
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_index_keeps_a_chunk_in_one_row(spark, monkeypatch):
+    """What is checkpointed for an index is a row a chunk; rows of one chunk and length are one chunk."""
+    held, cut = [], I.lineage.cut
+
+    def noted(df, dealt=False):
+        out = cut(df, dealt)
+        held.extend([out.count()] * dealt)
+        return out
+
+    monkeypatch.setattr(I.lineage, "cut", noted)
+    rows = [(1, "bb aa aa", "guia"), (1, "aa cc aa", "guia"), (1, "cc", "guia"), (2, None, "guia"), (2, " ", "guia"), (3, "no no no", None), (None, "bb", "guia")]
+    index = I.build_index(spark.createDataFrame(rows, "chunk_id long, text string, source_type string"))
+    assert held == [5] == [index.lengths.count()]
+    got = {(r.chunk_id, r.source_type, r.len, r.term, r.tf) for r in index.postings.collect()}
+    assert got == {(1, "guia", 3, "aa", 4), (1, "guia", 3, "bb", 1), (1, "guia", 3, "cc", 1), (1, "guia", 1, "cc", 1), (3, None, 3, "no", 3), (None, "guia", 1, "bb", 1)}
+    assert {(r.term, r.df) for r in index.terms.collect()} == {("aa", 1), ("bb", 2), ("cc", 2), ("no", 1)}
+    assert [tuple(r) for r in index.stats.select("n", "terms").collect()] == [(5, 4)]
