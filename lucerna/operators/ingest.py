@@ -101,10 +101,14 @@ def chunk_pages(pages: DataFrame, budget: int = BUDGET, overlap: float = OVERLAP
     appendix for the order. Gives source_file, page, section, chunk_index,
     text, chunk_id.
     """
-    clean = drop_running_lines(pages, ratio).withColumn("text", X.clean_page("text"))
+    # texts are made once, and so are sections: running lines, and the sample by which ranges are dealt out, read them too;
+    # an inner explode, or a filter on what was made, would make both anew, so emptiness is looked at behind them
+    pages = lineage.cut(pages.select("source_file", "page", "text"))
+    clean = X.clean_page("text")
     if drop_tables:
-        clean = clean.withColumn("text", X.strip_tables("text"))
-    parts = clean.where("text <> ''").select("source_file", "page", F.inline(segment.sections("text", _CARRY, True)))
+        clean = X.strip_tables(clean)
+    cut = X.bind(clean, lambda x: F.when(x != "", segment.sections(x, _CARRY, True)))
+    parts = lineage.cut(drop_running_lines(pages, ratio).select("source_file", "page", F.inline_outer(cut))).where("pos IS NOT NULL")
     # one deal of the sections by document, page and place serves titles, carried titles and numbers
     parts = scan.placed(parts.withColumn("title", F.when(F.col("title") != _CARRY, F.col("title"))), ["source_file"], ["page", "pos"])
     parts = title_paths(parts)
@@ -112,7 +116,7 @@ def chunk_pages(pages: DataFrame, budget: int = BUDGET, overlap: float = OVERLAP
     parts = carried(parts, F.when(F.col("title").isNotNull(), shown), ["page", "pos"], ["source_file"], "section")
     parts = parts.withColumn("section", F.coalesce(F.nullif(X.clean_title("section"), F.lit("")), F.lit(W.DEFAULT_SECTION)))
     parts = parts.where((F.trim("body") != "") & ~X.is_bibliography_title("section"))
-    pieces = parts.select(scan.PART, "source_file", "page", "pos", "section", F.posexplode(segment.split_long("body", budget, overlap, 1)).alias("piece", "body"))
+    pieces = parts.select(scan.PART, "source_file", "page", "pos", "section", F.posexplode_outer(segment.split_long("body", budget, overlap, 1)).alias("piece", "body"))
     titled = F.col("section") != W.DEFAULT_SECTION
     pieces = pieces.where((X.approx_tokens("body") >= F.when(titled, min(least, TITLED_LEAST)).otherwise(least)) & ~X.is_bibliography("body"))
     # the texts are made once, for the counts of the ranges and for the rows

@@ -460,3 +460,20 @@ def test_index_keeps_a_chunk_in_one_row(spark, monkeypatch):
     assert got == {(1, "guia", 3, "aa", 4), (1, "guia", 3, "bb", 1), (1, "guia", 3, "cc", 1), (1, "guia", 1, "cc", 1), (3, None, 3, "no", 3), (None, "guia", 1, "bb", 1)}
     assert {(r.term, r.df) for r in index.terms.collect()} == {("aa", 1), ("bb", 2), ("cc", 2), ("no", 1)}
     assert [tuple(r) for r in index.stats.select("n", "terms").collect()] == [(5, 4)]
+
+
+def test_pages_are_read_once(spark):
+    """Running lines, cleaning and the deal of the sections share one look at each page, empty ones and odd ones included."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def looked(text):
+        seen.add(1)
+        return text
+
+    rows = [("a", k, t) for k, t in enumerate(["# Uno\n" + "dosis diaria " * 30, "", None, " \n ", "sin titulo " * 40, "# Dos", "# Tres\n\n# Cuatro\n" + "otra cosa " * 600])]
+    pages = spark.createDataFrame(rows, "source_file string, page int, text string")
+    got = G.chunk_pages(pages.withColumn("text", looked("text"))).collect()
+    assert seen.value == len(rows)
+    assert sorted({(r.page, r.section) for r in got}) == [(0, "Uno"), (4, "Uno"), (6, "Cuatro")]
+    assert sorted(r.chunk_index for r in got) == list(range(len(got))) and len(got) == 3
