@@ -6,9 +6,10 @@ whose shingles have a Jaccard similarity of `percent`. Such sets share a token
 of their prefixes under any order of all tokens, so the join runs in two steps:
 
 1. An order that needs no counts. Shingles that start with an anchor letter
-   come first, by hash, so only those must be made where a line has enough of
-   them. Prefix tokens are counted over all lines. Tokens of one line match
-   nothing; classes that share a token of few classes are compared at once.
+   come first, by rank and hash, so only those must be made where a line has
+   enough of them. Prefixes are long enough to hold SHARED tokens in common, so
+   a class whose prefix shares fewer is left alone. Tokens are counted over all
+   classes; classes that share a token of few classes are compared at once.
 2. Tokens of many classes. Only classes with one in their prefix can match by
    it, and only among themselves: their tokens are counted anew and ordered by
    rarity, which makes the crowded ones the last. Prefix, length and position
@@ -30,12 +31,14 @@ SHINGLE = 5
 PERCENT = 80
 #: Classes up to which all pairs of a token of step 1 are compared at once.
 FEW = 16
+#: Tokens of step 1 that similar sets share at least, where they have as many: prefixes are longer by one less.
+SHARED = 3
 #: Rows of stored lists (at most 64 bytes each) up to which they are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: The same for lists of line numbers, in bytes.
 BROADCAST_BYTES = 64 << 20
-#: Letters that start an anchored shingle: some more of them than a prefix needs. Any choice gives the same result.
-ANCHORS = "a-g"
+#: Letters that start an anchored shingle, by rank: some more of the first than a prefix needs. Any choice gives the same result.
+ANCHORS = ("a-dh-l", "e-gmn")
 _SPACE = r"[\x20\x09-\x0D]+"
 _KEY = ["c1", "c2"]
 
@@ -51,7 +54,7 @@ def _normal(line: Column) -> Column:
 
 def _shingles(body: Column, first: str = "[^ ]") -> Column:
     """Distinct hashes of the shingles whose first word starts with a character of the class `first`, ascending."""
-    found = F.regexp_extract_all(F.concat(F.lit(" "), body), F.lit(rf" (?=({first}[^ ]*+{" [^ ]++" * (SHINGLE - 1)}))"), F.lit(1))
+    found = F.regexp_extract_all(F.concat(F.lit(" "), body), F.lit(rf" (?=({first}[^ ]*{" [^ ]+" * (SHINGLE - 1)}))"), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -63,23 +66,30 @@ def _shingle_set(words: str) -> Column:
 
 
 def _least(n: Column, percent: int) -> Column:
-    """The overlap that a set of n needs at least; n less it, plus one, is the length of its prefix."""
+    """The overlap that a set of n needs at least; n less it, plus k, is the length of a prefix that holds k shared tokens."""
     return F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
 
 
+def _bodies(rows: DataFrame) -> DataFrame:
+    """doc_id, text_hash, line, body of every line. A text is hashed once, before it is split, and no line carries it."""
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return hashed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+
+
 def _lines(rows: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, line, words, c1, c2 (class), prefix (of step 1) of every line; no words, no class' use."""
-    out = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    out = out.withColumn("body", _normal(F.col("body")))
+    out = _bodies(rows).withColumn("body", _normal(F.col("body")))
     body = F.col("body")
-    words = F.when(body == "", 0).otherwise(F.length(body) - F.length(F.replace(body, F.lit(" "), F.lit(""))) + 1)
+    words = F.when(body == "", 0).otherwise(F.octet_length(body) - F.octet_length(F.replace(body, F.lit(" "), F.lit(""))) + 1)
     n = F.col("words") - (SHINGLE - 1)
-    out = out.withColumn("words", words).withColumn("take", F.when(n > 0, n - _least(n, percent) + 1).otherwise(0))
+    out = out.withColumn("words", words).withColumn("take", F.when(n > 0, n - _least(n, percent) + SHARED).otherwise(0))
     none = F.array().cast("array<bigint>")
-    out = out.withColumn("anchored", F.when(F.col("take") > 0, _shingles(body, f"[{ANCHORS}]")).otherwise(none))
-    # the others follow the anchored ones, and are made only where those are too few
-    more = F.concat("anchored", _shingles(body, f"[^ {ANCHORS}]"))
-    prefix = F.slice(F.when(F.size("anchored") >= F.col("take"), F.col("anchored")).otherwise(more), 1, F.col("take"))
+    out = out.withColumn("anchored", F.when(F.col("take") > 0, _shingles(body, f"[{ANCHORS[0]}]")).otherwise(none))
+    # those of a later rank follow, and are made only where the earlier ones are too few
+    for first in (f"[{ANCHORS[1]}]", f"[^ {''.join(ANCHORS)}]"):
+        more = F.concat("anchored", _shingles(body, first))
+        out = out.withColumn("anchored", F.when(F.size("anchored") >= F.col("take"), F.col("anchored")).otherwise(more))
+    prefix = F.slice("anchored", 1, F.col("take"))
     return out.select("doc_id", "text_hash", "line", "words", F.xxhash64("body").alias("c1"), F.xxhash64(F.lit(1), "body").alias("c2"), prefix.alias("prefix"))
 
 
@@ -99,12 +109,12 @@ def _places(percent: int) -> Column:
 
 
 def _sets(classes: DataFrame, alive: DataFrame, rows: DataFrame) -> DataFrame:
-    """c1, c2, first, n, tokens of the classes `alive`, from the text of their first line."""
-    wanted = common.stored(classes.join(common.small(alive, BROADCAST_ROWS), _KEY, "left_semi").select(*_KEY, "first", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line")), "wanted")
-    source = rows.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), F.posexplode(F.split("text", "\n", -1)).alias("_line", "body"))
+    """c1, c2, first, need, most, n, tokens of the classes `alive`, from the text of their first line."""
+    wanted = common.stored(classes.drop("prefix").join(common.small(alive, BROADCAST_ROWS), _KEY).select(*_KEY, "first", "need", "most", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.line").alias("line")), "wanted")
+    source = _bodies(rows).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("line").alias("_line"), "body")
     held = source.join(common.small(wanted, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")) & (F.col("_line") == F.col("line")))
-    held = held.select(*_KEY, "first", F.split(_normal(F.col("body")), " ", -1).alias("words")).select(*_KEY, "first", _shingle_set("words").alias("tokens"))
-    out = common.stored(held.select(*_KEY, "first", F.size("tokens").alias("n"), "tokens"), "sets")
+    held = held.select(*_KEY, "first", "need", "most", F.split(_normal(F.col("body")), " ", -1).alias("words")).select(*_KEY, "first", "need", "most", _shingle_set("words").alias("tokens"))
+    out = common.stored(held.select(*_KEY, "first", "need", "most", F.size("tokens").alias("n"), "tokens"), "sets", repeats=False)
     common.dropped(wanted)
     return out
 
@@ -120,13 +130,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _thin_matches(members: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Later classes of the pairs that share a token of step 1 with at most FEW classes."""
-    thin = members.join(common.small(sizes, BROADCAST_ROWS), "token").where(F.col("size") <= FEW).select("token", *_KEY)
-    thin = thin.join(common.small(sets.select(*_KEY, "n"), BROADCAST_ROWS), _KEY)
-    other = thin.select("token", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n").alias("other_n"))
+def _thin_matches(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Later classes of the pairs that share a token of step 1 with at most FEW classes.
+
+    Where a class has only such tokens, a pair with it must share as many of them as both need.
+    """
+    thin = members.where(F.col("size") <= FEW).select("token", *_KEY)
+    thin = thin.join(common.small(sets.select(*_KEY, "n", "need", (F.col("most") <= FEW).alias("whole")), BROADCAST_ROWS), _KEY)
+    other = thin.select("token", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("n").alias("other_n"), F.col("need").alias("other_need"), F.col("whole").alias("other_whole"))
     apart = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))
-    pairs = common.stored(thin.join(other, "token").where(apart & _lengths("n", "other_n", percent)).select(*_KEY, "d1", "d2").distinct(), "pairs")
+    pairs = thin.join(other, "token").where(apart & _lengths("n", "other_n", percent)).groupBy(*_KEY, "d1", "d2")
+    pairs = pairs.agg(F.count("*").alias("shared"), F.max(F.when(F.col("whole") | F.col("other_whole"), F.greatest("need", "other_need")).otherwise(1)).alias("need"))
+    pairs = common.stored(pairs.where("shared >= need").select(*_KEY, "d1", "d2"), "pairs")
     out = _verified(pairs, sets, percent)
     common.dropped(pairs)
     return out
@@ -136,7 +151,7 @@ def _crowded_matches(sets: DataFrame, percent: int) -> DataFrame:
     """Classes of `sets` that an earlier one of them matches: a self-join with tokens ordered by their count among them."""
     each = sets.select(*_KEY, "first", "n", F.explode("tokens").alias("token"))
     counts = common.stored(each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "token-counts")
-    ranked = each.join(common.small(counts, BROADCAST_ROWS), "token").groupBy(*_KEY, "first", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("shared"))
+    ranked = each.join(common.small(counts, BROADCAST_ROWS), "token").groupBy(*_KEY, "first", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     take = F.col("n") - _least(F.col("n"), percent) + 1 - alone
     members = ranked.where(take > 0).select(*_KEY, "first", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, take)).alias("at", "x"))
@@ -164,25 +179,27 @@ def _crowded_matches(sets: DataFrame, percent: int) -> DataFrame:
 
 def _kept_lines(rows: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, copies (rows equal in both), n_lines, worded, kept (line numbers) of every document."""
-    lines = common.stored(_lines(rows, percent), "lines")
-    place = F.struct("doc_id", "text_hash", "line")
-    classes = common.stored(lines.where("words > 0").groupBy(*_KEY).agg(F.min(place).alias("first")), "classes")
-    counts = common.stored(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where("times > 1").select("token"), "tokens")
-    members = lines.select(*_KEY, F.explode("prefix").alias("token")).join(common.small(counts, 4 * BROADCAST_ROWS), "token", "left_semi").distinct()
-    members = common.stored(members, "members")
+    lines = common.stored(_lines(rows, percent), "lines", repeats=False)
+    # a class keeps the prefix of its first line: each of its tokens is counted and dealt out once, however many lines it has
+    first = F.min(F.struct("doc_id", "text_hash", "line", "prefix")).alias("first")
+    classes = lines.where("words > 0").groupBy(*_KEY).agg(first)
+    classes = common.stored(classes.select(*_KEY, F.struct("first.doc_id", "first.text_hash", "first.line").alias("first"), "first.prefix"), "classes", repeats=False)
     documents = lines.groupBy("doc_id", "text_hash").agg(F.count_if(F.col("line") == 0).alias("copies"), (F.max("line") + 1).alias("n_lines"), F.collect_set(F.when(F.col("words") > 0, F.col("line"))).alias("worded"))
     documents = common.stored(documents, "line-documents")
-    common.dropped(lines, counts)
-
-    sizes = common.stored(members.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    alive = members.join(common.small(sizes, BROADCAST_ROWS), "token")
-    crowded = common.stored(alive.where(F.col("size") > FEW).select(*_KEY).distinct(), "crowded-classes")
-    alive = common.stored(alive.select(*_KEY).distinct(), "alive")
+    common.dropped(lines)
+
+    # a similar set holds `need` tokens of this prefix in its own: at least SHARED, or the overlap of a smaller set
+    need = F.least(F.lit(SHARED), _least(F.size("prefix"), percent)).alias("need")
+    each = classes.select(*_KEY, need, F.explode("prefix").alias("token"))
+    sizes = common.stored(each.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "sizes", repeats=False)
+    members = common.stored(each.join(common.small(sizes, 4 * BROADCAST_ROWS), "token"), "members")
+    alive = members.groupBy(*_KEY).agg(F.max("need").alias("need"), F.max("size").alias("most"), F.count("*").alias("held"))
+    alive = common.stored(alive.where("held >= need").drop("held"), "alive")
     sets = _sets(classes, alive, rows)
-    thin = _thin_matches(members, sizes, sets, percent)
-    common.dropped(members, sizes, alive)
-    many = common.stored(sets.join(common.small(crowded, BROADCAST_ROWS), _KEY, "left_semi"), "crowded-sets")
-    common.dropped(sets, crowded)
+    thin = _thin_matches(members, sets, percent)
+    common.dropped(members, sizes)
+    many = common.stored(sets.where(F.col("most") > FEW).drop("need", "most"), "crowded-sets", repeats=False)
+    common.dropped(sets, alive)
     matched = common.stored(thin.union(_crowded_matches(many, percent)).distinct(), "matched")
     common.dropped(many, thin)
 

@@ -392,6 +392,20 @@ def test_line_dedup_of_short_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()} == {1: rows[0][1], 3: " \nno\npage 4 see\n" + long + " eight", 4: "one two three four\none two three four five"}
 
 
+def test_line_dedup_makes_sets_only_of_lines_that_share_enough(spark, monkeypatch):
+    one, two = (" ".join(f"z{k}{i}" for i in range(20)) for k in "pq")
+    # one shingle in common, first in both prefixes; then a line that repeats one shingle, with a similar one
+    again = "z1 z2 z3 z4 z5 " * 6
+    rows = [(1, "alpha z z z z " + one), (2, "alpha z z z z " + two), (3, again + "z6"), (4, again + "z7"), (5, "z " + one), (6, one + " z")]
+    docs, seen, made = spark.createDataFrame(rows, "doc_id long, text string"), [], line_dedup._sets
+    monkeypatch.setattr(line_dedup, "_sets", lambda classes, alive, rows: seen.append(classes.join(alive, ["c1", "c2"]).select("first.doc_id").collect()) or made(classes, alive, rows))
+    sets = lambda line: {" ".join(line.split()[i : i + 5]) for i in range(len(line.split()) - 4)}
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: [0] if any(alike(sets(text), sets(other)) for j, other in rows if j < i) else [] for i, text in rows}
+    assert {i: r.removed for i, r in by_id(line_dedup.removed_lines(docs)).items()} == want
+    assert want[6] == [0] and 2 not in {r.doc_id for r in seen[0]}
+
+
 def test_line_dedup_of_repeated_rows_and_clashing_names(spark):
     long = "one two three four five six seven"
     rows = [(1, f"{long}\nfirst", "x"), (1, f"{long}\nfirst", "y"), (1, f"{long}\nfirst", "z"), (None, " \n", "b"), (None, " \n", "b"), (2, f"{long}\nother", "o")]
